@@ -1,0 +1 @@
+"""Refresh is batch only: the covered feature set has no streaming operator, so nothing is defined here."""
