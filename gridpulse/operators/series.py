@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.metrics import METRIC_KEYS, metric_key
+from gridpulse.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -70,22 +71,28 @@ def zero_filled_daily(
     return calendar.join(daily, [*by, day], "left").fillna(0.0, subset=list(metrics))
 
 
-def robust_z(frame: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """(x - median) / (1.4826 MAD) per series; population deviation if the MAD is zero, 0 if that is zero too."""
+def robust_z(frame: DataFrame, by: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """(x - median) / (1.4826 MAD) per series, for every ``value column: output column``.
+
+    The population deviation stands in for a zero MAD, and the result is 0 where that is zero too. All
+    columns share two window steps.
+    """
     series = Window.partitionBy(*by)
-    step = frame.withColumn("_med", F.percentile(value, F.lit(0.5)).over(series)).withColumn(
-        "_gap", F.abs(F.col(value) - F.col("_med"))
+    names = list(columns)
+    step = frame.withColumns(
+        {f"_med{i}": F.percentile(c, F.lit(0.5)).over(series) for i, c in enumerate(names)}
+        | {f"_sd{i}": F.stddev_pop(c).over(series) for i, c in enumerate(names)}
     )
+    step = step.withColumns({f"_gap{i}": F.abs(F.col(c) - F.col(f"_med{i}")) for i, c in enumerate(names)})
     step = step.withColumns(
-        {
-            "_mad": F.percentile("_gap", F.lit(0.5)).over(series) * 1.4826,
-            "_sd": F.stddev_pop(value).over(series),
-        }
+        {f"_mad{i}": F.percentile(f"_gap{i}", F.lit(0.5)).over(series) * 1.4826 for i in range(len(names))}
     )
-    scale = F.when(F.col("_mad") > 0, F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd"))
-    return step.withColumn(
-        out, F.coalesce((F.col(value) - F.col("_med")) / scale, F.lit(0.0))
-    ).drop("_med", "_gap", "_mad", "_sd")
+    out = {}
+    for i, c in enumerate(names):
+        scale = F.when(F.col(f"_mad{i}") > 0, F.col(f"_mad{i}")).when(F.col(f"_sd{i}") > 0, F.col(f"_sd{i}"))
+        out[columns[c]] = F.coalesce((F.col(c) - F.col(f"_med{i}")) / scale, F.lit(0.0))
+    spare = [f"_{n}{i}" for i in range(len(names)) for n in ("med", "sd", "gap", "mad")]
+    return step.withColumns(out).drop(*spare)
 
 
 def rolling_median(value: str, by: Sequence[str], day: str, days: int, least: int) -> Column:
@@ -101,14 +108,14 @@ def series_features(
     All windows share the series partitioning, so the whole set needs one shuffle. A series has one row per
     day, which bounds the partition whatever the raw volume.
     """
-    out = series
     whole = Window.partitionBy(*by)
     ordered = whole.orderBy(day)
+    new = {}
     for metric in metrics:
         k = metric.lower()
         before = F.lag(metric).over(ordered)
         total = F.sum(metric).over(whole)
-        out = out.withColumns(
+        new.update(
             {
                 f"{k}_rolling_median_7d": rolling_median(metric, by, day, 7, 3),
                 f"{k}_rolling_median_30d": rolling_median(metric, by, day, 30, 7),
@@ -118,9 +125,19 @@ def series_features(
                 f"rolling_7d_{k}_sum": F.sum(metric).over(ordered.rowsBetween(-6, 0)),
             }
         )
-        out = robust_z(out, by, metric, f"{k}_robust_z")
-        out = robust_z(out, by, f"{k}_delta_1d", f"{k}_delta_robust_z")
-    return out
+    pairs = {}
+    for k in (m.lower() for m in metrics):
+        pairs[f"{k}_delta_1d"] = f"{k}_delta_robust_z"
+    values = {m: f"{m.lower()}_robust_z" for m in metrics}
+    return robust_z(series.withColumns(new), by, {**values, **pairs})
+
+
+def window_shares(series: DataFrame, by: Sequence[str], metrics: Sequence[str] = METRIC_KEYS) -> DataFrame:
+    """Share of the window total per metric."""
+    totals = {m: F.sum(m).over(Window.partitionBy(*by)) for m in metrics}
+    return series.withColumns(
+        {f"{m.lower()}_contribution_pct": F.when(total > 0, F.col(m) / total).otherwise(0.0) for m, total in totals.items()}
+    )
 
 
 def _reason(kind: str, metric: str, score: Column, value: Column, base: Column, limit: Column, text: str) -> Column:
@@ -397,9 +414,12 @@ def enrich_points(
 ) -> DataFrame:
     """Points with the top labels per dimension, top events, signals, flags and confidence.
 
-    Details are cut down by a semi-join on the chosen (series, day) keys before anything is ranked.
+    The few points are checkpointed once, then every detail table is cut down by a semi-join on their
+    (series, day) keys, which AQE broadcasts by measured size, before anything is ranked.
     """
     keys = list(by)
+    ensure_checkpoint_dir(points.sparkSession)
+    points = points.checkpoint()
     chosen = points.select(*keys).distinct()
     sources = attribution.join(chosen, keys, "left_semi")
     items = attribution_items(sources, keys, dimensions)

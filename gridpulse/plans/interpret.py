@@ -21,6 +21,7 @@ from gridpulse.operators.series import (
     series_features,
     sustained_periods,
     trend_summary,
+    window_shares,
     zero_filled_daily,
 )
 
@@ -51,8 +52,10 @@ def summary_metadata(daily: DataFrame) -> DataFrame:
 def critical_points(
     series: DataFrame, by: Sequence[str], metric: str = "UITI", limits: Thresholds = Thresholds(), max_points: int = 5
 ) -> DataFrame:
-    """Ranked critical days of every series."""
-    features = series_features(series, by)
+    """Ranked critical days of every series; the other metrics enter by their window shares only."""
+    metric = metric_key(metric)
+    others = [m for m in METRIC_KEYS if m != metric]
+    features = window_shares(series_features(series, by, [metric]), by, others)
     return rank_points(point_reasons(features, by, metric, limits=limits), by, max_points=max_points)
 
 

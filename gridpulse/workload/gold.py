@@ -87,13 +87,13 @@ HOUR_COLUMNS = [f"{v}_{h}" for h in range(24) for v in ("temp", "wind")]
 @query(
     "a05_environment_daily",
     f"WITH {HOURLY} SELECT CAST(day AS VARCHAR) AS day, user_id % 10 AS municipality, "
-    + ", ".join(f"round(avg({c}), 3) AS {c}_avg" for c in HOUR_COLUMNS)
+    + ", ".join(f"round(avg({c}), 6) AS {c}_avg" for c in HOUR_COLUMNS)
     + " FROM hourly GROUP BY day, user_id % 10",
 )
 def _(t):
     wide = hourly_wide(t).withColumn("municipality", F.pmod("user_id", F.lit(10)))
     out = A.environment_daily(wide, ["day", "municipality"], HOUR_COLUMNS)
-    return out.select(text_day(), "municipality", *[F.round(f"{c}_avg", 3).alias(f"{c}_avg") for c in HOUR_COLUMNS])
+    return out.select(text_day(), "municipality", *[F.round(f"{c}_avg", 6).alias(f"{c}_avg") for c in HOUR_COLUMNS])
 
 
 @query(

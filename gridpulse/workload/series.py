@@ -19,8 +19,8 @@ def filled(t):
     return S.zero_filled_daily(stream_daily(t), BY)
 
 
-def features(t):
-    return S.series_features(filled(t), BY)
+def features(t, metrics=METRIC_KEYS):
+    return S.series_features(filled(t), BY, metrics)
 
 
 def _robust(source: str, value: str, out: str) -> str:
@@ -62,7 +62,7 @@ def _(t):
 
 @query("w02_robust_z", f"WITH {FEATURES} SELECT circuit, CAST(day AS VARCHAR) AS day, round(rz_z, 4) AS robust_z FROM feat")
 def _(t):
-    return S.robust_z(filled(t), BY, "UITI", "robust_z").select("circuit", text_day(), *r4("robust_z"))
+    return S.robust_z(filled(t), BY, {"UITI": "robust_z"}).select("circuit", text_day(), *r4("robust_z"))
 
 
 @query(
@@ -109,13 +109,13 @@ REASONS = (
 
 @query("w05_point_reasons", f"WITH {REASONS} SELECT circuit, CAST(day AS VARCHAR) AS day, reason_type, score FROM reasons")
 def _(t):
-    rows = S.point_reasons(features(t), BY)
+    rows = S.point_reasons(features(t, ["UITI"]), BY)
     return rows.select("circuit", text_day(), F.explode("reasons").alias("r")).select("circuit", "day", "r.reason_type", "r.score")
 
 
 @query("w06_local_peaks", f"WITH {REASONS} SELECT circuit, CAST(day AS VARCHAR) AS day, score FROM reasons WHERE reason_type = 'local_uiti_peak'")
 def _(t):
-    rows = S.point_reasons(features(t), BY).select("circuit", text_day(), F.explode("reasons").alias("r"))
+    rows = S.point_reasons(features(t, ["UITI"]), BY).select("circuit", text_day(), F.explode("reasons").alias("r"))
     return rows.where("r.reason_type = 'local_uiti_peak'").select("circuit", "day", "r.score")
 
 
