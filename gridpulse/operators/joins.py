@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.cleaning import clean_text
-from gridpulse.scale import is_small
 
 
 class DuplicateKeyError(ValueError):
@@ -240,10 +239,9 @@ def _matched_patterns(names: DataFrame, name: str, patterns: DataFrame, fields:
         .join(distinct, "_name")
         .select(*fields, "name")
     )
-    wild = table.where("_wild")
-    if not is_small(wild, 5_000):
+    rows = table.where("_wild").limit(5_001).collect()
+    if len(rows) > 5_000:
         raise ValueError("more than 5,000 wildcard patterns; split the rule set")
-    rows = wild.collect()
     if not rows:
         return exact
     kinds = {f.name: f.dataType for f in table.schema.fields}
