@@ -102,7 +102,7 @@ def drop_columns_with_null(frame: DataFrame) -> DataFrame:
 
 
 def trim_column_names(frame: DataFrame) -> DataFrame:
-    return frame.toDF(*[c.lstrip("﻿").strip() for c in frame.columns])
+    return frame.toDF(*[c.lstrip("\ufeff").strip() for c in frame.columns])
 
 
 def normalize_types(frame: DataFrame, date_columns: Sequence[str] = ()) -> DataFrame:

@@ -24,21 +24,20 @@ def squeeze(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(as_column(value), F.lit("")), "\\s+", " "))
 
 
-def word_chunks(value: Column | str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
-    """Array of word windows over the whole text; the last one is the first to reach the end."""
-    step = max(size - overlap, 1)
-    words = F.split(squeeze(value), " ")
-    count = F.size(words)
-    last = F.when(count <= size, F.lit(0)).otherwise(F.ceil((count - size) / step).cast("int"))
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, size), " "))
-    return F.when(F.length(squeeze(value)) > 0, parts).otherwise(F.array().cast("array<string>"))
-
-
 def chunk_documents(
     documents: DataFrame, doc_id: str, text: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(document, chunk number from 0, chunk text); no shuffle."""
-    return documents.select(doc_id, *keep, F.posexplode(word_chunks(text, size, overlap)).alias("chunk_no", "chunk_text"))
+    """(document, chunk number from 0, chunk text): word windows over the whole text, the last one being the
+    first to reach the end. No shuffle; the words of a text are split once and only chunk texts are exploded."""
+    step = max(size - overlap, 1)
+    words = documents.select(doc_id, *keep, F.split(squeeze(text), " ").alias("_words"))
+    count = F.size("_words")
+    last = F.when(count <= size, F.lit(0)).otherwise(F.ceil((count - size) / step).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("_words", i * step + 1, size), " "))
+    return (
+        words.where(F.get("_words", F.lit(0)) != "")
+        .select(doc_id, *keep, F.posexplode(parts).alias("chunk_no", "chunk_text"))
+    )
 
 
 def chunk_identity(chunks: DataFrame, title: str, path: str, prefix: str = "doc") -> DataFrame:
@@ -117,20 +116,25 @@ def lexical_scores(
     The questions' tokens are the small side: chunk tokens look them up and hits are summed per
     (question, chunk) in the task that read the chunk, so a frequent token never gathers in one task.
     """
-    fields = [(tokens(text), 1.0)]
+    fields = {"_text": (tokens(text), 1.0)}
     if title is not None:
-        fields.append((tokens(title), TITLE_WEIGHT))
+        fields["_title"] = (tokens(title), TITLE_WEIGHT)
     if tags is not None:
-        fields.append((tokens(F.array_join(tags, " ")), TAG_WEIGHT))
-    weighted = F.concat(*[F.transform(t, lambda w, x=weight: F.struct(w.alias("token"), F.lit(x).alias("weight"))) for t, weight in fields])
-    usable = chunks.where(F.size(tokens(text)) > 0)
-    hits = usable.select(F.col(chunk_id), F.explode(weighted).alias("_t")).select(chunk_id, "_t.*")
+        fields["_tags"] = (tokens(F.array_join(tags, " ")), TAG_WEIGHT)
+    # token sets are made once per chunk, then weighed
+    usable = chunks.select(chunk_id, *[words.alias(name) for name, (words, _) in fields.items()]).where(F.size("_text") > 0)
+
+    def weigh(name: str, weight: float) -> Column:
+        return F.transform(name, lambda w: F.struct(w.alias("token"), F.lit(weight).alias("weight")))
+
+    weighted = F.concat(*[weigh(name, weight) for name, (_, weight) in fields.items()])
+    hits = usable.select(chunk_id, F.explode(weighted).alias("_t")).select(chunk_id, "_t.*")
     asked = questions.select(F.col(question_id), F.explode(tokens(question)).alias("token"))
     scored = hits.join(asked, "token").groupBy(question_id, chunk_id).agg(F.sum("weight").alias("score"))
     if boost and tags is not None:
         wanted = F.array(*[F.lit(b) for b in boost])
         extra = usable.select(
-            F.col(chunk_id), (F.size(F.array_intersect(tokens(F.array_join(tags, " ")), wanted)) * BOOST_WEIGHT).alias("_b")
+            F.col(chunk_id), (F.size(F.array_intersect("_tags", wanted)) * BOOST_WEIGHT).alias("_b")
         ).where("_b > 0")
         everyone = questions.select(question_id).distinct()
         if not is_small(everyone):
@@ -343,8 +347,8 @@ REQUIRED_EVIDENCE = {
 
 def classify_claims(texts: DataFrame, text: str, classes: Sequence[tuple] = CLAIM_CLASSES) -> DataFrame:
     """First matching claim class, whether a forbidden claim is made, and the evidence the class needs."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    normal = plain_text(text)
+    texts = texts.withColumns({"_raw": F.coalesce(F.col(text), F.lit("")), "_normal": plain_text(text)})
+    raw, normal = F.col("_raw"), F.col("_normal")
     choice = None
     for name, words, pattern in classes:
         if pattern:
@@ -360,7 +364,7 @@ def classify_claims(texts: DataFrame, text: str, classes: Sequence[tuple] = CLAI
     table = F.create_map(*[F.lit(x) for item in REQUIRED_EVIDENCE.items() for x in item])
     return texts.withColumns(
         {"claim_type": choice.otherwise("general_interpretation"), "forbidden_claim": forbidden}
-    ).withColumn("required_evidence", F.coalesce(table[F.col("claim_type")], F.lit("llm_interpretation")))
+    ).drop("_raw", "_normal").withColumn("required_evidence", F.coalesce(table[F.col("claim_type")], F.lit("llm_interpretation")))
 
 
 # Compliance wording that is blocked, and wording that is allowed.
@@ -392,10 +396,11 @@ def unaccented(value: Column | str) -> Column:
 def check_wording(
     texts: DataFrame, text: str, blocked: Sequence[tuple[str, str]] = BLOCKED_WORDING, allowed: Sequence[str] = ALLOWED_WORDING
 ) -> DataFrame:
-    normal = unaccented(text)
+    texts = texts.withColumn("_normal", unaccented(text))
+    normal = F.col("_normal")
     flagged = F.array_compact(F.array(*[F.when(normal.rlike(p), F.lit(name)) for name, p in blocked]))
     present = F.array_compact(F.array(*[F.when(normal.contains(p), F.lit(p)) for p in allowed]))
-    return texts.withColumns({"flagged": flagged, "allowed_present": present, "wording_ok": F.size(flagged) == 0})
+    return texts.withColumns({"flagged": flagged, "allowed_present": present, "wording_ok": F.size(flagged) == 0}).drop("_normal")
 
 
 # Answer sections in order, their titles, default items and further headings.
@@ -535,14 +540,15 @@ EXCLUSIVE = ("search_regulatory_documents", "search_technical_documents")
 
 def route_tools(texts: DataFrame, text: str, routes: Mapping[str, str] = ROUTES, exclusive: tuple[str, str] = EXCLUSIVE) -> DataFrame:
     """Adds ``tools``: tools whose terms meet the text's tokens, each once, in route order."""
-    words = F.split(plain_text(text), " ")
+    texts = texts.withColumn("_words", F.array_distinct(F.split(plain_text(text), " ")))
+    words = F.col("_words")
     picks = []
     for tool, terms in routes.items():
         test = F.arrays_overlap(words, F.array(*[F.lit(t) for t in terms.split()]))
         if tool == exclusive[1] and exclusive[0] in routes:
             test = test & ~F.arrays_overlap(words, F.array(*[F.lit(t) for t in routes[exclusive[0]].split()]))
         picks.append(F.when(test, F.lit(tool)))
-    return texts.withColumn("tools", F.array_compact(F.array(*picks)))
+    return texts.withColumn("tools", F.array_compact(F.array(*picks))).drop("_words")
 
 
 def search_by_tokens(frame: DataFrame, columns: Sequence[str], query: str | None) -> DataFrame:

@@ -126,10 +126,11 @@ def target_correlations(frame: DataFrame, columns: Sequence[str], target: str, l
 
 def column_relevance(masks: DataFrame, columns: Sequence[str], group: str | None = None, limit: int = 20) -> DataFrame:
     """Mean row softmax per column over all rows, mean raw weight per column in each group; best ``limit`` of each."""
+    # one step per stage: the row maximum and the row total are computed once per row
     top = F.greatest(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0])
-    weights = {c: F.exp(F.col(c) - top) for c in columns}
-    total = sum(weights.values(), F.lit(0.0))
-    soft = masks.select(*[(w / total).alias(c) for c, w in weights.items()])
+    shifted = masks.withColumn("_top", top).select(*[F.exp(F.col(c) - F.col("_top")).alias(c) for c in columns])
+    summed = shifted.withColumn("_total", sum((F.col(c) for c in columns[1:]), F.col(columns[0])))
+    soft = summed.select(*[(F.col(c) / F.col("_total")).alias(c) for c in columns])
     means = [F.avg(c).alias(c) for c in columns]
     out = soft.agg(*means).select(F.lit("all").alias("scope"), *columns)
     if group:

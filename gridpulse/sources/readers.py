@@ -29,9 +29,9 @@ def read_text_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ","
     """Every column as text: no inference, blanks stay blank, a byte order mark is cut from the header."""
     frame = spark.read.csv(
         path if isinstance(path, str) else list(path),
-        header=True, sep=sep, inferSchema=False, emptyValue="", nullValue="\u0000", encoding="UTF-8", multiLine=False,
+        header=True, sep=sep, inferSchema=False, emptyValue="", encoding="UTF-8",
     )
-    return trim_column_names(frame)
+    return trim_column_names(frame).fillna("")
 
 
 @dataclass(frozen=True)
