@@ -122,26 +122,27 @@ def lexical_scores(
     if tags is not None:
         fields["_tags"] = (tokens(F.array_join(tags, " ")), TAG_WEIGHT)
     # token sets are made once per chunk, then weighed
-    usable = chunks.select(chunk_id, *[words.alias(name) for name, (words, _) in fields.items()]).where(F.size("_text") > 0)
+    usable = chunks.select(chunk_id, *[words.alias(name) for name, (words, _) in fields.items()])
 
     def weigh(name: str, weight: float) -> Column:
         return F.transform(name, lambda w: F.struct(w.alias("token"), F.lit(weight).alias("weight")))
 
     weighted = F.concat(*[weigh(name, weight) for name, (_, weight) in fields.items()])
-    hits = usable.select(chunk_id, F.explode(weighted).alias("_t")).select(chunk_id, "_t.*")
+    # a chunk without text tokens is left out; tested here so that the tokens are not made a second time
+    hits = usable.select(chunk_id, F.explode(F.when(F.size("_text") > 0, weighted)).alias("_t")).select(chunk_id, "_t.*")
     asked = questions.select(F.col(question_id), F.explode(tokens(question)).alias("token"))
     scored = hits.join(asked, "token").groupBy(question_id, chunk_id).agg(F.sum("weight").alias("score"))
     if boost and tags is not None:
         wanted = F.array(*[F.lit(b) for b in boost])
         extra = usable.select(
-            F.col(chunk_id), (F.size(F.array_intersect("_tags", wanted)) * BOOST_WEIGHT).alias("_b")
-        ).where("_b > 0")
+            F.col(chunk_id), "_text", (F.size(F.array_intersect("_tags", wanted)) * BOOST_WEIGHT).alias("_b")
+        ).where((F.col("_b") > 0) & (F.size("_text") > 0))
         everyone = questions.select(question_id).distinct()
         if not is_small(everyone):
             raise ValueError("boost tags apply to a bounded batch of questions")
         ids = [r[0] for r in everyone.collect()]
         kind = everyone.schema[0].dataType
-        pairs = extra.withColumn(question_id, F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])))
+        pairs = extra.drop("_text").withColumn(question_id, F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])))
         scored = (
             scored.join(pairs, [question_id, chunk_id], "full")
             .select(question_id, chunk_id, (F.coalesce("score", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("score"))
@@ -235,12 +236,13 @@ def fused_scores(lexical: DataFrame, vector: DataFrame, keys: Sequence[str], wei
     )
 
 
-def distinct_terms(terms: Column | str, limit: int = 40) -> Column:
+def with_distinct_terms(frame: DataFrame, terms: Column, out: str = "query_text", limit: int = 40) -> DataFrame:
     """First ``limit`` trimmed terms, repeats ignored without regard to case, first spelling kept, space joined."""
-    cleaned = F.filter(F.transform(as_column(terms), lambda t: F.trim(F.coalesce(t, F.lit("")))), lambda t: F.length(t) > 0)
-    lowered = F.transform(cleaned, lambda t: F.lower(t))
-    first = F.filter(cleaned, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
-    return F.array_join(F.slice(first, 1, limit), " ")
+    cleaned = F.filter(F.transform(terms, lambda t: F.trim(F.coalesce(t, F.lit("")))), lambda t: F.length(t) > 0)
+    staged = frame.withColumn("_terms", cleaned).withColumn("_low", F.transform("_terms", lambda t: F.lower(t)))
+    staged = staged.withColumn("_first", F.slice(F.array_distinct("_low"), 1, limit))
+    spelled = F.transform("_first", lambda w: F.element_at("_terms", F.array_position("_low", w).cast("int")))
+    return staged.withColumn(out, F.array_join(spelled, " ")).drop("_terms", "_low", "_first")
 
 
 # Terms opening every retrieval query.

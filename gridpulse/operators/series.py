@@ -357,23 +357,17 @@ def attribution_items(
         *[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in sums],
         F.count(F.lit(1)).alias("_rows"),
     )
-    group = Window.partitionBy(*by, "dimension")
-    counted = F.when(F.sum("event_count").over(group) == 0, F.col("_rows").cast("double")).otherwise(F.col("event_count"))
-    grouped = grouped.withColumn("event_count", counted).withColumn("impact_score", score if score is not None else F.col(impact))
-    order = group.orderBy(F.desc("impact_score"), F.desc("event_count"), F.desc("duration_raw_total"), "label")
-    return (
-        grouped.withColumns(
-            {
-                "day_total": F.sum("impact_score").over(group),
-                "rank": F.row_number().over(order),
-            }
-        )
-        .where(F.col("rank") <= limit)
-        .withColumn(
-            "contribution_pct", F.when(F.col("day_total") > 0, F.round(F.col("impact_score") / F.col("day_total"), 4))
-        )
-        .drop("_rows", "day_total")
+    grouped = grouped.withColumn("impact_score", score if score is not None else F.col(impact))
+    keys = [*by, "dimension"]
+    totals = grouped.groupBy(*keys).agg(F.sum("event_count").alias("_events"), F.sum("impact_score").alias("_total"))
+    counted = F.when(F.col("_events") == 0, F.col("_rows").cast("double")).otherwise(F.col("event_count"))
+    share = F.when(F.col("_total") > 0, F.round(F.col("impact_score") / F.col("_total"), 4))
+    grouped = grouped.join(totals, keys).withColumns({"event_count": counted, "contribution_pct": share}).drop(
+        "_rows", "_events", "_total"
     )
+    # ranking alone in its window keeps the partial top-k before the shuffle, however many labels a group has
+    order = Window.partitionBy(*keys).orderBy(F.desc("impact_score"), F.desc("event_count"), F.desc("duration_raw_total"), "label")
+    return grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def top_events(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpulse.session import ensure_checkpoint_dir
+
 SMALL_ROWS = 20_000
 
 
@@ -15,61 +17,49 @@ def is_small(frame: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return frame.limit(rows + 1).count() <= rows
 
 
+def spread_if_small(frame: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all cores.
+
+    A small table often sits in one row group, which one task would read and then carry through every
+    row-wise step. The planner's size estimate decides, so no job runs, and inputs larger than one default
+    split per core keep their scan partitions and pay no shuffle.
+    """
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size <= cores * 32 * 1024 * 1024 else frame
+
+
 def broadcast_if_small(frame: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Broadcast hint behind a size check; larger frames keep the shuffle join."""
     return F.broadcast(frame) if is_small(frame, rows) else frame
 
 
-def _order_key(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(name) for name in order])
-
+def _ranged(frame: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows range partitioned by ``order`` and checkpointed, with the number of their range in ``_bucket``.
 
-def _range_bounds(frame: DataFrame, order: Sequence[str], buckets: int) -> list:
-    """Split points for range buckets from a bounded random sample (about 50 rows per bucket)."""
-    total = frame.count()
-    wanted = buckets * 50
-    sample = frame.select(*order)
-    if total > wanted:
-        sample = sample.sample(fraction=min(1.0, 1.2 * wanted / total), seed=7)
-    rows = sample.limit(2 * wanted).distinct().orderBy(*order).collect()
-    if len(rows) <= buckets:
-        return rows[1:]
-    step = len(rows) / buckets
-    return [rows[int(i * step)] for i in range(1, buckets)]
+    The checkpoint pins the ranges: counts and positions read the same assignment even after a lost executor.
+    """
+    ensure_checkpoint_dir(frame.sparkSession)
+    return frame.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()).checkpoint()
 
 
-def global_position(
-    frame: DataFrame, order: Sequence[str], out: str = "position", buckets: int = 64
-) -> DataFrame:
-    """1-based position of each row in the total order of ``order`` without a one-task window.
+def global_position(frame: DataFrame, order: Sequence[str], out: str = "position", small: int = 500_000) -> DataFrame:
+    """1-based position of each row in the total order of ``order``, which must identify rows.
 
-    Rows are cut into range buckets at sampled split points; a row's position is its place in the bucket
-    plus the row count of all earlier buckets. ``order`` must identify rows, so that no bucket can hold
-    more than one range of distinct keys. The split points only balance the work: any points give the
-    same positions.
+    Up to ``small`` rows one window does it. Beyond, rows are range partitioned and a position is the place in
+    the range plus the row count of the earlier ranges, so no task sees more than one range.
     """
-    bounds = _range_bounds(frame, order, buckets)
-    types = {f.name: f.dataType for f in frame.schema.fields}
-    key = _order_key(order)
-    if not bounds:
-        bucketed = frame.withColumn("_bucket", F.lit(0))
-    else:
-        limits = F.array(
-            *[
-                F.struct(*[F.lit(row[name]).cast(types[name]).alias(name) for name in order])
-                for row in bounds
-            ]
-        )
-        bucketed = frame.withColumn("_key", key).withColumn(
-            "_bucket", F.size(F.filter(limits, lambda edge: edge <= F.col("_key")))
-        ).drop("_key")
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most `buckets` rows reach this window
+    if is_small(frame, small):
+        return frame.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    ranged = _ranged(frame, order)
+    counts = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range reaches this window
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_bucket").orderBy(*order)
     return (
-        bucketed.withColumn("_place", F.row_number().over(inside))
+        ranged.withColumn("_place", F.row_number().over(inside))
         .join(F.broadcast(offsets), "_bucket")
         .withColumn(out, (F.col("_place") + F.col("_offset")).cast("long"))
         .drop("_bucket", "_place", "_offset")
@@ -86,30 +76,30 @@ def salted_count_distinct(frame: DataFrame, keys: Sequence[str], value: str, out
     )
 
 
-def exact_quantiles(frame: DataFrame, column: str, points: Sequence[float]) -> DataFrame:
+def exact_quantiles(frame: DataFrame, column: str, points: Sequence[float], small: int = 500_000) -> DataFrame:
     """Exact linearly interpolated quantiles of one numeric column as a one-row frame ``q0, q1, ...``.
 
-    Values are first reduced to distinct value counts (map-side combined), positions come from range
-    buckets, and only the two rows that bracket every point are kept.
+    Values are first reduced to distinct value counts (map-side combined). Up to ``small`` distinct values one
+    weighted percentile does it; beyond, ranges give every value its positions and only the two values that
+    bracket each point are kept.
     """
     counts = (
         frame.where(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    bounds = _range_bounds(counts, ["_v"], 64)
-    edges = F.array(*[F.lit(float(r["_v"])) for r in bounds]) if bounds else None
-    bucket = F.size(F.filter(edges, lambda e: e <= F.col("_v"))) if bounds else F.lit(0)
-    counts = counts.withColumn("_b", bucket)
-    totals = counts.groupBy("_b").agg(F.sum("_c").alias("_t"))
-    wide = Window.orderBy("_b")
+    if is_small(counts, small):
+        return counts.agg(*[F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(f"q{i}") for i, p in enumerate(points)])
+    counts = _ranged(counts, ["_v"])
+    totals = counts.groupBy("_bucket").agg(F.sum("_c").alias("_t"))
+    wide = Window.orderBy("_bucket")
     offsets = totals.select(
-        "_b",
+        "_bucket",
         F.coalesce(F.sum("_t").over(wide.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"),
-        F.sum("_t").over(Window.partitionBy(F.lit(1))).alias("_n"),
+        F.sum("_t").over(wide.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"),
     )
-    run = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.join(F.broadcast(offsets), "_b").withColumn("_hi", F.sum("_c").over(run) + F.col("_o") - 1)
+    run = Window.partitionBy("_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(F.broadcast(offsets), "_bucket").withColumn("_hi", F.sum("_c").over(run) + F.col("_o") - 1)
     placed = placed.withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
     aggs = []
     for i, p in enumerate(points):

@@ -258,7 +258,7 @@ def sql_tokens(column: str) -> str:
 )
 def _(t):
     words = X.tokens("text")
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", F.md5(X.plain_text("text")).alias("plain_md5"), F.size(words).cast("long").alias("n_tokens"),
         F.array_join(F.slice(F.sort_array(words), 1, 20), " ").alias("head"),
     )

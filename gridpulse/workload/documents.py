@@ -20,7 +20,7 @@ chunks AS (SELECT doc_id, lang, source, chunk_no, array_to_string(words[chunk_no
 
 
 def _chunks(t):
-    return D.chunk_documents(t.documents, "doc_id", "text", SIZE, OVERLAP, keep=("lang", "source"))
+    return D.chunk_documents(t.spread("documents"), "doc_id", "text", SIZE, OVERLAP, keep=("lang", "source"))
 
 
 @query("d01_word_chunks", f"WITH {CHUNKS} SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, length(chunk_text) AS n_chars, md5(chunk_text) AS text_md5 FROM chunks")
@@ -43,7 +43,7 @@ def _(t):
 
 
 def _silver(t):
-    rows = t.documents.select(
+    rows = t.spread("documents").select(
         F.concat(F.lit("c"), F.col("doc_id") % 500).alias("chunk_id"), "text", F.col("doc_id").alias("created_at"),
         F.when(F.col("doc_id") % 2 == 0, "PDF").when(F.col("doc_id") % 3 == 0, "xlsx").alias("source_type"),
         F.concat(F.lit("x/"), "source", F.lit(".pdf")).alias("source_path"),
@@ -68,7 +68,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 
 def _scores(t):
-    scores = D.lexical_scores(t.documents, t.benchmark, "doc_id", "item_id", "text", "text", title=F.concat_ws(" ", "lang", "source"))
+    scores = D.lexical_scores(t.spread("documents"), t.benchmark, "doc_id", "item_id", "text", "text", title=F.concat_ws(" ", "lang", "source"))
     return scores.withColumn("score", F.round("score", 4))
 
 
@@ -134,7 +134,7 @@ def _(t):
 )
 def _(t):
     terms = F.concat(F.array(F.lit("UITI"), F.lit("impacto")), F.split("text", " "))
-    return t.conversations.select("conv_id", "turn", D.distinct_terms(terms).alias("query_text"))
+    return D.with_distinct_terms(t.spread("conversations"), terms).select("conv_id", "turn", "query_text")
 
 
 @query(
@@ -157,7 +157,7 @@ def _answers(t):
         F.when(turn == 0, " Según la norma RETIE aplica.").when(turn == 1, " El documento lo indica [2]. Falta [x].")
         .when(turn == 2, " Ver [1] y [7].").otherwise(" La bitácora registra mantenimiento [3].")
     )
-    return t.conversations.select("conv_id", "turn", F.concat("text", tail).alias("answer"), F.lit(3).alias("available"))
+    return t.spread("conversations").select("conv_id", "turn", F.concat("text", tail).alias("answer"), F.lit(3).alias("available"))
 
 
 @query(
@@ -203,7 +203,7 @@ def _claims(t):
     for i, text in enumerate(tails):
         test = F.col("doc_id") % 8 == i
         tail = F.when(test, text) if tail is None else tail.when(test, text)
-    return t.documents.select("doc_id", F.concat("text", tail).alias("answer"))
+    return t.spread("documents").select("doc_id", F.concat("text", tail).alias("answer"))
 
 
 @query(
@@ -230,7 +230,7 @@ def _sectioned(t):
     answer = F.concat(
         F.lit("## Estado observado:\n"), F.regexp_replace("text", "\n", " "), F.lit("\n\n**Recomendaciones**: revisar "), F.col("turn"), F.lit("\n- uno\n2) dos\nFuentes usadas")
     )
-    return t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), answer.alias("answer"))
+    return t.spread("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), answer.alias("answer"))
 
 
 @query(

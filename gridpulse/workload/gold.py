@@ -16,13 +16,14 @@ SUMS = ("uiti_total", "uiti_vano_total", "duration_raw_total", "users_affected_t
 @query(
     "a01_event_rollup",
     f"WITH {SILVER} SELECT event_id, CAST(day AS VARCHAR) AS day, circuit, municipality, cause, event_family, "
-    f"{sql_r4('uiti_total', 'uiti_vano_total', 'uiti_event_total', 'duration_raw', 'users_affected', 'latitude', 'longitude')}, "
+    f"{sql_r4('uiti_total', 'uiti_vano_total', 'uiti_event_total', 'duration_raw', 'users_affected')}, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, "
     "CAST(transformer_count AS DOUBLE) AS transformer_count, fact_row_count, equipment, equipment_type, element_type FROM silver_events",
 )
 def _(t):
     return A.event_rollup(fact(t)).select(
         "event_id", text_day(), "circuit", "municipality", "cause", "event_family",
-        *r4("uiti_total", "uiti_vano_total", "uiti_event_total", "duration_raw", "users_affected", "latitude", "longitude"),
+        *r4("uiti_total", "uiti_vano_total", "uiti_event_total", "duration_raw", "users_affected"),
+        F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"),
         "transformer_count", "fact_row_count", "equipment", "equipment_type", "element_type",
     )
 
@@ -414,12 +415,12 @@ ASSETS = """assets AS (SELECT 'part-' || p_partkey AS display_label, p_brand AS
 
 @query(
     "u01_point_layer",
-    f"WITH {SILVER}, {ASSETS} SELECT 'event' AS point_kind, event_id, NULL AS display_label, circuit, municipality, round(latitude, 4) AS latitude, round(longitude, 4) AS longitude FROM silver_events "
-    "WHERE latitude IS NOT NULL AND longitude IS NOT NULL UNION ALL SELECT 'asset', NULL, display_label, circuit, municipality, round(latitude, 4), round(longitude, 4) FROM assets",
+    f"WITH {SILVER}, {ASSETS} SELECT 'event' AS point_kind, event_id, NULL AS display_label, circuit, municipality, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM silver_events "
+    "WHERE latitude IS NOT NULL AND longitude IS NOT NULL UNION ALL SELECT 'asset', NULL, display_label, circuit, municipality, round(latitude, 6), round(longitude, 6) FROM assets",
 )
 def _(t):
     return R.point_layer(_event_points(t), _asset_points(t)).select(
-        "point_kind", "event_id", "display_label", "circuit", "municipality", *r4("latitude", "longitude")
+        "point_kind", "event_id", "display_label", "circuit", "municipality", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude")
     )
 
 
@@ -521,3 +522,22 @@ def _(t):
 def _(t):
     rows = stream(t).select("circuit", "day", "event_id", F.col("value").alias("UITI"), F.col("k").alias("UITI_VANO"), F.col("value").alias("DURATION_RAW"), F.col("user_id").alias("USERS"))
     return S.top_events(rows, ["circuit", "day"]).select("circuit", text_day(), "event_id", "impact_score", "rank")
+
+
+@query(
+    "p22_billing_component",
+    "SELECT billing_origin_product, sku_name, component, max(usd_per_unit) AS usd_per_unit FROM (" + _SQL["a20_priced_usage"] + ") GROUP BY ALL",
+)
+def _(t):
+    rows = A.priced_usage(_usage(t), ["workspace_id", "billing_origin_product", "sku_name", "usage_unit"])
+    return rows.groupBy("billing_origin_product", "sku_name", "component").agg(F.max("usd_per_unit").alias("usd_per_unit"))
+
+
+@query(
+    "p24_hour_names",
+    f"WITH {HOURLY} SELECT user_id, CAST(day AS VARCHAR) AS day, temp_0 AS \"h0-temp\", temp_1 AS \"h1-temp\", wind_0 AS \"h0-wind\", wind_1 AS \"h1-wind\" FROM hourly",
+)
+def _(t):
+    names = R.hour_columns(["temp", "wind"], range(2))
+    wide = hourly_wide(t).select("user_id", text_day(), *[F.col(f"{n.split('-')[1]}_{n.split('-')[0][1:]}").cast("double").alias(n) for n in names])
+    return wide

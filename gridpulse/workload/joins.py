@@ -414,3 +414,79 @@ def _(t):
         Q.TableSpec("weather", ["x"]),
     ]
     return Q.validation_report({"orders": t.orders, "lineitem": t.lineitem}, specs)
+
+
+# ---------------------------------------------------------------- the text star set, through the gold pipeline
+
+
+def star_sources(t):
+    """The eight source tables as text, with decimal commas, blanks and missing references as in real exports."""
+    from gridpulse.plans.gold import StarSources
+
+    def comma(col):
+        return F.regexp_replace(F.col(col).cast("decimal(18,4)").cast("string"), "\\.", ",")
+
+    k = F.col("o_orderkey")
+    lines = t.spread("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount")
+    fact_rows = lines.select(
+        F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), F.col("l_orderkey").cast("string").alias("event_id"),
+        F.col("l_partkey").cast("string").alias("FID_VANO"), F.col("l_suppkey").cast("string").alias("trafo_profile_id"),
+        F.regexp_replace((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").cast("string"), "\\.", ",").alias("UITI_VANO"),
+    )
+    events = t.orders.select(
+        k.cast("string").alias("event_id"), F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("FECHA"), F.lit("1,5").alias("DURACION"),
+        comma("o_totalprice").alias("UITI"), F.when(k % 3 == 0, "").otherwise((k % 50).cast("string")).alias("TOT_USUS"), F.lit("2").alias("CNT_TRF"),
+        F.substring("o_orderpriority", 1, 1).alias("COD_CAUSA"), F.when(k % 2 == 0, "EQ9").alias("COD_EQ_PROTEGE"),
+    )
+    p = F.col("p_partkey")
+    spans = t.part.select(
+        p.cast("string").alias("FID_VANO"), F.when(p % 7 == 0, " ").otherwise(F.concat(F.lit("SW"), p % 90)).alias("FID_SW"), (p % 300).cast("string").alias("FID_APOYO_FIN"),
+        F.when(p % 4 > 0, F.concat(F.lit("MUN"), p % 4)).alias("municipio"), F.lit("-75,5").alias("X1"), F.lit("5,1").alias("Y1"), F.lit("-75.4").alias("X2"), F.lit("5.2").alias("Y2"),
+        F.lit("10").alias("LONGITUD"), F.lit("ACSR").alias("CONDUCTOR"), F.col("p_type").alias("TIPO_TAX"),
+    )
+    equipment = t.spark.range(80).select(
+        F.concat(F.lit("SW"), "id").alias("FID_SW"), F.concat(F.lit("CIR-"), F.col("id") % 9).alias("CIRCUITO"), F.lit("Reconectador").alias("TIPO"),
+        F.lit("5").alias("T_USUS_EQ_PROT"), F.lit("3").alias("CNT_VN_SW"),
+    )
+    supports = t.part.select((p % 300).cast("string").alias("FID_APOYO_FIN")).distinct().withColumn("ALTURA", F.lit("10"))
+    causes = t.orders.select(F.substring("o_orderpriority", 1, 1).alias("COD_CAUSA"), F.col("o_orderpriority").alias("DESC_CAUSA")).distinct().where("COD_CAUSA <> '5'")
+    s = F.col("s_suppkey")
+    transformers = t.supplier.select(
+        s.cast("string").alias("trafo_profile_id"), F.concat(F.lit("TMUN"), s % 2).alias("municipio"), F.when(s % 2 == 0, (s % 11).cast("string")).alias("CNT_USUS"), F.lit("25").alias("CAPACIDAD_NOMINAL")
+    )
+    weather = fact_rows.join(events.select("event_id", "FECHA"), "event_id").select("FID_VANO", "FECHA").distinct().where("FID_VANO % 5 = 0").withColumn("temp_0", F.concat("FID_VANO", F.lit(",5")))
+    return StarSources(fact_rows, events, spans, equipment, supports, causes, transformers, weather, ["temp_0"])
+
+
+STAR_SQL = """
+SELECT CAST(l_orderkey AS VARCHAR) AS event_id, CAST(l_partkey AS VARCHAR) AS span_id, CAST(l_suppkey AS VARCHAR) AS profile_id, round(l_extendedprice * (1 - l_discount), 4) AS span_impact,
+ CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, round(o_totalprice, 4) AS event_impact, CASE WHEN left(o_orderpriority, 1) <> '5' THEN o_orderpriority END AS cause,
+ CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 90 < 80 THEN 'CIR-' || (p_partkey % 90) % 9 ELSE 'Sin circuito' END AS circuit,
+ CASE WHEN p_partkey % 4 > 0 THEN 'MUN' || p_partkey % 4 ELSE 'TMUN' || s_suppkey % 2 END AS municipality,
+ CASE WHEN p_partkey % 7 <> 0 THEN 'SW' || p_partkey % 90 WHEN o_orderkey % 2 = 0 THEN 'EQ9' ELSE 'Sin equipo' END AS equipment,
+ CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 90 < 80 THEN 'Reconectador' ELSE 'Proteccion' END AS equipment_type, p_type AS element_type,
+ CAST(coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 11 END, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 50 END, 0) AS DOUBLE) AS users,
+ CASE WHEN p_partkey % 5 = 0 THEN p_partkey || ',5' END AS temp_0, CASE WHEN l_extendedprice * (1 - l_discount) > 0 THEN 1 ELSE 0 END AS impact_flag
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
+
+
+@query("j01_silver_fact", STAR_SQL)
+def _(t):
+    from gridpulse.plans.gold import silver_fact
+
+    return silver_fact(star_sources(t)).select(
+        "event_id", "span_id", "profile_id", F.round("span_impact", 4).alias("span_impact"), text_day(), F.round("event_impact", 4).alias("event_impact"), "cause",
+        "circuit", "municipality", "equipment", "equipment_type", "element_type", "users", "temp_0", "impact_flag",
+    )
+
+
+@query(
+    "f08_gated_map_tables",
+    "SELECT 'asset' AS point_kind, count(*) AS n, round(min(5.15::DOUBLE), 4) AS latitude FROM part UNION ALL SELECT 'event', count(*), 5.1 FROM lineitem",
+)
+def _(t):
+    from gridpulse.plans.gold import map_tables, silver_fact, span_assets
+
+    src = star_sources(t)
+    points = map_tables(silver_fact(src), span_assets(src, "2024-05-01"))["map_points"]
+    return points.groupBy("point_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("latitude"), 4).alias("latitude"))

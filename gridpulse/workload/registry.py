@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridpulse.scale import spread_if_small
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -20,6 +22,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Table (or some of its columns) dealt out to all cores where it is small."""
+        frame = getattr(self, name)
+        return spread_if_small(frame.select(*columns) if columns else frame)
+
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
@@ -49,7 +56,10 @@ def places(t: Tables) -> DataFrame:
 
 def fact(t: Tables) -> DataFrame:
     """Line items as span facts with event, place, equipment and impact columns."""
-    lines = t.lineitem.select(
+    columns = (
+        "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_returnflag l_linestatus l_shipdate"
+    )
+    lines = t.spread("lineitem", *columns.split()).select(
         F.col("l_orderkey").alias("event_id"),
         F.col("l_partkey").alias("span_id"),
         F.col("l_suppkey").alias("profile_id"),
@@ -60,9 +70,11 @@ def fact(t: Tables) -> DataFrame:
         F.col("l_returnflag").alias("event_family"),
         F.col("l_linestatus").alias("element_type"),
     )
-    events = t.orders.select(
+    # the place joins the events before they meet the lines, so the line items are shuffled by event only
+    events = t.orders.join(places(t), "o_custkey", "left").select(
         F.col("o_orderkey").alias("event_id"),
-        "o_custkey",
+        "circuit",
+        "municipality",
         F.col("o_orderdate").alias("event_ts"),
         F.to_date("o_orderdate").alias("day"),
         F.col("o_orderpriority").alias("cause"),
@@ -77,10 +89,9 @@ def fact(t: Tables) -> DataFrame:
     )
     return (
         lines.join(events, "event_id", "left")
-        .join(places(t), "o_custkey", "left")
         .join(spans, "span_id", "left")
         .withColumn("duration", F.datediff("l_shipdate", "day").cast("double"))
-        .drop("o_custkey", "l_shipdate")
+        .drop("l_shipdate")
     )
 
 

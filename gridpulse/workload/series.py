@@ -271,11 +271,20 @@ def _(t):
 
 
 def _gold(t):
+    """Silver fact, then daily impact and attribution, each written once and read back."""
     from gridpulse.operators import aggregates as A
+    from gridpulse.sources.writers import write_table
     from gridpulse.workload.registry import fact
+    from gridpulse.workload.sources import scratch
 
-    base = fact(t)
-    return A.daily_impact(A.event_rollup(base, coordinates=False)), A.daily_attribution(base), base
+    def stored(frame, name):
+        path = scratch(t.spark, name)
+        write_table(frame, path)
+        return t.spark.read.parquet(path)
+
+    base = stored(fact(t), "fact")
+    daily = stored(A.daily_impact(A.event_rollup(base, coordinates=False)), "daily")
+    return daily, A.daily_attribution(base), base
 
 
 from gridpulse.workload.registry import DAILY  # noqa: E402

@@ -59,7 +59,7 @@ def _(t):
 
 @query("s05_nested_items", "SELECT event_type AS city, user_id AS lat, event_id, value FROM events")
 def _(t):
-    nested = t.events.groupBy(F.col("event_type").alias("city_name"), F.col("user_id").alias("lat0")).agg(F.collect_list(F.struct("event_id", "value")).alias("data"))
+    nested = t.events.select(F.col("event_type").alias("city_name"), F.col("user_id").alias("lat0"), F.array(F.struct("event_id", "value")).alias("data"))
     path = scratch(t.spark, "nested")
     nested.write.json(path)
     return R.explode_items(t.spark.read.json(path), {"city": "city_name", "lat": "lat0"})
