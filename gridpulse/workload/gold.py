@@ -259,11 +259,11 @@ def _(t):
     "a15_suffix_signals",
     f"WITH {HOURLY}, l AS (UNPIVOT hourly ON {', '.join(HOUR_COLUMNS)} INTO NAME n VALUE v) SELECT CAST(day AS VARCHAR) AS day, "
     "round(sum(v) FILTER (n LIKE '%\\_1' ESCAPE '\\'), 2) AS \"1_sum\", round(max(v) FILTER (n LIKE '%\\_2' ESCAPE '\\'), 2) AS \"2_max\", "
-    "round(avg(v) FILTER (n LIKE '%\\_3' ESCAPE '\\'), 2) AS \"3_mean\" FROM l GROUP BY day",
+    "round(avg(v) FILTER (n LIKE '%\\_3' ESCAPE '\\'), 6) AS \"3_mean\" FROM l GROUP BY day",
 )
 def _(t):
     out = A.signals_by_suffix(hourly_wide(t), ["day"], {"_1": "sum", "_2": "max", "_3": "mean"})
-    return out.select(text_day(), *[F.round(c, 2).alias(c) for c in ("1_sum", "2_max", "3_mean")])
+    return out.select(text_day(), *[F.round(c, d).alias(c) for c, d in (("1_sum", 2), ("2_max", 2), ("3_mean", 6))])
 
 
 @query(
