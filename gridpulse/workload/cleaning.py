@@ -114,7 +114,7 @@ def _(t):
     )
 
 
-OWNERS = "o AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' CHEC ' WHEN 1 THEN 'epm' WHEN 2 THEN NULL WHEN 3 THEN 'C' ELSE c_name END AS owner, CASE c_custkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN ' ' END AS declared FROM customer)"
+OWNERS = "o AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' EPM ' WHEN 1 THEN 'epm' WHEN 2 THEN NULL WHEN 3 THEN 'C' ELSE c_name END AS owner, CASE c_custkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN ' ' END AS declared FROM customer)"
 
 
 @query(
@@ -125,7 +125,7 @@ def _(t):
     k = F.col("c_custkey")
     rows = t.customer.select(
         "c_custkey",
-        F.when(k % 6 == 0, " CHEC ").when(k % 6 == 1, "epm").when(k % 6 == 2, None).when(k % 6 == 3, "C").otherwise(F.col("c_name")).alias("owner"),
+        F.when(k % 6 == 0, " EPM ").when(k % 6 == 1, "epm").when(k % 6 == 2, None).when(k % 6 == 3, "C").otherwise(F.col("c_name")).alias("owner"),
         F.when(k % 4 == 0, "P").when(k % 4 == 1, " ").alias("declared"),
     )
     return rows.select("c_custkey", K.owner_class("owner").alias("owner_class"), K.owner_type("declared", "owner").alias("owner_type"))
