@@ -64,11 +64,11 @@ def _stamps(t):
 
 @query(
     "p03_time_parts",
-    f"WITH {STAMPS}, p AS (SELECT o_orderkey, TRY_CAST(trim(raw) AS TIMESTAMP) AS ts FROM s) SELECT o_orderkey, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, strftime(ts, '%Y-%m') AS period, day(ts) AS day_of_month FROM p",
+    f"WITH {STAMPS}, p AS (SELECT o_orderkey, TRY_CAST(trim(raw) AS TIMESTAMP) AS ts FROM s) SELECT o_orderkey, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, strftime(ts, '%Y-%m') AS period, CAST(day(ts) AS VARCHAR) AS day_of_month FROM p",
 )
 def _(t):
     out = C.with_time_parts(_stamps(t), "raw")
-    return out.select("o_orderkey", text_day(), "period", "day_of_month")
+    return out.select("o_orderkey", text_day(), "period", F.col("day_of_month").cast("string").alias("day_of_month"))
 
 
 @query(
@@ -282,7 +282,33 @@ def _(t):
     return t.pages.select("page_id", source_uri(path, "/docs").alias("source_uri"), authority_level(F.lower(F.coalesce(kind, F.lit("")))).alias("authority_level"))
 
 
-@query("p23_projection")
+def _projection_sql() -> str:
+    """The same series written as SQL, from the constants of the projection."""
+    from math import radians, sqrt
+
+    from gridpulse.functions.projection import TransverseMercator
+
+    crs = TransverseMercator()
+    e = crs.ecc
+    ep = e / (1 - e)
+    e1 = (1 - sqrt(1 - e)) / (1 + sqrt(1 - e))
+    a = crs.axis
+
+    def d(v: float) -> str:
+        return f"{v!r}::DOUBLE"
+
+    return (
+        f"WITH p AS (SELECT p_partkey, 800000::DOUBLE + (p_partkey * 379) % 400000 AS x, 900000::DOUBLE + (p_partkey * 541) % 300000 AS y FROM part), "
+        f"m AS (SELECT *, ({d(crs.arc(radians(crs.latitude)))} + y - 1000000) / {d(a * (1 - e / 4 - 3 * e**2 / 64 - 5 * e**3 / 256))} AS mu FROM p), "
+        f"f AS (SELECT *, mu + {d(3 * e1 / 2 - 27 * e1**3 / 32)} * sin(2 * mu) + {d(21 * e1**2 / 16 - 55 * e1**4 / 32)} * sin(4 * mu) + {d(151 * e1**3 / 96)} * sin(6 * mu) + {d(1097 * e1**4 / 512)} * sin(8 * mu) AS ph FROM m), "
+        f"g AS (SELECT *, {d(ep)} * cos(ph) ** 2 AS c, tan(ph) ** 2 AS t, {d(a)} / sqrt(1 - {d(e)} * sin(ph) ** 2) AS n, {d(a * (1 - e))} / (1 - {d(e)} * sin(ph) ** 2) ** 1.5 AS r FROM f), "
+        f"h AS (SELECT *, (x - 1000000) / n AS k FROM g) "
+        f"SELECT p_partkey, round(degrees((k - (1 + 2*t + c) * k**3 / 6 + (5 - 2*c + 28*t - 3*c*c + {d(8 * ep)} + 24*t*t) * k**5 / 120) / cos(ph)) + {d(crs.longitude)}, 7) AS longitude, "
+        f"round(degrees(ph - (n * tan(ph) / r) * (k**2 / 2 - (5 + 3*t + 10*c - 4*c*c - {d(9 * ep)}) * k**4 / 24 + (61 + 90*t + 298*c + 45*t*t - {d(252 * ep)} - 3*c*c) * k**6 / 720)), 7) AS latitude FROM h"
+    )
+
+
+@query("p23_projection", _projection_sql())
 def _(t):
     x = F.lit(800_000.0) + F.pmod(F.col("p_partkey") * 379, F.lit(400_000))
     y = F.lit(900_000.0) + F.pmod(F.col("p_partkey") * 541, F.lit(300_000))

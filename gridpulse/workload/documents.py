@@ -174,15 +174,36 @@ def _(t):
     )
 
 
-@query("d09_uncited_claims")
+def _uncited_sql(terms) -> str:
+    test = " OR ".join(f"contains({sql_plain('s')}, '{w}')" for w in terms)
+    return f"array_to_string(list_transform(list_filter(ss, lambda s: ({test}) AND NOT regexp_matches(s, '\\[\\d{{1,3}}\\]'))[1:5], lambda s: left(s, 260)), ' | ')"
+
+
+# sentences by marking each break after a full stop, question or exclamation mark
+_SENTENCES = (
+    "ln AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(answer, '\\r\\n|\\n|\\r'), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: length(l) > 0 AND NOT starts_with(l, '#')) AS ls FROM an), "
+    "sn AS (SELECT conv_id, turn, list_filter(flatten(list_transform(ls, lambda l: string_split(regexp_replace(l, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))), lambda s: length(trim(s)) > 0) AS ss FROM ln)"
+)
+
+
+@query(
+    "d09_uncited_claims",
+    f"WITH {ANSWERS}, {_SENTENCES} SELECT conv_id, turn, {_uncited_sql(D.NORMATIVE_TERMS)} AS uncited_normative, {_uncited_sql(D.DOCUMENTARY_TERMS)} AS uncited_documentary FROM sn",
+)
 def _(t):
     out = D.check_citations(_answers(t), "answer", "available")
     return out.select(
         "conv_id", "turn", F.array_join("uncited_normative", " | ").alias("uncited_normative"),
-        F.array_join("uncited_documentary", " | ").alias("uncited_documentary"), F.array_join("errors", ",").alias("errors"), F.col("valid").cast("int").alias("valid"),
+        F.array_join("uncited_documentary", " | ").alias("uncited_documentary"),
     )
 
 
+@query("d09_citation_errors")
+def _(t):
+    out = D.check_citations(_answers(t), "answer", "available")
+    return out.select("conv_id", "turn", F.array_join("errors", ",").alias("errors"), F.col("valid").cast("int").alias("valid"))
+
+
 def _claim_case() -> str:
     arms = []
     for name, words, pattern in D.CLAIM_CLASSES:

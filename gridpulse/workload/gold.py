@@ -415,12 +415,12 @@ ASSETS = """assets AS (SELECT 'part-' || p_partkey AS display_label, p_brand AS
 
 @query(
     "u01_point_layer",
-    f"WITH {SILVER}, {ASSETS} SELECT 'event' AS point_kind, event_id, NULL AS display_label, circuit, municipality, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM silver_events "
+    f"WITH {SILVER}, {ASSETS} SELECT 'event' AS point_kind, CAST(event_id AS VARCHAR) AS event_id, NULL AS display_label, circuit, municipality, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM silver_events "
     "WHERE latitude IS NOT NULL AND longitude IS NOT NULL UNION ALL SELECT 'asset', NULL, display_label, circuit, municipality, round(latitude, 6), round(longitude, 6) FROM assets",
 )
 def _(t):
     return R.point_layer(_event_points(t), _asset_points(t)).select(
-        "point_kind", "event_id", "display_label", "circuit", "municipality", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude")
+        "point_kind", F.col("event_id").cast("string").alias("event_id"), "display_label", "circuit", "municipality", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude")
     )
 
 

@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from gridpulse.functions.cleaning import normalize_types, trim_column_names
 from gridpulse.operators.quality import profile
+from gridpulse.session import ensure_checkpoint_dir
 from gridpulse.sources import readers as R
 from gridpulse.sources import writers as W
 from gridpulse.workload.registry import query, stream
 
 
 def scratch(spark, name: str) -> str:
-    """New folder below the cluster's shared checkpoint folder, or below a temporary one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/gridpulse/{name}-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix=f"gridpulse-{name}-") + "/t"
+    """New folder below the checkpoint folder of the session, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{os.urandom(6).hex()}"
 
 
 @query("s01_read_source", "SELECT o_orderkey, o_orderpriority FROM orders")
