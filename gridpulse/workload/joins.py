@@ -216,20 +216,22 @@ def _(t):
     return X.downstream_segments(_reached(t), _edges(t))
 
 
-BRIDGE = """nodes AS (SELECT l_partkey AS asset, l_suppkey AS node, date_trunc('month', l_shipdate) AS m FROM lineitem),
-ed AS (SELECT l_suppkey AS a, (l_suppkey * 7) % 100 AS b, date_trunc('month', l_shipdate) AS m FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45),
-assets AS (SELECT DISTINCT l_partkey AS asset, l_returnflag AS flag, date_trunc('month', l_shipdate) AS m FROM lineitem WHERE l_quantity < 3)"""
+BRIDGE = """nodes AS (SELECT DISTINCT l_partkey AS asset, l_suppkey AS node, date_trunc('month', l_shipdate) AS m FROM lineitem),
+ends AS (SELECT DISTINCT unnest([s_suppkey, (s_suppkey * 7) % 64]) AS node, date_trunc('month', o_orderdate) AS m FROM orders JOIN supplier ON o_custkey = s_suppkey),
+assets AS (SELECT DISTINCT l_partkey AS asset, l_returnflag AS flag, date_trunc('month', l_shipdate) AS m FROM lineitem)"""
 
 
 @query(
     "j13_node_bridge",
-    f"WITH {BRIDGE} SELECT DISTINCT s.asset, flag, CAST(CAST(s.m AS DATE) AS VARCHAR) AS month FROM assets s JOIN nodes n ON s.asset = n.asset AND s.m = n.m JOIN ed ON ed.m = n.m AND (n.node = ed.a OR n.node = ed.b)",
+    f"WITH {BRIDGE} SELECT DISTINCT s.asset, flag, CAST(CAST(s.m AS DATE) AS VARCHAR) AS month FROM assets s JOIN nodes n ON s.asset = n.asset AND s.m = n.m SEMI JOIN ends e ON e.m = n.m AND e.node = n.node",
 )
 def _(t):
     month = F.trunc("l_shipdate", "MM").alias("month")
     nodes = t.lineitem.select(F.col("l_partkey").alias("asset"), F.col("l_suppkey").alias("node"), month)
-    edges = t.lineitem.where("l_linenumber = 1 and l_quantity > 45").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") * 7 % 100).alias("b"), month)
-    assets = t.lineitem.where("l_quantity < 3").select(F.col("l_partkey").alias("asset"), F.col("l_returnflag").alias("flag"), month).distinct()
+    edges = t.orders.join(t.supplier, F.col("o_custkey") == F.col("s_suppkey")).select(
+        F.col("s_suppkey").alias("a"), (F.col("s_suppkey") * 7 % 64).alias("b"), F.trunc("o_orderdate", "MM").alias("month")
+    )
+    assets = t.lineitem.select(F.col("l_partkey").alias("asset"), F.col("l_returnflag").alias("flag"), month).distinct()
     return J.node_bridge(assets, nodes, edges, "asset", "node", "month", "a", "b").withColumn("month", F.col("month").cast("string"))
 
 
@@ -238,13 +240,13 @@ _H = [f"h{h}-value" for h in range(24)]
 
 @query(
     "j14_lookback_hours",
-    "WITH ev AS (SELECT event_id, user_id, date_trunc('day', ts - INTERVAL 24 HOURS) AS o FROM events WHERE event_type = 'error'), "
+    "WITH ev AS (SELECT event_id, user_id, date_trunc('day', ts - INTERVAL 24 HOURS) AS o FROM events), "
     "hr AS (SELECT user_id, date_trunc('hour', ts) AS h, max(value) AS value FROM events GROUP BY ALL) SELECT event_id, ev.user_id, "
     + ", ".join(f"max(value) FILTER (date_diff('hour', o, h) = {i}) AS \"h{i}-value\"" for i in range(24))
     + " FROM ev LEFT JOIN hr ON ev.user_id = hr.user_id AND h >= o AND h < o + INTERVAL 24 HOURS GROUP BY event_id, ev.user_id",
 )
 def _(t):
-    events = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    events = t.events.select("event_id", "user_id", "ts")
     hourly = t.events.groupBy("user_id", F.date_trunc("hour", "ts").alias("at")).agg(F.max("value").alias("value"))
     return J.lookback_hours(events, hourly, "user_id", "event_id", "ts", "at", ["value"]).select("event_id", "user_id", *_H)
 
@@ -292,11 +294,11 @@ def _catalogue(t):
 
 @query(
     "j17_catalogue_modes",
-    "WITH c AS (SELECT p_brand AS variable, lower(left(p_type, 1)) AS mode_id, split_part(p_name, ' ', 2) AS alias FROM part), n AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name FROM part WHERE p_size > 48) "
+    "WITH c AS (SELECT p_brand AS variable, lower(left(p_type, 1)) AS mode_id, split_part(p_name, ' ', 2) AS alias FROM part), n AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name FROM part) "
     "SELECT mode_id, string_agg(DISTINCT variable, ',' ORDER BY variable) AS variables FROM c JOIN n ON upper(alias) = upper(name) GROUP BY mode_id",
 )
 def _(t):
-    names = t.part.where("p_size > 48").select(F.split("p_name", " ")[1].alias("name"))
+    names = t.part.select(F.split("p_name", " ")[1].alias("name"))
     modes = J.catalogue_match(_catalogue(t), names)[1]
     return modes.select("mode_id", F.array_join("matched_variables", ",").alias("variables"))
 

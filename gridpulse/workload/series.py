@@ -330,6 +330,33 @@ def _(t):
     )
 
 
+GOLD_SERIES = (
+    DAILY
+    + ", w AS (SELECT max(day) AS z, greatest(min(day), max(day) - 179) AS a FROM daily), dd AS (SELECT circuit, day, sum(uiti_total) AS UITI, sum(uiti_vano_total) AS UITI_VANO, "
+    "CAST(sum(event_count) AS DOUBLE) AS EVENT_COUNT, sum(users_affected_total) AS USERS, sum(duration_raw_total) AS DURATION_RAW FROM daily, w WHERE day BETWEEN a AND z GROUP BY ALL), "
+    "cal AS (SELECT circuit, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT circuit FROM dd), w), "
+    "series AS (SELECT cal.circuit, cal.day, " + ", ".join(f"coalesce({m}, 0) AS {m}" for m in METRIC_KEYS) + " FROM cal LEFT JOIN dd USING (circuit, day))"
+)
+GOLD_POINTS = RANKED.replace(STREAM, GOLD_SERIES)
+
+
+@query(
+    "q07_explained_points",
+    f"WITH {GOLD_POINTS}, ca AS (SELECT f.circuit, f.day, cause AS label, count(DISTINCT (event_id, municipality, event_family, equipment, equipment_type)) AS n, sum(span_impact) AS u FROM fact f SEMI JOIN points p ON f.circuit = p.circuit AND f.day = p.day GROUP BY ALL), "
+    "cl AS (SELECT circuit, day, arg_max(label, u) AS top_cause FROM ca GROUP BY ALL), "
+    "ev AS (SELECT f.circuit, f.day, event_id, row_number() OVER (PARTITION BY f.circuit, f.day ORDER BY CASE WHEN coalesce(span_impact, 0) > 0 THEN span_impact ELSE coalesce(event_impact, 0) END DESC, duration DESC, users DESC, event_id) AS r FROM fact f SEMI JOIN points p ON f.circuit = p.circuit AND f.day = p.day), "
+    "el AS (SELECT circuit, day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) AS top_events FROM ev WHERE r <= 5 GROUP BY ALL) "
+    "SELECT circuit, CAST(day AS VARCHAR) AS day, rank, score AS criticality_score, types AS criticality_types, coalesce(top_cause, '') AS top_cause, coalesce(top_events, '') AS top_events FROM points LEFT JOIN cl USING (circuit, day) LEFT JOIN el USING (circuit, day)",
+)
+def _(t):
+    points = _interpret(t)["points"]
+    return points.select(
+        "circuit", text_day(), "rank", "criticality_score", F.array_join("criticality_types", ",").alias("criticality_types"),
+        F.coalesce(F.get("top_cause", F.lit(0))["label"], F.lit("")).alias("top_cause"),
+        F.coalesce(F.array_join(F.transform("top_events", lambda x: x["event_id"].cast("string")), ","), F.lit("")).alias("top_events"),
+    )
+
+
 HISTORY = (
     DAILY
     + ", w AS (SELECT max(day) AS z, greatest(min(day), max(day) - 364) AS a FROM daily), h AS (SELECT circuit, day, sum(uiti_total) AS u, sum(event_count) AS n, sum(users_affected_total) AS us "

@@ -40,17 +40,17 @@ def _(t):
     base = scratch(t.spark, "merge")
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
     options = {"header": "true", "sep": ";"}
-    rows.where("o_orderkey % 3 < 2").write.options(**options).csv(f"{base}/a1")
-    rows.where("o_orderkey % 3 > 0").write.options(**options).csv(f"{base}/a2")
+    rows.where("o_orderstatus <> 'P'").write.options(**options).csv(f"{base}/a1")
+    rows.where("o_orderstatus <> 'F'").write.options(**options).csv(f"{base}/a2")
     rows.select("o_custkey", "o_orderkey").write.options(**options).csv(f"{base}/a3")
     return R.merge_files(t.spark, [f"{base}/a{i}" for i in (1, 2, 3)], drop=["o_orderstatus"]).frame
 
 
-@query("s04_json_lines", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE length(trim(text)) > 0 AND doc_id % 10 <> 0")
+@query("s04_json_lines", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE length(trim(text)) > 0 AND lang <> 'es'")
 def _(t):
     path = scratch(t.spark, "jsonl")
     good = F.to_json(F.struct("doc_id", "text"))
-    t.documents.select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("{broken "), F.col("doc_id"))).otherwise(good).alias("value")).write.text(path)
+    t.documents.select(F.when(F.col("lang") == "es", F.concat(F.lit("{broken "), F.col("doc_id"))).otherwise(good).alias("value")).write.text(path)
     return R.read_json_lines(t.spark, path, "doc_id long, text string").select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -93,11 +93,11 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("s10_append_table", "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0")
+@query("s10_append_table", "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
     path = scratch(t.spark, "append")
     W.write_table(t.orders.select("o_orderkey"), path)
-    W.append_table(t.orders.where("o_orderkey % 2 = 0").select("o_orderkey"), path)
+    W.append_table(t.orders.where("o_orderstatus = 'P'").select("o_orderkey"), path)
     return t.spark.read.parquet(path)
 
 
@@ -153,14 +153,14 @@ def _(t):
 
 @query(
     "s16_upsert",
-    "WITH ch AS (SELECT o_orderkey AS k, 'new' AS state, o_totalprice AS updated_at FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey + 1000000000, 'added', o_totalprice FROM orders WHERE o_orderkey % 7 = 0) "
-    "SELECT o_orderkey AS k, o_orderstatus AS state FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT k, state FROM ch",
+    "WITH ch AS (SELECT o_orderkey AS k, 'new' AS state, o_totalprice AS updated_at FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey + 1000000000, 'added', o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT') "
+    "SELECT o_orderkey AS k, o_orderstatus AS state FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT k, state FROM ch",
 )
 def _(t):
     now = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("state"), F.lit(0.0).alias("updated_at"))
-    changed = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("state"), F.col("o_totalprice").alias("updated_at"))
+    changed = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("state"), F.col("o_totalprice").alias("updated_at"))
     older = changed.withColumns({"state": F.lit("old"), "updated_at": F.col("updated_at") - 1})
-    added = t.orders.where("o_orderkey % 7 = 0").select((F.col("o_orderkey") + 1000000000).alias("k"), F.lit("added").alias("state"), F.col("o_totalprice").alias("updated_at"))
+    added = t.orders.where("o_orderpriority = '1-URGENT'").select((F.col("o_orderkey") + 1000000000).alias("k"), F.lit("added").alias("state"), F.col("o_totalprice").alias("updated_at"))
     return W.upsert(now, changed.unionByName(older).unionByName(added), ["k"]).select("k", "state")
 
 
