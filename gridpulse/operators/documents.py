@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridpulse.functions.cleaning import as_column
 from gridpulse.functions.text import plain_text, slug, tokens
 from gridpulse.operators.joins import latest_by_key
-from gridpulse.scale import is_small
+from gridpulse.scale import collect_passes
 
 # Chunk length and overlap in words, snippet length, scoring weights.
 CHUNK_WORDS, OVERLAP_WORDS, SNIPPET_CHARS = 700, 90, 900
@@ -138,11 +138,12 @@ def lexical_scores(
             F.col(chunk_id), "_text", (F.size(F.array_intersect("_tags", wanted)) * BOOST_WEIGHT).alias("_b")
         ).where((F.col("_b") > 0) & (F.size("_text") > 0))
         everyone = questions.select(question_id).distinct()
-        if not is_small(everyone):
-            raise ValueError("boost tags apply to a bounded batch of questions")
-        ids = [r[0] for r in everyone.collect()]
         kind = everyone.schema[0].dataType
-        pairs = extra.drop("_text").withColumn(question_id, F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])))
+        pairs = None
+        for rows in collect_passes(everyone, [question_id]):
+            ids = F.array(*[F.lit(r[0]).cast(kind) for r in rows]).cast(f"array<{kind.simpleString()}>")
+            part = extra.drop("_text").withColumn(question_id, F.explode(ids))
+            pairs = part if pairs is None else pairs.unionByName(part)
         scored = (
             scored.join(pairs, [question_id, chunk_id], "full")
             .select(question_id, chunk_id, (F.coalesce("score", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("score"))
@@ -180,15 +181,12 @@ def cosine_top_k(
     so the shuffle carries k rows per query and task whatever the number of items.
     """
     spark = items.sparkSession
-    rows = queries.select(query_id, query_vector).orderBy(query_id)
-    if not is_small(rows, 50_000):
-        raise ValueError("split the query set: more than 50,000 query vectors in one call")
-    asked = rows.collect()
     kinds = (queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString())
     schema = f"`{query_id}` {kinds[0]}, `{item_id}` {kinds[1]}, score double"
     out = None
-    for start in range(0, len(asked), batch):
-        part = asked[start : start + batch]
+    for part in collect_passes(queries.select(query_id, query_vector), [query_id], batch):
+        if not part:
+            continue
         names = [r[0] for r in part]
         matrix = np.array([r[1] for r in part], dtype=np.float64)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.cleaning import clean_text
+from gridpulse.scale import collect_passes
 
 
 class DuplicateKeyError(ValueError):
@@ -226,38 +227,37 @@ def wildcard_regex(pattern: str) -> str:
 
 
 def _matched_patterns(names: DataFrame, name: str, patterns: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(pattern fields, name) for every name that fits a pattern; patterns travel as literals.
+    """(pattern fields, name) for every name that fits a pattern.
 
-    Pattern lists are configuration. Their number is checked; beyond the bound, exact patterns are joined
-    by value and only true wildcards travel.
+    Exact patterns are joined by value. True wildcards are configuration: they travel as literals, in passes
+    of bounded size, and every name is tested in place.
     """
     distinct = names.select(F.upper(F.trim(name)).alias("_name"), F.col(name).alias("name")).distinct()
     table = patterns.select(*fields, "pattern").distinct().withColumn("_wild", F.col("pattern").rlike("[*?]"))
-    exact = (
+    out = (
         table.where(~F.col("_wild"))
         .withColumn("_name", F.upper("pattern"))
         .join(distinct, "_name")
         .select(*fields, "name")
     )
-    rows = table.where("_wild").limit(5_001).collect()
-    if len(rows) > 5_000:
-        raise ValueError("more than 5,000 wildcard patterns; split the rule set")
-    if not rows:
-        return exact
     kinds = {f.name: f.dataType for f in table.schema.fields}
-    rules = F.array(
-        *[
-            F.struct(
-                *[F.lit(r[f]).cast(kinds[f]).alias(f) for f in fields],
-                F.lit(wildcard_regex(r["pattern"])).alias("_regex"),
-            )
-            for r in rows
-        ]
-    )
-    hits = distinct.select(
-        "name", F.explode(F.filter(rules, lambda rule: F.rlike(F.col("_name"), rule["_regex"]))).alias("_r")
-    ).select(*[F.col(f"_r.{f}").alias(f) for f in fields], "name")
-    return exact.unionByName(hits).distinct()
+    for rows in collect_passes(table.where("_wild"), [*fields, "pattern"], 2_000):
+        if not rows:
+            continue
+        rules = F.array(
+            *[
+                F.struct(
+                    *[F.lit(r[f]).cast(kinds[f]).alias(f) for f in fields],
+                    F.lit(wildcard_regex(r["pattern"])).alias("_regex"),
+                )
+                for r in rows
+            ]
+        )
+        hits = distinct.select(
+            "name", F.explode(F.filter(rules, lambda rule: F.rlike(F.col("_name"), rule["_regex"]))).alias("_r")
+        ).select(*[F.col(f"_r.{f}").alias(f) for f in fields], "name")
+        out = out.unionByName(hits)
+    return out.distinct()
 
 
 def wildcard_rules(rules: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:

@@ -17,6 +17,18 @@ def is_small(frame: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return frame.limit(rows + 1).count() <= rows
 
 
+def collect_passes(frame: DataFrame, keys: Sequence[str], rows: int = SMALL_ROWS):
+    """Yields the rows of a configuration-like frame in passes of about ``rows``, so that any number is handled.
+
+    ``keys`` identify rows; passes are cut by their hash.
+    """
+    total = frame.count()
+    passes = max(1, -(-total // rows))
+    for i in range(passes):
+        part = frame if passes == 1 else frame.where(F.pmod(F.xxhash64(*keys), F.lit(passes)) == i)
+        yield part.collect()
+
+
 def spread_if_small(frame: DataFrame) -> DataFrame:
     """Deal the rows of a small scan out to all cores.
 

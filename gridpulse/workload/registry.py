@@ -87,9 +87,10 @@ def fact(t: Tables) -> DataFrame:
         (F.lit(4.0) + F.floor(F.col("p_partkey") / 100) * 0.01).alias("latitude"),
         (F.lit(-76.0) + F.pmod("p_partkey", F.lit(100)) * 0.01).alias("longitude"),
     )
+    # events come last: where both sides are large the result is left partitioned by event, which the roll-ups need
     return (
-        lines.join(events, "event_id", "left")
-        .join(spans, "span_id", "left")
+        lines.join(spans, "span_id", "left")
+        .join(events, "event_id", "left")
         .withColumn("duration", F.datediff("l_shipdate", "day").cast("double"))
         .drop("l_shipdate")
     )
