@@ -42,11 +42,6 @@ def spread_if_small(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if size <= cores * 32 * 1024 * 1024 else frame
 
 
-def broadcast_if_small(frame: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; larger frames keep the shuffle join."""
-    return F.broadcast(frame) if is_small(frame, rows) else frame
-
-
 def _ranged(frame: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows range partitioned by ``order`` and checkpointed, with the number of their range in ``_bucket``.
 
@@ -78,16 +73,6 @@ def global_position(frame: DataFrame, order: Sequence[str], out: str = "position
     )
 
 
-def salted_count_distinct(frame: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Distinct count in two steps: de-duplicate on (keys, value), then count, so a hot key is spread."""
-    return (
-        frame.select(*keys, value)
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.count(value).alias(out))
-    )
-
-
 def exact_quantiles(frame: DataFrame, column: str, points: Sequence[float], small: int = 500_000) -> DataFrame:
     """Exact linearly interpolated quantiles of one numeric column as a one-row frame ``q0, q1, ...``.
 
