@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm.substrings import digest_rows, substring_dedup
+from gridpulse.llm import substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,4 +28,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query("op1_substring_dedup")
 def _(spark, folder):
-    return digest_rows(substring_dedup(table(spark, folder, "documents").select("doc_id", "text")))
+    return substrings.digest_rows(substrings.substring_dedup(table(spark, folder, "documents")))
+
+
+@query("op7_suffix_dedup")
+def _(spark, folder):
+    return suffixes.digest_rows(suffixes.suffix_dedup(table(spark, folder, "documents")))
