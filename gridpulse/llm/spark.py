@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,12 @@ def id_bucket(column: Column, buckets: int) -> Column:
 def texts_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id`` long and ``text`` string of any frame that has them, whatever else it has."""
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+
+
+def sent(spark: SparkSession, model) -> Broadcast:
+    """Broadcast of a model of fixed size, together with its code."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(shared: Broadcast):
+    return pickle.loads(shared.value)

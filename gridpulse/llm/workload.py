@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import substrings, suffixes
+from gridpulse.llm import languages, licenses, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +34,20 @@ def _(spark, folder):
 @query("op7_suffix_dedup")
 def _(spark, folder):
     return suffixes.digest_rows(suffixes.suffix_dedup(table(spark, folder, "documents")))
+
+
+@query("op3_license_scan")
+def _(spark, folder):
+    return licenses.query_rows(licenses.license_scan(table(spark, folder, "documents")))
+
+
+@query("op4_language_id")
+def _(spark, folder):
+    return languages.identify_languages(table(spark, folder, "documents"))
+
+
+@query("op6_quality")
+def _(spark, folder):
+    return quality.with_prediction(
+        quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    )
