@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import languages, licenses, quality, substrings, suffixes
+from gridpulse.llm import captures, languages, licenses, packing, quality, substrings, suffixes
+
+TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -51,3 +59,22 @@ def _(spark, folder):
     return quality.with_prediction(
         quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
     )
+
+
+@query(
+    "op5_warc_captures",
+    """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+ FROM pages),
+h AS (SELECT payload_digest, min(page_id) AS head FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > head THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id > head THEN head END AS refers_to
+FROM p LEFT JOIN h USING (payload_digest)""",
+)
+def _(spark, folder):
+    return captures.query_rows(captures.captures(table(spark, folder, "pages")))
+
+
+@query("op8_best_fit_packing")
+def _(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
