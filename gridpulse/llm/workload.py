@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import captures, languages, licenses, packing, quality, substrings, suffixes
+from gridpulse.llm import captures, fingerprints, languages, licenses, packing, quality, substrings, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -78,3 +78,8 @@ def _(spark, folder):
 @query("op8_best_fit_packing")
 def _(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op9_imatch_fingerprints")
+def _(spark, folder):
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
