@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import captures, fingerprints, languages, licenses, packing, quality, substrings, suffixes
+from gridpulse.llm import captures, fingerprints, jaccard, languages, licenses, packing, quality, substrings, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -83,3 +83,8 @@ def _(spark, folder):
 @query("op9_imatch_fingerprints")
 def _(spark, folder):
     return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
+@query("op2_jaccard_join")
+def _(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
