@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import captures, fingerprints, jaccard, languages, licenses, packing, quality, substrings, suffixes
+from gridpulse.llm import captures, fingerprints, jaccard, languages, leaks, licenses, packing, quality, substrings, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -88,3 +88,8 @@ def _(spark, folder):
 @query("op2_jaccard_join")
 def _(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_benchmark_leaks")
+def _(spark, folder):
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
