@@ -8,6 +8,8 @@ temperature fit on labelled documents kept out of the training calibrates it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,7 +160,7 @@ def pool_task(shared):
     return task
 
 
-def score_task(shared):
+def score_task(shared, carried: bool):
     def task(batches):
         model = received(shared)
         for batch in batches:
@@ -170,6 +172,7 @@ def score_task(shared):
                         "held_out": part.column("held_out"),
                         "score": pa.array(score.astype(np.float64), pa.float64()),
                     }
+                    | ({"carried": part.column("carried")} if carried else {})
                 )
 
     return task
@@ -208,6 +211,7 @@ def quality_scores(
     tasks: int = 12,
     hidden: int = 32,
     epochs: int = 12,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Probability that ``labels.quality`` is 1 for every text: ``doc_id, held_out, score``.
 
@@ -216,13 +220,18 @@ def quality_scores(
 
     Null and empty texts are scored as a document without words. Rows without a usable label teach nothing; contrary
     labels of one id count as 0; without labels of both kinds every score is the mean label (0.5 if there is none). A
-    null id counts as held out; repeated rows score alike; other columns are ignored.
+    null id counts as held out; repeated rows score alike. Columns named in ``carry`` come back, whatever their names,
+    in the struct ``carried``; others are ignored.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    plain = docs.select(*own)
     shared = sent(spark, fit(plain, labels, most, tasks, hidden, epochs))
-    asked = plain.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return asked.mapInArrow(score_task(shared), SCHEMA)
+    if carry:
+        own.append(F.struct(*carry).alias("carried"))
+    asked = docs.select(*own).withColumn("held_out", held_out(F.col("doc_id")))
+    kind = f", carried {dict(asked.dtypes)['carried']}" if carry else ""
+    return asked.mapInArrow(score_task(shared, bool(carry)), SCHEMA + kind)
 
 
 def with_prediction(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
