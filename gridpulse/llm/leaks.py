@@ -301,7 +301,7 @@ def item_blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, st
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
-    cosine: float = 0.45,
+    cosine: float = 0.3,
     whole: float = 0.7,
     part: float = 0.5,
     answer_share: float = 0.6,
