@@ -157,7 +157,7 @@ def product_task(shared, project: bool):
                 else:
                     order = np.argsort(ids, kind="stable")
                     out += sums((y[block] * items.heavy[ids, None])[order], ids[order], len(out))
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
     return task
 
@@ -181,8 +181,8 @@ def latent_space(items: Items, texts: DataFrame, rank: int, sample: int, tasks:
         else:
             out = weight * sums((y[stretch] * items.heavy[ids, None])[order], ids[order], size)
         shared = sent(spark, (items, w))
-        for r in drawn.mapInArrow(product_task(shared, project), "sums binary").toLocalIterator():
-            out += np.frombuffer(r["sums"]).reshape(out.shape)
+        for r in drawn.mapInArrow(product_task(shared, project), "sums binary").collect():  # one of fixed size a task
+            out += np.frombuffer(r["sums"], np.float32).reshape(out.shape)
         shared.unpersist()
         return out
 
@@ -331,7 +331,7 @@ def leaks(
         counts = texts.mapInArrow(frequency_task(sent(spark, items)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         counted = {r["term"]: r["n"] for r in counts.collect()}
         items.weigh(counted, counted.get(-1, 0))
-        items.place(latent_space(items, texts, rank, sample, tasks=8, rounds=2, weight=5.0))
+        items.place(latent_space(items, texts, rank, sample, tasks=6, rounds=2, weight=5.0))
         found = texts.mapInArrow(leak_task(sent(spark, items), cosine, whole, part, answer_share), LEAK_SCHEMA)
         out = found if out is None else out.unionByName(found)
     if out is None:

@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, tasks: int, hidden: int,
     drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.join(F.broadcast(drawn), "doc_id").repartition(tasks, F.xxhash64("doc_id")).select("doc_id", "text", "quality")
     sums = np.zeros((ROWS, WIDTH), np.float32)
-    for r in sample.select("text").mapInArrow(vector_task, "sums binary").toLocalIterator():
+    for r in sample.select("text").mapInArrow(vector_task, "sums binary").collect():  # one of fixed size a task
         sums += np.frombuffer(r["sums"], np.float32).reshape(ROWS, WIDTH)
     model = Model(sums)
     shared = sent(spark, model)
