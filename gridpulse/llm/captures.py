@@ -39,8 +39,8 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1"), *lines, size, F.lit(RECORD_END), block)
 
 
-def capture_roles(pages: DataFrame, least: int) -> DataFrame:
-    """``pages`` with payload, digest, size, copy number and the page that each revisit refers to."""
+def capture_roles(pages: DataFrame, least: int, parts: int) -> DataFrame:
+    """``pages`` with payload, digest, size, copy number and the page that each revisit refers to, in ``parts`` parts."""
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.col("url").cast("string"), r"[\r\n]", "%20").alias("url"),
@@ -61,7 +61,9 @@ def capture_roles(pages: DataFrame, least: int) -> DataFrame:
         .select("key", "digest", "head")
         .distinct()
     )
-    marked = own.withColumn("digest", F.sha2("payload", 256)).join(again, ["key", "digest"], "left")
+    # dealt once: the join, the copy numbers and the archives all use this partitioning
+    dealt = own.withColumn("digest", F.sha2("payload", 256)).repartition(parts, "key", "digest")
+    marked = dealt.join(again, ["key", "digest"], "left")
     return marked.withColumn("copy", F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")))
 
 
@@ -69,10 +71,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_byte
     """Writes a response or revisit, a request and a metadata record for each page to archives below ``folder``.
 
     Of pages with equal payloads of at least ``least`` bytes, the one with the smallest id has the response and the
-    others revisit it. Archives hold about ``archive_bytes`` each, dealt by page and copy, and are gzipped as a whole.
+    others revisit it. Archives hold about ``archive_bytes`` each, dealt by page and payload, and are gzipped as a whole.
     """
     total = text_bytes(pages, "html")
-    c = capture_roles(pages, least)
+    c = capture_roles(pages, least, max(1, -(-total // archive_bytes)))
     date = F.lit("2024-01-01T00:00:00Z")
     main = _record_id("capture", F.col("key"), F.col("digest"), F.col("copy"))
     head = _record_id("capture", F.col("head"), F.col("digest"), F.lit(1))
@@ -119,11 +121,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_byte
         ],
         F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(LINE)),
     )
-    archives = max(1, -(-total // archive_bytes))
     (
-        c.select(F.concat_ws(RECORD_END, response, request, metadata).alias("value"), "key", "copy")
-        .repartition(archives, "key", "copy")
-        .select("value")
+        c.select(F.concat_ws(RECORD_END, response, request, metadata).alias("value"))
         .write.option("lineSep", RECORD_END)
         .option("compression", "gzip")
         .text(folder)
