@@ -59,10 +59,15 @@ def chunks(batch: pa.RecordBatch | pa.Table, column: str, most: int) -> Iterator
 class Words:
     """Words of a flat buffer: ``starts`` and ``ends`` in bytes, ``first[i]:first[i + 1]`` are those of text ``i``."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = ASCII_SPACE):
+    def __init__(
+        self, buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = ASCII_SPACE, cuts: np.ndarray | None = None
+    ):
+        """``cuts``: byte positions that start a new word in any case."""
         word = ~separators[buf]
         edge = np.zeros(len(buf) + 1, dtype=bool)
         edge[offsets] = True
+        if cuts is not None:
+            edge[cuts] = True
         before = np.zeros(len(buf), dtype=bool)
         before[1:] = word[:-1]
         after = np.zeros(len(buf), dtype=bool)

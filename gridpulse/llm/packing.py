@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.arrays import Words, chunks, flat
+from gridpulse.llm.licenses import LOWER
 from gridpulse.llm.spark import pinned, received, sent, texts_of
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", grp long, bin long, offset long, settled boolean"
 
 
+LETTERS = np.zeros(256, bool)
+LETTERS[97:123] = True
+MARKS = np.zeros(256, bool)
+MARKS[33:127] = True
+MARKS[[39, *range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def encoding_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
+    """Stretches that the tokenizer never joins: it drops white space, lowers case and parts letters from marks.
+
+    Apostrophes keep their neighbours (contractions), and so does any word with the opening of a special token.
+    """
+    lower = LOWER[buf]
+    letter, mark = LETTERS[lower], MARKS[lower]
+    cut = np.zeros(len(buf), bool)
+    cut[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    special = np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))
+    if len(special):
+        whole = Words(buf, offsets)
+        for i in np.unique(np.searchsorted(whole.starts, special, side="right") - 1).tolist():
+            a, b = whole.starts[i], whole.ends[i]
+            lower[a:b], cut[a:b] = buf[a:b], False
+    return Words(lower, offsets, cuts=np.flatnonzero(cut))
+
+
 class WordIds:
     """Token ids of words; each distinct word is encoded once and kept while there are at most ``most``."""
 
@@ -36,17 +63,17 @@ class WordIds:
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = len(self.pool) + np.cumsum(sizes) - sizes
-        self.pool = np.concatenate([self.pool, np.array([x for y in ids for x in y], np.uint32)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
         hashes = np.concatenate([self.hashes, hashes])
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
         self.starts = np.concatenate([self.starts, starts])[order]
         self.sizes = np.concatenate([self.sizes, sizes])[order]
 
-    def __call__(self, buf: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in a row, and how many each word has."""
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -57,7 +84,7 @@ class WordIds:
         fresh = np.flatnonzero(self.hashes[place] != distinct) if len(self.hashes) else np.arange(len(distinct))
         if len(fresh):
             s, e = words.starts[at[fresh]].tolist(), words.ends[at[fresh]].tolist()
-            data = buf.tobytes()
+            data = words.buf.tobytes()
             self._learn(distinct[fresh], [data[x:y].decode() for x, y in zip(s, e, strict=True)])
         place = np.searchsorted(self.hashes, distinct)[back]
         sizes = self.sizes[place]
@@ -74,8 +101,8 @@ def piece_task(shared, capacity: int, end_id: int):
         for batch in batches:
             for part in chunks(batch, "text", 2 << 20):
                 buf, offsets = flat(part.column("text"))
-                words = Words(buf, offsets)
-                ids, sizes = encode(buf, words)
+                words = encoding_words(buf, offsets)
+                ids, sizes = encode(words)
                 ends = np.concatenate([[0], np.cumsum(sizes)])[words.first]
                 doc_ids = part.column("doc_id").to_pylist()
                 out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
