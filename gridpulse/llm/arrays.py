@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,3 +158,38 @@ def ids_of(column: pa.Array) -> np.ndarray:
 
 def ids_back(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers outlive their task, and the next may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(task):
+    """The task function, trimming its worker when it ends."""
+
+    def rows(batches):
+        try:
+            yield from task(batches)
+        finally:
+            trim()
+
+    def one(table):
+        try:
+            return task(table)
+        finally:
+            trim()
+
+    def two(left, right):
+        try:
+            return task(left, right)
+        finally:
+            trim()
+
+    if inspect.isgeneratorfunction(task):
+        return rows
+    return two if len(inspect.signature(task).parameters) == 2 else one

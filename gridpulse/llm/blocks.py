@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import chunks, flat, ids_of, inside, mix, packed, unpacked
+from gridpulse.llm.arrays import chunks, flat, ids_of, inside, lean, mix, packed, unpacked
 from gridpulse.llm.spark import buckets_for, id_bucket, pinned, text_bytes
 
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 PLACE = np.uint64(20)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SALT_SHIFT = np.int64(40)
@@ -215,23 +215,30 @@ def locate(table: pa.Table, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, n
     return np.array([row_of[x] for x in zip(d.tolist(), (p - start).tolist(), strict=True)], np.int64), start
 
 
-def covered(table: pa.Table, first: np.ndarray, done: pa.Table, window: int) -> np.ndarray:
-    """Which units of the texts lie in a settled window; rows that repeat (id, text) are covered alike."""
-    d, p, n = (unpacked(done.column(f"done_{x}"), KINDS[x]) for x in "dpn")
-    change = np.zeros(int(first[-1]) + 1, np.int32)
-    if len(d):
-        row, start = locate(table, d, p)
-        lo = first[row] + start
-        np.add.at(change, lo, 1)
-        np.add.at(change, lo + n + window - 1, -1)
-    mask = np.cumsum(change[:-1]) > 0
-    if len(d):
-        ids, salt, order = places(table)
-        for i in np.flatnonzero((np.diff(ids[order]) == 0) & (np.diff(salt[order]) == 0)):
-            x, y = order[i], order[i + 1]
-            size = first[x + 1] - first[x]
-            mask[first[y] : first[y] + size] = mask[first[x] : first[x] + size]
-    return mask
+class Spans:
+    """Settled windows of a bucket's texts, by row; rows that repeat (id, text) get the same ones."""
+
+    def __init__(self, table: pa.Table, done: pa.Table):
+        d, p, n = (unpacked(done.column(f"done_{x}"), KINDS[x]) for x in "dpn")
+        row = start = np.zeros(0, np.int64)
+        if len(d):
+            row, start = locate(table, d, p)
+            ids, salt, order = places(table)
+            for i in np.flatnonzero((np.diff(ids[order]) == 0) & (np.diff(salt[order]) == 0)):
+                own = np.flatnonzero(row == order[i])
+                row = np.concatenate([row, np.full(len(own), order[i + 1])])
+                start, n = np.concatenate([start, start[own]]), np.concatenate([n, n[own]])
+        order = np.argsort(row, kind="stable")
+        self.row, self.start, self.count = row[order], start[order], n[order]
+
+    def covered(self, first: np.ndarray, at: int, window: int) -> np.ndarray:
+        """Which units of the texts from row ``at`` on (cut by ``first``) lie in a settled window."""
+        lo, hi = np.searchsorted(self.row, [at, at + len(first) - 1])
+        change = np.zeros(int(first[-1]) + 1, np.int32)
+        begin = first[self.row[lo:hi] - at] + self.start[lo:hi]
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + self.count[lo:hi] + window - 1, -1)
+        return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def repeated_runs(
@@ -256,17 +263,17 @@ def repeated_runs(
     total = text_bytes(plain) if total is None else total
     buckets = buckets_for(total)
     found = plain.select("doc_id", "text").mapInArrow(
-        block_rows(units_of, window, gram, buckets, within, each, flush=600_000), BLOCK_SCHEMA
+        lean(block_rows(units_of, window, gram, buckets, within, each, flush=250_000)), BLOCK_SCHEMA
     )
-    back = pinned(found.groupBy("bucket").applyInArrow(compare_blocks(buckets, within), BACK_SCHEMA))
+    back = pinned(found.groupBy("bucket").applyInArrow(lean(compare_blocks(buckets, within)), BACK_SCHEMA))
     split = plain.withColumn("bucket", id_bucket(F.col("doc_id"), buckets))
     asked = back.select("bucket", "ask_a", "ask_d", "ask_p", "ask_n").where(F.length("ask_d") > 0)
     details = (
         split.select("bucket", "doc_id", "text")
         .groupBy("bucket")
         .cogroup(asked.groupBy("bucket"))
-        .applyInArrow(detail(buckets), detail_schema)
+        .applyInArrow(lean(detail(buckets)), detail_schema)
     )
-    settled = details.groupBy("bucket").applyInArrow(resolve(buckets), DONE_SCHEMA)
+    settled = details.groupBy("bucket").applyInArrow(lean(resolve(buckets)), DONE_SCHEMA)
     runs = back.select(*names(DONE_SCHEMA)).where(F.length("done_d") > 0).unionByName(settled)
     return split, runs, buckets

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gridpulse.llm.arrays import NULL_ID
+from gridpulse.llm.arrays import NULL_ID, lean
 from gridpulse.llm.spark import shared_folder, text_bytes
 
 LINE = "\r\n"
@@ -183,7 +183,7 @@ def record_task(keep_payload: bool):
 def read_records(spark: SparkSession, folder: str, keep_payload: bool = False) -> DataFrame:
     """One row per WARC record of all archives in the folder."""
     files = spark.read.format("binaryFile").load(folder).select("content")
-    return files.mapInArrow(record_task(keep_payload), RECORD_SCHEMA)
+    return files.mapInArrow(lean(record_task(keep_payload)), RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import NULL_ID, Words, chunks, flat, hash_spans, mix
+from gridpulse.llm.arrays import NULL_ID, Words, chunks, flat, hash_spans, lean, mix
 from gridpulse.llm.licenses import LOWER, NOT_WORD
 from gridpulse.llm.spark import received, sent, text_bytes, texts_of
 
@@ -63,7 +63,7 @@ def frequency_task(batches):
             )
 
     for batch in batches:
-        for part in chunks(batch, "text", 2 << 20):
+        for part in chunks(batch, "text", 1 << 20):
             h, _ = terms_of(*flat(part.column("text")))
             held.append(np.unique(h, return_counts=True))
             if len(held) > 16:
@@ -77,7 +77,7 @@ def frequency_task(batches):
 def lexicon(texts: DataFrame, low: float, high: float) -> np.ndarray:
     """Sorted hashes of the terms whose share of all documents lies in the band."""
     total = texts.count()
-    counts = texts.select("text").mapInArrow(frequency_task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(lean(frequency_task), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     kept = counts.where((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= max(2.0, high * total))).select("term")
     return np.sort(kept.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
@@ -227,7 +227,7 @@ def fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.1, each: i
     shared = sent(spark, lexicon(plain, low, high))
     # the next range's head comes last, also where the first document of all follows the last one
     sorted_rows = sent_to.repartition(max(1, len(order)), "bucket").sortWithinPartitions("bucket", F.col("own").desc(), "key", "text")
-    return sorted_rows.select("bucket", "doc_id", "text", "own").mapInArrow(print_task(shared), SCHEMA)
+    return sorted_rows.select("bucket", "doc_id", "text", "own").mapInArrow(lean(print_task(shared)), SCHEMA)
 
 
 def _steps(cuts: list[int], key):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import NULL_ID, Words, chunks, flat, gram_hashes, inside, mix
+from gridpulse.llm.arrays import NULL_ID, Words, chunks, flat, gram_hashes, inside, lean, mix
 from gridpulse.llm.components import components
 from gridpulse.llm.spark import pinned, prime_at_least, texts_of
 
@@ -52,7 +52,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 
 def parts_of(batches):
     for batch in batches:
-        for part in chunks(batch, "text", 2 << 20):
+        for part in chunks(batch, "text", 1 << 20):
             for a in range(0, part.num_rows, 65_536):
                 yield part.slice(a, 65_536)
 
@@ -265,7 +265,7 @@ def near_duplicates(
     runs = runs_for(threshold, 2, missed)
     texts = texts_of(docs).withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
     schema = SKETCH_SCHEMA.replace("k1 binary, k2 binary", "k1 array<long>, k2 array<long>")
-    sketches = pinned(texts.select("key", "text").mapInArrow(sketch_task(size, runs), schema))
+    sketches = pinned(texts.select("key", "text").mapInArrow(lean(sketch_task(size, runs)), schema))
     # all columns but the id are functions of the set
     classes = sketches.groupBy("h1", "h2").agg(
         F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n")
@@ -292,17 +292,17 @@ def near_duplicates(
         buckets = prime_at_least(-(-leaves.count() // 20_000))
     node = F.pmod(F.xxhash64("leaf", "bi", "bj"), F.lit(buckets)).alias("node")
     columns = [n.split()[0] for n in MEMBER.split(", ")]
-    near = pinned(wide.groupBy(node).applyInArrow(near_task(threshold), MEMBER))
+    near = pinned(wide.groupBy(node).applyInArrow(lean(near_task(threshold)), MEMBER))
     places = near.groupBy("rep").agg(F.collect_list(F.struct("leaf", "bi", "bj", "side", "run")).alias("l"), F.any_value("leaves").alias("leaves"))
     chosen = places.select("rep", F.struct("l", "leaves").alias("places"))
     place_type = "struct<l:array<struct<leaf:long,bi:int,bj:int,side:int,run:int>>,leaves:array<long>>"
     unique = texts.select(F.col("key").alias("rep"), "text")
     with_text = unique.join(chosen, "rep").dropDuplicates(["rep"])
-    sets = with_text.mapInArrow(set_task(size), f"rep long, places {place_type}, ids binary")
+    sets = with_text.mapInArrow(lean(set_task(size)), f"rep long, places {place_type}, ids binary")
     rows = sets.select("rep", "ids", F.col("places.leaves").alias("leaves"), F.explode("places.l").alias("p")).select(
         *[F.col(f"p.{c}").alias(c) for c in ("leaf", "bi", "bj", "side", "run")], "rep", "leaves", "ids"
     )
-    links = rows.select(*columns, "ids").groupBy(node).applyInArrow(link_task(threshold), "rep long, root long, links long")
+    links = rows.select(*columns, "ids").groupBy(node).applyInArrow(lean(link_task(threshold)), "rep long, root long, links long")
     links = pinned(links)
     linked = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("n_links"))

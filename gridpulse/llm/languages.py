@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import chunks, flat, mix
+from gridpulse.llm.arrays import chunks, flat, lean, mix
 from gridpulse.llm.spark import received, sent
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -55,7 +55,7 @@ def count_task(batches):
         return code[cut], np.add.reduceat(count, cut) if len(cut) else count
 
     for batch in batches:
-        for part in chunks(batch, "text", 2 << 20):
+        for part in chunks(batch, "text", 1 << 20):
             code, first = grams_of(*flat(part.column("text")))
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in set(langs.tolist()):
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, per_language: int, grams: int, least_share: float, bits
         if n > per_language:
             rate = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(rate)
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
-    counts = drawn.select("text", "lang").mapInArrow(count_task, COUNT_SCHEMA)
+    counts = drawn.select("text", "lang").mapInArrow(lean(count_task), COUNT_SCHEMA)
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
     ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     best = ranked.where(F.col("place") <= grams).select("lang", "gram", "n").toPandas()
@@ -140,7 +140,7 @@ def predict_task(shared):
     def task(batches):
         model = received(shared)
         for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 buf, offsets = flat(part.column("text"))
                 code, first = grams_of(buf, offsets)
                 letter = np.concatenate([[0], np.cumsum((LETTER[buf] != 0x20) & (buf < 128))])
@@ -188,4 +188,4 @@ def identify_languages(
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     shared = sent(spark, fit(plain, per_language, grams, least_share, bits, hashes))
     asked = plain.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return asked.mapInArrow(predict_task(shared), SCHEMA)
+    return asked.mapInArrow(lean(predict_task(shared)), SCHEMA)

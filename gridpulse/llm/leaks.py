@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import Words, chunks, flat, hash_spans
+from gridpulse.llm.arrays import Words, chunks, flat, hash_spans, lean
 from gridpulse.llm.licenses import LOWER, NOT_WORD
 from gridpulse.llm.spark import pinned, received, sent, texts_of
 
@@ -107,7 +107,7 @@ def frequency_task(shared):
         find, size = Finder(items.vocabulary), len(items.vocabulary)
         total, passages = np.zeros(size, np.int64), 0
         for batch in batches:
-            for part in chunks(batch, "text", 3 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 text, word, ids, n = find(part)
                 halves = -(-n // HALF)
                 passages += int(halves.sum())
@@ -146,7 +146,7 @@ def product_task(shared, project: bool):
         find = Finder(items.vocabulary)
         out = np.zeros((w.shape[1], w.shape[1]) if project else w.shape)
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text", 1 << 18):
                 text, word, ids, n = find(part)
                 if not len(ids):
                     continue
@@ -181,7 +181,7 @@ def latent_space(items: Items, texts: DataFrame, rank: int, sample: int, tasks:
         else:
             out = weight * sums((y[stretch] * items.heavy[ids, None])[order], ids[order], size)
         shared = sent(spark, (items, w))
-        for r in drawn.mapInArrow(product_task(shared, project), "sums binary").collect():  # one of fixed size a task
+        for r in drawn.mapInArrow(lean(product_task(shared, project)), "sums binary").collect():  # one of fixed size a task
             out += np.frombuffer(r["sums"], np.float32).reshape(out.shape)
         shared.unpersist()
         return out
@@ -328,11 +328,11 @@ def leaks(
         items = Items(block, least_words)
         if not items.ids:
             continue
-        counts = texts.mapInArrow(frequency_task(sent(spark, items)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = texts.mapInArrow(lean(frequency_task(sent(spark, items))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         counted = {r["term"]: r["n"] for r in counts.collect()}
         items.weigh(counted, counted.get(-1, 0))
         items.place(latent_space(items, texts, rank, sample, tasks=6, rounds=2, weight=5.0))
-        found = texts.mapInArrow(leak_task(sent(spark, items), cosine, whole, part, answer_share), LEAK_SCHEMA)
+        found = texts.mapInArrow(lean(leak_task(sent(spark, items), cosine, whole, part, answer_share)), LEAK_SCHEMA)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], LEAK_SCHEMA)

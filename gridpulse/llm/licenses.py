@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridpulse.llm.arrays import Words, chunks, flat, hash_spans
+from gridpulse.llm.arrays import Words, chunks, flat, hash_spans, lean
 from gridpulse.llm.spark import texts_of
 
 # Phrases whose places are counted, and the label of each.
@@ -166,7 +166,7 @@ def scan_task(base: Mapping[str, str], templates: Mapping[str, Sequence[str]], s
             pairs[c[:-1], c[1:]] = True
 
         for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 buf, offsets = flat(part.column("text"))
                 buf = LOWER[buf]
                 words = Words(buf, offsets, NOT_WORD)
@@ -274,7 +274,7 @@ def license_scan(
     Null text counts as empty: no words, no labels, score 0. Repeated rows are scanned alike; other columns are ignored;
     an empty table gives an empty result.
     """
-    return texts_of(docs).mapInArrow(scan_task(base, templates, shortest, least, gap), SCHEMA)
+    return texts_of(docs).mapInArrow(lean(scan_task(base, templates, shortest, least, gap)), SCHEMA)
 
 
 def query_rows(scanned: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import Words, chunks, flat
+from gridpulse.llm.arrays import Words, chunks, flat, lean
 from gridpulse.llm.licenses import LOWER
 from gridpulse.llm.spark import pinned, received, sent, texts_of
 
@@ -99,7 +99,7 @@ def piece_task(shared, capacity: int, end_id: int):
 
         encode = WordIds(Tokenizer.from_str(received(shared)))
         for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 buf, offsets = flat(part.column("text"))
                 words = encoding_words(buf, offsets)
                 ids, sizes = encode(words)
@@ -185,7 +185,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """Pieces of every text's token ids, each text closed by ``end_id`` and cut only every ``capacity`` ids."""
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = sent(docs.sparkSession, file.read())
-    return texts_of(docs).mapInArrow(piece_task(shared, capacity, end_id), PIECE_SCHEMA)
+    return texts_of(docs).mapInArrow(lean(piece_task(shared, capacity, end_id)), PIECE_SCHEMA)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, group: int = 20_000, rounds: int = 3) -> DataFrame:
@@ -198,7 +198,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group: int = 20_000, ro
         groups = -(-max(1, rest.count()) // group)
         last = turn == rounds - 1 or groups == 1
         dealt = rest.withColumn("grp", F.pmod(F.xxhash64("_at", F.lit(turn)), F.lit(groups)))
-        placed = pinned(dealt.groupBy("grp").applyInArrow(pack_task(capacity, not last), PLACED_SCHEMA))
+        placed = pinned(dealt.groupBy("grp").applyInArrow(lean(pack_task(capacity, not last)), PLACED_SCHEMA))
         number = (F.lit(turn) * F.lit(1 << 60)).cast("long") + F.col("grp") * F.lit(1 << 24) + F.col("bin")
         done.append(
             placed.where("settled").select(*[n.split()[0] for n in PIECE_SCHEMA.split(", ")], number.alias("sequence_id"), "offset")

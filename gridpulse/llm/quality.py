@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import Words, chunks, flat
+from gridpulse.llm.arrays import Words, chunks, flat, lean
 from gridpulse.llm.languages import held_out
 from gridpulse.llm.spark import received, sent
 
@@ -65,7 +65,7 @@ def vector_task(batches):
     index = index_vectors(ROWS, 1)
     total = np.zeros((ROWS, WIDTH), np.float32)
     for batch in batches:
-        for part in chunks(batch, "text", 1 << 20):
+        for part in chunks(batch, "text", 1 << 19):
             row, _, first = tokens(*flat(part.column("text")))
             if not len(row):
                 continue
@@ -147,7 +147,7 @@ def pool_task(shared):
     def task(batches):
         model = received(shared)
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text", 1 << 19):
                 x = model.pooled(*flat(part.column("text")))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -164,7 +164,7 @@ def score_task(shared, carried: bool):
     def task(batches):
         model = received(shared)
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text", 1 << 19):
                 score = model.scores(model.pooled(*flat(part.column("text"))))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -190,11 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, tasks: int, hidden: int,
     drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.join(F.broadcast(drawn), "doc_id").repartition(tasks, F.xxhash64("doc_id")).select("doc_id", "text", "quality")
     sums = np.zeros((ROWS, WIDTH), np.float32)
-    for r in sample.select("text").mapInArrow(vector_task, "sums binary").collect():  # one of fixed size a task
+    for r in sample.select("text").mapInArrow(lean(vector_task), "sums binary").collect():  # one of fixed size a task
         sums += np.frombuffer(r["sums"], np.float32).reshape(ROWS, WIDTH)
     model = Model(sums)
     shared = sent(spark, model)
-    rows = sample.mapInArrow(pool_task(shared), "doc_id long, quality int, x binary").collect()
+    rows = sample.mapInArrow(lean(pool_task(shared)), "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     if rows:
         x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
@@ -231,7 +231,7 @@ def quality_scores(
         own.append(F.struct(*carry).alias("carried"))
     asked = docs.select(*own).withColumn("held_out", held_out(F.col("doc_id")))
     kind = f", carried {dict(asked.dtypes)['carried']}" if carry else ""
-    return asked.mapInArrow(score_task(shared, bool(carry)), SCHEMA + kind)
+    return asked.mapInArrow(lean(score_task(shared, bool(carry))), SCHEMA + kind)
 
 
 def with_prediction(scored: DataFrame, threshold: float = 0.3) -> DataFrame:

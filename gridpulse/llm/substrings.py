@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import Words, chunks, flat, gram_hashes, unpacked
-from gridpulse.llm.blocks import DONE_SCHEMA, KINDS, covered, locate, merged_groups, repeated_runs
+from gridpulse.llm.arrays import Words, chunks, flat, gram_hashes, lean, unpacked
+from gridpulse.llm.blocks import DONE_SCHEMA, KINDS, Spans, locate, merged_groups, repeated_runs
 
 EDGE_SCHEMA = "bucket int, a binary, d binary, p binary, n binary, w binary"
-TEXT_BYTES = 3 << 20
+TEXT_BYTES = 1 << 20
 
 
 def word_units(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +94,10 @@ def compare_edges(buckets: int):
 def kept_words(k: int, carry: Sequence[str]):
     """Texts of a bucket without the words of settled windows."""
 
-    def task(docs: pa.Table, runs: pa.Table) -> pa.Table:
+    def kept_part(docs: pa.Table, spans: Spans, at: int) -> pa.Table:
         buf, offsets = flat(docs.column("text"))
         words = Words(buf, offsets)
-        gone = covered(docs, words.first, runs, k)
+        gone = spans.covered(words.first, at, k)
         spaced = buf.copy()
         keep = np.zeros(len(buf) + 1, np.int8)
         s, e = words.starts[~gone], words.ends[~gone]
@@ -121,6 +121,13 @@ def kept_words(k: int, carry: Sequence[str]):
         } | {c: docs.column(c) for c in carry}
         return pa.table(columns)
 
+    def task(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        spans, out, at = Spans(docs, runs), [], 0
+        for part in chunks(docs, "text", TEXT_BYTES):
+            out.append(kept_part(part, spans, at))
+            at += part.num_rows
+        return pa.concat_tables(out) if out else kept_part(docs, spans, 0)
+
     return task
 
 
@@ -144,7 +151,7 @@ def substring_dedup(docs: DataFrame, k: int = 13, gram: int = 4, carry: Sequence
     return (
         split.groupBy("bucket")
         .cogroup(runs.groupBy("bucket"))
-        .applyInArrow(kept_words(k, carry), f"doc_id long, n_words long, n_removed long, kept string{extra}")
+        .applyInArrow(lean(kept_words(k, carry)), f"doc_id long, n_words long, n_removed long, kept string{extra}")
     )
 
 

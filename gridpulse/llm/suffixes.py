@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import flat, mix, unpacked
-from gridpulse.llm.blocks import DONE_SCHEMA, KINDS, covered, locate, merged_groups, repeated_runs
+from gridpulse.llm.arrays import chunks, flat, lean, mix, unpacked
+from gridpulse.llm.blocks import DONE_SCHEMA, KINDS, Spans, locate, merged_groups, repeated_runs
 from gridpulse.llm.induced import shares_prefix, suffix_order
 
 BYTES_SCHEMA = "bucket int, d binary, p binary, n binary, s binary"
@@ -100,9 +100,9 @@ def compare_suffixes(length: int, memory: int):
 
 
 def kept_bytes(length: int, carry: Sequence[str]):
-    def task(docs: pa.Table, runs: pa.Table) -> pa.Table:
+    def kept_part(docs: pa.Table, spans: Spans, at: int) -> pa.Table:
         buf, offsets = flat(docs.column("text"))
-        gone = covered(docs, offsets, runs, length)
+        gone = spans.covered(offsets, at, length)
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
         inner = offsets[:-1][np.diff(offsets) > 0]
@@ -121,6 +121,13 @@ def kept_bytes(length: int, carry: Sequence[str]):
         } | {c: docs.column(c) for c in carry}
         return pa.table(columns)
 
+    def task(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        spans, out, at = Spans(docs, runs), [], 0
+        for part in chunks(docs, "text", TEXT_BYTES):
+            out.append(kept_part(part, spans, at))
+            at += part.num_rows
+        return pa.concat_tables(out) if out else kept_part(docs, spans, 0)
+
     return task
 
 
@@ -148,7 +155,7 @@ def suffix_dedup(
         split.groupBy("bucket")
         .cogroup(runs.groupBy("bucket"))
         .applyInArrow(
-            kept_bytes(length, carry), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{extra}"
+            lean(kept_bytes(length, carry)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{extra}"
         )
     )
 
