@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import Words, chunks, flat, lean
+from gridpulse.llm.arrays import Words, chunks, flat, lean, trim
 from gridpulse.llm.languages import held_out
 from gridpulse.llm.spark import received, sent
 
@@ -197,10 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, tasks: int, hidden: int,
     rows = sample.mapInArrow(lean(pool_task(shared)), "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     if rows:
-        x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
-        y = np.array([r["quality"] for r in rows], np.float64)
+        x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), -1)
+        y = np.array([r["quality"] for r in rows], np.float32)
         model.train(x, y, np.array([r["doc_id"] * 2654435761 % 8 == 0 for r in rows]), hidden, epochs)
     shared.unpersist()
+    trim()
     return model
 
 
@@ -208,7 +209,7 @@ def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
     most: int = 12_000,
-    tasks: int = 12,
+    tasks: int = 4,
     hidden: int = 32,
     epochs: int = 12,
     carry: Sequence[str] = (),
