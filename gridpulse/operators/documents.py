@@ -588,25 +588,26 @@ def bounded_memory(messages: DataFrame, conversation: str, turn: str, role: str,
     """Last ``2 * turns`` messages per conversation plus one digest row for the messages left out.
 
     The recent rows are a partial top-k, the rest is summed up by mergeable aggregates only, so a very long
-    conversation never gathers in one task. The digest id hashes the combined message hashes.
+    conversation never gathers in one task. The digest id hashes the combined message hashes. Messages of one turn are
+    ordered by a hash of their role and text; equal ones count as one.
     """
-    back = Window.partitionBy(conversation).orderBy(F.desc(turn))
-    rows = messages.select(conversation, turn, role, text)
+    mark = F.md5(F.concat_ws(":", F.col(turn).cast("string"), F.col(role), F.col(text)))
+    rows = messages.select(conversation, turn, role, text).distinct().withColumn("_order", F.struct(F.col(turn), mark))
+    back = Window.partitionBy(conversation).orderBy(F.desc("_order"))
     recent = rows.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= 2 * turns).drop("_back")
-    cut = recent.groupBy(conversation).agg(F.min(turn).alias("_cut"))
+    cut = recent.groupBy(conversation).agg(F.min("_order").alias("_cut"))
     brief = F.substring(squeeze(text), 1, 220)
-    mark = F.md5(F.concat_ws(":", F.col(turn).cast("string"), F.col(role), F.col(text)))
     number = F.conv(F.substring(mark, 1, 15), 16, 10).cast("long")
     left = (
         rows.join(cut, conversation)
-        .where(F.col(turn) < F.col("_cut"))
+        .where(F.col("_order") < F.col("_cut"))
         .groupBy(conversation)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(F.col(role) == "user").alias("users"),
             F.count_if(F.col(role) == "assistant").alias("assistants"),
-            F.min_by(brief, F.col(turn)).alias("first"),
-            F.max_by(brief, F.col(turn)).alias("last"),
+            F.min_by(brief, F.col("_order")).alias("first"),
+            F.max_by(brief, F.col("_order")).alias("last"),
             F.bit_xor(number).alias("mark"),
         )
     )

@@ -32,10 +32,14 @@ class Dimension:
 def star_join(fact: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:
     """Fact with every dimension left joined in turn; later ones may use columns of earlier ones.
 
-    Sides are left to Catalyst and AQE, which broadcast by measured size and split skewed partitions.
+    Sides are left to Catalyst and AQE, which broadcast by measured size and split skewed partitions. Naming a column
+    that is already there is an error; unnamed ones keep the value that came first.
     """
     out = fact
     for i, dim in enumerate(dimensions):
+        clash = [c for c in dim.columns if c in out.columns and c not in dim.on.values()]
+        if clash:
+            raise ValueError(f"columns {clash} of dimension {i} are already in the fact")
         keys = {right: f"_k{i}_{n}" for n, right in enumerate(dim.on.values())}
         wanted = [c for c in (dim.columns or dim.frame.columns) if c not in out.columns]
         side = dim.frame.select(*[F.col(r).alias(k) for r, k in keys.items()], *wanted)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,14 @@ def nearest_reference(
 
     Works per distinct location, so a hot location costs one probe. A round looks into the 3x3 cells around
     a location; a hit no farther than one cell side is final, the rest go on with cells four times as wide.
-    References sharing a place are reduced to one.
+    References sharing a place are reduced to one. Points and references without a finite place are left out: such
+    points get nulls. Cells stop growing once one of them spans everything.
     """
-    refs = references.groupBy(F.col(ref_x).alias("_rx"), F.col(ref_y).alias("_ry")).agg(F.min(label).alias("_label"))
+    def finite(*names: str) -> Column:
+        tests = [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf")) for n in names]
+        return tests[0] & tests[1]
+
+    refs = references.where(finite(ref_x, ref_y)).groupBy(F.col(ref_x).alias("_rx"), F.col(ref_y).alias("_ry")).agg(F.min(label).alias("_label"))
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     refs = refs.checkpoint()
@@ -42,7 +48,13 @@ def nearest_reference(
         return points.withColumns({label: F.lit(None).cast("string"), "distance": F.lit(None).cast("double")})
     extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-6)
     size = cell or max(extent / max(box["n"] ** 0.5, 1.0), 1e-6)
-    pending = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null").distinct()
+    pending = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where(finite("_x", "_y")).distinct()
+    far = pending.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    if far[0] is None:
+        return points.withColumns({label: F.lit(None).cast("string"), "distance": F.lit(None).cast("double")})
+    wide = max(box["x1"], far[1]) - min(box["x0"], far[0])
+    high = max(box["y1"], far[3]) - min(box["y0"], far[2])
+    whole = max(math.hypot(wide, high) * 1.001, size)
     found = None
     while True:
         around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
@@ -64,7 +76,7 @@ def nearest_reference(
         pending = best.where(~F.coalesce(final, F.lit(False))).select("_x", "_y")
         if pending.isEmpty():
             break
-        size *= 4.0
+        size = min(size * 4.0, whole)
     nearest = found.select("_x", "_y", F.col("_b.l").alias(label), F.sqrt("_b.d2").alias("distance"))
     match = (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))
     return points.join(nearest, match, "left").drop("_x", "_y")

@@ -184,7 +184,8 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split``: rows of every stratum in hash order, cut at the cumulative shares.
 
-    Positions come from range buckets over (stratum, order, id), so a dominant stratum is spread too.
+    Positions come from range buckets over (stratum, order, id), so a dominant stratum is spread too. Rows without a
+    stratum form one of their own.
     """
     keyed = frame.withColumn("_o", order if order is not None else F.xxhash64(row_id))
     placed = global_position(keyed, [stratum, "_o", row_id], "_pos")
@@ -192,7 +193,7 @@ def stratified_split(
     before = Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)
     # one row per stratum reaches this window
     starts = sizes.select(F.col(stratum).alias("_st"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = placed.join(starts, F.col(stratum) == F.col("_st")).withColumn("_k", F.col("_pos") - F.col("_start"))
+    placed = placed.join(starts, F.col(stratum).eqNullSafe(F.col("_st"))).withColumn("_k", F.col("_pos") - F.col("_start"))
     choice, edge = None, 0.0
     names = list(shares)
     for name in names[:-1]:

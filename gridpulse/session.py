@@ -26,11 +26,14 @@ def build_session(master: str | None = None, app: str = "gridpulse", **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the cluster; a fresh folder is set only where none is configured."""
+    """Checkpoint folder named by the cluster; a fresh folder of our own only for a local master without one."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     active = spark.sparkContext._jsc.sc().getCheckpointDir()
     if active.isDefined():
         return active.get()
+    one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if not current and not one_machine:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = current or tempfile.mkdtemp(prefix="gridpulse-ckpt-", dir=os.environ.get("TMPDIR"))
     spark.sparkContext.setCheckpointDir(folder)
     return folder
