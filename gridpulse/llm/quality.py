@@ -89,7 +89,7 @@ class Model:
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
         self.vectors = (vectors / np.maximum(norm, 1e-6)).astype(np.float32)
         self.shapes = index_vectors(SHAPES, 2)
-        self.layers, self.center, self.scale, self.temperature, self.bias = None, 0.0, 1.0, 1.0, 0.0
+        self.layers, self.center, self.scale, self.temperature, self.bias = None, 0.0, 1.0, 1.0, 0.5
 
     def pooled(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean word vector and mean shape vector of each text; zeros for a text without words."""
