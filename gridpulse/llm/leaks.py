@@ -169,7 +169,7 @@ def latent_space(items: Items, texts: DataFrame, rank: int, sample: int, tasks:
     width = min(size, rank + 16)
     share = min(1.0, sample / max(1, texts.count()))
     hashed = F.xxhash64("doc_id", F.length("text"))
-    drawn = pinned(texts.where(F.pmod(hashed, F.lit(1 << 30)) < share * (1 << 30)).repartition(tasks, hashed))
+    drawn = pinned(texts.where(F.pmod(hashed, F.lit(1 << 30)) < share * (1 << 30))).coalesce(tasks)
     ids, first = items.rows()
     stretch = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
     order = np.argsort(ids, kind="stable")

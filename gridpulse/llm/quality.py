@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm.arrays import Words, chunks, flat, lean, trim
 from gridpulse.llm.languages import held_out
-from gridpulse.llm.spark import received, sent
+from gridpulse.llm.spark import pinned, received, sent
 
 SCHEMA = "doc_id long, held_out boolean, score double"
 ROWS, WIDTH, SHAPES = 1 << 14, 64, 512
@@ -188,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, tasks: int, hidden: int,
     )
     # the labelled ids with the least hash: a bounded sample that every run draws alike
     drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.join(F.broadcast(drawn), "doc_id").repartition(tasks, F.xxhash64("doc_id")).select("doc_id", "text", "quality")
+    # each task sends one table of vectors to the driver, so there are a few tasks whatever the cluster's settings
+    sample = pinned(docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")).coalesce(tasks)
     sums = np.zeros((ROWS, WIDTH), np.float32)
     for r in sample.select("text").mapInArrow(lean(vector_task), "sums binary").collect():  # one of fixed size a task
         sums += np.frombuffer(r["sums"], np.float32).reshape(ROWS, WIDTH)
