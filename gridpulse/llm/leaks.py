@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are read as overlapping passages over the words that benchmark items use, weighted by TF-IDF with frequencies from
-all passages of the corpus. A randomised SVD, whose products with the passage matrix run in Spark tasks, gives a latent
-space; passages near an item there (cosine) are candidates. Each candidate is then settled exactly: by the weight of the
+all passages of the corpus. A randomised SVD over every passage gives a latent space: Spark tasks reduce the passages to
+pair counts of item words (A^T A), and the SVD's products with them run in Spark tasks too; passages near an item there (cosine) are candidates. Each candidate is then settled exactly: by the weight of the
 longest common subsequence of item and text, and, for paraphrases, by how much of the item's answer the text has.
 """
 
@@ -138,58 +138,94 @@ def sums(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def product_task(shared, project: bool):
-    """One task's share of (A^T A) W, or of (A W)^T (A W), as raw floats; a row of A is a half passage."""
+def pair_task(shared, held: int):
+    """Counts of word pairs of the same half passage: the upper half of A^T A before weights, a row of A being a half passage.
+
+    A word's own entry counts its hits, and twice its pairs with itself. About ``held`` pairs wait for each reduction.
+    """
 
     def task(batches):
-        items, w = received(shared)
-        find = Finder(items.vocabulary)
-        out = np.zeros((w.shape[1], w.shape[1]) if project else w.shape)
+        items = received(shared)
+        find, size = Finder(items.vocabulary), len(items.vocabulary)
+        waiting: list[np.ndarray] = []
+
+        def reduced():
+            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+            i, j = codes // size, codes % size
+            waiting.clear()
+            return pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "n": pa.array(n, pa.int64())})
+
         for batch in batches:
             for part in chunks(batch, "text", 1 << 18):
                 text, word, ids, n = find(part)
-                if not len(ids):
-                    continue
-                block, _, owner = half_blocks(text, word, n)
-                y = sums(w[ids] * items.heavy[ids, None], block, len(owner))
-                if project:
-                    out += y.T @ y
-                else:
-                    order = np.argsort(ids, kind="stable")
-                    out += sums((y[block] * items.heavy[ids, None])[order], ids[order], len(out))
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+                block, _, _ = half_blocks(text, word, n)
+                big = np.flatnonzero(items.heavy[ids] > 0)
+                ids, block = ids[big], block[big]
+                waiting.append(ids * size + ids)
+                for step in range(1, min(HALF, len(ids))):
+                    at = np.flatnonzero(block[step:] == block[:-step])
+                    a, b = ids[at], ids[at + step]
+                    same = np.flatnonzero(a == b)
+                    waiting += [np.minimum(a, b) * size + np.maximum(a, b), a[same] * size + a[same]]
+                    if sum(map(len, waiting)) >= held:
+                        yield reduced()
+        if waiting:
+            yield reduced()
 
     return task
 
 
-def latent_space(items: Items, texts: DataFrame, rank: int, sample: int, tasks: int, rounds: int, weight: float) -> np.ndarray:
-    """Right singular vectors of the TF-IDF matrix of the passages of a bounded sample of texts and of all items."""
+def product_task(shared):
+    """One task's share of (A^T A) W from pair counts, as raw floats."""
+
+    def task(batches):
+        heavy, w = received(shared)
+        out = np.zeros(w.shape, np.float32)
+        for batch in batches:
+            i, j, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in "ijn")
+            rows, at = np.unique(i, return_inverse=True)
+            for a in range(0, len(rows), 64):
+                own = np.flatnonzero((at >= a) & (at < a + 64))
+                counts = np.zeros((len(rows[a : a + 64]), len(heavy)), np.float32)
+                counts[at[own] - a, j[own]] = n[own] * heavy[i[own]] * heavy[j[own]]
+                out[rows[a : a + 64]] += counts @ w
+                counts[at[own] - a, j[own]] *= i[own] != j[own]  # the lower half mirrors the upper one
+                out += counts.T @ w[rows[a : a + 64]]
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+
+    return task
+
+
+def latent_space(items: Items, texts: DataFrame, rank: int, tasks: int, rounds: int, item_share: float) -> np.ndarray:
+    """Right singular vectors of the TF-IDF matrix of all passages of all texts and of all items.
+
+    The corpus is scaled so that the items' squared weight is ``item_share`` of its own, whatever its size.
+    """
     spark = texts.sparkSession
     size = len(items.vocabulary)
     width = min(size, rank + 16)
-    share = min(1.0, sample / max(1, texts.count()))
-    hashed = F.xxhash64("doc_id", F.length("text"))
-    drawn = pinned(texts.where(F.pmod(hashed, F.lit(1 << 30)) < share * (1 << 30))).coalesce(tasks)
+    pairs = texts.mapInArrow(lean(pair_task(sent(spark, items), 1 << 20)), "i long, j long, n long")
+    # at most one row for each pair of item words, however large the corpus
+    pairs = pinned(pairs.groupBy("i", "j").agg(F.sum("n").alias("n")).repartition(tasks, "i").sortWithinPartitions("i", "j"))
+    own = sum(r["n"] * float(items.heavy[r["i"]]) ** 2 for r in pairs.where("i = j").toLocalIterator())  # one row a word
     ids, first = items.rows()
     stretch = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
     order = np.argsort(ids, kind="stable")
+    scale = float((items.heavy[ids] ** 2).sum()) / (item_share * own) if own else 0.0
 
-    def product(w: np.ndarray, project: bool) -> np.ndarray:
+    def product(w: np.ndarray) -> np.ndarray:
         y = sums(w[ids] * items.heavy[ids, None], stretch, len(first))
-        if project:
-            out = weight * (y.T @ y)
-        else:
-            out = weight * sums((y[stretch] * items.heavy[ids, None])[order], ids[order], size)
-        shared = sent(spark, (items, w))
-        for r in drawn.mapInArrow(lean(product_task(shared, project)), "sums binary").collect():  # one of fixed size a task
-            out += np.frombuffer(r["sums"], np.float32).reshape(out.shape)
+        out = sums((y[stretch] * items.heavy[ids, None])[order], ids[order], size)
+        shared = sent(spark, (items.heavy, w.astype(np.float32)))
+        for r in pairs.mapInArrow(lean(product_task(shared)), "sums binary").collect():  # one of fixed size a task
+            out += scale * np.frombuffer(r["sums"], np.float32).reshape(out.shape)
         shared.unpersist()
         return out
 
     w = np.random.default_rng(7).normal(size=(size, width))
     for _ in range(rounds):
-        w, _ = np.linalg.qr(product(w, False))
-    values, vectors = np.linalg.eigh(product(w, True))
+        w, _ = np.linalg.qr(product(w))
+    values, vectors = np.linalg.eigh(w.T @ product(w))
     return w @ vectors[:, np.argsort(-values)[: min(rank, width)]]
 
 
@@ -306,7 +342,7 @@ def leaks(
     part: float = 0.5,
     answer_share: float = 0.6,
     rank: int = 160,
-    sample: int = 4_000,
+    item_share: float = 0.15,
     least_words: int = 5,
     block_words: int = 20_000,
 ) -> DataFrame:
@@ -314,8 +350,8 @@ def leaks(
 
     Passages of 48 words, one every 24, are compared with every item. Candidates with a latent cosine of at least ``cosine`` leak if a common
     subsequence has the share ``whole`` of the item's IDF weight, or ``part`` of it together with ``answer_share`` of the
-    weight of the item's answer. The latent space (``rank`` dimensions) is fit on all items and at most ``sample``
-    documents drawn by hash. Items come in blocks of about ``block_words`` words, any number of them.
+    weight of the item's answer. The latent space (``rank`` dimensions) is fit on all passages and all items, the items
+    with ``item_share`` of the corpus's weight. Items come in blocks of about ``block_words`` words, any number of them.
 
     One row per document and item, with the best passage. Null or empty texts and items of fewer than ``least_words``
     words leak nothing. Repeated documents or items give each pair once; other columns are ignored; empty tables give an
@@ -331,7 +367,7 @@ def leaks(
         counts = texts.mapInArrow(lean(frequency_task(sent(spark, items))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         counted = {r["term"]: r["n"] for r in counts.collect()}
         items.weigh(counted, counted.get(-1, 0))
-        items.place(latent_space(items, texts, rank, sample, tasks=6, rounds=2, weight=5.0))
+        items.place(latent_space(items, texts, rank, tasks=6, rounds=2, item_share=item_share))
         found = texts.mapInArrow(lean(leak_task(sent(spark, items), cosine, whole, part, answer_share)), LEAK_SCHEMA)
         out = found if out is None else out.unionByName(found)
     if out is None:
