@@ -207,6 +207,7 @@ def latent_space(items: Items, texts: DataFrame, rank: int, tasks: int, rounds:
     pairs = texts.mapInArrow(lean(pair_task(sent(spark, items), 1 << 20)), "i long, j long, n long")
     # at most one row for each pair of item words, however large the corpus
     pairs = pinned(pairs.groupBy("i", "j").agg(F.sum("n").alias("n")).repartition(tasks, "i").sortWithinPartitions("i", "j"))
+    few = pairs.coalesce(tasks)  # the driver adds up one sum a task, so their number must not follow the settings
     own = sum(r["n"] * float(items.heavy[r["i"]]) ** 2 for r in pairs.where("i = j").toLocalIterator())  # one row a word
     ids, first = items.rows()
     stretch = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
@@ -217,7 +218,7 @@ def latent_space(items: Items, texts: DataFrame, rank: int, tasks: int, rounds:
         y = sums(w[ids] * items.heavy[ids, None], stretch, len(first))
         out = sums((y[stretch] * items.heavy[ids, None])[order], ids[order], size)
         shared = sent(spark, (items.heavy, w.astype(np.float32)))
-        for r in pairs.mapInArrow(lean(product_task(shared)), "sums binary").collect():  # one of fixed size a task
+        for r in few.mapInArrow(lean(product_task(shared)), "sums binary").collect():  # one of fixed size a task
             out += scale * np.frombuffer(r["sums"], np.float32).reshape(out.shape)
         shared.unpersist()
         return out
