@@ -29,6 +29,12 @@ def parse_timestamp(value: Column | str, pattern: str | None = None) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)) if pattern else F.try_to_timestamp(text)
 
 
+def in_month(day: Column | str, period: str) -> Column:
+    """Days of the month ``yyyy-MM`` as a plain range on the column, which scans can use; nothing for other texts."""
+    first = F.try_to_date(F.lit(f"{period}-01"), "yyyy-MM-dd")
+    return (as_column(day) >= first) & (as_column(day) < F.add_months(first, 1))
+
+
 def month_period(value: Column | str) -> Column:
     return F.date_format(as_column(value), "yyyy-MM")
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.functions.cleaning import clean_text, month_period
+from gridpulse.functions.cleaning import clean_text, in_month
 
 # The word for "all", filter kinds and comparison signs.
 ALL = "Todos"
@@ -22,9 +22,12 @@ def date_bounds(frame: DataFrame, day: str = "day") -> tuple[date | None, date |
 
 
 def coerce_window(
-    start: date | str | None, end: date | str | None, low: date, high: date, default_days: int = 180
-) -> tuple[date, date]:
-    """Missing ends default to the last ``default_days`` days; reversed ends are swapped; then clamp."""
+    start: date | str | None, end: date | str | None, low: date | None, high: date | None, default_days: int = 180
+) -> tuple[date | None, date | None]:
+    """Missing ends default to the last ``default_days`` days; reversed ends are swapped; then clamp.
+
+    Without bounds (an empty table) two given ends are kept, swapped where reversed; else both are None.
+    """
 
     def parse(value):
         if value is None or isinstance(value, date):
@@ -34,6 +37,9 @@ def coerce_window(
         except ValueError:
             return None
 
+    if low is None or high is None:
+        ends = sorted(e for e in (parse(start), parse(end)) if e)
+        return (ends[0], ends[1]) if len(ends) == 2 else (None, None)
     last = parse(end) or high
     first = parse(start) or max(low, high - timedelta(days=max(default_days - 1, 0)))
     if first > last:
@@ -41,7 +47,9 @@ def coerce_window(
     return max(first, low), min(last, high)
 
 
-def in_window(frame: DataFrame, start: date, end: date, day: str = "day") -> DataFrame:
+def in_window(frame: DataFrame, start: date | None, end: date | None, day: str = "day") -> DataFrame:
+    if start is None or end is None:
+        return frame
     return frame.where(F.col(day).between(F.lit(start), F.lit(end)))
 
 
@@ -149,10 +157,12 @@ def explorer_filter(
         if name in frame.columns and value and value.strip() and value.strip() != ALL:
             out = out.where(clean_text(name) == value.strip())
     if day and day in frame.columns:
+        typed = dict(frame.dtypes)[day] in ("date", "timestamp", "timestamp_ntz")
+        when = F.col(day) if typed else F.to_date(day)
         if start:
-            out = out.where(F.to_date(day) >= F.lit(start).cast("date"))
+            out = out.where(when >= F.lit(start).cast("date"))
         if end:
-            out = out.where(F.to_date(day) <= F.lit(end).cast("date"))
+            out = out.where(when < F.date_add(F.lit(end).cast("date"), 1))
     return out
 
 
@@ -171,7 +181,7 @@ def lon_lat_share(frame: DataFrame, lon: Sequence[str], lat: Sequence[str]) -> D
 def period_mask(frame: DataFrame, period: str | None, municipality: str | None, date_column: str, name: str = "municipality") -> DataFrame:
     out = frame
     if period:
-        out = out.where(month_period(date_column) == period)
+        out = out.where(in_month(date_column, period))
     if municipality:
         out = out.where(clean_text(name) == municipality.strip())
     return out

@@ -157,12 +157,14 @@ def fill_from_latest(
     return out.withColumn(value, F.coalesce(*pieces)).drop("_latest", "_fix")
 
 
-def down_sample(frame: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
-    """Every ceil(n / limit)-th row of the total order, starting with the first."""
+def down_sample(frame: DataFrame, order: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Every floor(n / limit)-th row of the total order, starting with the first, ``limit`` rows at most; None: all."""
+    if limit is None:
+        return frame
     total = frame.count()
     if total <= limit:
         return frame
-    step = -(-total // limit)
+    step = total // limit
     placed = global_position(frame, order, "_pos")
     return placed.where(((F.col("_pos") - 1) % step == 0) & (F.col("_pos") <= step * limit)).drop("_pos")
 
@@ -172,6 +174,7 @@ def events_by_day(events: DataFrame, day: str = "day") -> DataFrame:
     return events.withColumn("map_day", F.dayofmonth(day))
 
 
-def hash_ordered_sample(frame: DataFrame, keys: Sequence[str], limit: int = 50_000) -> DataFrame:
-    """Bounded sample that is the same on every run: rows in the order of a hash of their keys."""
-    return frame.orderBy(F.xxhash64(*keys), *keys).limit(limit)
+def hash_ordered_sample(frame: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Rows in the order of the MD5 of their keys, the same on every run; the first ``limit`` of them where given."""
+    out = frame.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), *keys)
+    return out if limit is None else out.limit(limit)

@@ -32,11 +32,21 @@ def metric_columns(daily: DataFrame) -> DataFrame:
 
 
 def summary(daily: DataFrame, start: str | None, end: str | None, circuit=None) -> dict[str, DataFrame]:
-    """Window totals of the five metrics and the zero-filled daily series."""
+    """Window totals of the five metrics and the zero-filled daily series.
+
+    A choice without rows gives a zero for each day of the window. An empty table has no bounds: a window with both ends
+    is taken as given, otherwise the series is empty.
+    """
     low, high = date_bounds(daily)
     first, last = coerce_window(start, end, low, high)
     chosen = metric_columns(in_window(choose_circuits(daily, circuit), first, last))
-    series = zero_filled_daily(chosen.withColumn("scope", F.lit("all")), ["scope"], METRIC_KEYS, start=str(first), end=str(last))
+    scoped = chosen.select(F.lit("all").alias("scope"), "day", *METRIC_KEYS)
+    if first is not None:  # a row of zeros opens the series whatever the choice holds
+        zero = daily.sparkSession.range(1).select(
+            F.lit("all").alias("scope"), F.lit(first).cast("date").alias("day"), *[F.lit(0.0).alias(k) for k in METRIC_KEYS]
+        )
+        scoped = scoped.unionByName(zero)
+    series = zero_filled_daily(scoped, ["scope"], METRIC_KEYS, start=first and str(first), end=last and str(last))
     return {"totals": window_totals(chosen, {k: k for k in METRIC_KEYS}), "daily": series.drop("scope")}
 
 
@@ -82,11 +92,11 @@ def interpretability(
     by = list(by)
     chosen = metric_columns(choose_circuits(daily, circuit))
     window = in_window(chosen, first, last)
-    series = zero_filled_daily(window, by, start=str(first), end=str(last))
+    series = zero_filled_daily(window, by, start=first and str(first), end=last and str(last))
     points = critical_points(series, by, metric, max_points=max_points)
     enriched = enrich_points(points, attribution, details, [*by, "day"], environment=environment, signals=signals)
-    year = max(low, last - timedelta(days=364))
-    history = zero_filled_daily(in_window(chosen, year, last), by, start=str(year), end=str(last))
+    year = max(d for d in (low, last - timedelta(days=364)) if d) if last else None
+    history = zero_filled_daily(in_window(chosen, year, last), by, start=year and str(year), end=last and str(last))
     return {
         "points": enriched,
         "periods": sustained_periods(series, by, metric),

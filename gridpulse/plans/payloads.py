@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse.functions.cleaning import in_month
 from gridpulse.functions.text import short_hash
 from gridpulse.operators.aggregates import signals_by_suffix
 from gridpulse.operators.filters import ALL, comma_list_predicate
@@ -98,7 +99,7 @@ def dashboard_context(view: DataFrame, period: str, municipality: str, circuits:
 
 
 def event_context(events: DataFrame, event_id: str, name: str = "get_event_context") -> DataFrame:
-    rows = events.where(F.col("event_id").cast("string") == event_id)
+    rows = events.where(F.col("event_id") == F.lit(event_id).try_cast(events.schema["event_id"].dataType))
     record = {
         "event_id": F.col("event_id").cast("string"), "day": F.col("day").cast("string"), "municipality": F.col("municipality"),
         "circuit": F.col("circuit"), "equipment": F.col("equipment"), "event_family": F.col("event_family"), "cause": F.col("cause"),
@@ -219,7 +220,7 @@ def timeseries_context(
 def view_context(attribution: DataFrame, period: str, municipality: str, circuits: str | None = None) -> dict[str, DataFrame]:
     """KPI row, top circuits, families and causes by UITI + UITI_VANO of one view."""
     rows = attribution.where(
-        (F.date_format("day", "yyyy-MM") == period) & (F.col("municipality") == municipality) & comma_list_predicate(circuits, "circuit")
+        in_month("day", period) & (F.col("municipality") == municipality) & comma_list_predicate(circuits, "circuit")
     ).withColumn("scope", F.lit("view"))
     both = F.col("uiti_total") + F.col("uiti_vano_total")
     return {

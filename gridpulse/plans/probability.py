@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 
 from gridpulse.operators.aggregates import option_list
 from gridpulse.operators.filters import KIND_RANGE, apply_filters, condition_text, filter_kind
+from gridpulse.operators.reshape import hash_ordered_sample
 from gridpulse.operators.stats import histogram, value_counts
 
-# Sample and option caps of the view.
-SAMPLE_ROWS, OPTION_ROWS = 50_000, 1_000
-
 
 def column_kinds(frame: DataFrame) -> list[tuple[str, str]]:
     """(column, filter kind) from the column types; no data is read."""
     return [(name, filter_kind(kind)) for name, kind in frame.dtypes]
 
 
-def filter_options(frame: DataFrame, criteria: str, column: str) -> DataFrame:
-    return option_list(frame.where(F.col("criteria_group") == criteria), column, OPTION_ROWS)
+def filter_options(frame: DataFrame, criteria: str, column: str, limit: int | None = None) -> DataFrame:
+    return option_list(frame.where(F.col("criteria_group") == criteria), column, limit)
 
 
 def conditional_view(
-    frame: DataFrame, criteria: str, target: str, filters: Sequence[Sequence], keys: Sequence[str], bins: int = 30
+    frame: DataFrame,
+    criteria: str,
+    target: str,
+    filters: Sequence[Sequence],
+    keys: Sequence[str],
+    bins: int = 30,
+    sample: int | None = None,
 ) -> dict[str, DataFrame | str]:
-    """Wording, sample in a stable order, and the distribution of the target over all filtered rows."""
+    """Wording, rows in a stable order (the first ``sample`` of them where given), and the distribution over all of them."""
     kinds = dict(column_kinds(frame))
     if target not in kinds:
         raise ValueError(f"column {target!r} does not exist")
@@ -35,6 +39,6 @@ def conditional_view(
     numeric = kinds[target] == KIND_RANGE or dict(frame.dtypes)[target] in ("int", "bigint", "smallint", "tinyint")
     return {
         "text": condition_text(target, criteria, filters),
-        "sample": rows.select(*keys, target).orderBy(F.xxhash64(*keys), *keys).limit(SAMPLE_ROWS),
+        "sample": hash_ordered_sample(rows.select(*keys, target), keys, sample),
         "distribution": histogram(rows, target, bins) if numeric else value_counts(rows, target),
     }

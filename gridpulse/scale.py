@@ -9,15 +9,10 @@ from pyspark.sql import functions as F
 
 from gridpulse.session import ensure_checkpoint_dir
 
-SMALL_ROWS = 20_000
+PASS_ROWS = 20_000
 
 
-def is_small(frame: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """True when the frame has at most ``rows`` rows; reads no more than it needs."""
-    return frame.limit(rows + 1).count() <= rows
-
-
-def collect_passes(frame: DataFrame, keys: Sequence[str], rows: int = SMALL_ROWS):
+def collect_passes(frame: DataFrame, keys: Sequence[str], rows: int = PASS_ROWS):
     """Yields the rows of a configuration-like frame in passes of about ``rows``, so that any number is handled.
 
     ``keys`` identify rows; passes are cut by their hash.
@@ -29,19 +24,6 @@ def collect_passes(frame: DataFrame, keys: Sequence[str], rows: int = SMALL_ROWS
         yield part.collect()
 
 
-def spread_if_small(frame: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan out to all cores.
-
-    A small table often sits in one row group, which one task would read and then carry through every
-    row-wise step. The planner's size estimate decides, so no job runs, and inputs larger than one default
-    split per core keep their scan partitions and pay no shuffle.
-    """
-    spark = frame.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(cores) if size <= cores * 32 * 1024 * 1024 else frame
-
-
 def _ranged(frame: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows range partitioned by ``order`` and checkpointed, with the number of their range in ``_bucket``.
 
@@ -51,14 +33,12 @@ def _ranged(frame: DataFrame, order: Sequence[str]) -> DataFrame:
     return frame.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()).checkpoint()
 
 
-def global_position(frame: DataFrame, order: Sequence[str], out: str = "position", small: int = 500_000) -> DataFrame:
+def global_position(frame: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
     """1-based position of each row in the total order of ``order``, which must identify rows.
 
-    Up to ``small`` rows one window does it. Beyond, rows are range partitioned and a position is the place in
-    the range plus the row count of the earlier ranges, so no task sees more than one range.
+    Rows are range partitioned and a position is the place in the range plus the row count of the earlier ranges,
+    so no task sees more than one range.
     """
-    if is_small(frame, small):
-        return frame.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
     ranged = _ranged(frame, order)
     counts = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range reaches this window
@@ -73,20 +53,17 @@ def global_position(frame: DataFrame, order: Sequence[str], out: str = "position
     )
 
 
-def exact_quantiles(frame: DataFrame, column: str, points: Sequence[float], small: int = 500_000) -> DataFrame:
+def exact_quantiles(frame: DataFrame, column: str, points: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles of one numeric column as a one-row frame ``q0, q1, ...``.
 
-    Values are first reduced to distinct value counts (map-side combined). Up to ``small`` distinct values one
-    weighted percentile does it; beyond, ranges give every value its positions and only the two values that
-    bracket each point are kept.
+    Values are first reduced to distinct value counts (map-side combined). Ranges give every value its positions
+    and only the two values that bracket each point are kept.
     """
     counts = (
         frame.where(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    if is_small(counts, small):
-        return counts.agg(*[F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(f"q{i}") for i, p in enumerate(points)])
     counts = _ranged(counts, ["_v"])
     totals = counts.groupBy("_bucket").agg(F.sum("_c").alias("_t"))
     wide = Window.orderBy("_bucket")

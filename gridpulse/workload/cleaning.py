@@ -354,11 +354,6 @@ def _(t):
     return L.choose_circuits(fact(t), [" NATION_1", "NATION_7", "NATION_1 ", ""]).groupBy("circuit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f02_no_circuit", "SELECT n_name FROM nation WHERE false")
-def _(t):
-    return L.choose_circuits(t.nation.select("n_name"), [], "n_name")
-
-
 FILTERS = [
     ["seleccion", "cause", "5-LOW", None],
     ["rango_num", "span_impact", ">=", 20000],

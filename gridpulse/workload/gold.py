@@ -507,7 +507,11 @@ def _(t):
     return rows.select(text_day(), "circuit", "cause", "equipment", "equipment_type", "event_family", *r4("uiti_total"))
 
 
-@query("l03_stable_sample")
+@query(
+    "l03_stable_sample",
+    f"WITH {FACT} SELECT event_id, span_id, profile_id, transformer_count, span_impact FROM fact "
+    "ORDER BY md5(concat_ws('|', event_id, span_id, profile_id, transformer_count)), event_id, span_id, profile_id, transformer_count LIMIT 50000",
+)
 def _(t):
     rows = fact(t).select("event_id", "span_id", "profile_id", "transformer_count", "span_impact")
     return R.hash_ordered_sample(rows, ["event_id", "span_id", "profile_id", "transformer_count"], 50_000)

@@ -392,13 +392,6 @@ def _(t):
     return Q.value_conflicts(t.lineitem, "l_suppkey", "l_returnflag")
 
 
-@query("u06_missing_columns", "SELECT unnest(['p_weight', 'p_color']) AS column_name, (SELECT count(*) FROM part) AS table_rows")
-def _(t):
-    absent = Q.missing_columns(["P_PARTKEY", " p_name", "p_weight", "p_color"], t.part.columns)
-    rows = t.part.agg(F.count(F.lit(1)).alias("table_rows"))
-    return rows.select(F.explode(F.array(*[F.lit(c) for c in absent])).alias("column_name"), "table_rows")
-
-
 @query(
     "q11_validation_report",
     "SELECT * FROM (VALUES ('table_exists', 'orders', 'PASS', ''), ('required_columns', 'orders', 'PASS', ''), ('table_exists', 'lineitem', 'PASS', ''), ('required_columns', 'lineitem', 'FAIL', 'l_color'), "

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.scale import spread_if_small
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -23,9 +21,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str, *columns: str) -> DataFrame:
-        """Table (or some of its columns) dealt out to all cores where it is small."""
+        """Table (or some of its columns) cut into the splits that the session's split size gives."""
         frame = getattr(self, name)
-        return spread_if_small(frame.select(*columns) if columns else frame)
+        return frame.select(*columns) if columns else frame
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

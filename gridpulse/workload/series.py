@@ -253,7 +253,7 @@ def _(t):
     return bounded_memory(t.conversations, "conv_id", "turn", "role", "text", 1).drop("turn_id")
 
 
-@query("w16_down_sample", "WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events) SELECT event_id, value FROM p WHERE (pos - 1) % CAST(ceil(n / 500.0) AS BIGINT) = 0 AND pos <= CAST(ceil(n / 500.0) AS BIGINT) * 500")
+@query("w16_down_sample", "WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events) SELECT event_id, value FROM p WHERE (pos - 1) % greatest(n // 500, 1) = 0 AND (n <= 500 OR pos <= (n // 500) * 500)")
 def _(t):
     return R.down_sample(t.events.select("event_id", "ts", "value"), ["ts", "event_id"], 500).select("event_id", "value")
 

@@ -183,15 +183,6 @@ def _(t):
     return R.with_columns_present(t.part.select("p_partkey", "p_brand"), {"note": "string", "p_brand": "int"}).select("p_partkey", "note", "p_brand")
 
 
-@query("s20_readiness", "SELECT 'parts_ready' AS \"table\", 'READY' AS status, count(*) AS n FROM part UNION ALL SELECT 'no_such_table_here', 'MISSING', count(*) FROM part")
-def _(t):
-    t.part.createOrReplaceTempView("parts_ready")
-    rows = t.part.agg(F.count(F.lit(1)).alias("n"))
-    ready = W.readiness(t.spark, ["parts_ready", "no_such_table_here"]).collect()
-    states = F.array(*[F.struct(F.lit(r["table"]).alias("table"), F.lit(r["status"]).alias("status")) for r in ready])
-    return rows.select(F.explode(states).alias("s"), "n").select("s.table", "s.status", "n")
-
-
 _PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
 
@@ -211,13 +202,3 @@ def _(t):
 def _(t):
     wide = stream(t).groupBy("user_id", "day").agg(*[F.max(F.when(F.hour("ts") == h, F.col("value"))).alias(f"temp_{h}") for h in range(3)])
     return R.project_columns(wide, ["user_id", "user_id", "absent"], ["temp", "rain"], [0, 1])
-
-
-@query("s23_cleanup", "SELECT 'no_such_table_here' AS \"table\", 'MISSING' AS status, count(*) AS n FROM part UNION ALL SELECT 'parts_view', 'PRESERVED_BLOCKED', count(*) FROM part UNION ALL SELECT 'parts_other', 'DRY_RUN', count(*) FROM part")
-def _(t):
-    t.part.createOrReplaceTempView("parts_view")
-    t.part.createOrReplaceTempView("parts_other")
-    found = W.cleanup(t.spark, ["no_such_table_here", "parts_view", "parts_other"], ["parts_other"]).collect()
-    states = F.array(*[F.struct(F.lit(r["table"]).alias("table"), F.lit(r["status"]).alias("status")) for r in found])
-    rows = t.part.agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(F.explode(states).alias("s"), "n").select("s.table", "s.status", "n")

@@ -11,20 +11,18 @@ from gridpulse.operators import stats as T
 from gridpulse.scale import exact_quantiles, global_position
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_global_position_matches_sort(spark, small):
+def test_global_position_matches_sort(spark):
     rng = random.Random(5)
     rows = [(rng.choice([1, 1, 1, 2, None]), i) for i in range(2000)]
-    out = global_position(spark.createDataFrame(rows, "k int, i int"), ["k", "i"], "p", small=small).orderBy("p").collect()
+    out = global_position(spark.createDataFrame(rows, "k int, i int"), ["k", "i"], "p").orderBy("p").collect()
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [(r["k"], r["i"]) for r in out] == want and [r["p"] for r in out] == list(range(1, 2001))
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_exact_quantiles_with_a_hot_value(spark, small):
+def test_exact_quantiles_with_a_hot_value(spark):
     values = [7.0] * 700 + [float(i) / 3 for i in range(1400)]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
-    got = exact_quantiles(frame, "v", [0.05, 0.3333, 0.5, 0.95], small=small).first()
+    got = exact_quantiles(frame, "v", [0.05, 0.3333, 0.5, 0.95]).first()
     assert list(got) == pytest.approx(list(np.quantile(values, [0.05, 0.3333, 0.5, 0.95])))
 
 

@@ -132,3 +132,49 @@ def test_supports_hidden_when_circuits_are_chosen(spark):
     assert map_layers(assets, lines, events, "2024-01", "M", None)["assets"].count() == 2
     chosen = map_layers(assets, lines, events, "2024-01", "M", ["c"], day=6)
     assert chosen["assets"].count() == 1 and chosen["events"].count() == 0 and chosen["days"].first()["events"] == 1
+
+
+def test_summary_of_empty_choice_and_empty_table(spark):
+    from gridpulse.functions.metrics import METRIC_TOTALS
+    from gridpulse.plans.interpret import summary
+
+    names = ["circuit", "municipality", *METRIC_TOTALS.values()]
+    kinds = "day date, circuit string, municipality string, " + ", ".join(f"{c} double" for c in METRIC_TOTALS.values())
+    rows = spark.createDataFrame(
+        [(d, "A", "m", *[1.0] * len(METRIC_TOTALS)) for d in ("2024-01-01", "2024-01-04")], ["day", *names]
+    ).withColumn("day", F.col("day").cast("date"))
+    daily = summary(rows, None, None, circuit="NOPE")["daily"].collect()
+    assert len(daily) == 4 and all(r[k] == 0 for r in daily for k in METRIC_TOTALS)
+    assert [r["UITI"] for r in summary(rows, None, None)["daily"].orderBy("day").collect()] == [1, 0, 0, 1]
+    empty = spark.createDataFrame([], kinds)
+    assert summary(empty, None, None)["daily"].count() == 0
+    assert summary(empty, "2024-01-03", "2024-01-01")["daily"].count() == 3
+
+
+def test_limits_are_arguments(spark):
+    from gridpulse.operators.reshape import down_sample, hash_ordered_sample
+
+    rows = spark.range(1001).withColumnRenamed("id", "k")
+    assert down_sample(rows, ["k"], 1000).count() == 1000
+    assert down_sample(rows, ["k"]).count() == hash_ordered_sample(rows, ["k"]).count() == 1001
+    assert sorted(r["k"] for r in down_sample(rows, ["k"], 400).limit(3).collect()) == [0, 2, 4]
+
+
+def test_month_and_key_filters_reach_the_scan(spark, tmp_path):
+    from gridpulse.operators.filters import explorer_filter, period_mask
+
+    path = str(tmp_path / "days")
+    spark.range(90).selectExpr("date_add(date'2024-01-01', cast(id as int)) AS day", "'m' AS municipality").write.parquet(path)
+    frame = spark.read.parquet(path)
+    for out, n in ((period_mask(frame, "2024-02", None, "day"), 29), (explorer_filter(frame, {}, "day", "2024-01-30", "2024-02-02"), 4)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(day" in plan and "LessThan(day" in plan and out.count() == n
+
+
+def test_missing_columns_and_readiness(spark):
+    from gridpulse.operators.quality import missing_columns
+
+    assert list(missing_columns(["P_PARTKEY", " p_name", "p_weight"], ["p_partkey", "p_name"])) == ["p_weight"]
+    spark.range(3).createOrReplaceTempView("ready_here")
+    rows = {r["table"]: r["status"] for r in W.readiness(spark, ["ready_here", "not_here_at_all"]).collect()}
+    assert rows == {"ready_here": "READY", "not_here_at_all": "MISSING"}
