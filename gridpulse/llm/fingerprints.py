@@ -4,7 +4,7 @@ Document frequencies are counted over all documents. The lexicon keeps terms ins
 stands in at least ``low`` of all documents, it has at most (mean distinct terms of a document) / ``low`` terms however
 large the corpus is. Each randomised lexicon is a random part of it, and a fingerprint holds, for each, the hash of the
 sorted distinct terms of the text that it keeps. Parts come in several sizes, so that short and long texts both have
-parts that keep a few of their terms.
+parts that keep a few of their terms. The likeness of two texts is read under many more parts, of a size that fits both.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SCHEMA = (
 SHARES = (4, 16, 64, 256)
 """A lexicon of level i keeps one term in SHARES[i]."""
 COPIES = 16
+DRAWN = 2048
+"""Lexicons under which the likeness of two texts is read, at least; fingerprints list 64 of their own."""
 
 
 def terms_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,18 +91,20 @@ class Printer:
         self.terms = terms
         self.parts = len(SHARES) * COPIES
 
-    def signatures(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """32-bit hash of each text for each lexicon, and whether the lexicon keeps any of its terms."""
+    def kept_terms(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Lexicon terms of each text, and where each text's begin."""
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        h, first = terms_of(buf, offsets)
-        n = len(texts)
+        h, first = terms_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
         kept = np.zeros(len(h), bool)
         if len(self.terms):
             at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
             kept = self.terms[at] == h
-        text = np.repeat(np.arange(n), np.diff(first))[kept]
-        h = h[kept]
+        return h[kept], np.concatenate([[0], np.cumsum(kept)])[first]
+
+    def signatures(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """32-bit hash of each text's terms for each lexicon, 0 where the lexicon keeps none of them."""
+        n = len(first) - 1
+        text = np.repeat(np.arange(n), np.diff(first))
         total, count = np.zeros((self.parts, n), np.uint64), np.zeros((self.parts, n), np.int32)
         for level, share in enumerate(SHARES):
             limit = np.uint64(65536 // share)
@@ -112,26 +116,57 @@ class Printer:
                 # a sum of mixed hashes of distinct terms is the same whatever their order, so sorting is implied
                 np.add.at(total[k], text[at], mix(h[at] + np.uint64(k + 1)))
                 np.add.at(count[k], text[at], 1)
-        out, some = (total.T >> np.uint64(32)).astype(np.uint32), count.T > 0
-        out[~some] = 0
-        return out, some
+        out = (total.T >> np.uint64(32)).astype(np.uint32)
+        out[count.T == 0] = 0
+        return out
+
 
+def paired(h: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the texts ``rows``, and the place in ``rows`` of each."""
+    count = np.diff(first)[rows]
+    pair = np.repeat(np.arange(len(rows)), count)
+    return h[np.repeat(first[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())], pair
 
-def likeness(a, a_some, b, b_some, least: int = 4) -> np.ndarray:
-    """Share of equal hashes among the lexicons that keep a term of either text.
 
-    Read at the sparsest level where at least ``least`` lexicons keep one (there a lexicon keeps about one term, and the
-    share comes near the Jaccard similarity of the terms), else at the densest. Two texts without any kept term are
-    alike (1).
+def likeness(a, b, equal: np.ndarray, drawn: int = DRAWN) -> np.ndarray:
+    """Share of equal hashes among the lexicons that keep a term of either text; ``a`` and ``b`` are terms and bounds.
+
+    A pair is read under at least ``drawn`` lexicons that keep one term in ``s`` each, ``s`` being a power of two and four
+    to eight times the terms of both texts: most lexicons with a term then keep one, and the share comes near the Jaccard
+    similarity of the terms. One hash deals every term to one of ``s`` disjoint lexicons. Two texts without any lexicon
+    term are alike (1) if they are ``equal``, else unlike (0).
     """
-    shape = (len(a), len(SHARES), COPIES)
-    either = (a_some | b_some).reshape(shape).sum(axis=2)
-    same = ((a == b) & a_some & b_some).reshape(shape).sum(axis=2)
-    enough = either >= least
-    level = np.where(enough.any(axis=1), len(SHARES) - 1 - enough[:, ::-1].argmax(axis=1), 0)
-    row = np.arange(len(a))
-    some = either.sum(axis=1) > 0
-    return np.where(some, same[row, level] / np.maximum(either[row, level], 1), 1.0)
+    n = len(equal)
+    out = equal.astype(float)
+    every = np.arange(n)
+    (ha, pa_), (hb, pb) = paired(*a, every), paired(*b, every)
+    order = np.lexsort((np.concatenate([ha, hb]), both := np.concatenate([pa_, pb])))
+    h, both = np.concatenate([ha, hb])[order], both[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (both[1:] != both[:-1])
+    union = np.bincount(both[new], minlength=n)
+    size = 4 << np.ceil(np.log2(np.maximum(union, 1))).astype(np.int64)
+    for s in np.unique(size[union > 0]).tolist():
+        own = np.flatnonzero((size == s) & (union > 0))
+        for at in range(0, len(own), each := max(1, (1 << 18) // s)):
+            rows = own[at : at + each]
+            sides = [paired(*x, rows) for x in (a, b)]
+            same, either = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            for r in range(max(1, drawn // s)):
+                seed = mix(np.array([s, r + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                hashes, some = [], []
+                for h, pair in sides:
+                    slot = pair * s + (mix(h ^ seed[0] ^ (seed[1] << np.uint64(1))) >> np.uint64(20) & np.uint64(s - 1)).astype(np.int64)
+                    total = np.zeros(len(rows) * s, np.uint64)
+                    np.add.at(total, slot, mix(h + np.uint64(r + 1)))
+                    keeps = np.zeros(len(total), bool)
+                    keeps[slot] = True
+                    hashes.append(total)
+                    some.append(keeps)
+                either += (some[0] | some[1]).reshape(-1, s).sum(axis=1)
+                same += ((hashes[0] == hashes[1]) & some[0] & some[1]).reshape(-1, s).sum(axis=1)
+            out[rows] = same / either
+    return out
 
 
 def print_task(shared):
@@ -150,18 +185,20 @@ def print_task(shared):
                 edited.append(a[: len(a) - half] + b[:half])
             raw = [t.encode() for t in [*texts, following]]
             changed = [t.encode() for t in edited]
-            sig, some = printer.signatures(raw)
-            sig2, some2 = printer.signatures(changed)
             n = len(rows)
+            h, first = printer.kept_terms(raw)
+            h2, first2 = printer.kept_terms(changed)
+            sig, sig2 = printer.signatures(h[: first[n]], first[: n + 1]), printer.signatures(h2, first2)
+            plain = (h, first[: n + 1])
             return pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([r[0] for r in rows], pa.int64()),
                     "n_chars": pa.array([len(t) for t in texts], pa.int64()),
                     "edited_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in changed]),
-                    "fingerprint": pa.array([s.astype(">u4").tobytes().hex() for s in sig[:n]]),
+                    "fingerprint": pa.array([s.astype(">u4").tobytes().hex() for s in sig]),
                     "edited_fingerprint": pa.array([s.astype(">u4").tobytes().hex() for s in sig2]),
-                    "near_edited": pa.array(likeness(sig[:n], some[:n], sig2, some2)),
-                    "near_next": pa.array(likeness(sig[:n], some[:n], sig[1:], some[1:])),
+                    "near_edited": pa.array(likeness(plain, (h2, first2), np.array([x == y for x, y in zip(raw[:n], changed, strict=True)]))),
+                    "near_next": pa.array(likeness(plain, (h, first[1:]), np.array([x == y for x, y in zip(raw[:n], raw[1:], strict=True)]))),
                 }
             )
 
@@ -197,7 +234,8 @@ def fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.1, each: i
     The edited text is the text with its last half (rounded down) of code points replaced by the first as many of the
     next document in ascending ``doc_id``; the last document is followed by the first. Terms are lower-cased (A-Z) runs
     of letters, digits and non-ASCII characters; the lexicon has those in ``low`` to ``high`` of all documents. Returns
-    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``; the last two are the
+    likeness to the edited text and to the next document.
 
     Null text is empty; a null id comes first; rows that share an id are ordered by text. A single document follows
     itself. Equal texts have equal fingerprints; texts without a lexicon term have all zeros. Other columns are ignored,
