@@ -35,11 +35,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id; repeated rows of it count as one.
 
-    Rows with a null id are a group member as the smallest id. Documents without words are one group.
+    A null id is the smallest. Of unlike texts with the smallest id of their group, the one with the smallest text hash
+    stays. Documents without words are one group.
     """
-    found = jaccard.near_duplicates(docs)
-    kept = found.where(_same_id("doc_id", "class_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, _same_id("doc_id", "_kept"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    names = ["_key", "_t1", "_t2"]
+    row = F.struct(*[F.col(n[1:]).alias(n) for n in names]).alias("row")
+    found = jaccard.near_duplicate_rows(docs).select("class_node", row)
+    kept = found.groupBy("class_node").agg(F.min("row").alias("row")).select("row.*")
+    return jaccard.with_row_key(docs, "_").join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from gridpulse.llm.components import components
 from gridpulse.llm.spark import pinned, prime_at_least, texts_of
 
 TOKENS = 64
-SKETCH_SCHEMA = "key long, h1 long, h2 long, n int, sig binary, k1 binary, k2 binary"
+SKETCH_SCHEMA = "key long, t1 long, t2 long, h1 long, h2 long, n int, sig binary, k1 binary, k2 binary"
 MEMBER = "leaf long, bi int, bj int, side int, run int, rep long, leaves array<long>"
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -77,6 +77,8 @@ def sketch_task(size: int, runs: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "key": part.column("key"),
+                    "t1": part.column("t1"),
+                    "t2": part.column("t2"),
                     "h1": pa.array(sums[0]),
                     "h2": pa.array(sums[1]),
                     "n": pa.array(n, pa.int32()),
@@ -260,19 +262,42 @@ def near_duplicates(
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A text of fewer than ``size`` words has one shingle of all its words. Null,
     empty and blank texts have the empty set and are copies of each other. A null id counts as the smallest; rows that
-    share an id count as rows of one id. Other columns are ignored; an empty table gives an empty result.
+    share an id but not a text are judged each by its own text. Other columns are ignored; an empty table gives an empty
+    result.
+    """
+    return near_duplicate_rows(docs, threshold, size, limit, missed, buckets).drop("key", "t1", "t2", "class_node")
+
+
+def with_row_key(docs: DataFrame, mark: str = "") -> DataFrame:
+    """``docs`` with ``key`` (the id, a null as the smallest), ``t1`` and ``t2`` (text hashes), which name each id and text.
+
+    ``mark`` precedes the three names.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.withColumns(
+        {f"{mark}key": F.coalesce(doc_id, F.lit(NULL_ID)), f"{mark}t1": F.xxhash64(text), f"{mark}t2": F.xxhash64(F.lit(1), text)}
+    )
+
+
+def near_duplicate_rows(
+    docs: DataFrame, threshold: float = 0.8, size: int = 5, limit: int = 200, missed: float = 1e-5, buckets: int | None = None
+) -> DataFrame:
+    """Rows of ``near_duplicates`` with ``key, t1, t2`` of each (``with_row_key``) and ``class_node``, one number a class.
+
+    Sets are joined and linked by numbers of their own; ids, which may be null or shared, are only reported.
     """
     runs = runs_for(threshold, 2, missed)
-    texts = texts_of(docs).withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
+    texts = with_row_key(texts_of(docs))
     schema = SKETCH_SCHEMA.replace("k1 binary, k2 binary", "k1 array<long>, k2 array<long>")
-    sketches = pinned(texts.select("key", "text").mapInArrow(lean(sketch_task(size, runs)), schema))
-    # all columns but the id are functions of the set
+    sketches = pinned(texts.select("key", "t1", "t2", "text").mapInArrow(lean(sketch_task(size, runs)), schema))
+    # all columns but those that name the row are functions of the set
     classes = sketches.groupBy("h1", "h2").agg(
-        F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n")
+        F.min("key").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n")
     )
-    classes = pinned(classes)
-    reps = sketches.join(classes.select("h1", "h2", F.col("rep").alias("key")), ["h1", "h2", "key"], "left_semi")
-    reps = reps.where("n > 0").select(F.col("key").alias("rep"), "sig", "k1", "k2").dropDuplicates(["rep"])
+    classes = pinned(classes.withColumn("rep", F.monotonically_increasing_id()))
+    own = classes.where("n > 0").select("h1", "h2", F.col("least_id").alias("key"), "rep")
+    named = sketches.join(own, ["h1", "h2", "key"])
+    reps = named.select("rep", "sig", "k1", "k2").dropDuplicates(["rep"])
     walked = reps.select("rep", F.posexplode(F.arrays_zip("k1", "k2")).alias("run", "k")).select("rep", "run", "k.k1", "k.k2")
     crowded = walked.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit).select("k1", F.lit(True).alias("deep"))
     leaves = walked.join(crowded, "k1", "left").select("rep", "run", F.when(F.col("deep"), F.col("k2")).otherwise(F.col("k1")).alias("leaf"))
@@ -296,8 +321,9 @@ def near_duplicates(
     places = near.groupBy("rep").agg(F.collect_list(F.struct("leaf", "bi", "bj", "side", "run")).alias("l"), F.any_value("leaves").alias("leaves"))
     chosen = places.select("rep", F.struct("l", "leaves").alias("places"))
     place_type = "struct<l:array<struct<leaf:long,bi:int,bj:int,side:int,run:int>>,leaves:array<long>>"
-    unique = texts.select(F.col("key").alias("rep"), "text")
-    with_text = unique.join(chosen, "rep").dropDuplicates(["rep"])
+    # any row of a set's smallest id that has the set can give its text
+    chosen = chosen.join(named.select("rep", "key", "t1", "t2").dropDuplicates(["rep"]), "rep")
+    with_text = texts.join(chosen, ["key", "t1", "t2"]).dropDuplicates(["rep"])
     sets = with_text.mapInArrow(lean(set_task(size)), f"rep long, places {place_type}, ids binary")
     rows = sets.select("rep", "ids", F.col("places.leaves").alias("leaves"), F.explode("places.l").alias("p")).select(
         *[F.col(f"p.{c}").alias(c) for c in ("leaf", "bi", "bj", "side", "run")], "rep", "leaves", "ids"
@@ -307,13 +333,19 @@ def near_duplicates(
     linked = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("n_links"))
     found = classes.join(counts.join(linked, "node", "left"), F.col("rep") == F.col("node"), "left").select(
-        "h1", "h2", "rep", "copies", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "h1", "h2", "least_id", "copies", F.coalesce("component", "rep").alias("class_node"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+    heads = found.groupBy("class_node").agg(F.min("least_id").alias("class"))
+    found = found.join(heads, "class_node")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return sketches.select("key", "h1", "h2").join(found, ["h1", "h2"]).select(
+    return sketches.select("key", "t1", "t2", "h1", "h2").join(found, ["h1", "h2"]).select(
         back("key").alias("doc_id"),
         back("class").alias("class_id"),
-        back("rep").alias("copy_of"),
+        back("least_id").alias("copy_of"),
         "n_links",
         F.col("copies").cast("long").alias("n_copies"),
+        "key",
+        "t1",
+        "t2",
+        "class_node",
     )
