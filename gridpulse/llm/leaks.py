@@ -2,7 +2,8 @@
 
 Texts are read as overlapping passages over the words that benchmark items use, weighted by TF-IDF with frequencies from
 all passages of the corpus. A randomised SVD over every passage gives a latent space: Spark tasks reduce the passages to
-pair counts of item words (A^T A), and the SVD's products with them run in Spark tasks too; passages near an item there (cosine) are candidates. Each candidate is then settled exactly: by the weight of the
+pair counts of item words (A^T A), and the SVD's products with them run in Spark tasks too; passages near an item there (cosine) are candidates, as are
+verbatim copies whatever their cosine, found by the rarest five-word run of each item. Each candidate is then settled exactly: by the weight of the
 longest common subsequence of item and text, and, for paraphrases, by how much of the item's answer the text has.
 """
 
@@ -15,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import Words, chunks, flat, hash_spans, lean
+from gridpulse.llm.arrays import Words, chunks, flat, gram_hashes, hash_spans, lean
 from gridpulse.llm.licenses import LOWER, NOT_WORD
 from gridpulse.llm.spark import pinned, received, sent, texts_of
 
 HALF = 24
+GRAM = 5
 LEAK_SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, last_word long"
 
 
@@ -54,8 +56,39 @@ class Items:
     def weigh(self, counts: dict[int, int], passages: int) -> None:
         frequency = np.array([counts.get(i, 0) for i in range(len(self.vocabulary))], float)
         self.idf = np.log((passages + 2) / (frequency + 1))
-        # words that most passages have tell items apart the least: they count in the final checks, not in the search
-        self.heavy = np.where(self.idf >= 0.4 * self.idf.max(initial=0.0), self.idf, 0.0)
+        # every word counts in the search, however common, so that items of ordinary words have a latent vector too
+        self.heavy = self.idf
+        self.mark()
+
+    def mark(self) -> None:
+        """The rarest run of ``GRAM`` words of each item: any verbatim copy holds it."""
+        runs, at = [], []
+        for words in self.words:
+            total = np.concatenate([[0.0], np.cumsum(self.idf[words])])
+            start = int(np.argmax(total[GRAM:] - total[:-GRAM])) if len(words) >= GRAM else 0
+            at.append(start)
+            runs.append(gram_hashes(words[start : start + GRAM].astype(np.uint64), min(GRAM, len(words)))[0])
+        self.run_order = np.argsort(np.array(runs, np.uint64), kind="stable")
+        self.runs, self.run_at = np.array(runs, np.uint64)[self.run_order], np.array(at)
+        self.first_stretch = np.searchsorted(np.array([i for i, _ in self.stretches()]), np.arange(len(self.words)))
+
+    def copies(self, text: np.ndarray, word: np.ndarray, ids: np.ndarray):
+        """Text, item and first word of each verbatim copy among the hits of a batch."""
+        whole = {}
+        for size in sorted({min(GRAM, len(w)) for w in self.words}):
+            grams = gram_hashes(ids.astype(np.uint64), size)
+            n = len(grams)
+            joined = (text[:n] == text[size - 1 :]) & (word[size - 1 :] - word[:n] == size - 1)
+            lo, hi = np.searchsorted(self.runs, grams, "left"), np.searchsorted(self.runs, grams, "right")
+            for k in np.flatnonzero(joined & (hi > lo)).tolist():
+                for item in self.run_order[lo[k] : hi[k]].tolist():
+                    words, a = self.words[item], k - int(self.run_at[item])
+                    b = a + len(words)
+                    if min(GRAM, len(words)) != size or a < 0 or b > len(ids) or text[a] != text[b - 1]:
+                        continue
+                    if word[b - 1] - word[a] == len(words) - 1 and (ids[a:b] == words).all():
+                        whole.setdefault((int(text[a]), item), int(word[a]))
+        return ((t, i, w) for (t, i), w in whole.items())
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of all stretches, and where each stretch begins."""
@@ -308,6 +341,11 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
                 end = begin[1:].copy()
                 end[same] = begin[same + 2]
                 doc_ids = part.column("doc_id")
+                doc_ids = part.column("doc_id")
+                for t, item, w in items.copies(text, word, ids):
+                    near = float(passage[int(first[t]) + w // HALF] @ items.vectors[items.first_stretch[item]])
+                    span = (w, w + len(items.words[item]) - 1)
+                    out.append((doc_ids[t].as_py(), items.ids[item], min(1.0, near), 1.0, 1.0, *span))
                 for k, j in candidates(items, passage, ids[big], begin, end):
                     doc, item = int(owner[k]), int(stretch_of[j])
                     lo, hi = bounds[doc], bounds[doc + 1]
@@ -349,7 +387,7 @@ def leaks(
 ) -> DataFrame:
     """Documents that hold a benchmark item: ``doc_id, item_id, cosine, lcs, answer, first_word, last_word``.
 
-    Passages of 48 words, one every 24, are compared with every item. Candidates with a latent cosine of at least ``cosine`` leak if a common
+    Passages of 48 words, one every 24, are compared with every item. Candidates with a latent cosine of at least ``cosine``, and all verbatim copies of an item's words, leak if a common
     subsequence has the share ``whole`` of the item's IDF weight, or ``part`` of it together with ``answer_share`` of the
     weight of the item's answer. The latent space (``rank`` dimensions) is fit on all passages and all items, the items
     with ``item_share`` of the corpus's weight. Items come in blocks of about ``block_words`` words, any number of them.
