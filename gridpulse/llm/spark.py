@@ -6,7 +6,7 @@ import pickle
 import uuid
 
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridpulse.llm.arrays import NULL_ID
@@ -56,3 +56,26 @@ def sent(spark: SparkSession, model) -> Broadcast:
 
 def received(shared: Broadcast):
     return pickle.loads(shared.value)
+
+
+def numbered(frame: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``frame`` with ``place`` (from 0, in the ``order`` of its ``group``) and ``members`` (rows of the group).
+
+    Rows are dealt in ranges over all groups and numbered in them, so a group of any size takes as many tasks as it fills;
+    a window per group sees one row per range. Rows that tie in ``order`` are told apart by their place in ``frame``.
+    """
+    held = pinned(frame.withColumn("_row", F.monotonically_increasing_id()))
+    whole = [group, *order, "_row"]
+    # an id is the partition's number times 2**33 plus the row's number in it
+    ranged = held.repartitionByRange(*whole).sortWithinPartitions(*whole).drop("_row")
+    ranged = pinned(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit(2**33 - 1))})
+    spans = ranged.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(
+        group,
+        "_range",
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(Window.partitionBy(group)).alias("members"),
+    )
+    return ranged.join(spans, [group, "_range"]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import captures, fingerprints, jaccard, languages, leaks, licenses, packing, quality, substrings, suffixes
+from gridpulse.llm import captures, fingerprints, jaccard, languages, leaks, licenses, manifest, packing, quality, substrings, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+   lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+"""Unsigned CRC-32 of an ASCII text in SQL."""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -93,3 +98,50 @@ def _(spark, folder):
 @query("op10_benchmark_leaks")
 def _(spark, folder):
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+WITH RECURSIVE fields AS (
+ SELECT doc_id, source, text, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'),
+   coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head
+ FROM documents),
+leaves AS (
+ SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  CASE WHEN {CRC.format('doc_id::VARCHAR')} % 5 = 0
+   THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS altered
+ FROM fields),
+placed AS (
+ SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n,
+  dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM leaves),
+up AS (
+ SELECT s, 0 AS lvl, p, n, leaf AS h FROM placed
+ UNION ALL
+ SELECT s, lvl + 1, p // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY p)) FROM up WHERE n > 1 GROUP BY s, lvl, p // 16),
+tops AS (
+ SELECT 0 AS lvl, s AS p, count(*) OVER () AS n, h FROM up WHERE n = 1
+ UNION ALL
+ SELECT lvl + 1, p // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY p)) FROM tops WHERE n > 1 GROUP BY lvl, p // 16),
+nodes AS (
+ SELECT s, lvl, p, n, h FROM up
+ UNION ALL
+ SELECT -1, lvl, p, n, h FROM tops),
+runs AS (
+ SELECT s, lvl, p // 16 AS run, list(h ORDER BY p) AS hs FROM nodes WHERE n > 1 GROUP BY s, lvl, p // 16),
+walk AS (
+ SELECT doc_id, leaf, coalesce(altered, leaf) AS h, s AS source_no, p AS leaf_no, s AS tree, 0 AS lvl, p, n, '' AS proof FROM placed
+ UNION ALL
+ SELECT w.doc_id, w.leaf,
+  CASE WHEN w.n > 1 THEN sha256(array_to_string(r.hs[:(w.p % 16)::BIGINT], '') || w.h || array_to_string(r.hs[(w.p % 16 + 2)::BIGINT:], '')) ELSE w.h END,
+  w.source_no, w.leaf_no, CASE WHEN w.n > 1 THEN w.tree ELSE -1 END, CASE WHEN w.n > 1 THEN w.lvl + 1 ELSE 0 END,
+  CASE WHEN w.n > 1 THEN w.p // 16 ELSE w.source_no END, CASE WHEN w.n > 1 THEN (w.n + 15) // 16 ELSE t.n END,
+  CASE WHEN w.n > 1 THEN w.proof || array_to_string(r.hs[:(w.p % 16)::BIGINT], '') || array_to_string(r.hs[(w.p % 16 + 2)::BIGINT:], '') ELSE w.proof END
+ FROM walk w LEFT JOIN runs r ON r.s = w.tree AND r.lvl = w.lvl AND r.run = w.p // 16 LEFT JOIN tops t ON t.lvl = 0 AND t.p = w.source_no
+ WHERE w.n > 1 OR w.tree >= 0)
+SELECT w.doc_id, w.leaf, u.h AS subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = t.h AS verified
+FROM walk w JOIN up u ON u.s = w.source_no AND u.n = 1 JOIN tops t ON t.n = 1
+WHERE w.tree = -1 AND w.n = 1""",
+)
+def _(spark, folder):
+    return manifest.proof_rows(manifest.build_manifest(table(spark, folder, "documents")))
