@@ -79,3 +79,33 @@ def numbered(frame: DataFrame, group: str, order: list[str]) -> DataFrame:
         F.sum("_n").over(Window.partitionBy(group)).alias("members"),
     )
     return ranged.join(spans, [group, "_range"]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    rows: str | None = None,
+    counted: DataFrame | None = None,
+    how: str = "inner",
+    crowd: int = 10_000,
+) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key at most, so that no key gathers more rows than ``crowd``.
+
+    Keys of over ``crowd`` rows of ``left`` get several salts: their right row is repeated for each. The list of such keys
+    is sent to all tasks; it has at most one entry per ``crowd`` rows. ``rows`` names a column of ``right`` that holds a
+    key's rows of ``left``, ``counted`` a frame with the same keys as ``left`` that is cheaper to count.
+    """
+    if rows:
+        many = right.where(F.col(rows) > crowd).select(*keys, F.ceil(F.col(rows) / crowd).alias("_salts"))
+    else:
+        counts = (left if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        many = counts.where(F.col("_n") > crowd).select(*keys, F.ceil(F.col("_n") / crowd).alias("_salts"))
+    if not (many := pinned(many)).take(1):
+        return left.join(right, keys, how)
+    others = [c for c in left.columns if c not in keys] or keys
+    salt = F.coalesce(F.pmod(F.xxhash64(*others), F.col("_salts")), F.lit(0).cast("long"))
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1)
+    left = left.join(F.broadcast(many), keys, "left").withColumn("_salt", salt).drop("_salts")
+    right = right.join(F.broadcast(many), keys, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

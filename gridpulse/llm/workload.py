@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import captures, fingerprints, jaccard, languages, leaks, licenses, manifest, packing, quality, substrings, suffixes
+from gridpulse.llm import captures, fingerprints, jaccard, languages, leaks, licenses, manifest, onehash, packing, prefixes, quality, substrings, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -145,3 +145,60 @@ WHERE w.tree = -1 AND w.n = 1""",
 )
 def _(spark, folder):
     return manifest.proof_rows(manifest.build_manifest(table(spark, folder, "documents")))
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+WITH own AS (
+ SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS l
+ FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+family AS (
+ SELECT o.c, o.l, coalesce(b.l, []) AS base, ({CRC.format('o.c::VARCHAR')} % 9)::BIGINT AS h
+ FROM own o LEFT JOIN own b ON b.c = o.c - ((o.c % 5) + 5) % 5),
+rebuilt AS (SELECT c, list_concat(base[:h], l[h + 1:]) AS l FROM family),
+prefixes AS (
+ SELECT c, d, l[:d] AS key, len(l) = d AS over, CASE WHEN d > 0 THEN strlen(l[d].text) ELSE 0 END AS size
+ FROM rebuilt, unnest(range(len(l) + 1)) AS u(d)),
+nodes AS (
+ SELECT key, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n, any_value(size) AS size, bool_and(over) AS leaf,
+  sha256(coalesce(string_agg(CASE WHEN over THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+ FROM prefixes GROUP BY key),
+sums AS (
+ SELECT key[:k] AS key, sum((n - 1) * size)::BIGINT AS saved_tokens, (count(*) FILTER (leaf))::BIGINT AS n_leaves,
+  (count(*) FILTER (k = depth - 1))::BIGINT AS n_children
+ FROM nodes, unnest(range(depth + 1)) AS u(k) GROUP BY key[:k])
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.key = n.key LEFT JOIN nodes p ON n.depth > 0 AND p.key = n.key[:n.depth - 1]""",
+)
+def _(spark, folder):
+    return prefixes.prefix_nodes(table(spark, folder, "conversations"))
+
+
+@query(
+    "op13_onehash_components",
+    r"""
+WITH RECURSIVE words AS (
+ SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+ SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+ FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+ SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS nu, any_value(b.n) AS nv
+ FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM pairs WHERE 100 * c >= 80 * (nu + nv - c)),
+edges AS (
+ SELECT u, v FROM links
+ UNION ALL
+ SELECT v, u FROM links),
+reached AS (
+ SELECT doc_id, doc_id AS other FROM documents
+ UNION
+ SELECT r.doc_id, e.v FROM reached r JOIN edges e ON e.u = r.other),
+heads AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN heads USING (doc_id)""",
+)
+def _(spark, folder):
+    return onehash.near_duplicate_components(table(spark, folder, "documents"))
