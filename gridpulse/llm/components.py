@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.spark import pinned
+from gridpulse.llm.spark import stored
 
 
 def _state(edges: DataFrame):
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     No step gathers a node's neighbours: each takes a minimum per node and joins it back to the edges.
     """
-    edges = pinned(
+    edges = stored(
         edges.where(F.col("u") != F.col("v"))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v"))
-        edges = pinned(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        edges = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = _state(edges)
         if now == seen:
             break

@@ -19,6 +19,16 @@ def pinned(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame's rows as a Parquet table in the shared folder.
+
+    For steps that repeat: a checkpoint keeps the estimated size of its plan, which joins multiply from round to round.
+    """
+    path = shared_folder(frame.sparkSession, "table")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -99,10 +109,14 @@ def salted_join(
     if rows:
         many = right.where(F.col(rows) > crowd).select(*keys, F.ceil(F.col(rows) / crowd).alias("_salts"))
     else:
-        counts = (left if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        counted = left if counted is None else counted
+        if counted.count() <= crowd:
+            return left.join(right, keys, how)
+        counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         many = counts.where(F.col("_n") > crowd).select(*keys, F.ceil(F.col("_n") / crowd).alias("_salts"))
-    if not (many := pinned(many)).take(1):
+    if not many.take(1):
         return left.join(right, keys, how)
+    many = stored(many)
     others = [c for c in left.columns if c not in keys] or keys
     salt = F.coalesce(F.pmod(F.xxhash64(*others), F.col("_salts")), F.lit(0).cast("long"))
     salts = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1)
