@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -9,9 +10,23 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions.cleaning import as_column
 
-# Accented Latin letters and the plain letters that replace them, position by position.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+# Latin letters that have no canonical decomposition, and the plain letters that stand for them.
+WHOLE_LETTERS = "łŁøØđĐħĦŧŦıĿŀ"
+WHOLE_PLAIN = "lLoOdDhHtTiLl"
+
+
+def _decomposed() -> tuple[str, str]:
+    """Accented Latin letters and their plain letters, position by position, from the canonical decompositions."""
+    accented, plain = [], []
+    for point in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(point))
+        if len(base) > 1 and base[0].isascii() and base[0].isalpha():
+            accented.append(chr(point))
+            plain.append(base[0])
+    return "".join(accented) + WHOLE_LETTERS, "".join(plain) + WHOLE_PLAIN
+
+
+ACCENTED, PLAIN = _decomposed()
 
 # Words left out of token sets.
 STOP_WORDS = (

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridpulse.functions.cleaning import as_column
 from gridpulse.functions.text import plain_text, slug, tokens
 from gridpulse.operators.joins import latest_by_key
+from gridpulse.operators.vectors import cosine_top_k as cosine_top_k
 from gridpulse.scale import collect_passes
 
 # Chunk length and overlap in words, snippet length, scoring weights.
@@ -109,10 +112,11 @@ def lexical_scores(
     question: str,
     title: Column | None = None,
     tags: Column | None = None,
-    boost: Sequence[str] = (),
 ) -> DataFrame:
     """(question, chunk, score) for every pair sharing a token, weighted by text, title and tags.
 
+    For whole score lists; :func:`lexical_top_k` keeps the best of each question as it reads.
+
     The questions' tokens are the small side: chunk tokens look them up and hits are summed per
     (question, chunk) in the task that read the chunk, so a frequent token never gathers in one task.
     """
@@ -132,25 +136,166 @@ def lexical_scores(
     hits = usable.select(chunk_id, F.explode(F.when(F.size("_text") > 0, weighted)).alias("_t")).select(chunk_id, "_t.*")
     asked = questions.select(F.col(question_id), F.explode(tokens(question)).alias("token"))
     scored = hits.join(asked, "token").groupBy(question_id, chunk_id).agg(F.sum("weight").alias("score"))
-    if boost and tags is not None:
-        wanted = F.array(*[F.lit(b) for b in boost])
-        extra = usable.select(
-            F.col(chunk_id), "_text", (F.size(F.array_intersect("_tags", wanted)) * BOOST_WEIGHT).alias("_b")
-        ).where((F.col("_b") > 0) & (F.size("_text") > 0))
-        everyone = questions.select(question_id).distinct()
-        kind = everyone.schema[0].dataType
-        pairs = None
-        for rows in collect_passes(everyone, [question_id]):
-            ids = F.array(*[F.lit(r[0]).cast(kind) for r in rows]).cast(f"array<{kind.simpleString()}>")
-            part = extra.drop("_text").withColumn(question_id, F.explode(ids))
-            pairs = part if pairs is None else pairs.unionByName(part)
-        scored = (
-            scored.join(pairs, [question_id, chunk_id], "full")
-            .select(question_id, chunk_id, (F.coalesce("score", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("score"))
-        )
     return scored.where("score > 0")
 
 
+def lexical_top_k(
+    chunks: DataFrame,
+    questions: DataFrame,
+    chunk_id: str,
+    question_id: str,
+    text: str,
+    question: str,
+    k: int,
+    title: Column | None = None,
+    tags: Column | None = None,
+    boost: Sequence[str] = (),
+    context: Column | str | None = None,
+) -> DataFrame:
+    """Best ``k`` chunks of every question with ``score`` and ``rank``, ties by chunk.
+
+    A task holds ``k`` chunks per question while it reads, so the shuffle carries k rows per question and task. Once a
+    question has k, a batch is searched for it only if the most that the batch could give (all its tokens, the best title
+    and tag hits of the batch and the best boost) reaches its k-th score. A chunk's boost counts for every question: the
+    task keeps the k best boosted chunks once for all questions and adds them at its end. Questions go out in passes of
+    bounded size. ``context`` adds its tokens to the question's. A chunk without text tokens is left out, as is a question
+    without tokens where no chunk is boosted.
+    """
+    spark = chunks.sparkSession
+    fields = {"_text": (tokens(text), 1.0)}
+    if title is not None:
+        fields["_title"] = (tokens(title), TITLE_WEIGHT)
+    if tags is not None:
+        fields["_tags"] = (tokens(F.array_join(tags, " ")), TAG_WEIGHT)
+    kinds = (questions.schema[question_id].dataType, chunks.schema[chunk_id].dataType)
+    asked_kind = to_arrow_type(kinds[0])
+    schema = f"`{question_id}` {kinds[0].simpleString()}, `{chunk_id}` {kinds[1].simpleString()}, score double"
+    usable = chunks.select(chunk_id, *[words.alias(name) for name, (words, _) in fields.items()])
+    wording = F.col(question) if context is None else F.concat_ws(" ", F.col(question), as_column(context))
+    asked = questions.select(question_id, tokens(wording).alias("_q"))
+    weights = {name: weight for name, (_, weight) in fields.items()}
+    out = None
+    for part in collect_passes(asked, [question_id]):
+        if not part:
+            continue
+        shared = spark.sparkContext.broadcast(QuestionTable([r[0] for r in part], [r[1] for r in part], list(boost)))
+
+        def search(batches, shared=shared):
+            heap = BestChunks(shared.value, weights, k)
+            for batch in batches:
+                heap.read(batch.column(chunk_id), {name: batch.column(name) for name in weights})
+            yield from heap.rows(question_id, chunk_id, asked_kind)
+
+        found = usable.mapInArrow(search, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], schema + ", rank int")
+    return top_k(out, question_id, chunk_id, k)
+
+
+class QuestionTable:
+    """Tokens of a bounded number of questions: which questions hold a token, and how many tokens each has."""
+
+    def __init__(self, ids: list, words: list[list[str]], boost: list[str]):
+        self.ids, self.boost = ids, boost
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for held in words for w in held))}
+        self.words = list(known)
+        token = np.array([known[w] for held in words for w in held], np.int64)
+        owner = np.repeat(np.arange(len(words)), [len(held) for held in words])
+        order = np.argsort(token, kind="stable")
+        self.owner, self.first = owner[order], np.searchsorted(token[order], np.arange(len(known) + 1))
+        self.size = np.array([len(held) for held in words], np.float64)
+
+    def hits(self, values: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, question) of every token of a list column that a question holds."""
+        row = np.repeat(np.arange(len(values)), np.nan_to_num(pc.list_value_length(values).to_numpy(zero_copy_only=False)).astype(np.int64))
+        token = pc.index_in(values.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, token = row[token >= 0], token[token >= 0]
+        count = self.first[token + 1] - self.first[token]
+        at = np.repeat(self.first[token] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(token) else token, count) + np.arange(count.sum())
+        return np.repeat(row, count), self.owner[at]
+
+
+class BestChunks:
+    """The ``k`` best chunks of each question among those read so far, and the best boosted chunks of all."""
+
+    def __init__(self, asked: QuestionTable, weights: Mapping[str, float], k: int):
+        self.asked, self.weights, self.k = asked, weights, k
+        self.vocabulary = pa.array(asked.words, pa.string())
+        self.question, self.score, self.pool = np.zeros(0, np.int64), np.zeros(0), None
+        self.boosted, self.boost_score = None, np.zeros(0)
+        self.least = np.full(len(asked.ids), -np.inf)
+
+    def _summed(self, row: np.ndarray, question: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, place = np.unique(row * len(self.asked.ids) + question, return_inverse=True)
+        return key // len(self.asked.ids), key % len(self.asked.ids), np.bincount(place, weight, len(key))
+
+    def read(self, ids: pa.Array, lists: Mapping[str, pa.ListArray]) -> None:
+        asked = self.asked
+        has_text = np.nan_to_num(pc.list_value_length(lists["_text"]).to_numpy(zero_copy_only=False)) > 0
+        bonus = np.zeros(len(ids))
+        if asked.boost and "_tags" in lists:
+            tags = lists["_tags"]
+            row = np.repeat(np.arange(len(tags)), np.nan_to_num(pc.list_value_length(tags).to_numpy(zero_copy_only=False)).astype(np.int64))
+            wanted = pc.is_in(tags.flatten(), value_set=pa.array(asked.boost, pa.string())).to_numpy(zero_copy_only=False)
+            bonus = np.bincount(row[wanted.astype(bool)], minlength=len(ids)) * BOOST_WEIGHT
+        found = []
+        for name in [n for n in self.weights if n != "_text"]:
+            row, question = asked.hits(lists[name], self.vocabulary)
+            found.append((row, question, np.full(len(row), self.weights[name])))
+        row, question, weight = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        row, question, weight = self._summed(row, question, weight)
+        most = np.zeros(len(asked.ids))
+        np.maximum.at(most, question, weight)
+        # the most that this batch can give a question; a tie may still win by its chunk id
+        live = asked.size + most + (bonus.max() if len(bonus) else 0) >= self.least - 1e-9
+        text_row, text_question = asked.hits(lists["_text"], self.vocabulary) if live.any() else (np.zeros(0, np.int64),) * 2
+        ok = live[text_question]
+        text_row, text_question = text_row[ok], text_question[ok]
+        row, question, score = self._summed(np.append(row, text_row), np.append(question, text_question), np.append(weight, np.ones(len(text_row))))
+        score = np.round(score + bonus[row], 9)
+        ok = has_text[row] & live[question] & (score >= self.least[question])
+        self._keep(question[ok], score[ok], ids.take(pa.array(row[ok])))
+        some = np.flatnonzero(has_text & (bonus > 0))
+        if len(some):
+            held, scores = ids.take(pa.array(some)), bonus[some]
+            if self.boosted is not None:
+                held, scores = pa.concat_arrays([self.boosted, held]), np.append(self.boost_score, scores)
+            order = np.lexsort((self._places(held), -scores))[: self.k]
+            self.boosted, self.boost_score = held.take(pa.array(order)), scores[order]
+
+    @staticmethod
+    def _places(ids: pa.Array) -> np.ndarray:
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        return place
+
+    def _keep(self, question: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        pool = ids if self.pool is None else pa.concat_arrays([self.pool, ids])
+        question, score = np.append(self.question, question), np.append(self.score, score)
+        order = np.lexsort((self._places(pool), -score, question))
+        grouped = question[order]
+        begin = np.searchsorted(grouped, grouped)
+        order = order[np.arange(len(order)) - begin < self.k]
+        self.question, self.score, self.pool = question[order], score[order], pool.take(pa.array(order))
+        count = np.bincount(self.question, minlength=len(self.asked.ids))
+        last = np.cumsum(count) - 1
+        full = np.flatnonzero(count == self.k)
+        self.least[full] = self.score[last[full]]
+
+    def rows(self, question_id: str, chunk_id: str, kind: pa.DataType, step: int = 100_000):
+        if self.boosted is not None:
+            n, b = len(self.asked.ids), len(self.boosted)
+            known = {(int(q), x) for q, x in zip(self.question, self.pool.to_pylist(), strict=True)}
+            new = [(q, j) for j, x in enumerate(self.boosted.to_pylist()) for q in range(n) if (q, x) not in known] if b else []
+            if new:
+                q, j = np.array(new).T
+                self._keep(q, self.boost_score[j], self.boosted.take(pa.array(j)))
+        for a in range(0, len(self.question), step):
+            names = [self.asked.ids[i] for i in self.question[a : a + step].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, kind), self.pool.slice(a, step), pa.array(self.score[a : a + step])], names=[question_id, chunk_id, "score"])
+
+
 def top_k(scores: DataFrame, group: str, item: str, k: int, score: str = "score") -> DataFrame:
     """Best ``k`` per group, ties by item; a partial top-k runs before the shuffle."""
     order = Window.partitionBy(group).orderBy(F.desc(score), item)
@@ -172,58 +317,6 @@ def within_budget(ranked: DataFrame, group: str, text: str, budget: int, k: int,
     return rows.where((F.col("used_before") < budget) & (F.col("place") <= k))
 
 
-def cosine_top_k(
-    items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str, query_vector: str, k: int, batch: int = 2048
-) -> DataFrame:
-    """Exact cosine top-k of every query over all items.
-
-    Queries go to the tasks in batches of bounded size; each task keeps k candidates per query as it reads,
-    so the shuffle carries k rows per query and task whatever the number of items.
-    """
-    spark = items.sparkSession
-    kinds = (queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString())
-    schema = f"`{query_id}` {kinds[0]}, `{item_id}` {kinds[1]}, score double"
-    out = None
-    for part in collect_passes(queries.select(query_id, query_vector), [query_id], batch):
-        if not part:
-            continue
-        names = [r[0] for r in part]
-        matrix = np.array([r[1] for r in part], dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((names, matrix / np.where(norms == 0, 1.0, norms)))
-
-        def search(frames, shared=shared):
-            keys, unit = shared.value
-            best_score = np.full((len(keys), 0), 0.0)
-            best_item = np.empty((len(keys), 0), dtype=object)
-            for frame in frames:
-                if not len(frame):
-                    continue
-                data = np.array(frame[vector].tolist(), dtype=np.float64)
-                size = np.linalg.norm(data, axis=1)
-                scores = unit @ (data / np.where(size == 0, 1.0, size)[:, None]).T
-                ids = np.broadcast_to(frame[item_id].to_numpy(), scores.shape)
-                best_score = np.hstack([best_score, np.round(scores, 9)])
-                best_item = np.hstack([best_item, ids])
-                if best_score.shape[1] > k:
-                    order = np.array([np.lexsort((i.astype(ids.dtype), -s))[:k] for s, i in zip(best_score, best_item)])
-                    best_score = np.take_along_axis(best_score, order, axis=1)
-                    best_item = np.take_along_axis(best_item, order, axis=1)
-            width = best_score.shape[1]
-            if width:
-                yield pd.DataFrame(
-                    {
-                        query_id: np.repeat(np.array(keys, dtype=object), width),
-                        item_id: best_item.ravel(),
-                        "score": best_score.ravel(),
-                    }
-                )
-
-        found = items.select(item_id, vector).mapInPandas(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, query_id, item_id, k) if out is not None else spark.createDataFrame([], schema + ", rank int")
-
-
 def fused_scores(lexical: DataFrame, vector: DataFrame, keys: Sequence[str], weight: float = 0.5) -> DataFrame:
     """Weighted sum of both scores, each divided by the group's best; a missing side counts as zero."""
     group = Window.partitionBy(keys[0])
@@ -584,32 +677,43 @@ def mask_rows(frame: DataFrame, row_id: str, payload: str) -> DataFrame:
     ).where("relevance_score is not null")
 
 
-def bounded_memory(messages: DataFrame, conversation: str, turn: str, role: str, text: str, turns: int) -> DataFrame:
+def bounded_memory(messages: DataFrame, conversation: str, turn: str, role: str, text: str, turns: int, topic_chars: int = 220) -> DataFrame:
     """Last ``2 * turns`` messages per conversation plus one digest row for the messages left out.
 
     The recent rows are a partial top-k, the rest is summed up by mergeable aggregates only, so a very long
     conversation never gathers in one task. The digest id hashes the combined message hashes. Messages of one turn are
-    ordered by a hash of their role and text; equal ones count as one.
+    ordered by a hash of their role and text; equal ones are messages like others. Topics are cut at ``topic_chars``.
     """
     mark = F.md5(F.concat_ws(":", F.col(turn).cast("string"), F.col(role), F.col(text)))
-    rows = messages.select(conversation, turn, role, text).distinct().withColumn("_order", F.struct(F.col(turn), mark))
+    rows = messages.select(conversation, turn, role, text).withColumn("_order", F.struct(F.col(turn), mark))
     back = Window.partitionBy(conversation).orderBy(F.desc("_order"))
     recent = rows.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= 2 * turns).drop("_back")
-    cut = recent.groupBy(conversation).agg(F.min("_order").alias("_cut"))
-    brief = F.substring(squeeze(text), 1, 220)
+    cut = recent.groupBy(conversation).agg(F.min("_order").alias("_cut"), F.count(F.lit(1)).alias("_all"))
+    at_cut = recent.join(cut, conversation).where(F.col("_order") == F.col("_cut")).groupBy(conversation).agg(F.count(F.lit(1)).alias("_held"))
+    cut = cut.select(conversation, "_cut").join(at_cut, conversation)
+    brief = F.substring(squeeze(text), 1, topic_chars)
     number = F.conv(F.substring(mark, 1, 15), 16, 10).cast("long")
+    # copies of the oldest recent message that are not recent themselves are left out too
+    early, equal = F.col("_order") < F.col("_cut"), F.col("_order") == F.col("_cut")
+    more = F.count_if(equal) - F.max("_held")
+
+    def counted(test: Column) -> Column:
+        return F.count_if(early & test) + F.when(F.bool_or(equal & test), more).otherwise(0)
+
     left = (
         rows.join(cut, conversation)
-        .where(F.col("_order") < F.col("_cut"))
+        .where(early | equal)
         .groupBy(conversation)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col(role) == "user").alias("users"),
-            F.count_if(F.col(role) == "assistant").alias("assistants"),
+            counted(F.lit(True)).alias("n"),
+            counted(F.coalesce(F.col(role) == "user", F.lit(False))).alias("users"),
+            counted(F.coalesce(F.col(role) == "assistant", F.lit(False))).alias("assistants"),
             F.min_by(brief, F.col("_order")).alias("first"),
-            F.max_by(brief, F.col("_order")).alias("last"),
-            F.bit_xor(number).alias("mark"),
+            F.when(more > 0, F.max_by(brief, F.col("_order"))).otherwise(F.max_by(F.when(early, brief), F.when(early, F.col("_order")))).alias("last"),
+            F.bit_xor(F.when(early, number)).alias("mark"),
         )
+        .where("n > 0")
+        .withColumn("mark", F.coalesce("mark", F.lit(0)))
     )
     none = F.lit("N/D")
     digest = left.select(

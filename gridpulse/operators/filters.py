@@ -48,8 +48,11 @@ def coerce_window(
 
 
 def in_window(frame: DataFrame, start: date | None, end: date | None, day: str = "day") -> DataFrame:
+    """Rows of the window; a stored table's ``month`` partitions outside it are not read."""
     if start is None or end is None:
         return frame
+    if day == "day" and dict(frame.dtypes).get("month") == "date":
+        frame = frame.where(F.col("month").between(F.lit(start.replace(day=1)), F.lit(end)))
     return frame.where(F.col(day).between(F.lit(start), F.lit(end)))
 
 
@@ -109,7 +112,10 @@ def filter_predicates(
         if name not in columns or first in (None, ""):
             continue
         if kind == KIND_CHOICE:
-            out.append(F.col(name).cast("string") == str(first))
+            kind_of = dict(frame_types or {}).get(name, "string")
+            number = kind_of in ("tinyint", "smallint", "int", "bigint")
+            # the argument takes the column's type, so that the test reaches the scan
+            out.append(F.col(name) == F.lit(str(first)).try_cast(kind_of) if number else F.col(name).cast("string") == str(first))
         elif kind == KIND_RANGE and second not in (None, "") and first in _COMPARE:
             try:
                 out.append(_COMPARE[first](F.col(name).cast("double"), float(str(second).replace(",", "."))))
@@ -166,8 +172,8 @@ def explorer_filter(
     return out
 
 
-def lon_lat_share(frame: DataFrame, lon: Sequence[str], lat: Sequence[str]) -> DataFrame:
-    """Rows, rows whose coordinates are all in range, and the 95 % verdict."""
+def lon_lat_share(frame: DataFrame, lon: Sequence[str], lat: Sequence[str], least: float = 0.95) -> DataFrame:
+    """Rows, rows whose coordinates are all in range, and whether their share is ``least`` or more."""
     good = None
     for names, edge in ((lon, 180.0), (lat, 90.0)):
         for name in names:
@@ -175,7 +181,7 @@ def lon_lat_share(frame: DataFrame, lon: Sequence[str], lat: Sequence[str]) -> D
             good = test if good is None else good & test
     return frame.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(good, F.lit(False))).alias("valid")
-    ).withColumn("lon_lat_ok", F.coalesce((F.col("total") > 0) & (F.col("valid") / F.col("total") >= 0.95), F.lit(False)))
+    ).withColumn("lon_lat_ok", F.coalesce((F.col("total") > 0) & (F.col("valid") / F.col("total") >= least), F.lit(False)))
 
 
 def period_mask(frame: DataFrame, period: str | None, municipality: str | None, date_column: str, name: str = "municipality") -> DataFrame:

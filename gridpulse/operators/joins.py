@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.cleaning import clean_text
-from gridpulse.scale import collect_passes
+from gridpulse.operators.patterns import matched_patterns, rule_matches
 
 
 class DuplicateKeyError(ValueError):
@@ -222,57 +222,12 @@ def first_match(
     return out.withColumns(picked).drop(*spare)
 
 
-def wildcard_regex(pattern: str) -> str:
-    """Anchored upper-case expression of a shell-style pattern."""
-    import re
-
-    body = "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in pattern.upper())
-    return f"^{body}$"
-
-
-def _matched_patterns(names: DataFrame, name: str, patterns: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(pattern fields, name) for every name that fits a pattern.
-
-    Exact patterns are joined by value. True wildcards are configuration: they travel as literals, in passes
-    of bounded size, and every name is tested in place.
-    """
-    distinct = names.select(F.upper(F.trim(name)).alias("_name"), F.col(name).alias("name")).distinct()
-    table = patterns.select(*fields, "pattern").distinct().withColumn("_wild", F.col("pattern").rlike("[*?]"))
-    out = (
-        table.where(~F.col("_wild"))
-        .withColumn("_name", F.upper("pattern"))
-        .join(distinct, "_name")
-        .select(*fields, "name")
-    )
-    kinds = {f.name: f.dataType for f in table.schema.fields}
-    for rows in collect_passes(table.where("_wild"), [*fields, "pattern"], 2_000):
-        if not rows:
-            continue
-        rules = F.array(
-            *[
-                F.struct(
-                    *[F.lit(r[f]).cast(kinds[f]).alias(f) for f in fields],
-                    F.lit(wildcard_regex(r["pattern"])).alias("_regex"),
-                )
-                for r in rows
-            ]
-        )
-        hits = distinct.select(
-            "name", F.explode(F.filter(rules, lambda rule: F.rlike(F.col("_name"), rule["_regex"]))).alias("_r")
-        ).select(*[F.col(f"_r.{f}").alias(f) for f in fields], "name")
-        out = out.unionByName(hits)
-    return out.distinct()
-
-
 def wildcard_rules(rules: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
     """Rules kept when a name fits an origin or a destination pattern, with the sorted matches of each side.
 
-    ``rules``: rule_id, weight, origin array, destination array.
+    For the few names of one context; :func:`rule_matches` gives a row per match and takes any number of names.
     """
-    sides = rules.select("rule_id", F.lit("origin").alias("side"), F.explode("origin").alias("pattern")).unionByName(
-        rules.select("rule_id", F.lit("destination").alias("side"), F.explode("destination").alias("pattern"))
-    )
-    hits = _matched_patterns(names, name, sides, ["rule_id", "side"])
+    hits = rule_matches(rules, names, name)
     lists = hits.groupBy("rule_id").agg(
         F.sort_array(F.collect_set(F.when(F.col("side") == "origin", F.col("name")))).alias("matched_origin"),
         F.sort_array(F.collect_set(F.when(F.col("side") == "destination", F.col("name")))).alias(
@@ -292,7 +247,7 @@ def catalogue_match(catalogue: DataFrame, names: DataFrame, name: str = "name")
     patterns = catalogue.select(
         "variable", "mode_id", F.explode(F.array_union(F.array("variable"), "aliases")).alias("pattern")
     )
-    hits = _matched_patterns(names, name, patterns, ["variable", "mode_id"])
+    hits = matched_patterns(names, name, patterns, ["variable", "mode_id"])
     found = hits.groupBy("variable", "mode_id").agg(F.sort_array(F.collect_set("name")).alias("matched_names"))
     modes = found.groupBy("mode_id").agg(F.sort_array(F.collect_list("variable")).alias("matched_variables"))
     return found, modes

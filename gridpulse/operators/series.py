@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.metrics import METRIC_KEYS, metric_key
-from gridpulse.session import ensure_checkpoint_dir
+from gridpulse.scale import RoundTables
 
 
 @dataclass(frozen=True)
@@ -289,11 +289,17 @@ def sustained_periods(
 
 
 def quality_flags(
-    daily: DataFrame, by: Sequence[str], metrics: Sequence[str] = METRIC_KEYS, day: str = "day", events: DataFrame | None = None
+    daily: DataFrame,
+    by: Sequence[str],
+    metrics: Sequence[str] = METRIC_KEYS,
+    day: str = "day",
+    events: DataFrame | None = None,
+    expected: DataFrame | None = None,
 ) -> DataFrame:
     """Sorted flags per series: invalid, missing or repeated dates, negative values, short or empty window.
 
-    With ``events`` given, a series without any event row and with impact is flagged as unattributed.
+    With ``events`` given, a series without any event row and with impact is flagged as unattributed. Series of
+    ``expected`` that have no row at all are flagged as empty.
     """
     num = {m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in metrics}
     per_day = daily.groupBy(*by, day).agg(
@@ -325,7 +331,11 @@ def quality_flags(
         ("missing_event_attribution", unattributed),
     ]
     listed = F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in flags])))
-    return stats.select(*by, listed.alias("flags"))
+    out = stats.select(*by, listed.alias("flags"))
+    if expected is not None:
+        absent = expected.select(*by).distinct().join(daily.select(*by).distinct(), list(by), "left_anti")
+        out = out.unionByName(absent.withColumn("flags", F.array(F.lit("empty_time_series"))))
+    return out
 
 
 def attribution_items(
@@ -335,9 +345,12 @@ def attribution_items(
     limit: int = 5,
     impact: str = "uiti_total",
     score: Column | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Top labels per group and dimension, ranked by score, event count and duration.
 
+    The share is of the group's own score, or of its ``total`` in ``totals`` (``by`` and ``total``) where that is given.
+
     ``frame`` has uiti_total, uiti_vano_total, event_count, duration_raw_total, users_affected_total. Blank
     labels become "Sin dato"; groups whose event counts sum to zero count rows instead. Every dimension is
     served by one unpivot and one aggregation.
@@ -358,11 +371,15 @@ def attribution_items(
         F.count(F.lit(1)).alias("_rows"),
     )
     grouped = grouped.withColumn("impact_score", score if score is not None else F.col(impact))
+    # read twice below; stored, so that the rows behind it are read once
+    grouped = RoundTables(frame.sparkSession).store(grouped)
     keys = [*by, "dimension"]
-    totals = grouped.groupBy(*keys).agg(F.sum("event_count").alias("_events"), F.sum("impact_score").alias("_total"))
+    sums = grouped.groupBy(*keys).agg(F.sum("event_count").alias("_events"), F.sum("impact_score").alias("_total"))
+    if totals is not None:
+        sums = sums.drop("_total").join(totals.select(*by, F.col("total").alias("_total")), list(by), "left")
     counted = F.when(F.col("_events") == 0, F.col("_rows").cast("double")).otherwise(F.col("event_count"))
     share = F.when(F.col("_total") > 0, F.round(F.col("impact_score") / F.col("_total"), 4))
-    grouped = grouped.join(totals, keys).withColumns({"event_count": counted, "contribution_pct": share}).drop(
+    grouped = grouped.join(sums, keys).withColumns({"event_count": counted, "contribution_pct": share}).drop(
         "_rows", "_events", "_total"
     )
     # ranking alone in its window keeps the partial top-k before the shuffle, however many labels a group has
@@ -397,6 +414,14 @@ def daily_signals(frame: DataFrame, by: Sequence[str], columns: Sequence[str]) -
     return tall.where("total is not null").withColumn("total", F.round("total", 2))
 
 
+# Names of the label lists of a point, in the order in which the leading group is looked for.
+GROUPS = {"cause": "top_causes", "event_family": "top_event_families", "equipment": "top_equipment", "circuit": "top_circuits"}
+
+
+def group_name(dimension: str) -> str:
+    return GROUPS.get(dimension, f"top_{dimension}")
+
+
 def enrich_points(
     points: DataFrame,
     attribution: DataFrame,
@@ -405,36 +430,48 @@ def enrich_points(
     dimensions: Sequence[str] = ("cause", "event_family", "equipment", "circuit"),
     environment: DataFrame | None = None,
     signals: Sequence[str] = (),
+    metric: str = "UITI",
 ) -> DataFrame:
     """Points with the top labels per dimension, top events, signals, flags and confidence.
 
-    The few points are checkpointed once, then every detail table is cut down by a semi-join on their
-    (series, day) keys, which AQE broadcasts by measured size, before anything is ranked.
+    A day without attribution rows is attributed by its event rows, for the dimensions that ``details`` has. Label shares
+    are of the point's own ``metric``. Points, and the attribution and event rows of their (series, day) keys, are stored
+    once and read by every later step.
     """
     keys = list(by)
-    ensure_checkpoint_dir(points.sparkSession)
-    points = points.checkpoint()
+    tables = RoundTables(points.sparkSession)
+    points = tables.store(points)
     chosen = points.select(*keys).distinct()
-    sources = attribution.join(chosen, keys, "left_semi")
-    items = attribution_items(sources, keys, dimensions)
+    sums = ["event_count", "uiti_total", "uiti_vano_total", "duration_raw_total", "users_affected_total"]
+    own = [d for d in dimensions if d not in keys]
+    sources = tables.store(attribution.join(chosen, keys, "left_semi").select(*keys, *own, *sums))
+    events = tables.store(details.join(chosen, keys, "left_semi"))
+    bare = chosen.join(sources.select(*keys).distinct(), keys, "left_anti")
+    totals = {"uiti_total": "UITI", "uiti_vano_total": "UITI_VANO", "duration_raw_total": "DURATION_RAW", "users_affected_total": "USERS"}
+    loose = events.join(bare, keys, "left_semi").withColumn("event_count", F.lit(0)).withColumns({k: F.col(v) for k, v in totals.items()})
+    share = points.select(*keys, F.col(metric).alias("total"))
+    items = attribution_items(sources, keys, dimensions, totals=share)
+    if there := [d for d in dimensions if d in events.columns]:
+        items = items.unionByName(attribution_items(loose, keys, there, totals=share))
     item = F.struct("rank", "label", "event_count", "uiti_total", "uiti_vano_total", "duration_raw_total", "users_affected_total", "contribution_pct")
-    names = {d: f"top_{d}" for d in dimensions}
+    names = {d: group_name(d) for d in dimensions}
     lists = items.groupBy(*keys).agg(
         *[F.array_sort(F.collect_list(F.when(F.col("dimension") == d, item))).alias(n) for d, n in names.items()]
     )
-    events = details.join(chosen, keys, "left_semi")
     best = top_events(events, keys)
     event = F.struct("rank", "event_id", F.round("impact_score", 4).alias("impact_score"), "DURATION_RAW", "USERS")
     event_lists = best.groupBy(*keys).agg(F.array_sort(F.collect_list(event)).alias("top_events"))
-    totals = events.groupBy(*keys).agg(
+    counts = events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_events"), F.sum(F.coalesce(F.col("UITI_VANO"), F.lit(0.0))).alias("_impact")
     )
-    out = points.join(lists, keys, "left").join(event_lists, keys, "left").join(totals, keys, "left")
+    attributed = sources.select(*keys).distinct().withColumn("_attributed", F.lit(True))
+    out = points.join(lists, keys, "left").join(event_lists, keys, "left").join(counts, keys, "left").join(attributed, keys, "left")
+    out = out.withColumns({n: F.coalesce(n, F.array().cast(out.schema[n].dataType)) for n in [*names.values(), "top_events"]})
     if environment is not None and signals:
         sig = daily_signals(environment.join(chosen, keys, "left_semi"), keys, signals)
         sig = sig.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("signal", "total"))).alias("external_signals"))
         out = out.join(sig, keys, "left")
-    no_source = F.col(list(names.values())[0]).isNull() & F.col("_events").isNull()
+    no_source = F.col("_attributed").isNull() & F.col("_events").isNull()
     flags = F.array_compact(
         F.array(
             F.when(no_source & (F.col("EVENT_COUNT") > 0), F.lit("missing_event_attribution")),
@@ -445,7 +482,7 @@ def enrich_points(
     return out.withColumn(
         "confidence",
         F.when(F.size("data_quality_flags") > 0, "low").when(no_source, "medium").otherwise("high"),
-    ).drop("_events", "_impact")
+    ).drop("_events", "_impact", "_attributed")
 
 
 def trend_summary(series: DataFrame, by: Sequence[str], metric: str = "UITI", day: str = "day") -> DataFrame:

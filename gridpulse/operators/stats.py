@@ -13,14 +13,18 @@ from gridpulse.scale import exact_quantiles, global_position
 def histogram(frame: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins from minimum to maximum with counts and probabilities; empty bins are listed.
 
-    One pass finds the limits, one pass counts; a constant column gets a width of one around its value.
+    One pass finds the limits, one pass counts; a constant column gets a width of one around its value. Values that are
+    not finite take no part in limits and probabilities; where there are any, a row without bin counts them.
     """
-    value = F.col(column).cast("double")
-    row = frame.agg(F.min(value).alias("a"), F.max(value).alias("b"), F.count(value).alias("n")).first()
+    raw = F.col(column).cast("double")
+    finite = ~F.isnan(raw) & (F.abs(raw) < float("inf"))
+    value = F.when(finite, raw)
+    row = frame.agg(F.min(value).alias("a"), F.max(value).alias("b"), F.count(value).alias("n"), F.count_if(~finite).alias("odd")).first()
     spark = frame.sparkSession
     schema = "bin int, low double, high double, n long, probability double"
+    odd = spark.createDataFrame([(None, None, None, row["odd"], None)] if row["odd"] else [], schema)
     if not row["n"]:
-        return spark.createDataFrame([], schema)
+        return odd
     low, high = float(row["a"]), float(row["b"])
     if low == high:
         low, high = low - 0.5, high + 0.5
@@ -28,13 +32,14 @@ def histogram(frame: DataFrame, column: str, bins: int = 30) -> DataFrame:
     slot = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
     counts = frame.where(value.isNotNull()).groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return edges.join(counts, "bin", "left").select(
+    binned = edges.join(counts, "bin", "left").select(
         "bin",
         (F.lit(low) + F.col("bin") * width).alias("low"),
         (F.lit(low) + (F.col("bin") + 1) * width).alias("high"),
         F.coalesce("n", F.lit(0)).alias("n"),
         (F.coalesce("n", F.lit(0)) / F.lit(row["n"])).alias("probability"),
     )
+    return binned.unionByName(odd) if row["odd"] else binned
 
 
 def density(frame: DataFrame, column: str, grid: Sequence[float], by: str | None = None, bandwidth: float | None = None) -> DataFrame:

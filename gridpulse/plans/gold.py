@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions.cleaning import (
@@ -24,6 +24,7 @@ from gridpulse.operators.filters import lon_lat_share
 from gridpulse.operators.joins import Dimension, star_join
 from gridpulse.operators.reshape import filter_index, point_layer
 from gridpulse.sources.readers import with_columns_present
+from gridpulse.sources.writers import write_table
 
 
 @dataclass(frozen=True)
@@ -159,9 +160,9 @@ def span_assets(src: StarSources, map_day: str) -> DataFrame:
     )
 
 
-def map_tables(fact: DataFrame, assets: DataFrame, distinct_switches: bool = False) -> dict[str, DataFrame]:
-    """Point, segment and filter-index tables; all empty unless 95 % of the spans have valid coordinates."""
-    ok = lon_lat_share(assets, ["longitude", "longitude_end"], ["latitude", "latitude_end"]).first()["lon_lat_ok"]
+def map_tables(fact: DataFrame, assets: DataFrame, distinct_switches: bool = False, least_valid: float = 0.95) -> dict[str, DataFrame]:
+    """Point, segment and filter-index tables; all empty unless ``least_valid`` of the spans have valid coordinates."""
+    ok = lon_lat_share(assets, ["longitude", "longitude_end"], ["latitude", "latitude_end"], least_valid).first()["lon_lat_ok"]
     gate = F.lit(bool(ok))
     events = fact.select(
         F.lit("Eventos Vano").alias("asset_family"),
@@ -215,3 +216,22 @@ def gold_tables(fact: DataFrame, weather: DataFrame | None = None, weather_colum
             "environment_family", F.lit("Clima")
         )
     return out
+
+
+def store_gold(tables: Mapping[str, DataFrame], folder: str, spread: int = 8) -> None:
+    """Write gold tables below ``folder``; those with a ``day`` are partitioned by its month.
+
+    Rows of a month go to ``spread`` files by day, so that a busy month is written by several tasks.
+    """
+    for name, frame in tables.items():
+        path = f"{folder.rstrip('/')}/{name}"
+        if "day" not in frame.columns:
+            write_table(frame, path)
+            continue
+        dated = frame.withColumn("month", F.trunc("day", "MM"))
+        write_table(dated.repartition("month", F.pmod(F.xxhash64("day"), F.lit(spread))), path, partition_by=["month"])
+
+
+def load_gold(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Stored gold tables; ``month`` filters, which ``in_window`` adds, prune their folders."""
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}

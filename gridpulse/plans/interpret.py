@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions.metrics import METRIC_KEYS, METRIC_TOTALS, metric_key
 from gridpulse.operators.aggregates import window_totals
 from gridpulse.operators.filters import choose_circuits, coerce_window, date_bounds, in_window
 from gridpulse.operators.series import (
+    GROUPS,
     Thresholds,
     attribution_items,
     enrich_points,
@@ -100,7 +101,7 @@ def interpretability(
     return {
         "points": enriched,
         "periods": sustained_periods(series, by, metric),
-        "flags": quality_flags(window, by),
+        "flags": quality_flags(window, by, expected=chosen),
         "history_totals": window_totals(history, {k: k for k in METRIC_KEYS}, by),
         "history_trend": trend_summary(history, by, metric),
         "history_points": critical_points(history, by, metric, max_points=max_points),
@@ -111,26 +112,43 @@ def interpretability(
     }
 
 
-def insight_lines(points: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
-    """One fixed-text line per series about its top point."""
-    counted = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    first = points.where("rank = 1").join(counted, list(by))
+def plain_number(name: str, digits: int) -> Column:
+    """Rounded value as plain decimal text with at least one decimal, never with an exponent."""
+    text = F.regexp_replace(F.round(F.coalesce(F.col(name), F.lit(0.0)), digits).cast(f"decimal(38,{digits})").cast("string"), "0+$", "")
+    return F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+
+
+# Sentences about the strongest point of a series, and about a series without one.
+NO_POINTS = (
+    "No se detectaron puntos criticos entre {start} y {end}. "
+    "La serie no muestra picos, aportes concentrados ni cambios bruscos bajo los umbrales actuales."
+)
+NO_GROUP = "sin agrupacion dominante disponible"
 
-    def number(name: str, digits: int = 4):
-        return F.round(F.col(name), digits).cast("string")
 
-    leading = F.lit("sin agrupacion dominante disponible")
-    for name in reversed([c for c in points.columns if c.startswith("top_") and c != "top_events"]):
+def insight_lines(points: DataFrame, by: Sequence[str], start: str, end: str, series: DataFrame | None = None) -> DataFrame:
+    """One fixed-text line per series about its top point; series of ``series`` without points get a line that says so.
+
+    The leading group is the first label of the first of causes, families, equipment and circuits that has one.
+    """
+    counted = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    first = points.where("rank = 1").join(counted, list(by))
+    leading = F.lit(NO_GROUP)
+    for name in reversed([n for n in GROUPS.values() if n in points.columns]):
         item = F.get(F.col(name), F.lit(0))
         leading = F.when(item.isNotNull(), F.concat(item["label"], F.lit(f" ({name})"))).otherwise(leading)
     text = F.concat(
         F.lit("Se detectaron "), F.col("_n").cast("string"), F.lit(f" eventos de interes entre {start} y {end}. "),
         F.lit("El evento de mayor criticidad fue "), F.col("day").cast("string"),
-        F.lit(", con UITI="), number("UITI"), F.lit(" y UITI_VANO="), number("UITI_VANO"),
+        F.lit(", con UITI="), plain_number("UITI", 4), F.lit(" y UITI_VANO="), plain_number("UITI_VANO", 4),
         F.lit(". Se selecciono por: "), F.coalesce(F.nullif(F.col("selection_reason"), F.lit("")), F.array_join("criticality_types", ", ")),
-        F.lit(". En ese dia se registraron "), F.col("EVENT_COUNT").cast("long").cast("string"), F.lit(" eventos, "),
-        number("DURATION_RAW", 2), F.lit(" unidades de duracion fuente acumulada y "), number("USERS", 2),
+        F.lit(". En ese dia se registraron "), F.coalesce(F.col("EVENT_COUNT"), F.lit(0)).cast("long").cast("string"), F.lit(" eventos, "),
+        plain_number("DURATION_RAW", 2), F.lit(" unidades de duracion fuente acumulada y "), plain_number("USERS", 2),
         F.lit(" usuarios afectados. La principal agrupacion observada fue "), leading,
         F.lit(". Los intervalos sin evento registrado no se interpretan como anomalias por si mismos."),
     )
-    return first.select(*by, text.alias("insight"))
+    lines = first.select(*by, text.alias("insight"))
+    if series is None:
+        return lines
+    none = F.lit(NO_POINTS.format(start=start, end=end))
+    return series.select(*by).distinct().join(lines, list(by), "left").withColumn("insight", F.coalesce("insight", none))

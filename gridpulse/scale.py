@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -12,6 +13,33 @@ from gridpulse.session import ensure_checkpoint_dir
 PASS_ROWS = 20_000
 
 
+class RoundTables:
+    """Parquet tables of a repeated step in the shared checkpoint folder.
+
+    A table read back has the size of its files, whereas the estimated size of a checkpointed join grows from round to
+    round. A table that no later round reads can be dropped.
+    """
+
+    def __init__(self, spark):
+        self.spark, self.folder = spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def store(self, frame: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        out = self.spark.read.schema(frame.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Removes tables that :meth:`store` returned."""
+        jvm = self.spark._jvm
+        for frame in frames:
+            if path := self.paths.pop(id(frame), None):
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def collect_passes(frame: DataFrame, keys: Sequence[str], rows: int = PASS_ROWS):
     """Yields the rows of a configuration-like frame in passes of about ``rows``, so that any number is handled.
 

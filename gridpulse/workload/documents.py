@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.operators import documents as D
 from gridpulse.operators import series as S
+from gridpulse.operators import vectors as V
 from gridpulse.plans import interpret
 from gridpulse.workload.cleaning import sql_plain, sql_tokens
 from gridpulse.workload.registry import query, stream_daily, text_day
@@ -67,14 +68,37 @@ sc AS (SELECT item_id, doc_id, n_chars, round(len(list_intersect(q, tx)) + 1.7::
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)"""
 
 
-def _scores(t):
-    scores = D.lexical_scores(t.spread("documents"), t.benchmark, "doc_id", "item_id", "text", "text", title=F.concat_ws(" ", "lang", "source"))
-    return scores.withColumn("score", F.round("score", 4))
+def _best(t, k):
+    best = D.lexical_top_k(t.spread("documents"), t.benchmark, "doc_id", "item_id", "text", "text", k, title=F.concat_ws(" ", "lang", "source"))
+    return best.withColumn("score", F.round("score", 4))
 
 
 @query("d04_lexical_top_k", f"WITH {SCORES} SELECT item_id, doc_id, score, rank FROM rk WHERE rank <= 10")
 def _(t):
-    return D.top_k(_scores(t), "item_id", "doc_id", 10)
+    return _best(t, 10)
+
+
+@query(
+    "d04_boosted_top_k",
+    f"WITH {SCORES}, tg AS (SELECT doc_id, {sql_tokens('source')} AS tg FROM documents), "
+    "bo AS (SELECT item_id, dt.doc_id, round(len(list_intersect(q, tx)) + 1.3::DOUBLE * len(list_intersect(q, tg)) + 2.0::DOUBLE * len(list_intersect(['src1', 'src3'], tg)), 4) AS score "
+    "FROM qt, dt JOIN tg ON tg.doc_id = dt.doc_id WHERE len(tx) > 0) "
+    "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bo WHERE score > 0 QUALIFY rank <= 7",
+)
+def _(t):
+    best = D.lexical_top_k(
+        t.spread("documents"), t.benchmark, "doc_id", "item_id", "text", "text", 7, tags=F.array("source"), boost=["src1", "src3"]
+    )
+    return best.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "d04_all_scores",
+    f"WITH {SCORES} SELECT doc_id, count(*) AS questions, round(sum(score), 4) AS score FROM rk GROUP BY doc_id",
+)
+def _(t):
+    scores = D.lexical_scores(t.spread("documents"), t.benchmark, "doc_id", "item_id", "text", "text", title=F.concat_ws(" ", "lang", "source"))
+    return scores.groupBy("doc_id").agg(F.count(F.lit(1)).alias("questions"), F.round(F.sum(F.round("score", 4)), 4).alias("score"))
 
 
 @query(
@@ -83,7 +107,7 @@ def _(t):
     "SELECT item_id, doc_id, rank, CAST(sl AS BIGINT) AS snippet_chars FROM u WHERE used < 2500 AND place <= 5",
 )
 def _(t):
-    ranked = D.top_k(_scores(t), "item_id", "doc_id", 15).join(t.documents.select("doc_id", "text"), "doc_id")
+    ranked = _best(t, 15).join(t.documents.select("doc_id", "text"), "doc_id")
     return D.within_budget(ranked, "item_id", "text", 2500, 5).select("item_id", "doc_id", "rank", F.length("snippet").cast("long").alias("snippet_chars"))
 
 
@@ -101,29 +125,56 @@ def _(t):
 
 
 CENTRES = "ctr AS (SELECT label AS query_id, " + ", ".join(f"avg(embedding[{i}]::DOUBLE) AS d{i}" for i in range(1, 65)) + " FROM embeddings GROUP BY label)"
-
-
-@query(
-    "d06_cosine_top_k",
+EXACT = (
     f"WITH {CENTRES}, cv AS (SELECT query_id, [{', '.join(f'd{i}' for i in range(1, 65))}] AS q FROM ctr), s AS (SELECT query_id, vec_id, list_cosine_similarity(q, CAST(embedding AS DOUBLE[])) AS score FROM cv, embeddings) "
-    "SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) <= 10",
+    "SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) <= 10"
 )
-def _(t):
+
+
+def _label_means(t):
     means = t.embeddings.groupBy("label").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(64)])
-    queries = means.select(F.col("label").alias("query_id"), F.array(*[f"d{i}" for i in range(64)]).alias("q"))
-    out = D.cosine_top_k(t.embeddings, queries, "vec_id", "query_id", "embedding", "q", 10)
+    return means.select(F.col("label").alias("query_id"), F.array(*[f"d{i}" for i in range(64)]).alias("q"))
+
+
+@query("d06_cosine_top_k", EXACT)
+def _(t):
+    out = V.cosine_top_k(t.embeddings, _label_means(t), "vec_id", "query_id", "embedding", "q", 10)
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("d06_indexed_all_lists", EXACT)
+def _(t):
+    """The index with every list probed, which is exact."""
+    index = V.build_index(t.embeddings, "vec_id", "embedding")
+    out = V.search_index(index, _label_means(t), "query_id", "q", 10, probes=len(index.centres))
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("d06_index_recall")
+def _(t):
+    """Share of the exact ten neighbours that the index finds by its usual probes, every embedding being a query."""
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = V.cosine_top_k(t.embeddings, queries, "vec_id", "query_id", "embedding", "q", 10)
+    found = V.search_index(V.build_index(t.embeddings, "vec_id", "embedding"), queries, "query_id", "q", 10)
+    return V.recall_per_query(found, exact, "query_id", "vec_id")
+
+
 @query(
     "d06_fused_scores",
-    f"WITH {SCORES}, f AS (SELECT item_id, doc_id, score, score / max(score) OVER (PARTITION BY item_id) AS a, (1.0::DOUBLE / (1 + n_chars)) / max(1.0::DOUBLE / (1 + n_chars)) OVER (PARTITION BY item_id) AS b FROM rk) "
-    "SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT item_id, doc_id, 0.5::DOUBLE * a + 0.5::DOUBLE * b AS score FROM f) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 5",
+    f"WITH {SCORES}, cs AS (SELECT q.vec_id AS item_id, e.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score "
+    "FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings e), "
+    "vs AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50), "
+    "a AS (SELECT item_id, doc_id, score / max(score) OVER (PARTITION BY item_id) AS a FROM rk WHERE rank <= 50), "
+    "b AS (SELECT item_id, doc_id, score / max(score) OVER (PARTITION BY item_id) AS b FROM vs), "
+    "f AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, 0.5::DOUBLE * coalesce(a, 0) + 0.5::DOUBLE * coalesce(b, 0) AS score "
+    "FROM a FULL JOIN b ON a.item_id = b.item_id AND a.doc_id = b.doc_id) "
+    "SELECT item_id, doc_id, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 5",
 )
 def _(t):
-    lexical = _scores(t)
-    other = lexical.join(t.documents.select("doc_id", F.length(F.trim("text")).alias("n")), "doc_id").select("item_id", "doc_id", (1.0 / (1 + F.col("n"))).alias("score"))
-    fused = D.fused_scores(lexical, other, ["item_id", "doc_id"]).withColumn("score", F.round("score", 9))
+    """Words and vectors: an item's vector is the embedding of its number, a document's likewise."""
+    asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
+    near = V.cosine_top_k(t.embeddings, asked, "vec_id", "item_id", "embedding", "q", 50).withColumnRenamed("vec_id", "doc_id")
+    fused = D.fused_scores(_best(t, 50), near, ["item_id", "doc_id"]).withColumn("score", F.round("score", 9))
     return D.top_k(fused, "item_id", "doc_id", 5).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -142,7 +193,7 @@ def _(t):
     f"WITH {SCORES} SELECT item_id, CAST(rank AS INTEGER) AS citation_no, 'd' || rk.doc_id AS id, source AS title, md5(left(text, 900)) AS snippet_md5, score FROM rk JOIN documents d ON d.doc_id = rk.doc_id WHERE rank <= 3",
 )
 def _(t):
-    top = D.top_k(_scores(t), "item_id", "doc_id", 3).join(t.documents.select("doc_id", "source", "text"), "doc_id")
+    top = _best(t, 3).join(t.documents.select("doc_id", "source", "text"), "doc_id")
     item = F.struct("rank", F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.col("source").alias("title"), "text", "score")
     lists = top.groupBy("item_id").agg(F.array_sort(F.collect_list(item)).alias("chunks"))
     return D.citation_rows(lists, "item_id", "chunks").select("item_id", "citation_no", "id", "title", F.md5("snippet").alias("snippet_md5"), "score")

@@ -8,6 +8,7 @@ from gridpulse.operators import joins as J
 from gridpulse.operators import quality as Q
 from gridpulse.operators import reshape as R
 from gridpulse.operators import spatial as X
+from gridpulse.operators.patterns import rule_matches
 from gridpulse.workload.registry import FACT, fact, places, query, r4, text_day
 
 
@@ -285,6 +286,23 @@ def _(t):
     return out.select("rule_id", "match_strength", F.array_join("matched_origin", ",").alias("origins"), F.array_join("matched_destination", ",").alias("destinations"))
 
 
+@query(
+    "j16_rule_matches",
+    "WITH n AS (SELECT DISTINCT p_name AS name FROM part), r(rule_id, w, side, re) AS (VALUES ('c1', 0.5::DOUBLE, 'origin', '^[B-R]L?[A-U]E? .*$'), ('c1', 0.5, 'destination', '^[^A-R].*[TG]$'), "
+    "('c2', 0.75, 'origin', '^RED .....T?.*$'), ('c2', 0.75, 'destination', '^LARGE BOLT$')) SELECT DISTINCT rule_id, w AS match_strength, side, name FROM r JOIN n ON regexp_matches(upper(name), re)",
+)
+def _(t):
+    """A row per rule, side and name, with bracket classes in the patterns."""
+    rules = t.spark.createDataFrame(
+        [
+            ("c1", 0.5, ["[b-r][A-U] *", "[b-r]l[a-u] *", "[b-r][a-u]e *", "[b-r]l[a-u]e *"], ["[!a-r]*[tg]"]),
+            ("c2", 0.75, ["red ?????*"], ["large bolt", None]),
+        ],
+        "rule_id string, weight double, origin array<string>, destination array<string>",
+    )
+    return rule_matches(rules, t.part, "p_name")
+
+
 def _catalogue(t):
     """Part types and brands as variables; the alias is the first word of the part name."""
     return t.part.groupBy(F.col("p_brand").alias("variable"), F.lower(F.substring("p_type", 1, 1)).alias("mode_id")).agg(

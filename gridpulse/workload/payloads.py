@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from gridpulse.operators import aggregates as A
+from gridpulse.operators.filters import in_window
 from gridpulse.operators.reshape import asset_view, filter_index
 from gridpulse.plans import maps, payloads
+from gridpulse.plans.gold import load_gold, store_gold
+from gridpulse.session import ensure_checkpoint_dir
 from gridpulse.workload.gold import ASSETS, _asset_points
 from gridpulse.workload.registry import ATTRIBUTION, DAILY, FACT, fact, query, r4, text_day
 
@@ -49,6 +55,19 @@ def _(t):
     return out
 
 
+@query(
+    "q09_stored_window",
+    f"WITH {DAILY} SELECT circuit, CAST(sum(event_count) AS BIGINT) AS event_count, round(sum(uiti_total), 4) AS uiti_total FROM daily WHERE day BETWEEN DATE '1997-02-10' AND DATE '1997-04-20' GROUP BY circuit",
+)
+def _(t):
+    """A window of the stored daily table: only the folders of its months are read."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/gold-{uuid.uuid4().hex}"
+    store_gold({"impact_daily": _daily(t)}, folder)
+    daily = load_gold(t.spark, folder, "impact_daily")["impact_daily"]
+    rows = in_window(daily, date(1997, 2, 10), date(1997, 4, 20))
+    return rows.groupBy("circuit").agg(F.sum("event_count").cast("long").alias("event_count"), F.round(F.sum("uiti_total"), 4).alias("uiti_total"))
+
+
 @query(
     "q02_event_context",
     f"WITH {FACT}, e AS (SELECT event_id, circuit, cause, equipment, span_impact, event_impact, duration, day FROM fact WHERE event_id = 4242 ORDER BY day, span_impact DESC, equipment LIMIT 1) "

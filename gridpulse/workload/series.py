@@ -158,7 +158,8 @@ def _(t):
 
 
 def _attribution(t):
-    return stream(t).select(
+    """Attribution rows of two days in three, so that the other days show the fall-back to event rows."""
+    return stream(t).where(F.dayofmonth("day") % 3 != 0).select(
         "circuit", "day", (F.col("user_id") % 7).cast("string").alias("cause"), (F.col("user_id") % 3).cast("string").alias("event_family"),
         F.col("user_id").cast("string").alias("equipment"), F.lit(1).alias("event_count"), F.col("value").alias("uiti_total"), F.col("k").alias("uiti_vano_total"),
         F.col("value").alias("duration_raw_total"), F.lit(1.0).alias("users_affected_total"),
@@ -166,31 +167,48 @@ def _attribution(t):
 
 
 def _details(t):
-    return stream(t).select(
-        "circuit", "day", "event_id", F.col("value").alias("UITI"), F.col("k").alias("UITI_VANO"), F.col("value").alias("DURATION_RAW"), F.lit(1.0).alias("USERS")
+    """Event rows of five days in six; on days 7, 14, 21 and 28 their span impact is zero."""
+    idle = F.dayofmonth("day") % 7 == 0
+    return stream(t).where(F.dayofmonth("day") % 6 != 0).select(
+        "circuit", "day", "event_id", F.col("value").alias("UITI"), F.when(idle, 0.0).otherwise(F.col("k")).alias("UITI_VANO"), F.col("value").alias("DURATION_RAW"),
+        F.lit(1.0).alias("USERS"), (F.col("user_id") % 7).cast("string").alias("cause"), (F.col("user_id") % 3).cast("string").alias("event_family"),
+        F.col("user_id").cast("string").alias("equipment"),
     )
 
 
 ENRICHED = (
     RANKED
-    + ", ca AS (SELECT s.circuit, s.day, CAST(user_id % 7 AS VARCHAR) AS label, count(*) AS n, sum(value) AS u FROM stream s SEMI JOIN points p ON s.circuit = p.circuit AND s.day = p.day GROUP BY ALL), "
+    + ", att AS (SELECT * FROM stream WHERE day(day) % 3 <> 0), "
+    "det AS (SELECT * REPLACE (CASE WHEN day(day) % 7 = 0 THEN 0 ELSE k END AS k) FROM stream WHERE day(day) % 6 <> 0), "
+    "src AS (SELECT circuit, day, user_id, value FROM att UNION ALL SELECT circuit, day, user_id, value FROM det ANTI JOIN att ON det.circuit = att.circuit AND det.day = att.day), "
+    "ca AS (SELECT s.circuit, s.day, CAST(user_id % 7 AS VARCHAR) AS label, count(*) AS n, sum(value) AS u FROM src s SEMI JOIN points p ON s.circuit = p.circuit AND s.day = p.day GROUP BY ALL), "
     "cr AS (SELECT *, row_number() OVER (PARTITION BY circuit, day ORDER BY u DESC, n DESC, label) AS r FROM ca), "
-    "cl AS (SELECT circuit, day, string_agg(label, ',' ORDER BY r) AS top_causes FROM cr WHERE r <= 5 GROUP BY ALL), "
-    "ev AS (SELECT s.circuit, s.day, event_id, row_number() OVER (PARTITION BY s.circuit, s.day ORDER BY CASE WHEN coalesce(k, 0) > 0 THEN k ELSE value END DESC, value DESC, event_id) AS r FROM stream s SEMI JOIN points p ON s.circuit = p.circuit AND s.day = p.day), "
-    "el AS (SELECT circuit, day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) AS top_events FROM ev WHERE r <= 5 GROUP BY ALL)"
+    "cl AS (SELECT circuit, day, string_agg(label, ',' ORDER BY r) AS top_causes, max(u) FILTER (r = 1) AS top_u FROM cr WHERE r <= 5 GROUP BY ALL), "
+    "ev AS (SELECT s.circuit, s.day, event_id, row_number() OVER (PARTITION BY s.circuit, s.day ORDER BY CASE WHEN coalesce(k, 0) > 0 THEN k ELSE value END DESC, value DESC, event_id) AS r FROM det s SEMI JOIN points p ON s.circuit = p.circuit AND s.day = p.day), "
+    "el AS (SELECT circuit, day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) AS top_events FROM ev WHERE r <= 5 GROUP BY ALL), "
+    "de AS (SELECT circuit, day, count(*) AS n_events, sum(coalesce(k, 0)) AS impact FROM det GROUP BY circuit, day), "
+    "rich AS (SELECT points.circuit, points.day, rank, types, series.UITI, series.UITI_VANO, series.EVENT_COUNT, series.USERS, series.DURATION_RAW, coalesce(top_causes, '') AS top_causes, coalesce(top_events, '') AS top_events, "
+    "CASE WHEN series.UITI > 0 THEN round(top_u / series.UITI, 4) END AS top_share, "
+    "CASE WHEN n_events > 0 AND impact = 0 THEN 'low' WHEN n_events > 0 OR top_u IS NOT NULL THEN 'high' WHEN series.EVENT_COUNT > 0 THEN 'low' ELSE 'medium' END AS confidence, "
+    "CASE WHEN n_events > 0 AND impact = 0 THEN 'event_detail_without_metric_contribution' WHEN n_events IS NULL AND top_u IS NULL AND series.EVENT_COUNT > 0 THEN 'missing_event_attribution' ELSE '' END AS flags "
+    "FROM points JOIN series USING (circuit, day) LEFT JOIN cl USING (circuit, day) LEFT JOIN el USING (circuit, day) LEFT JOIN de USING (circuit, day))"
 )
 
 
+def _rich(t, dimensions=("cause", "event_family", "equipment")):
+    return S.enrich_points(interpret.critical_points(filled(t), BY), _attribution(t), _details(t), ["circuit", "day"], dimensions=dimensions)
+
+
 @query(
     "w09_enriched_points",
-    f"WITH {ENRICHED} SELECT circuit, CAST(day AS VARCHAR) AS day, rank, top_causes, top_events, 'high' AS confidence FROM points JOIN cl USING (circuit, day) JOIN el USING (circuit, day)",
+    f"WITH {ENRICHED} SELECT circuit, CAST(day AS VARCHAR) AS day, rank, top_causes, top_events, top_share, confidence, flags FROM rich",
 )
 def _(t):
-    points = interpret.critical_points(filled(t), BY)
-    rich = S.enrich_points(points, _attribution(t), _details(t), ["circuit", "day"], dimensions=("cause", "event_family", "equipment"))
-    return rich.select(
-        "circuit", text_day(), "rank", F.array_join(F.transform("top_cause", lambda x: x["label"]), ",").alias("top_causes"),
-        F.array_join(F.transform("top_events", lambda x: x["event_id"].cast("string")), ",").alias("top_events"), "confidence",
+    first = F.get("top_causes", F.lit(0))
+    return _rich(t).select(
+        "circuit", text_day(), "rank", F.array_join(F.transform("top_causes", lambda x: x["label"]), ",").alias("top_causes"),
+        F.array_join(F.transform("top_events", lambda x: x["event_id"].cast("string")), ",").alias("top_events"),
+        first["contribution_pct"].alias("top_share"), "confidence", F.array_join("data_quality_flags", ",").alias("flags"),
     )
 
 
@@ -325,7 +343,7 @@ def _(t):
     points = _interpret(t)["points"]
     return points.select(
         "circuit", text_day(), "rank", "criticality_score", F.array_join("criticality_types", ",").alias("criticality_types"), "selection_reason",
-        F.to_json("reasons").alias("reasons"), F.to_json("top_cause").alias("top_causes"), F.to_json("top_equipment").alias("top_equipment"),
+        F.to_json("reasons").alias("reasons"), F.to_json("top_causes").alias("top_causes"), F.to_json("top_equipment").alias("top_equipment"),
         F.to_json("top_events").alias("top_events"), "confidence",
     )
 
@@ -352,7 +370,7 @@ def _(t):
     points = _interpret(t)["points"]
     return points.select(
         "circuit", text_day(), "rank", "criticality_score", F.array_join("criticality_types", ",").alias("criticality_types"),
-        F.coalesce(F.get("top_cause", F.lit(0))["label"], F.lit("")).alias("top_cause"),
+        F.coalesce(F.get("top_causes", F.lit(0))["label"], F.lit("")).alias("top_cause"),
         F.coalesce(F.array_join(F.transform("top_events", lambda x: x["event_id"].cast("string")), ","), F.lit("")).alias("top_events"),
     )
 
@@ -372,8 +390,28 @@ def _(t):
     return _interpret(t)["history_totals"].select("circuit", *r4("UITI", "EVENT_COUNT", "USERS"))
 
 
-@query("q12_insight_lines")
+# the sentences of a point's two strongest reasons, strongest first
+REASON_TEXT = """(CASE reason_type WHEN 'uiti_high_outlier' THEN 'UITI esta por encima de la linea base robusta de la ventana.'
+ WHEN 'uiti_low_outlier' THEN 'UITI esta inusualmente bajo frente a la ventana seleccionada.' WHEN 'sharp_uiti_increase' THEN 'UITI sube bruscamente frente al dia anterior.'
+ WHEN 'sharp_uiti_decrease' THEN 'UITI cae bruscamente frente al dia anterior.' WHEN 'top_uiti_contributor' THEN 'El dia aporta una fraccion alta del UITI total de la ventana.'
+ ELSE 'UITI forma un pico local dentro de la serie.' END)"""
+REASON_PLACE = "list_position(['uiti_high_outlier', 'uiti_low_outlier', 'sharp_uiti_increase', 'sharp_uiti_decrease', 'top_uiti_contributor', 'local_uiti_peak'], reason_type)"
+
+
+@query(
+    "q12_insight_lines",
+    f"WITH {ENRICHED}, rt AS (SELECT circuit, day, {REASON_TEXT} AS detail, row_number() OVER (PARTITION BY circuit, day ORDER BY score DESC, {REASON_PLACE}) AS place FROM reasons), "
+    "wh AS (SELECT circuit, day, string_agg(detail, ' ' ORDER BY place) AS why FROM rt WHERE place <= 2 GROUP BY circuit, day), "
+    "li AS (SELECT circuit, 'Se detectaron ' || n || ' eventos de interes entre 2024-01-01 y 2024-01-30. El evento de mayor criticidad fue ' || day || ', con UITI=' || round(UITI, 4) || ' y UITI_VANO=' || round(UITI_VANO, 4) "
+    "|| '. Se selecciono por: ' || why || '. En ese dia se registraron ' || CAST(EVENT_COUNT AS BIGINT) || ' eventos, ' || round(DURATION_RAW, 2) || ' unidades de duracion fuente acumulada y ' || round(USERS, 2) "
+    "|| ' usuarios afectados. La principal agrupacion observada fue ' || CASE WHEN top_causes = '' THEN 'sin agrupacion dominante disponible' ELSE split_part(top_causes, ',', 1) || ' (top_causes)' END "
+    "|| '. Los intervalos sin evento registrado no se interpretan como anomalias por si mismos.' AS insight "
+    "FROM rich JOIN wh USING (circuit, day) JOIN (SELECT circuit, count(*) AS n FROM points GROUP BY circuit) USING (circuit) WHERE rank = 1), "
+    "every AS (SELECT DISTINCT circuit FROM series UNION SELECT n_name FROM nation) "
+    "SELECT circuit, coalesce(insight, 'No se detectaron puntos criticos entre 2024-01-01 y 2024-01-30. La serie no muestra picos, aportes concentrados ni cambios bruscos bajo los umbrales actuales.') AS insight "
+    "FROM every LEFT JOIN li USING (circuit)",
+)
 def _(t):
-    points = interpret.critical_points(filled(t), BY)
-    rich = S.enrich_points(points, _attribution(t), _details(t), ["circuit", "day"], dimensions=("cause", "event_family", "equipment"))
-    return interpret.insight_lines(rich, BY, "2024-01-01", "2024-01-30")
+    """Every series of the stream, and the circuits of the place table, which have no points."""
+    series = filled(t).select("circuit").unionByName(t.nation.select(F.col("n_name").alias("circuit")))
+    return interpret.insight_lines(_rich(t), BY, "2024-01-01", "2024-01-30", series=series)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions.text import generated_id, plain_text, slug, tokens
 from gridpulse.operators import documents as D
+from gridpulse.operators import vectors as V
 from gridpulse.plans.evaluation import release_report, score_traces
 
 
@@ -44,10 +45,51 @@ def test_lexical_search_and_boost(spark):
     ask = spark.createDataFrame([("q", "condiciones de viento")], "qid string, question string")
     plain = D.lexical_scores(corpus(spark), ask, "chunk_id", "qid", "text", "question", F.col("title"), F.col("tags"))
     assert [tuple(r) for r in D.top_k(plain, "qid", "chunk_id", 3).select("chunk_id", "score").collect()] == [("retie-1", 2.0)]
-    vague = spark.createDataFrame([("q", "inspeccion")], "qid string, question string")
-    boosted = D.lexical_scores(corpus(spark), vague, "chunk_id", "qid", "text", "question", F.col("title"), F.col("tags"), boost=["aislador"])
-    top = D.top_k(boosted, "qid", "chunk_id", 1).first()
-    assert top["chunk_id"] == "aislador-1" and top["score"] == pytest.approx(3.0)
+    vague = spark.createDataFrame([("q", "inspeccion"), ("none", "")], "qid string, question string")
+    boosted = D.lexical_top_k(corpus(spark), vague, "chunk_id", "qid", "text", "question", 1, F.col("title"), F.col("tags"), boost=["aislador"])
+    got = {r["qid"]: (r["chunk_id"], r["score"]) for r in boosted.collect()}
+    assert got == {"q": ("aislador-1", pytest.approx(3.0)), "none": ("aislador-1", pytest.approx(2.0))}
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_lexical_top_k_equals_whole_score_lists(spark, k):
+    """Random chunks and questions, with boosted tags, ties, empty texts and null fields, in several tasks."""
+    rng = np.random.default_rng(k)
+    words = [f"word{i}" for i in range(40)]
+
+    def pick(n):
+        return " ".join(rng.choice(words, n)) if n else None
+
+    rows = [(i, pick(int(rng.integers(0, 12))), pick(int(rng.integers(0, 3))), [f"tag{rng.integers(0, 4)}", str(rng.choice(words))] if i % 3 else None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "c long, t string, ti string, tg array<string>").repartition(4)
+    asked = [(i, pick(int(rng.integers(0, 5)))) for i in range(25)]
+    questions = spark.createDataFrame(asked, "q int, w string")
+    boost = ["tag1", "tag2"]
+    got = D.lexical_top_k(frame, questions, "c", "q", "t", "w", k, F.col("ti"), F.col("tg"), boost=boost).orderBy("q", "rank").collect()
+    want = []
+    split = lambda x: set((x or "").split())
+    for q, w in asked:
+        scored = []
+        for c, t, ti, tg in rows:
+            if not split(t):
+                continue
+            tags = set(tg or [])
+            score = len(split(w) & split(t)) + 1.7 * len(split(w) & split(ti)) + 1.3 * len(split(w) & tags) + 2.0 * len(set(boost) & tags)
+            if score > 0:
+                scored.append((-round(score, 9), c))
+        want += [(q, c, -s, i + 1) for i, (s, c) in enumerate(sorted(scored)[:k])]
+    assert [(r["q"], r["c"], pytest.approx(r["score"]), r["rank"]) for r in got] == want
+
+
+def test_context_words_count_as_question_words(spark):
+    ask = spark.createDataFrame([("q", None, "condiciones de viento")], "qid string, question string, around string")
+    best = D.lexical_top_k(corpus(spark), ask, "chunk_id", "qid", "text", "question", 2, context=F.col("around"))
+    assert [r["chunk_id"] for r in best.collect()] == ["retie-1"]
+
+
+def test_accents_of_all_latin_letters(spark):
+    row = spark.createDataFrame([("Šárka Łódź ő ż Ǻ ệ Đ",)], "t string").select(plain_text("t").alias("p")).first()
+    assert row["p"] == "sarka lodz o z a e d"
 
 
 def test_title_and_tag_weights(spark):
@@ -62,12 +104,67 @@ def test_cosine_top_k_matches_numpy(spark):
     frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(items)], "i long, v array<double>").repartition(5)
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asks)], "q long, w array<double>")
     got = {}
-    for r in D.cosine_top_k(frame, queries, "i", "q", "v", "w", 4, batch=3).orderBy("q", "rank").collect():
+    for r in V.cosine_top_k(frame, queries, "i", "q", "v", "w", 4, batch=3).orderBy("q", "rank").collect():
         got.setdefault(r["q"], []).append(r["i"])
     scores = (asks / np.linalg.norm(asks, axis=1, keepdims=True)) @ (items / np.linalg.norm(items, axis=1, keepdims=True)).T
     assert got == {q: list(np.argsort(-scores[q])[:4]) for q in range(7)}
 
 
+def clustered(n, centres, seed=2, dimension=16):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dimension))
+    return middle[rng.integers(0, centres, n)] + 0.35 * rng.normal(size=(n, dimension))
+
+
+def vectors(spark, rows, names="i long, v array<double>"):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], names)
+
+
+def test_index_recall_at_ten(spark):
+    """Usual probes against the exact search, on clustered vectors and on vectors without any cluster."""
+    for data in (clustered(3_000, 40), np.random.default_rng(3).normal(size=(3_000, 16))):
+        items = vectors(spark, data).repartition(4)
+        queries = vectors(spark, data[::20] + 0.05, "q long, w array<double>")
+        exact = V.cosine_top_k(items, queries, "i", "q", "v", "w", 10)
+        found = V.search_index(V.build_index(items, "i", "v"), queries, "q", "w", 10)
+        recall = V.recall_per_query(found, exact, "q", "i").agg(F.avg("recall")).first()[0]
+        print(f"recall at 10: {recall:.3f}")
+        assert recall >= 0.9
+
+
+def test_all_lists_and_small_cells_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(V, "CELL_VALUES", 256 * 16)
+    data = np.vstack([clustered(1_500, 3), np.ones((400, 16))])
+    items, queries = vectors(spark, data).repartition(3), vectors(spark, data[:700:2], "q long, w array<double>")
+    index = V.build_index(items, "i", "v", lists=4)
+    exact = V.cosine_top_k(items, queries, "i", "q", "v", "w", 5).orderBy("q", "rank").collect()
+    assert V.search_index(index, queries, "q", "w", 5, probes=4).orderBy("q", "rank").collect() == exact
+
+
+def test_stored_index_reads_only_probed_lists(spark, tmp_path):
+    index = V.build_index(vectors(spark, clustered(400, 8)), "i", "v", lists=8)
+    index.write(str(tmp_path))
+    back = V.read_index(spark, str(tmp_path), "i", "v")
+    assert np.allclose(back.centres, index.centres) and back.items.count() == 400
+    plan = back.items.where("list = 3")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan
+
+
+def test_null_ragged_and_zero_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [0.0, 2.0]), (8, [1.0, 0.0, 3.0])]
+    items = spark.createDataFrame(rows, "i long, v array<double>")
+    queries = spark.createDataFrame([(10, [2.0, 0.0]), (11, None), (12, [1.0]), (13, [0.0, 0.0])], "q long, w array<double>")
+    want = [(10, 1, 1.0), (10, 4, 0.0), (10, 7, 0.0), (13, 1, 0.0), (13, 4, 0.0), (13, 7, 0.0)]
+    exact = V.cosine_top_k(items, queries, "i", "q", "v", "w", 5).orderBy("q", "rank").select("q", "i", "score")
+    assert [tuple(r) for r in exact.collect()] == want
+    index = V.build_index(items, "i", "v", lists=2)
+    found = V.search_index(index, queries, "q", "w", 5, probes=2).orderBy("q", "rank").select("q", "i", "score")
+    assert [tuple(r) for r in found.collect()] == want
+    none = items.where("v is null")
+    assert V.cosine_top_k(none, queries, "i", "q", "v", "w", 5).count() == 0
+    assert V.search_index(V.build_index(none, "i", "v"), queries, "q", "w", 5).count() == 0
+
+
 def test_distinct_terms(spark):
     frame = spark.createDataFrame([(["UITI", " uiti", "Viento", None, "VIENTO ", "x"],)], "t array<string>")
     assert D.with_distinct_terms(frame, F.col("t"), limit=3).first()["query_text"] == "UITI Viento x"
@@ -131,6 +228,15 @@ def test_memory_of_one_turn(spark):
     assert "4 mensajes previos omitidos (2 usuario, 2 asistente). Primer tema: tema 0." in digest["content"] and "tema 3." in digest["content"]
 
 
+def test_memory_counts_equal_messages(spark):
+    rows = [("c", 1, "user", "hola")] * 3 + [("c", 2, "assistant", "si")]
+    out = D.bounded_memory(spark.createDataFrame(rows, "c string, t int, r string, x string"), "c", "t", "r", "x", 1).collect()
+    digest = [r for r in out if r["turn_id"].startswith("memory-")][0]["content"]
+    assert len(out) == 3 and "2 mensajes previos omitidos (2 usuario, 0 asistente). Primer tema: hola." in digest and "reciente: hola." in digest
+    none = D.bounded_memory(spark.createDataFrame(rows[2:], "c string, t int, r string, x string"), "c", "t", "r", "x", 1).collect()
+    assert len(none) == 2
+
+
 def test_budget_counts_text_before(spark):
     ranked = spark.createDataFrame([("g", i, "x" * 40) for i in range(1, 8)], "g string, rank int, t string")
     assert [r["rank"] for r in D.within_budget(ranked, "g", "t", 100, 5).orderBy("rank").collect()] == [1, 2, 3]

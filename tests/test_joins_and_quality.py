@@ -143,3 +143,27 @@ def test_map_extent_uses_first_filled_layer(spark):
     lines = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "latitude double, longitude double, latitude_end double, longitude_end double")
     row = A.map_extent([empty, lines]).first()
     assert row["layer"] == 1 and row["center_lat"] == 2.0 and row["max_lon"] == 4.0
+
+
+def test_pattern_trie_equals_the_shell_rules():
+    import fnmatch
+    import itertools
+
+    from gridpulse.operators.patterns import PatternTrie
+
+    patterns = ["temp_*", "T?mp_1", "[a-c]x*", "[!a-c]x", "plain", "*", "a[", "a[b", "*_[0-9]", "te[mn]p_*", "", "viento.*"]
+    names = ["TEMP_1", "TEMP_", "AX", "DX", "BXY", "PLAIN", "A[", "A[B", "TENP_X", "", "VIENTO.1", "VIENTOX1", "Z_7"]
+    trie = PatternTrie(patterns)
+    for name, (i, pattern) in itertools.product(names, enumerate(patterns)):
+        assert (i in trie.matches(name)) == fnmatch.fnmatchcase(name, pattern.upper())
+
+
+def test_rule_matches_are_rows(spark):
+    from gridpulse.operators.patterns import rule_matches
+
+    rules = spark.createDataFrame([("r1", 0.51234, ["TEMP_[0-9]", "wind*"], ["UITI"]), ("r2", 1.0, ["none"], None)], "rule_id string, weight double, origin array<string>, destination array<string>")
+    names = spark.createDataFrame([("temp_3",), ("temp_x",), ("Wind",), (" uiti ",), (None,)], "name string")
+    out = rule_matches(rules, names)
+    assert {tuple(r) for r in out.collect()} == {("r1", 0.5123, "origin", "temp_3"), ("r1", 0.5123, "origin", "Wind"), ("r1", 0.5123, "destination", " uiti ")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_" not in plan

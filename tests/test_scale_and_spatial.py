@@ -73,6 +73,90 @@ def test_downstream_ends_on_cycles_and_keeps_isolated_source(spark):
     assert {r["code"] for r in X.downstream_segments(reached, edges).collect()} == {"s1", "s2", "s3"}
 
 
+def test_far_cluster_meets_few_references(spark):
+    """Points far from a tight cluster of many references, beside one outlier, visit a few leaves each."""
+    refs = spark.range(100_000).select(
+        F.concat(F.lit("r"), "id").alias("label"), (F.col("id") % 317 * 1e-6).alias("ref_x"), (F.floor(F.col("id") / 317) * 1e-6).alias("ref_y")
+    ).unionByName(spark.createDataFrame([("out", 90.0, 90.0)], "label string, ref_x double, ref_y double"))
+    points = spark.range(200).select("id", (F.lit(40.0) + F.col("id") % 20 * 0.01).alias("x"), (F.lit(20.0) + F.floor(F.col("id") / 20) * 0.02).alias("y"))
+    met = X.nearest_candidates(points, refs, "x", "y", "label").groupBy("_x", "_y").count().agg(F.max("count"), F.count("*")).first()
+    assert met[0] < 100 and met[1] == 200
+    corner = X.nearest_reference(points, refs, "x", "y", "label").select("label", "distance", F.sqrt(F.pow(F.col("x") - 316e-6, 2) + F.pow(F.col("y") - 314e-6, 2)).alias("d"))
+    rows = corner.collect()
+    assert len(rows) == 200 and all(r["distance"] <= r["d"] + 1e-9 and r["distance"] > r["d"] - 2e-6 for r in rows)
+
+
+def test_nearest_ties_nulls_and_shared_places(spark):
+    refs = [("b", 1.0, 0.0), ("a", -1.0, 0.0), ("c", 1.0, 0.0), ("n", None, 0.0), ("i", float("inf"), 0.0)]
+    points = [(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 1.0, 0.0)]
+    out = X.nearest_reference(
+        spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(refs, "label string, ref_x double, ref_y double"), "x", "y", "label", leaf=1
+    )
+    assert {r["id"]: (r["label"], r["distance"]) for r in out.collect()} == {1: ("a", 1.0), 2: (None, None), 3: (None, None), 4: ("b", 0.0)}
+
+
+def test_long_diagonal_crosses_thousands_of_cells(spark):
+    line = spark.createDataFrame([(0.0, 0.0, 30.0, 30.0)], "_x1 double, _y1 double, _x2 double, _y2 double")
+    assert X.crossed_cells(line, 0.001, F.lit(0.01)).count() < 13_000
+    pts = [(i, i * 0.1, i * 0.1 + (0.0005 if i % 2 else 0.01)) for i in range(300)]
+    segs = spark.createDataFrame([(1, 0.0, 0.0, 30.0, 30.0), (2, 0.0, 0.0, 0.0, 0.05), (3, 7.0, 0.0, 7.0, 20.0)], "sid int, x1 double, y1 double, x2 double, y2 double")
+    got = X.points_near_segments(
+        spark.createDataFrame([*pts, (-1, None, 1.0)], "id int, x double, y double"), segs,
+        {"id": "id", "x": "x", "y": "y"}, {"id": "sid", "x1": "x1", "y1": "y1", "x2": "x2", "y2": "y2"}, radius=0.001,
+    )
+    rows = {(r["segment_id"], r["point_id"]) for r in got.collect()}
+    assert rows == {(1, i) for i, _, _ in pts if i % 2} | {(2, 0), (3, 70)}
+
+
+@pytest.mark.parametrize("widths", [1, 3])
+def test_crossed_cells_lose_no_pair_at_any_slope_and_width(spark, widths):
+    rng = random.Random(21)
+    segs = [(i, *(rng.uniform(-2, 2) for _ in range(4))) for i in range(20)] + [(50, -1.0, -2.0, -1.0, 2.0), (51, -2.0, 1.0, 2.0, 1.0)]
+    pts = [(i, rng.uniform(-2, 2), rng.uniform(-2, 2)) for i in range(400)]
+
+    def dist(p, s):
+        (px, py), (x1, y1, x2, y2) = p, s
+        f = max(0, min(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return math.hypot(px - x1 - f * (x2 - x1), py - y1 - f * (y2 - y1))
+
+    got = X.points_near_segments(
+        spark.createDataFrame(pts, "id int, x double, y double"), spark.createDataFrame(segs, "sid int, x1 double, y1 double, x2 double, y2 double"),
+        {"id": "id", "x": "x", "y": "y"}, {"id": "sid", "x1": "x1", "y1": "y1", "x2": "x2", "y2": "y2"}, radius=0.05, cell=0.02, most_columns=8, widths=widths, factor=4,
+    )
+    rows = [(r["segment_id"], r["point_id"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(s[0], p[0]) for s in segs for p in pts if dist(p[1:], s[1:]) < 0.05}
+
+
+def test_long_chain_takes_few_rounds(spark):
+    edges = spark.range(5_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("c").alias("code"))
+    sources = spark.createDataFrame([(0,), (2_500,)], "source long")
+    out = X.downstream(edges, sources, rounds=5).groupBy("source").agg(F.count("*"), F.countDistinct("node"), F.max("node")).orderBy("source").collect()
+    assert [tuple(r) for r in out] == [(0, 5_001, 5_001, 5_000), (2_500, 2_501, 2_501, 5_000)]
+
+
+def test_reachability_equals_a_plain_search(spark):
+    """Chains, rings, branches, a source inside a chain and one inside a ring."""
+    rng = random.Random(4)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(70)} | {(100 + i, 101 + i) for i in range(20)} | {(120, 130), (130, 131), (131, 130), (3, 100)}
+    pairs |= {(200, 201), (201, 202), (202, 200), (300, 301), (301, 302), (302, 301)}
+    sources = [0, 3, 105, 131, 201, 300, 999]
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    want = set()
+    for s in sources:
+        seen, todo = {s}, [s]
+        while todo:
+            for n in ahead.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        want |= {(s, n) for n in seen}
+    edges = spark.createDataFrame([(a, b, "c") for a, b in pairs] * 2 + [(None, 1, "c"), (1, None, "c")], "src long, dst long, code string")
+    got = [tuple(r) for r in X.downstream(edges, spark.createDataFrame([(s,) for s in [*sources, None]], "source long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_projection_inverts_an_independent_forward_formula(spark):
     crs = TransverseMercator()
 
@@ -107,6 +191,12 @@ def test_histogram_of_constant_and_empty_column(spark):
     assert T.histogram(spark.createDataFrame([], "v double"), "v").count() == 0
 
 
+def test_histogram_leaves_out_what_is_not_finite(spark):
+    rows = T.histogram(spark.createDataFrame([(0.0,), (10.0,), (float("nan"),), (float("inf"),), (None,)], "v double"), "v", 2).collect()
+    assert sorted((r["bin"], r["n"], r["probability"]) for r in rows if r["bin"] is not None) == [(0, 1, 0.5), (1, 1, 0.5)]
+    assert [r["n"] for r in rows if r["bin"] is None] == [2]
+
+
 def test_regression_errors(spark):
     row = T.regression_errors(spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (4.0, 5.0)], "a double, p double"), "a", "p").first()
     assert row["mse"] == pytest.approx(2 / 3) and row["mape"] == pytest.approx(25.0) and row["r2"] == pytest.approx(1 - 2 / (42 / 9))

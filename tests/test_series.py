@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridpulse.operators import series as S
-from gridpulse.plans.interpret import critical_points, insight_lines
+from gridpulse.plans.interpret import critical_points, insight_lines, plain_number
 
 SCHEMA = "s string, day date, UITI double, UITI_VANO double, EVENT_COUNT double, USERS double, DURATION_RAW double"
 
@@ -112,10 +112,54 @@ def test_enrichment_and_insight(spark):
     )
     rich = S.enrich_points(points, attribution, details, ["s", "day"], dimensions=("cause",))
     row = rich.where("rank = 1").first()
-    assert [x["label"] for x in row["top_cause"]] == ["viento", "Sin dato"]
+    assert [x["label"] for x in row["top_causes"]] == ["viento", "Sin dato"]
     assert [x["event_id"] for x in row["top_events"]] == ["e2", "e1"] and row["confidence"] == "high"
     text = insight_lines(rich, ["s"], "2024-01-01", "2024-01-04").first()["insight"]
-    assert "viento (top_cause)" in text and "2024-01-03" in text
+    assert "viento (top_causes)" in text and "2024-01-03" in text
+
+
+def test_days_without_attribution_take_event_rows(spark):
+    """Attribution, event rows only, neither, event rows without impact, and a quiet day."""
+    days = [date(2024, 1, i) for i in range(1, 6)]
+    columns = "s string, day date, rank int, UITI double, UITI_VANO double, EVENT_COUNT double, USERS double, DURATION_RAW double"
+    points = spark.createDataFrame([("a", d, i + 1, 10.0, 0.0, 0.0 if i == 4 else 2.0, 0.0, 0.0) for i, d in enumerate(days)], columns)
+    sums = "event_count int, uiti_total double, uiti_vano_total double, duration_raw_total double, users_affected_total double"
+    attribution = spark.createDataFrame([("a", days[0], "viento", 2, 4.0, 1.0, 1.0, 5.0)], f"s string, day date, cause string, {sums}")
+    rows = [("a", days[0], "e1", 1.0, 1.0, 2.0, 1.0, "lluvia"), ("a", days[1], "e2", 6.0, 3.0, 1.0, 1.0, "rayo"), ("a", days[1], "e3", 1.0, 3.0, 1.0, 1.0, "rayo"), ("a", days[3], "e4", 5.0, 0.0, 1.0, 1.0, None)]
+    details = spark.createDataFrame(rows, "s string, day date, event_id string, UITI double, UITI_VANO double, DURATION_RAW double, USERS double, cause string")
+    got = S.enrich_points(points, attribution, details, ["s", "day"], dimensions=("cause",)).orderBy("rank").collect()
+    assert [[(x["label"], x["event_count"], x["contribution_pct"]) for x in r["top_causes"]] for r in got] == [
+        [("viento", 2.0, 0.4)], [("rayo", 2.0, 0.7)], [], [("Sin dato", 1.0, 0.5)], [],
+    ]
+    assert [r["data_quality_flags"] for r in got] == [[], [], ["missing_event_attribution"], ["event_detail_without_metric_contribution"], []]
+    assert [r["confidence"] for r in got] == ["high", "high", "low", "low", "medium"]
+    assert [len(r["top_events"]) for r in got] == [1, 2, 0, 1, 0]
+
+
+def test_line_of_a_series_without_points(spark):
+    points = critical_points(S.zero_filled_daily(daily(spark, [0.1, 0.2, 9.5, 0.3]), ["s"]), ["s"])
+    series = spark.createDataFrame([("a",), ("quiet",)], "s string")
+    lines = {r["s"]: r["insight"] for r in insight_lines(points, ["s"], "2024-01-01", "2024-01-04", series).collect()}
+    assert lines["a"].startswith("Se detectaron ") and "UITI=9.5 y UITI_VANO=0.0" in lines["a"] and "sin agrupacion dominante" in lines["a"]
+    assert lines["quiet"].startswith("No se detectaron puntos criticos entre 2024-01-01 y 2024-01-04. La serie no muestra picos")
+
+
+def test_plain_numbers(spark):
+    rows = spark.createDataFrame([(12.0,), (1.23456,), (123456789.5,), (None,), (-0.5,), (100.0,)], "x double").select(plain_number("x", 4).alias("t")).collect()
+    assert [r["t"] for r in rows] == ["12.0", "1.2346", "123456789.5", "0.0", "-0.5", "100.0"]
+
+
+def test_empty_series_flag(spark):
+    known = spark.createDataFrame([("a",), ("none",)], "s string")
+    flags = {r["s"]: r["flags"] for r in S.quality_flags(daily(spark, [1.0] * 8), ["s"], expected=known).collect()}
+    assert flags["none"] == ["empty_time_series"] and "empty_time_series" not in flags["a"]
+
+
+def test_attribution_reads_its_rows_once(spark):
+    frame = daily(spark, [1.0] * 4).select("s", F.lit("x").alias("cause"), *[F.lit(1.0).alias(c) for c in ("event_count", "uiti_total", "uiti_vano_total", "duration_raw_total", "users_affected_total")])
+    out = S.attribution_items(frame, ["s"], ["cause"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and plan.count("Relation [") == 2
 
 
 def test_attribution_counts_rows_when_counts_are_zero(spark):

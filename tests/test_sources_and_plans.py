@@ -178,3 +178,56 @@ def test_missing_columns_and_readiness(spark):
     spark.range(3).createOrReplaceTempView("ready_here")
     rows = {r["table"]: r["status"] for r in W.readiness(spark, ["ready_here", "not_here_at_all"]).collect()}
     assert rows == {"ready_here": "READY", "not_here_at_all": "MISSING"}
+
+
+def _files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_upsert_rewrites_only_the_partitions_it_meets(spark, tmp_path):
+    from gridpulse.sources.writers import upsert_table
+
+    path = tmp_path / "table"
+    schema = "id long, part string, v string, updated_at long"
+    rows = [(i, f"p{i % 5}", "old", 1) for i in range(50)] + [(None, "p0", "no key", 1), (100, "lonely", "old", 1)]
+    spark.createDataFrame(rows, schema).write.partitionBy("part").parquet(str(path))
+    before = _files(path)
+    changes = [(1, "p1", "new", 2), (1, "p1", "newer", 3), (2, "p3", "moved", 2), (77, "p9", "added", 2), (None, "p0", "replaced", 2), (100, "p1", "left", 2)]
+    met = upsert_table(spark, str(path), spark.createDataFrame(changes, schema), ["id"], ["part"])
+    assert {r["part"] for r in met.collect()} == {"p0", "p1", "p2", "p3", "p9", "lonely"}
+    want = {(i, p): v for i, p, v, _ in rows} | {(1, "p1"): "newer", (2, "p3"): "moved", (77, "p9"): "added", (None, "p0"): "replaced", (100, "p1"): "left"}
+    want.pop((2, "p2")), want.pop((100, "lonely"))
+    stored = spark.read.parquet(str(path)).collect()
+    assert len(stored) == len(want) and {(r["id"], r["part"]): r["v"] for r in stored} == want
+    after = _files(path)
+    kept = {f: t for f, t in before.items() if f.startswith("part=p4")}
+    assert kept and all(after[f] == t for f, t in kept.items()) and not any(f.startswith("part=lonely") for f in after)
+    assert upsert_table(spark, str(path), spark.createDataFrame([], schema), ["id"], ["part"]).count() == 0 and _files(path) == after
+
+
+def test_stored_gold_prunes_months(spark, tmp_path):
+    from datetime import date, timedelta
+
+    from gridpulse.operators.filters import in_window
+    from gridpulse.plans.gold import load_gold, store_gold
+
+    rows = [(date(2024, 1, 1) + timedelta(days=i), f"c{i % 3}", float(i)) for i in range(200)]
+    daily = spark.createDataFrame(rows, "day date, circuit string, uiti_total double")
+    store_gold({"impact_daily": daily, "plain": daily.drop("day")}, str(tmp_path))
+    stored = load_gold(spark, str(tmp_path), "impact_daily", "plain")
+    window = in_window(stored["impact_daily"], date(2024, 2, 10), date(2024, 3, 5))
+    assert sorted(r["uiti_total"] for r in window.collect()) == [float(i) for i in range(40, 65)]
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "month" in filters and "PushedFilters: [IsNotNull(day)" in plan
+    assert len(window.inputFiles()) == len(stored["impact_daily"].inputFiles()) and "plain" in stored
+
+
+def test_numeric_choice_reaches_the_scan(spark, tmp_path):
+    from gridpulse.operators.filters import KIND_CHOICE, filter_predicates
+
+    spark.range(10).write.parquet(str(tmp_path / "n"))
+    frame = spark.read.parquet(str(tmp_path / "n"))
+    out = frame.where(filter_predicates([[KIND_CHOICE, "id", "7", None]], frame.columns, frame.dtypes)[0])
+    assert [r["id"] for r in out.collect()] == [7] and "EqualTo(id,7)" in out._jdf.queryExecution().executedPlan().toString()
+    assert frame.where(filter_predicates([[KIND_CHOICE, "id", "seven", None]], frame.columns, frame.dtypes)[0]).count() == 0
