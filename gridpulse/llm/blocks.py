@@ -6,7 +6,9 @@ form a block. Blocks are first compared whole: a block whose content starts earl
 where blocks of one anchor differ are their single windows asked for and compared.
 
 Columns travel packed (raw numpy bytes, a row for each task and bucket), which keeps tens of millions of small records
-out of the row format. A block that many documents share leaves each task at most once, so no bucket gets a hot key.
+out of the row format. A block that many documents share leaves each task at most once. A gram that very many documents
+have in unlike surroundings would gather a block of each in one bucket; such grams are counted first, and a window takes
+one as its anchor only if it holds no other gram.
 """
 
 from __future__ import annotations
@@ -15,16 +17,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.llm.arrays import chunks, flat, ids_of, inside, lean, mix, packed, unpacked
-from gridpulse.llm.spark import buckets_for, id_bucket, pinned, text_bytes
+from gridpulse.llm.spark import buckets_for, id_bucket, pinned, stored
 
 SEGMENT = 1 << 18
 PLACE = np.uint64(20)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-SALT_SHIFT = np.int64(40)
 
 BLOCK_SCHEMA = "bucket int, a binary, c binary, d binary, p binary, n binary, done_d binary, done_p binary, done_n binary"
 BACK_SCHEMA = "bucket int, done_d binary, done_p binary, done_n binary, ask_a binary, ask_d binary, ask_p binary, ask_n binary"
@@ -39,11 +41,28 @@ def kind_of(name: str):
 class Cutter:
     """Cuts unit sequences into blocks of windows with one anchor."""
 
-    def __init__(self, window: int, gram: int):
+    def __init__(self, window: int, gram: int, common: np.ndarray | None = None):
         self.window, self.gram = window, gram
         self.size = SEGMENT + window + 1
+        self.common = np.zeros(0, np.uint64) if common is None else common
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.common & np.uint64(0xFFFF)] = True
         self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.size, _ODD)]), dtype=np.uint64)
 
+    def grams(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all grams of a segment, and the sums that they and longer stretches are hashed from."""
+        prefix = np.zeros(len(units) + 1, np.uint64)
+        np.cumsum(units * self.power[: len(units)], out=prefix[1:])
+        k = len(units) - self.gram + 1
+        return mix((prefix[self.gram :] - prefix[:k]) * self.power[self.size - np.arange(k)]), prefix
+
+    def is_common(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams), bool)
+        at = np.flatnonzero(self.maybe[grams & np.uint64(0xFFFF)])
+        place = np.minimum(np.searchsorted(self.common, grams[at]), len(self.common) - 1)
+        out[at] = self.common[place] == grams[at]
+        return out
+
     def __call__(self, units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """Anchor, content, text number, start in its text and number of windows of each block."""
         window, gram, power, size = self.window, self.gram, self.power, self.size
@@ -58,11 +77,11 @@ class Cutter:
         for a in range(0, windows, SEGMENT):
             b = min(a + SEGMENT, windows)
             u = units[a : b + window - 1]
-            prefix = np.zeros(len(u) + 1, np.uint64)
-            np.cumsum(u * power[: len(u)], out=prefix[1:])
-            k = len(u) - gram + 1
-            grams = mix((prefix[gram:] - prefix[:k]) * power[size - np.arange(k)])
-            least = (grams & ~low) | np.arange(k, dtype=np.uint64)
+            grams, prefix = self.grams(u)
+            k = len(grams)
+            least = (grams >> np.uint64(1) & ~low) | np.arange(k, dtype=np.uint64)
+            if len(self.common):  # after all others
+                least |= self.is_common(grams).astype(np.uint64) << np.uint64(63)
             span = 1
             while span * 2 <= width:
                 least = np.minimum(least[:-span], least[span:])
@@ -85,28 +104,26 @@ class Cutter:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def salts(batch) -> np.ndarray:
-    """Place offset of each row: rows with one id but unlike texts stay apart, equal ones share their places."""
-    import xxhash
+def same_row(d: np.ndarray, p: np.ndarray, group: np.ndarray, shift: int) -> np.ndarray:
+    """Entries, ordered by group, document and place, whose predecessor has their group and row."""
+    out = np.zeros(len(d), bool)
+    out[1:] = (group[1:] == group[:-1]) & (d[1:] == d[:-1]) & (p[1:] >> shift == p[:-1] >> shift)
+    return out
 
-    buf, offsets = flat(batch.column("text"))
-    data = buf.tobytes()
-    return np.array(
-        [(xxhash.xxh32_intdigest(data[x:y]) >> 11) << int(SALT_SHIFT) for x, y in zip(offsets[:-1], offsets[1:], strict=True)],
-        np.int64,
-    )
 
+def settle(a, c, d, p, within: bool, shift: int):
+    """Order by (anchor, content, document, place); which rows start a content; which have an earlier equal.
 
-def settle(a, c, d, p, within: bool):
-    """Order by (anchor, content, document, place); which rows start a content; which have an earlier equal."""
+    Earlier is a smaller document and, ``within`` one row, a place further left. A place is the row's number among those
+    that share their id, shifted left by ``shift`` bits, and the start in the text; rows of one id don't settle each other.
+    """
     order = np.lexsort((p, d, c, a))
     a, c, d, p = a[order], c[order], d[order], p[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
     head = np.flatnonzero(new)
     number = np.cumsum(new) - 1
-    head_d, head_p = d[head][number], p[head][number]
-    gone = (d > head_d) | (within & (d == head_d) & (p > head_p))
+    gone = (d > d[head][number]) | (within & same_row(d, p, number, shift))
     return order, new, gone
 
 
@@ -133,17 +150,17 @@ def merged_groups(parts: list[tuple[np.ndarray, dict[str, np.ndarray]]], schema:
     return rows(names(schema), keys, cols)
 
 
-def block_rows(units_of: Callable, window: int, gram: int, buckets: int, within: bool, each: int, flush: int):
+def block_rows(units_of: Callable, window: int, gram: int, buckets: int, within: bool, each: int, flush: int, shift: int, common: Broadcast | None = None):
     """Map task: packed blocks of whole texts by anchor bucket, equal ones of the task already settled."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(window, gram)
+        cutter = Cutter(window, gram, common.value if common else None)
         held: list[tuple[np.ndarray, ...]] = []
 
         def out():
             a, c, d, p, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, _, gone = settle(a, c, d, p, within)
+            order, _, gone = settle(a, c, d, p, within, shift)
             keep, drop = order[~gone], order[gone]
             bucket = (a % np.uint64(buckets)).astype(np.int64)
             return merged_groups(
@@ -160,8 +177,8 @@ def block_rows(units_of: Callable, window: int, gram: int, buckets: int, within:
                 units, first = units_of(part)
                 a, c, doc, start, n = cutter(units, first)
                 if len(a):
-                    ids, salt = ids_of(part.column("doc_id")), salts(part)
-                    held.append((a, c, ids[doc], salt[doc] + start, n))
+                    ids, own = ids_of(part.column("doc_id")), part.column("own").to_numpy(zero_copy_only=False)
+                    held.append((a, c, ids[doc], (own[doc] << shift) + start, n))
                     count += len(a)
                 if count >= flush:
                     count = 0
@@ -172,12 +189,63 @@ def block_rows(units_of: Callable, window: int, gram: int, buckets: int, within:
     return task
 
 
-def compare_blocks(buckets: int, within: bool):
+def gram_counts(units_of: Callable, window: int, gram: int, each: int, least: int):
+    """Map task: grams that this task holds ``least`` times or more."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(window, gram)
+        # a gram of a high hash is hardly ever the least one of a window
+        limit = np.uint64(min(2**64 - 1, 10 * 2**64 // (window - gram + 1)))
+        held, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+
+        def merged():
+            grams = np.concatenate([held[0], *[g for g, _ in waiting]])
+            counts = np.concatenate([held[1], *[n for _, n in waiting]])
+            waiting.clear()
+            order = np.argsort(grams, kind="stable")
+            grams, counts = grams[order], counts[order]
+            cut = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, int)
+            return (grams[cut], np.add.reduceat(counts, cut)) if len(cut) else held
+
+        def rows():
+            some = held[1] >= least
+            return pa.RecordBatch.from_pydict({"gram": held[0][some].view(np.int64), "n": held[1][some]})
+
+        for batch in batches:
+            for part in chunks(batch, "text", each):
+                units, first = units_of(part)
+                for a in range(0, len(units) - gram + 1, SEGMENT):
+                    end = min(a + SEGMENT + gram - 1, len(units))
+                    grams, _ = cutter.grams(units[a:end])
+                    fits = inside(first, gram, len(units))[a : a + len(grams)]
+                    waiting.append(np.unique(grams[fits & (grams <= limit)], return_counts=True))
+                if len(waiting) >= 16:
+                    held = merged()
+                    if len(held[0]) > 4_000_000:  # what is rare in so much text is rare
+                        yield rows()
+                        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held = merged()
+        yield rows()
+
+    return task
+
+
+def common_grams(plain: DataFrame, units_of: Callable, window: int, gram: int, each: int, crowd: int, least: int = 8) -> np.ndarray:
+    """Sorted hashes of the grams that all texts together hold over ``crowd`` times; at most one gram in ``crowd`` does.
+
+    Tasks leave out grams that they hold fewer than ``least`` times.
+    """
+    counted = plain.select("text").mapInArrow(lean(gram_counts(units_of, window, gram, each, least)), "gram long, n long")
+    found = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > crowd).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in found], np.int64).view(np.uint64))
+
+
+def compare_blocks(buckets: int, within: bool, shift: int):
     """Reduce task of one anchor bucket: settled blocks, and requests for the windows of blocks that differ."""
 
     def task(table: pa.Table) -> pa.Table:
         a, c, d, p, n = (unpacked(table.column(x), KINDS[x]) for x in "acdpn")
-        order, new, gone = settle(a, c, d, p, within)
+        order, new, gone = settle(a, c, d, p, within, shift)
         a, d, p, n = a[order], d[order], p[order], n[order]
         anchor = np.ones(len(a), bool)
         anchor[1:] = a[1:] != a[:-1]
@@ -198,36 +266,26 @@ def compare_blocks(buckets: int, within: bool):
     return task
 
 
-def places(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, salts and the order that sorts rows by both."""
-    ids, salt = ids_of(table.column("doc_id")), salts(table)
-    return ids, salt, np.lexsort((salt, ids))
-
-
-def locate(table: pa.Table, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def locate(table: pa.Table, d: np.ndarray, p: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """Row of the table that each (document, place) means, and the start inside its text."""
-    ids, salt, order = places(table)
-    start = p & ((1 << int(SALT_SHIFT)) - 1)
-    ordered = ids[order]
-    if (np.diff(ordered) > 0).all():
-        return order[np.searchsorted(ordered, d)], start
-    row_of = {(i, s): r for r, i, s in zip(range(len(ids) - 1, -1, -1), ids[::-1].tolist(), salt[::-1].tolist(), strict=True)}
-    return np.array([row_of[x] for x in zip(d.tolist(), (p - start).tolist(), strict=True)], np.int64), start
+    ids, own = ids_of(table.column("doc_id")), table.column("own").to_numpy()
+    start = p & ((1 << shift) - 1)
+    known, number = np.unique(ids, return_inverse=True)
+    held, rank = np.unique(own, return_inverse=True)
+    key = number * len(held) + rank
+    order = np.argsort(key, kind="stable")
+    wanted = np.searchsorted(known, d) * len(held) + np.searchsorted(held, p >> shift)
+    return order[np.searchsorted(key[order], wanted)], start
 
 
 class Spans:
-    """Settled windows of a bucket's texts, by row; rows that repeat (id, text) get the same ones."""
+    """Settled windows of a bucket's texts, by row."""
 
-    def __init__(self, table: pa.Table, done: pa.Table):
+    def __init__(self, table: pa.Table, done: pa.Table, shift: int):
         d, p, n = (unpacked(done.column(f"done_{x}"), KINDS[x]) for x in "dpn")
         row = start = np.zeros(0, np.int64)
         if len(d):
-            row, start = locate(table, d, p)
-            ids, salt, order = places(table)
-            for i in np.flatnonzero((np.diff(ids[order]) == 0) & (np.diff(salt[order]) == 0)):
-                own = np.flatnonzero(row == order[i])
-                row = np.concatenate([row, np.full(len(own), order[i + 1])])
-                start, n = np.concatenate([start, start[own]]), np.concatenate([n, n[own]])
+            row, start = locate(table, d, p, shift)
         order = np.argsort(row, kind="stable")
         self.row, self.start, self.count = row[order], start[order], n[order]
 
@@ -247,33 +305,59 @@ def repeated_runs(
     window: int,
     gram: int,
     within: bool,
-    detail: Callable[[int], Callable],
+    detail: Callable[[int, int], Callable],
     detail_schema: str,
-    resolve: Callable[[int], Callable],
+    resolve: Callable[[int, int], Callable],
     each: int,
-    total: int | None = None,
     carry: tuple[str, ...] = (),
+    crowd: int = 100_000,
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Typed documents with their bucket, packed runs of windows that start earlier elsewhere, and the bucket count.
+    """Typed documents with their bucket, packed runs of windows that start earlier elsewhere, and the bits of a start.
 
-    ``detail(buckets)`` turns (documents of a bucket, requests) into packed rows by anchor bucket and
-    ``resolve(buckets)`` turns those of one anchor bucket into settled runs.
+    ``detail(buckets, shift)`` turns (documents of a bucket, requests) into packed rows by anchor bucket and
+    ``resolve(buckets, shift)`` turns those of one anchor bucket into settled runs. Grams that stand in the corpus over
+    ``crowd`` times are no anchors where a window has another.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    total = text_bytes(plain) if total is None else total
+    plain, total, shift = with_row_numbers(plain)
     buckets = buckets_for(total)
-    found = plain.select("doc_id", "text").mapInArrow(
-        lean(block_rows(units_of, window, gram, buckets, within, each, flush=250_000)), BLOCK_SCHEMA
+    common = plain.sparkSession.sparkContext.broadcast(common_grams(plain, units_of, window, gram, each, crowd))
+    found = plain.select("doc_id", "own", "text").mapInArrow(
+        lean(block_rows(units_of, window, gram, buckets, within, each, flush=250_000, shift=shift, common=common)), BLOCK_SCHEMA
     )
-    back = pinned(found.groupBy("bucket").applyInArrow(lean(compare_blocks(buckets, within)), BACK_SCHEMA))
+    back = pinned(found.groupBy("bucket").applyInArrow(lean(compare_blocks(buckets, within, shift)), BACK_SCHEMA))
     split = plain.withColumn("bucket", id_bucket(F.col("doc_id"), buckets))
     asked = back.select("bucket", "ask_a", "ask_d", "ask_p", "ask_n").where(F.length("ask_d") > 0)
     details = (
-        split.select("bucket", "doc_id", "text")
+        split.select("bucket", "doc_id", "own", "text")
         .groupBy("bucket")
         .cogroup(asked.groupBy("bucket"))
-        .applyInArrow(lean(detail(buckets)), detail_schema)
+        .applyInArrow(lean(detail(buckets, shift)), detail_schema)
     )
-    settled = details.groupBy("bucket").applyInArrow(lean(resolve(buckets)), DONE_SCHEMA)
+    settled = details.groupBy("bucket").applyInArrow(lean(resolve(buckets, shift)), DONE_SCHEMA)
     runs = back.select(*names(DONE_SCHEMA)).where(F.length("done_d") > 0).unionByName(settled)
-    return split, runs, buckets
+    return split, runs, shift
+
+
+def with_row_numbers(plain: DataFrame) -> tuple[DataFrame, int, int]:
+    """Documents with ``own`` (which row of its id a row is), the bytes of all texts, and the bits that a start may take.
+
+    Where every id is there once, ``own`` is 0 and nothing is written. Else the documents are stored with a number of
+    their own for every row, so that all later passes mean the same row by it.
+    """
+    size = F.octet_length("text").cast("long")
+    total, longest = plain.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    shift = int(longest).bit_length() + 1
+    if not plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").take(1):
+        return plain.withColumn("own", F.lit(0).cast("long")), total, shift
+    held = stored(plain.withColumn("_at", F.monotonically_increasing_id()))
+    # numbers without gaps: rows before each partition, of which there are few, and the place in it
+    counts = held.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rows = held.count()
+    if rows.bit_length() + shift > 62:
+        raise ValueError("too many rows for texts of this length")
+    own = F.col("_first") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    numbered = held.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(counts), "_part")
+    return numbered.withColumn("own", own).drop("_at", "_part", "_first"), total, shift

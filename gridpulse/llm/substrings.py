@@ -32,13 +32,13 @@ def word_units(batch) -> tuple[np.ndarray, np.ndarray]:
 def edges_of(k: int):
     """Single edges of the requested pieces, packed by anchor bucket."""
 
-    def make(buckets: int):
+    def make(buckets: int, shift: int):
         def task(docs: pa.Table, asked: pa.Table) -> pa.Table:
             a, d, p, n = (unpacked(asked.column(f"ask_{x}"), KINDS[x]) for x in "adpn")
             empty = merged_groups([], EDGE_SCHEMA)
             if not len(d) or not docs.num_rows:
                 return pa.Table.from_batches([empty])
-            row, start = locate(docs, d, p)
+            row, start = locate(docs, d, p, shift)
             order = np.argsort(row, kind="stable")
             a, d, p, n, row, start = a[order], d[order], p[order], n[order], row[order], start[order]
             out, at = [], 0
@@ -65,7 +65,7 @@ def edges_of(k: int):
     return make
 
 
-def compare_edges(buckets: int):
+def compare_edges(buckets: int, shift: int):
     """Edges of one anchor bucket that also start in a document with a smaller id, as runs."""
 
     def task(table: pa.Table) -> pa.Table:
@@ -91,7 +91,7 @@ def compare_edges(buckets: int):
     return task
 
 
-def kept_words(k: int, carry: Sequence[str]):
+def kept_words(k: int, carry: Sequence[str], shift: int):
     """Texts of a bucket without the words of settled windows."""
 
     def kept_part(docs: pa.Table, spans: Spans, at: int) -> pa.Table:
@@ -122,7 +122,7 @@ def kept_words(k: int, carry: Sequence[str]):
         return pa.table(columns)
 
     def task(docs: pa.Table, runs: pa.Table) -> pa.Table:
-        spans, out, at = Spans(docs, runs), [], 0
+        spans, out, at = Spans(docs, runs, shift), [], 0
         for part in chunks(docs, "text", TEXT_BYTES):
             out.append(kept_part(part, spans, at))
             at += part.num_rows
@@ -131,7 +131,7 @@ def kept_words(k: int, carry: Sequence[str]):
     return task
 
 
-def substring_dedup(docs: DataFrame, k: int = 13, gram: int = 4, carry: Sequence[str] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = 13, gram: int = 4, carry: Sequence[str] = (), crowd: int = 100_000) -> DataFrame:
     """Documents without the words of repeated ``k``-word windows.
 
     A word goes when a window that covers it has a word sequence that also starts in a document with a smaller
@@ -140,18 +140,18 @@ def substring_dedup(docs: DataFrame, k: int = 13, gram: int = 4, carry: Sequence
 
     Null text counts as no words and gives ''. A null ``doc_id`` is smaller than every other id. Rows that share an id
     never remove words of each other; equal rows get equal results. An empty table gives an empty result. Other columns
-    of ``docs`` are ignored unless carried.
+    of ``docs`` are ignored unless carried. Long texts are read whole. ``crowd``: see ``blocks.repeated_runs``.
     """
     carry = tuple(carry)
-    split, runs, _ = repeated_runs(
-        docs, word_units, k, gram, False, edges_of(k), EDGE_SCHEMA, compare_edges, TEXT_BYTES, carry=carry
+    split, runs, shift = repeated_runs(
+        docs, word_units, k, gram, False, edges_of(k), EDGE_SCHEMA, compare_edges, TEXT_BYTES, carry=carry, crowd=crowd
     )
     types = dict(split.dtypes)
     extra = "".join(f", `{c}` {types[c]}" for c in carry)
     return (
         split.groupBy("bucket")
         .cogroup(runs.groupBy("bucket"))
-        .applyInArrow(lean(kept_words(k, carry)), f"doc_id long, n_words long, n_removed long, kept string{extra}")
+        .applyInArrow(lean(kept_words(k, carry, shift)), f"doc_id long, n_words long, n_removed long, kept string{extra}")
     )
 
 

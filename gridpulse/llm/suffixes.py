@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.arrays import chunks, flat, lean, mix, unpacked
-from gridpulse.llm.blocks import DONE_SCHEMA, KINDS, Spans, locate, merged_groups, repeated_runs
+from gridpulse.llm.blocks import DONE_SCHEMA, KINDS, Spans, locate, merged_groups, repeated_runs, same_row
 from gridpulse.llm.induced import shares_prefix, suffix_order
 
 BYTES_SCHEMA = "bucket int, d binary, p binary, n binary, s binary"
@@ -28,13 +28,13 @@ def byte_units(batch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bytes_of(length: int):
-    def make(buckets: int):
+    def make(buckets: int, shift: int):
         def task(docs: pa.Table, asked: pa.Table) -> pa.Table:
             a, d, p, n = (unpacked(asked.column(f"ask_{x}"), KINDS[x]) for x in "adpn")
             parts = []
             if len(d) and docs.num_rows:
                 buf, offsets = flat(docs.column("text"))
-                row, start = locate(docs, d, p)
+                row, start = locate(docs, d, p, shift)
                 count = n.astype(np.int64) + length - 1
                 offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 s = buf[np.repeat(offsets[row] + start, count) + offset]
@@ -50,7 +50,7 @@ def bytes_of(length: int):
 def compare_suffixes(length: int, memory: int):
     """Windows of one shard whose bytes start earlier in another of its blocks, as runs."""
 
-    def make(buckets: int):
+    def make(buckets: int, shift: int):
         def task(table: pa.Table) -> pa.Table:
             d, p, n = (unpacked(table.column(x), KINDS[x]) for x in "dpn")
             s = unpacked(table.column("s"), np.uint8)
@@ -84,7 +84,7 @@ def compare_suffixes(length: int, memory: int):
             new = np.ones(len(order), bool)
             new[1:] = group[1:] != group[:-1]
             head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
-            later = (d[own] > d[own][head]) | (place > place[head])
+            later = (d[own] > d[own][head]) | same_row(d[own], place, group, shift)
             gone = np.sort(order[later])
             own = owner[gone]
             cut = np.flatnonzero((np.diff(gone, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0))
@@ -99,7 +99,7 @@ def compare_suffixes(length: int, memory: int):
     return make
 
 
-def kept_bytes(length: int, carry: Sequence[str]):
+def kept_bytes(length: int, carry: Sequence[str], shift: int):
     def kept_part(docs: pa.Table, spans: Spans, at: int) -> pa.Table:
         buf, offsets = flat(docs.column("text"))
         gone = spans.covered(offsets, at, length)
@@ -122,7 +122,7 @@ def kept_bytes(length: int, carry: Sequence[str]):
         return pa.table(columns)
 
     def task(docs: pa.Table, runs: pa.Table) -> pa.Table:
-        spans, out, at = Spans(docs, runs), [], 0
+        spans, out, at = Spans(docs, runs, shift), [], 0
         for part in chunks(docs, "text", TEXT_BYTES):
             out.append(kept_part(part, spans, at))
             at += part.num_rows
@@ -132,7 +132,7 @@ def kept_bytes(length: int, carry: Sequence[str]):
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 64 << 20, carry: Sequence[str] = ()
+    docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 64 << 20, carry: Sequence[str] = (), crowd: int = 100_000
 ) -> DataFrame:
     """Texts, as UTF-8 bytes, without every byte that a repeated ``length``-byte string covers.
 
@@ -141,13 +141,14 @@ def suffix_dedup(
     row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed runs), ``kept`` (binary) and the columns
     named in ``carry``. ``memory`` bounds the bytes that each queue of the suffix sorter keeps off disk.
 
-    Null text is empty. A null ``doc_id`` is smaller than every other id. Rows with equal id and text are judged as one
-    document and get equal results. An empty table gives an empty result; other columns are ignored unless carried.
+    Null text is empty. A null ``doc_id`` is smaller than every other id. Rows that share an id never remove bytes
+    of each other, so equal rows get equal results. An empty table gives an empty result; other columns are ignored unless carried. Long
+    texts are read whole. ``crowd``: see ``blocks.repeated_runs``.
     """
     carry = tuple(carry)
-    split, runs, _ = repeated_runs(
+    split, runs, shift = repeated_runs(
         docs, byte_units, length, gram, True, bytes_of(length), BYTES_SCHEMA, compare_suffixes(length, memory),
-        TEXT_BYTES, carry=carry,
+        TEXT_BYTES, carry=carry, crowd=crowd,
     )
     types = dict(split.dtypes)
     extra = "".join(f", `{c}` {types[c]}" for c in carry)
@@ -155,7 +156,7 @@ def suffix_dedup(
         split.groupBy("bucket")
         .cogroup(runs.groupBy("bucket"))
         .applyInArrow(
-            lean(kept_bytes(length, carry)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{extra}"
+            lean(kept_bytes(length, carry, shift)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{extra}"
         )
     )
 

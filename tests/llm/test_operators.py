@@ -206,7 +206,11 @@ def test_fingerprints(spark, documents):
 
 def test_fingerprints_of_awkward_rows(spark, awkward):
     odd = awkward.unionByName(spark.createDataFrame([(None, "null id", *"bkyn", None), (1, SHARED, *"bkyn", None)], CLASHING))
-    assert fingerprints.fingerprints(odd).count() == len(FIXTURE) + 2
+    got = fingerprints.fingerprints(odd).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted([*(str(i) for i, _ in FIXTURE), "None", "1"])
+    texts_by = {i: t for i, t in FIXTURE}
+    assert all(r["n_chars"] == len(texts_by[r["doc_id"]] or "") for r in got if r["doc_id"] is not None)
+    assert len({r["fingerprint"] for r in got if r["doc_id"] == 1}) == 1
     assert fingerprints.fingerprints(awkward.where("doc_id = 1")).first()["near_next"] == 1
 
 
@@ -240,11 +244,83 @@ def test_repeated_rows_and_null_ids(spark):
     got = substrings.substring_dedup(frame).collect()
     assert len(got) == 6 and {r["n_removed"] for r in got if r["doc_id"] == 1} == {60}
     assert [r["n_removed"] for r in got if r["doc_id"] is None] == [0, 0]
-    assert suffixes.suffix_dedup(frame).count() == 6
+    cut = suffixes.suffix_dedup(frame).collect()
+    size = len(SHARED.encode())
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in cut) == sorted(
+        [("1", size, size), ("1", size, size), ("2", size, size), ("2", size + 2, size), ("None", size, 0), ("None", 0, 0)]
+    )
     assert jaccard.near_duplicates(frame).count() == 6
     assert packing.pack_documents(frame, tokenizer_path()).count() == 6
 
 
+def plain_repeats(docs, units, size, within):
+    """Which units of each row go: windows that start in a row with a smaller id, or further left in the same row."""
+    first = {}
+    own = [units(t) for _, t in docs]
+    rank = [(i is not None, i or 0) for i, _ in docs]
+    for k, seq in enumerate(own):
+        for j in range(len(seq) - size + 1):
+            key = seq[j : j + size]
+            first[key] = min(first.get(key, rank[k]), rank[k])
+    out = []
+    for k, seq in enumerate(own):
+        gone, seen = set(), set()
+        for j in range(len(seq) - size + 1):
+            key = seq[j : j + size]
+            if first[key] < rank[k] or (within and key in seen):
+                gone.update(range(j, j + size))
+            seen.add(key)
+        out.append((docs[k][0], len(seq), len(gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shared", [None, 7])
+def test_many_unlike_texts_with_one_id(spark, shared):
+    """5,000 rows of one id keep what only they repeat, and lose what a smaller id has."""
+    rng = random.Random(3)
+    line = [" ".join(rng.choice(VOCABULARY) for _ in range(15)) for _ in range(40)]
+    docs = [(shared, f"{' '.join(rng.choice(VOCABULARY) for _ in range(8))} {rng.choice(line)} {rng.choice('xyz')}") for _ in range(5_000)]
+    docs += [(-5, line[0]), (-5, line[1]), (9, line[2]), (9, line[3] + " and " + line[3])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substrings.substring_dedup(frame).select("doc_id", "n_words", "n_removed").collect()), key=str)
+    assert got == plain_repeats(docs, lambda t: tuple(brute.WORD.findall(t)), 13, False)
+    got = sorted((tuple(r) for r in suffixes.suffix_dedup(frame, 60).select("doc_id", "n_bytes", "n_removed").collect()), key=str)
+    assert got == plain_repeats(docs, lambda t: t.encode(), 60, True)
+
+
+@pytest.mark.parametrize("phrase", ["terms of service apply", "one two three four five six seven eight nine ten"])
+def test_common_phrase_spreads_over_anchors(spark, phrase):
+    """A phrase in every unlike text anchors no more blocks than rare grams do, and the results stay those of all pairs."""
+    from gridpulse.llm import blocks
+
+    rng = random.Random(8)
+    pick = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    again = [pick(30) for _ in range(5)]
+    docs = [(i, f"{pick(14)} {phrase} {pick(14)} {rng.choice(again) if i % 4 == 0 else ''} {phrase} {pick(9)}") for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in substrings.substring_dedup(frame, crowd=100).select("doc_id", "n_words", "n_removed").collect()), key=str)
+    assert got == plain_repeats(docs, lambda t: tuple(brute.WORD.findall(t)), 13, False)
+    got = sorted((tuple(r) for r in suffixes.suffix_dedup(frame, crowd=100).select("doc_id", "n_bytes", "n_removed").collect()), key=str)
+    assert got == plain_repeats(docs, lambda t: t.encode(), 100, True)
+    most = []
+    for crowd in (10**9, 100):
+        common = blocks.common_grams(frame, substrings.word_units, 13, 4, 1 << 20, crowd)
+        units, first = substrings.word_units(frame.coalesce(1).toArrow())
+        anchors = blocks.Cutter(13, 4, common)(units, first)[0]
+        most.append(np.unique(anchors, return_counts=True)[1].max())
+    assert most[0] >= 100 and most[1] < most[0] / 4
+
+
+def test_quality_of_one_labelled_id_with_many_rows(spark, documents):
+    """Rows of one labelled id teach once, so what goes to the driver stays bounded."""
+    labels = table(spark, FOLDER, "labels")
+    sent = quality.quality_scores(documents, labels, most=50).orderBy("doc_id").select("score").collect()
+    known = labels.where("quality is not null and crc32(cast(doc_id as string)) % 5 <> 0").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    twice = documents.unionByName(documents.where(F.col("doc_id") == known).crossJoin(spark.range(500)).drop("id"))
+    again = quality.quality_scores(twice, labels, most=50).dropDuplicates(["doc_id"]).orderBy("doc_id").select("score").collect()
+    assert [r[0] for r in again] == pytest.approx([r[0] for r in sent], abs=1e-6)
+
+
 def test_suffix_order():
     from gridpulse.llm.induced import suffix_order
 
@@ -257,4 +333,4 @@ def test_suffix_order():
 
 
 def test_registered_names():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
