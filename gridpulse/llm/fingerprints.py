@@ -3,8 +3,10 @@
 Document frequencies are counted over all documents. The lexicon keeps terms inside the band; since each of its terms
 stands in at least ``low`` of all documents, it has at most (mean distinct terms of a document) / ``low`` terms however
 large the corpus is. Each randomised lexicon is a random part of it, and a fingerprint holds, for each, the hash of the
-sorted distinct terms of the text that it keeps. Parts come in several sizes, so that short and long texts both have
-parts that keep a few of their terms. The likeness of two texts is read under many more parts, of a size that fits both.
+sorted distinct terms of the text that it keeps, besides their number. Lexicons come in series: a series starts with the
+whole lexicon, and each next one keeps about half of the terms of the one before. Two texts differ under a lexicon that
+keeps a term of only one of them, so the place in its series from which on they agree tells how many such terms there
+are. The likeness of two texts is read from their two fingerprints and nothing else.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +27,11 @@ SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
-SHARES = (4, 16, 64, 256)
-"""A lexicon of level i keeps one term in SHARES[i]."""
-COPIES = 16
-DRAWN = 2048
-"""Lexicons under which the likeness of two texts is read, at least; fingerprints list 64 of their own."""
+SERIES, SIZES = 64, 16
+"""Series of lexicons, and lexicons of a series: the last keeps one term in 2**15."""
+PRINT_BYTES = 8 + SERIES * SIZES
+TRAILING = np.array([SIZES - 1, *(min(SIZES - 1, (x & -x).bit_length() - 1) for x in range(1, 1 << 16))])
+"""Trailing zero bits of 16-bit numbers."""
 
 
 def terms_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,84 +92,84 @@ class Printer:
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        self.parts = len(SHARES) * COPIES
 
     def kept_terms(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Lexicon terms of each text, and where each text's begin."""
+        """Lexicon terms of each text, and where each text's begin.
+
+        A text without any is read under all its terms, one without terms as a single term of its own.
+        """
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         h, first = terms_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        bare = np.flatnonzero(np.diff(first) == 0)
+        if len(bare):
+            own = np.array([xxhash.xxh64_intdigest(texts[i], 1) for i in bare], np.uint64)
+            h, first = np.insert(h, first[bare], own), first + np.searchsorted(bare, np.arange(len(first)))
         kept = np.zeros(len(h), bool)
         if len(self.terms):
             at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
             kept = self.terms[at] == h
+        text = np.repeat(np.arange(len(texts)), np.diff(first))
+        kept |= (np.bincount(text, kept, len(texts)) == 0)[text]
         return h[kept], np.concatenate([[0], np.cumsum(kept)])[first]
 
-    def signatures(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """32-bit hash of each text's terms for each lexicon, 0 where the lexicon keeps none of them."""
-        n = len(first) - 1
-        text = np.repeat(np.arange(n), np.diff(first))
-        total, count = np.zeros((self.parts, n), np.uint64), np.zeros((self.parts, n), np.int32)
-        for level, share in enumerate(SHARES):
-            limit = np.uint64(65536 // share)
-            for copy in range(COPIES):
-                k = level * COPIES + copy
-                if copy % 4 == 0:  # one hash has the draws of four lexicons
-                    drawn = mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                at = np.flatnonzero((drawn >> np.uint64(16 * (copy % 4)) & np.uint64(0xFFFF)) < limit)
-                # a sum of mixed hashes of distinct terms is the same whatever their order, so sorting is implied
-                np.add.at(total[k], text[at], mix(h[at] + np.uint64(k + 1)))
-                np.add.at(count[k], text[at], 1)
-        out = (total.T >> np.uint64(32)).astype(np.uint32)
-        out[count.T == 0] = 0
+    def prints(self, texts: list[bytes]) -> np.ndarray:
+        """A row of ``PRINT_BYTES`` per text: the number of its terms, then a one-byte hash for each lexicon."""
+        h, first = self.kept_terms(texts)
+        out = np.zeros((len(texts), PRINT_BYTES), np.uint8)
+        count = np.diff(first)
+        out[:, :8] = count.astype(">u8").view(np.uint8).reshape(-1, 8)
+        text = np.repeat(np.arange(len(texts)), count)
+        # a sum of mixed hashes of distinct terms is the same whatever their order, so sorting is implied; it stays exact
+        value = (mix(h + np.uint64(1)) >> np.uint64(32)).astype(np.float64)
+        cell = text * SIZES
+        for series in range(SERIES):
+            if series % 4 == 0:  # one hash draws for four series
+                drawn = mix(h ^ np.uint64((series + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            # trailing zero bits say how many lexicons of the series keep a term
+            last = TRAILING[drawn >> np.uint64(16 * (series % 4)) & np.uint64(0xFFFF)]
+            total = np.bincount(cell + last, value, len(texts) * SIZES).reshape(-1, SIZES)
+            total = np.cumsum(total[:, ::-1], axis=1)[:, ::-1].astype(np.uint64)
+            at = 8 + series * SIZES
+            out[:, at : at + SIZES] = (mix(total) >> np.uint64(56)).astype(np.uint8)
         return out
 
 
-def paired(h: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of the texts ``rows``, and the place in ``rows`` of each."""
-    count = np.diff(first)[rows]
-    pair = np.repeat(np.arange(len(rows)), count)
-    return h[np.repeat(first[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())], pair
+def texts_of_prints(prints: np.ndarray) -> pa.Array:
+    return pa.array([p.tobytes().hex() for p in prints])
+
 
+def prints_of_texts(texts: list[str]) -> np.ndarray:
+    return np.array([np.frombuffer(bytes.fromhex(t), np.uint8) for t in texts]).reshape(len(texts), PRINT_BYTES)
 
-def likeness(a, b, equal: np.ndarray, drawn: int = DRAWN) -> np.ndarray:
-    """Share of equal hashes among the lexicons that keep a term of either text; ``a`` and ``b`` are terms and bounds.
 
-    A pair is read under at least ``drawn`` lexicons that keep one term in ``s`` each, ``s`` being a power of two and four
-    to eight times the terms of both texts: most lexicons with a term then keep one, and the share comes near the Jaccard
-    similarity of the terms. One hash deals every term to one of ``s`` disjoint lexicons. Two texts without any lexicon
-    term are alike (1) if they are ``equal``, else unlike (0).
+def likeness(a: np.ndarray, b: np.ndarray, steps: int = 24) -> np.ndarray:
+    """Likeness (0 to 1) of the fingerprints of each row: the Jaccard similarity of the terms that they make most likely.
+
+    With D terms that only one text has, a series differs last at lexicon m with the chance
+    (1 - 2**-(m + 1))**D - (1 - 2**-m)**D. D is the most likely number, not under the difference of the two term counts
+    nor over their sum. Equal fingerprints have likeness 1.
     """
-    n = len(equal)
-    out = equal.astype(float)
-    every = np.arange(n)
-    (ha, pa_), (hb, pb) = paired(*a, every), paired(*b, every)
-    order = np.lexsort((np.concatenate([ha, hb]), both := np.concatenate([pa_, pb])))
-    h, both = np.concatenate([ha, hb])[order], both[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (both[1:] != both[:-1])
-    union = np.bincount(both[new], minlength=n)
-    size = 4 << np.ceil(np.log2(np.maximum(union, 1))).astype(np.int64)
-    for s in np.unique(size[union > 0]).tolist():
-        own = np.flatnonzero((size == s) & (union > 0))
-        for at in range(0, len(own), each := max(1, (1 << 18) // s)):
-            rows = own[at : at + each]
-            sides = [paired(*x, rows) for x in (a, b)]
-            same, either = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            for r in range(max(1, drawn // s)):
-                seed = mix(np.array([s, r + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                hashes, some = [], []
-                for h, pair in sides:
-                    slot = pair * s + (mix(h ^ seed[0] ^ (seed[1] << np.uint64(1))) >> np.uint64(20) & np.uint64(s - 1)).astype(np.int64)
-                    total = np.zeros(len(rows) * s, np.uint64)
-                    np.add.at(total, slot, mix(h + np.uint64(r + 1)))
-                    keeps = np.zeros(len(total), bool)
-                    keeps[slot] = True
-                    hashes.append(total)
-                    some.append(keeps)
-                either += (some[0] | some[1]).reshape(-1, s).sum(axis=1)
-                same += ((hashes[0] == hashes[1]) & some[0] & some[1]).reshape(-1, s).sum(axis=1)
-            out[rows] = same / either
-    return out
+    n = len(a)
+    counts = [np.ascontiguousarray(x[:, :8]).view(">u8").ravel().astype(np.float64) for x in (a, b)]
+    every, least = counts[0] + counts[1], np.maximum(np.abs(counts[0] - counts[1]), 1)
+    unlike = (a[:, 8:] != b[:, 8:]).reshape(n, SERIES, SIZES)
+    last = np.where(unlike.any(axis=2), SIZES - 1 - unlike[:, :, ::-1].argmax(axis=2), 0)
+    seen = np.zeros((n, SIZES))
+    np.add.at(seen, (np.repeat(np.arange(n), SERIES), last.ravel()), 1)
+    upto = np.append(np.log1p(-(0.5 ** np.arange(1, SIZES))), 0.0)  # the last lexicon stands for all smaller ones
+
+    def best(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grid = lo[:, None] * (np.maximum(hi, lo) / lo)[:, None] ** np.linspace(0, 1, steps)
+        whole = np.exp(grid[:, :, None] * upto)
+        chance = np.diff(whole, axis=2, prepend=0.0)
+        fit = (seen[:, None, :] * np.log(np.maximum(chance, 1e-300))).sum(axis=2).argmax(axis=1)
+        row = np.arange(n)
+        return grid[row, fit], grid[row, np.maximum(fit - 1, 0)], grid[row, np.minimum(fit + 1, steps - 1)]
+
+    _, lo, hi = best(least, every)
+    differ, _, _ = best(lo, hi)
+    out = np.maximum(every - differ, 0) / np.maximum(every + differ, 1)
+    return np.where((a == b).all(axis=1), 1.0, out)
 
 
 def print_task(shared):
@@ -186,19 +189,16 @@ def print_task(shared):
             raw = [t.encode() for t in [*texts, following]]
             changed = [t.encode() for t in edited]
             n = len(rows)
-            h, first = printer.kept_terms(raw)
-            h2, first2 = printer.kept_terms(changed)
-            sig, sig2 = printer.signatures(h[: first[n]], first[: n + 1]), printer.signatures(h2, first2)
-            plain = (h, first[: n + 1])
+            own, other = printer.prints(raw), printer.prints(changed)
             return pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([r[0] for r in rows], pa.int64()),
                     "n_chars": pa.array([len(t) for t in texts], pa.int64()),
                     "edited_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in changed]),
-                    "fingerprint": pa.array([s.astype(">u4").tobytes().hex() for s in sig]),
-                    "edited_fingerprint": pa.array([s.astype(">u4").tobytes().hex() for s in sig2]),
-                    "near_edited": pa.array(likeness(plain, (h2, first2), np.array([x == y for x, y in zip(raw[:n], changed, strict=True)]))),
-                    "near_next": pa.array(likeness(plain, (h, first[1:]), np.array([x == y for x, y in zip(raw[:n], raw[1:], strict=True)]))),
+                    "fingerprint": texts_of_prints(own[:n]),
+                    "edited_fingerprint": texts_of_prints(other),
+                    "near_edited": pa.array(likeness(own[:n], other)),
+                    "near_next": pa.array(likeness(own[:n], own[1:])),
                 }
             )
 
@@ -235,11 +235,11 @@ def fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.1, each: i
     next document in ascending ``doc_id``; the last document is followed by the first. Terms are lower-cased (A-Z) runs
     of letters, digits and non-ASCII characters; the lexicon has those in ``low`` to ``high`` of all documents. Returns
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``; the last two are the
-    likeness to the edited text and to the next document.
+    :func:`likeness` of the two fingerprints and of the document's and the next one's.
 
     Null text is empty; a null id comes first; rows that share an id are ordered by text. A single document follows
-    itself. Equal texts have equal fingerprints; texts without a lexicon term have all zeros. Other columns are ignored,
-    an empty table gives an empty result. Documents are dealt to ranges of ids of about ``each`` bytes, at most
+    itself. Equal texts have equal fingerprints; a text without a lexicon term is printed under all its terms, one without
+    terms under itself. Long texts are printed whole. Other columns are ignored, an empty table gives an empty result. Documents are dealt to ranges of ids of about ``each`` bytes, at most
     ``most_ranges`` of them: beyond that the ranges grow, which costs no memory since rows stream through in order.
     """
     spark = docs.sparkSession
