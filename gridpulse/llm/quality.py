@@ -189,7 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, tasks: int, hidden: int,
     # the labelled ids with the least hash: a bounded sample that every run draws alike
     drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # each task sends one table of vectors to the driver, so there are a few tasks whatever the cluster's settings
-    sample = pinned(docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")).coalesce(tasks)
+    # one text an id, so that the rows are bounded too
+    texts = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(
+        F.min_by(F.struct("text", "quality"), F.struct(F.xxhash64("text"), F.length("text"))).alias("r")
+    )
+    sample = pinned(texts.select("doc_id", "r.text", "r.quality")).coalesce(tasks)
     sums = np.zeros((ROWS, WIDTH), np.float32)
     for r in sample.select("text").mapInArrow(lean(vector_task), "sums binary").collect():  # one of fixed size a task
         sums += np.frombuffer(r["sums"], np.float32).reshape(ROWS, WIDTH)
@@ -221,7 +225,7 @@ def quality_scores(
     5, is not 0. A score depends on the text alone.
 
     Null and empty texts are scored as a document without words. Rows without a usable label teach nothing; contrary
-    labels of one id count as 0; without labels of both kinds every score is the mean label (0.5 if there is none). A
+    labels of one id count as 0; of unlike texts with one id, the one of least hash teaches; without labels of both kinds every score is the mean label (0.5 if there is none). A
     null id counts as held out; repeated rows score alike. Columns named in ``carry`` come back, whatever their names,
     in the struct ``carried``; others are ignored.
     """
