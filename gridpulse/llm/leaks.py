@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.arrays import Words, chunks, flat, gram_hashes, hash_spans, lean
+from gridpulse.llm.jaccard import with_row_key
 from gridpulse.llm.licenses import LOWER, NOT_WORD
 from gridpulse.llm.spark import pinned, received, sent, texts_of
 
 HALF = 24
 GRAM = 5
-LEAK_SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, last_word long"
+LEAK_SCHEMA = "doc_id long, t1 long, t2 long, item_id long, cosine double, lcs double, answer double, first_word long, last_word long"
 
 
 def item_words(text: str) -> tuple[np.ndarray, int]:
@@ -171,6 +172,21 @@ def sums(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
+def word_sums(latent: np.ndarray, ids: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+    """Sum of the latent rows of each block's words; blocks ascend and are short, so all are added to a word at a time."""
+    start = np.searchsorted(block, np.arange(blocks + 1))
+    count = np.diff(start)
+    order = np.argsort(-count, kind="stable")
+    start, count = start[:-1][order], count[order]
+    sums = np.zeros((blocks, latent.shape[1]), latent.dtype)
+    for step in range(int(count[0]) if blocks else 0):
+        some = int(np.searchsorted(-count, -step, side="left"))
+        sums[:some] += np.take(latent, ids[start[:some] + step], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def pair_task(shared, held: int):
     """Counts of word pairs of the same half passage: the upper half of A^T A before weights, a row of A being a half passage.
 
@@ -274,10 +290,12 @@ def common(item: np.ndarray, text: np.ndarray, weight: np.ndarray) -> float:
 
 
 def leak_task(shared, cosine: float, whole: float, part: float, answer_share: float):
-    def settle(items, item, pos, ids, start):
+    def reached(items, item, pos, start):
+        reach = len(items.words[item]) * 3 // 2
+        return tuple(np.searchsorted(pos, [start - reach, start + 2 * HALF + reach]).tolist())
+
+    def settle(items, item, pos, ids, lo, hi):
         words = items.words[item]
-        reach = len(words) * 3 // 2
-        lo, hi = np.searchsorted(pos, [start - reach, start + 2 * HALF + reach])
         own = np.isin(ids[lo:hi], words)
         at, text = pos[lo:hi][own], ids[lo:hi][own]
         # the text must hold the item within twice its length: take the heaviest such stretch
@@ -288,15 +306,20 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
             return None
         best = int(np.argmax(gain[ends] - gain[:-1]))
         at, text = at[best : ends[best]], text[best : ends[best]]
-        lcs = common(words, text, items.idf) / total
+        known, mine = np.unique(words, return_counts=True)
+        theirs = np.bincount(np.searchsorted(known, text), minlength=len(known))
         tail = np.unique(words[items.answers[item] :])
         answer = float(items.idf[np.intersect1d(tail, text)].sum()) / max(float(items.idf[tail].sum()), 1e-12)
-        if lcs >= whole or (lcs >= part and answer >= answer_share):
-            return lcs, answer, int(at[0]), int(at[-1])
-        return None
+        # no common subsequence outweighs the words that both have; what can't reach its share is not aligned
+        needed = part if answer >= answer_share else whole
+        if float((items.idf[known] * np.minimum(mine, theirs)).sum()) < needed * total - 1e-9:
+            return None
+        lcs = common(words, text, items.idf) / total
+        return (lcs, answer, int(at[0]), int(at[-1])) if lcs >= needed else None
 
     def candidates(items, passage, ids, begin, end):
         """Passages and stretches that are near, and of whose words the passage has enough weight to pass the checks."""
+        flat_weights = items.weights.ravel()
         for a in range(0, len(passage), 4096):
             k, j = np.nonzero(passage[a : a + 4096] @ items.vectors.T >= cosine)
             k += a
@@ -306,7 +329,7 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
                 kk, jj, nn = k[b : b + 50_000], j[b : b + 50_000], size[b : b + 50_000]
                 first = np.cumsum(nn) - nn
                 at = np.repeat(begin[kk] - first, nn) + np.arange(nn.sum())
-                weight = np.add.reduceat(items.weights[np.repeat(jj, nn), ids[at]], first)
+                weight = np.add.reduceat(np.take(flat_weights, np.repeat(jj * len(items.vocabulary), nn) + ids[at]), first)
                 ok = weight >= 0.8 * part * items.masses[jj]
                 yield from zip(kk[ok].tolist(), jj[ok].tolist(), strict=True)
 
@@ -318,7 +341,7 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
 
         def rows():
             names = [c.split()[0] for c in LEAK_SCHEMA.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.int64()] * 2
             columns = zip(*out, strict=True)
             batch = pa.RecordBatch.from_pydict({n: pa.array(list(v), k) for n, k, v in zip(names, kinds, columns, strict=True)})
             out.clear()
@@ -331,7 +354,7 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
                     continue
                 block, first, owner = half_blocks(text, word, n)
                 big = np.flatnonzero(items.heavy[ids] > 0)
-                half = sums(items.latent[ids[big]], block[big], len(owner))
+                half = word_sums(items.latent, ids[big], block[big], len(owner))
                 passage = half.copy()
                 same = np.flatnonzero(owner[1:] == owner[:-1])
                 passage[same] += half[same + 1]
@@ -340,19 +363,27 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
                 begin = np.searchsorted(block[big], np.arange(len(owner) + 1))
                 end = begin[1:].copy()
                 end[same] = begin[same + 2]
-                doc_ids = part.column("doc_id")
-                doc_ids = part.column("doc_id")
+                doc_ids, t1, t2 = (part.column(c) for c in ("doc_id", "t1", "t2"))
+                place = lambda t: (doc_ids[t].as_py(), t1[t].as_py(), t2[t].as_py())  # noqa: B023, E731
+                copied = set()
                 for t, item, w in items.copies(text, word, ids):
+                    copied.add((t, item))
                     near = float(passage[int(first[t]) + w // HALF] @ items.vectors[items.first_stretch[item]])
                     span = (w, w + len(items.words[item]) - 1)
-                    out.append((doc_ids[t].as_py(), items.ids[item], min(1.0, near), 1.0, 1.0, *span))
+                    out.append((*place(t), items.ids[item], min(1.0, near), 1.0, 1.0, *span))
+                settled: dict[tuple, tuple | None] = {}
                 for k, j in candidates(items, passage, ids[big], begin, end):
                     doc, item = int(owner[k]), int(stretch_of[j])
+                    if (doc, item) in copied:
+                        continue
                     lo, hi = bounds[doc], bounds[doc + 1]
-                    got = settle(items, item, word[lo:hi], ids[lo:hi], (k - int(first[doc])) * HALF)
-                    if got:
+                    stretch = reached(items, item, word[lo:hi], (k - int(first[doc])) * HALF)
+                    # half passages whose reach has the same hits are settled together
+                    if (doc, item, *stretch) not in settled:
+                        settled[doc, item, *stretch] = settle(items, item, word[lo:hi], ids[lo:hi], *stretch)
+                    if got := settled[doc, item, *stretch]:
                         near = float(passage[k] @ items.vectors[j])
-                        out.append((doc_ids[doc].as_py(), items.ids[item], min(1.0, near), *got))
+                        out.append((*place(doc), items.ids[item], min(1.0, near), *got))
                 if out:
                     yield rows()
 
@@ -373,7 +404,22 @@ def item_blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, st
         yield sorted(block)
 
 
-def leaks(
+def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Documents that hold a benchmark item: ``doc_id, item_id, cosine, lcs, answer, first_word, last_word``.
+
+    One row per document and item, with the best passage; rows that share an id, also a null one, are one document here.
+    See :func:`leaking_texts` for the search and its ``options``.
+    """
+    return _best(leaking_texts(docs, benchmark, **options), ["doc_id", "item_id"])
+
+
+def _best(found: DataFrame, keys: list[str]) -> DataFrame:
+    passage = F.struct("cosine", "lcs", "answer", "first_word", "last_word")
+    best = F.max_by(passage, F.struct("lcs", "cosine", -F.col("first_word"))).alias("b")
+    return found.groupBy(*keys).agg(best).select(*keys, "b.*")
+
+
+def leaking_texts(
     docs: DataFrame,
     benchmark: DataFrame,
     cosine: float = 0.3,
@@ -385,19 +431,21 @@ def leaks(
     least_words: int = 5,
     block_words: int = 20_000,
 ) -> DataFrame:
-    """Documents that hold a benchmark item: ``doc_id, item_id, cosine, lcs, answer, first_word, last_word``.
-
-    Passages of 48 words, one every 24, are compared with every item. Candidates with a latent cosine of at least ``cosine``, and all verbatim copies of an item's words, leak if a common
-    subsequence has the share ``whole`` of the item's IDF weight, or ``part`` of it together with ``answer_share`` of the
-    weight of the item's answer. The latent space (``rank`` dimensions) is fit on all passages and all items, the items
-    with ``item_share`` of the corpus's weight. Items come in blocks of about ``block_words`` words, any number of them.
-
-    One row per document and item, with the best passage. Null or empty texts and items of fewer than ``least_words``
-    words leak nothing. Repeated documents or items give each pair once; other columns are ignored; empty tables give an
-    empty result.
+    """Rows that hold a benchmark item: columns of :func:`leaks`, with the text hashes ``t1, t2`` of ``jaccard.with_row_key``.
+
+    Passages of 48 words, one every 24, are compared with every item. Candidates with a latent cosine of at least
+    ``cosine``, and all verbatim copies of an item's words, leak if a common subsequence has the share ``whole`` of the
+    item's IDF weight, or ``part`` of it together with ``answer_share`` of the weight of the item's answer. The latent space
+    (``rank`` dimensions) is fit on all passages and all items, the items with ``item_share`` of the corpus's weight. Items
+    come in blocks of about ``block_words`` words, any number of them.
+
+    One row per id, text and item, with the best passage (ties: the first). Null or empty texts and items of fewer than
+    ``least_words`` words leak nothing. Very long texts are read whole, a few at a time. A null id is kept as null, and unlike
+    texts of one id stay apart. Repeated documents or items give each row once; other columns are ignored; empty tables
+    give an empty result.
     """
     spark = docs.sparkSession
-    texts = texts_of(docs).where(F.length("text") > 0)
+    texts = with_row_key(texts_of(docs)).where(F.length("text") > 0).select("doc_id", "t1", "t2", "text")
     out = None
     for block in item_blocks(benchmark, block_words):
         items = Items(block, least_words)
@@ -411,5 +459,4 @@ def leaks(
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], LEAK_SCHEMA)
-    best = F.max_by(F.struct("cosine", "lcs", "answer", "first_word", "last_word"), F.struct("lcs", "cosine", -F.col("first_word"))).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    return _best(out, ["doc_id", "t1", "t2", "item_id"])
