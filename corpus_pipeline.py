@@ -15,14 +15,11 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from gridpulse.llm import jaccard, leaks, packing, quality, substrings  # noqa: E402
+from gridpulse.llm.arrays import NULL_ID  # noqa: E402
 from gridpulse.llm.spark import shared_folder  # noqa: E402
 from gridpulse.llm.workload import table, tokenizer_path  # noqa: E402
 
 
-def _same_id(left: str, right: str):
-    return F.col(left).eqNullSafe(F.col(right))
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.
 
@@ -61,10 +58,11 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def without_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = leaks.leaks(docs, table(spark, sf_dir, "benchmark"))
-    held = found.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(held, _same_id("doc_id", "_leak"), "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. Ids, which may be null or shared, don't matter: a text goes for its own leak."""
+    names = ["_key", "_t1", "_t2"]
+    found = leaks.leaking_texts(docs, table(spark, sf_dir, "benchmark"))
+    held = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
+    return jaccard.with_row_key(docs, "_").join(held, names, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
