@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,9 +118,8 @@ SUBSTATIONS = {
     9: "Subestaciones de distribución tipo poste",
 }
 
-# Transformer owner letter, and owner names that count as the company.
+# Transformer owner letter.
 TRANSFORMER_OWNERS = {"S": "C", "N": "P"}
-COMPANY_OWNERS = ("chec", "emp", "epm", "c")
 
 # Default pole length by assembly, in metres.
 POLE_LENGTHS = {"FACHADA": 6.0, "FICTICIO": 10.0, "PORTICO": 10.0}
@@ -140,15 +139,15 @@ def code_text(value: Column | str, table: Mapping) -> Column:
     return F.coalesce(F.create_map(*pairs)[text], text)
 
 
-def owner_class(owner: Column | str) -> Column:
-    """``C`` for the company's own names, ``P`` for every other owner, blank included."""
+def owner_class(owner: Column | str, company: Sequence[str]) -> Column:
+    """``C`` for the names of the ``company``, whatever their case, ``P`` for every other owner, blank included."""
     name = F.lower(F.trim(F.coalesce(as_column(owner), F.lit(""))))
-    return F.when(name.isin(*COMPANY_OWNERS), "C").otherwise("P")
+    return F.when(name.isin(*[n.lower() for n in company]), "C").otherwise("P")
 
 
-def owner_type(declared: Column | str, owner: Column | str) -> Column:
+def owner_type(declared: Column | str, owner: Column | str, company: Sequence[str]) -> Column:
     """Declared owner type, else the class of the owner."""
-    return F.coalesce(F.nullif(F.trim(as_column(declared)), F.lit("")), owner_class(owner), F.lit("C"))
+    return F.coalesce(F.nullif(F.trim(as_column(declared)), F.lit("")), owner_class(owner, company), F.lit("C"))
 
 
 def eligible_event(cause_type: Column, element: Column, cause: Column, hours: Column) -> Column:

@@ -604,42 +604,67 @@ def answer_sections(answers: DataFrame, answer_id: str, text: str) -> DataFrame:
 
 # Routing terms per tool, in the order tools are offered.
 ROUTES = {
-    "get_dashboard_context": "dashboard vista kpi indicador indicadores municipio periodo concentracion valores",
-    "get_reliability_summary": "confiabilidad uiti impacto recurrencia recurrente historico circuitos",
-    "get_compliance_context": "cumplimiento regulatorio regulatoria norma requisito riesgo creg retie",
-    "get_event_context": "evento falla causa duracion interrupcion",
-    "get_asset_context": "activo equipo transformador apoyo seccionador linea revisar revision",
-    "get_circuit_history": "historial historico recurrencia recurrente circuito",
+    "get_dashboard_context": (
+        "dashboard", "vista", "kpi", "indicador", "indicadores", "municipio", "periodo", "concentracion", "valores",
+    ),
+    "get_reliability_summary": (
+        "confiabilidad", "uiti", "impacto", "recurrencia", "recurrente", "historico", "circuitos",
+    ),
+    "get_compliance_context": (
+        "cumplimiento", "regulatorio", "regulatoria", "norma", "requisito", "riesgo", "creg", "retie",
+    ),
+    "get_event_context": (
+        "evento", "falla", "causa", "duracion", "interrupcion",
+    ),
+    "get_asset_context": (
+        "activo", "equipo", "transformador", "apoyo", "seccionador", "linea", "revisar", "revision",
+    ),
+    "get_circuit_history": (
+        "historial", "historico", "recurrencia", "recurrente", "circuito",
+    ),
     "get_timeseries_interpretability_context": (
-        "evolucion serie tendencia pico picos anomalia critico criticos uiti impacto"
+        "evolucion", "serie", "tendencia", "pico", "picos", "anomalia", "critico", "criticos", "uiti", "impacto",
+    ),
+    "get_prediction_context": (
+        "prediccion", "predictivo", "modelo", "riesgo", "score",
+    ),
+    "get_feature_mask_context": (
+        "mascara", "relevancia", "importancia", "atribucion", "features",
+    ),
+    "get_three_way_synthesis_context": (
+        "sintesis", "causal", "causalidad", "integrada", "tres",
+    ),
+    "get_intervention_candidate_context": (
+        "intervencion", "candidato", "accion", "mitigar",
+    ),
+    "get_what_if_context": (
+        "what-if", "whatif", "simulacion", "escenario", "delta",
+    ),
+    "get_evidence_report_context": (
+        "reporte", "informe", "evidencia", "generar",
     ),
-    "get_prediction_context": "prediccion predictivo modelo riesgo score",
-    "get_feature_mask_context": "mascara relevancia importancia atribucion features",
-    "get_three_way_synthesis_context": "sintesis causal causalidad integrada tres",
-    "get_intervention_candidate_context": "intervencion candidato accion mitigar",
-    "get_what_if_context": "what-if whatif simulacion escenario delta",
-    "get_evidence_report_context": "reporte informe evidencia generar",
     "search_regulatory_documents": (
-        "creg retie regulatorio regulatoria regulacion norma normativo normativa requisito cumplimiento calidad uiti impacto"
+        "creg", "retie", "regulatorio", "regulatoria", "regulacion", "norma", "normativo", "normativa", "requisito",
+        "cumplimiento", "calidad", "uiti", "impacto",
     ),
     "search_technical_documents": (
-        "documento evidencia cita citar manual indicador indicadores tecnico mantenimiento inspeccion condiciones "
-        "viento red revision campo activo"
+        "documento", "evidencia", "cita", "citar", "manual", "indicador", "indicadores", "tecnico", "mantenimiento",
+        "inspeccion", "condiciones", "viento", "red", "revision", "campo", "activo",
     ),
 }
 # The second tool is offered only where the first is not.
 EXCLUSIVE = ("search_regulatory_documents", "search_technical_documents")
 
 
-def route_tools(texts: DataFrame, text: str, routes: Mapping[str, str] = ROUTES, exclusive: tuple[str, str] = EXCLUSIVE) -> DataFrame:
+def route_tools(texts: DataFrame, text: str, routes: Mapping[str, Sequence[str]] = ROUTES, exclusive: tuple[str, str] = EXCLUSIVE) -> DataFrame:
     """Adds ``tools``: tools whose terms meet the text's tokens, each once, in route order."""
     texts = texts.withColumn("_words", F.array_distinct(F.split(plain_text(text), " ")))
     words = F.col("_words")
     picks = []
     for tool, terms in routes.items():
-        test = F.arrays_overlap(words, F.array(*[F.lit(t) for t in terms.split()]))
+        test = F.arrays_overlap(words, F.array(*[F.lit(t) for t in terms]))
         if tool == exclusive[1] and exclusive[0] in routes:
-            test = test & ~F.arrays_overlap(words, F.array(*[F.lit(t) for t in routes[exclusive[0]].split()]))
+            test = test & ~F.arrays_overlap(words, F.array(*[F.lit(t) for t in routes[exclusive[0]]]))
         picks.append(F.when(test, F.lit(tool)))
     return texts.withColumn("tools", F.array_compact(F.array(*picks))).drop("_words")
 

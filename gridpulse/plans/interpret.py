@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions.metrics import METRIC_KEYS, METRIC_TOTALS, metric_key
 from gridpulse.operators.aggregates import window_totals
+from gridpulse.operators.documents import BASE_TERMS, with_distinct_terms
 from gridpulse.operators.filters import choose_circuits, coerce_window, date_bounds, in_window
 from gridpulse.operators.series import (
     GROUPS,
@@ -152,3 +153,21 @@ def insight_lines(points: DataFrame, by: Sequence[str], start: str, end: str, se
         return lines
     none = F.lit(NO_POINTS.format(start=start, end=end))
     return series.select(*by).distinct().join(lines, list(by), "left").withColumn("insight", F.coalesce("insight", none))
+
+
+def retrieval_queries(points: DataFrame, by: Sequence[str], metric: str = "UITI", labels: int = 5, limit: int = 40) -> DataFrame:
+    """One retrieval query per series, from its enriched points: ``query_text`` of at most ``limit`` distinct terms.
+
+    Base terms come first, then the metric and the series, the types of its points by rank, and up to ``labels`` labels of
+    each group. A term that differs only in case is taken once.
+    """
+    groups = [n for n in GROUPS.values() if n in points.columns]
+    ranked = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "criticality_types", *groups))).alias("_p"))
+    leading = F.array(*[F.lit(t) for t in (*BASE_TERMS, metric_key(metric))], *[F.col(c).cast("string") for c in by])
+    types = F.flatten(F.transform("_p", lambda p: p["criticality_types"]))
+
+    def named(group: str) -> Column:
+        found = F.flatten(F.transform("_p", lambda p: F.transform(p[group], lambda x: x["label"])))
+        return F.slice(F.array_distinct(found), 1, labels)
+
+    return with_distinct_terms(ranked, F.concat(leading, types, *[named(n) for n in groups]), limit=limit).drop("_p")

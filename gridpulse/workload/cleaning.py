@@ -114,21 +114,38 @@ def _(t):
     )
 
 
-OWNERS = "o AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' EPM ' WHEN 1 THEN 'epm' WHEN 2 THEN NULL WHEN 3 THEN 'C' ELSE c_name END AS owner, CASE c_custkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN ' ' END AS declared FROM customer)"
+@query(
+    "p08_asset_codes",
+    f"SELECT p_partkey, " + _sql_map(f"[{', '.join(_sql_text(k) for k in K.SWITCH_ASSEMBLIES)}][p_size % {len(K.SWITCH_ASSEMBLIES) + 2} + 1]", K.SWITCH_ASSEMBLIES)
+    + " AS assembly, " + _sql_map("['S', 'N', 'X'][p_size % 3 + 1]", K.TRANSFORMER_OWNERS) + " AS owner FROM part",
+)
+def _(t):
+    """Switch assemblies and transformer owners; a part without an assembly code has no text."""
+    codes = F.array(*[F.lit(k) for k in K.SWITCH_ASSEMBLIES])
+    owner = F.array(*[F.lit(k) for k in ("S", "N", "X")])
+    size = F.col("p_size").cast("int")
+    return t.part.select(
+        "p_partkey", K.code_text(F.get(codes, size % (len(K.SWITCH_ASSEMBLIES) + 2)), K.SWITCH_ASSEMBLIES).alias("assembly"),
+        K.code_text(F.get(owner, size % 3), K.TRANSFORMER_OWNERS).alias("owner"),
+    )
+
+
+COMPANY = ("Grid", "net", "c")
+OWNERS = "o AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' GRID ' WHEN 1 THEN 'grid' WHEN 2 THEN NULL WHEN 3 THEN 'C' ELSE c_name END AS owner, CASE c_custkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN ' ' END AS declared FROM customer)"
 
 
 @query(
     "p09_owner_class",
-    f"WITH {OWNERS}, k AS (SELECT *, CASE WHEN lower(trim(coalesce(owner, ''))) IN ('chec', 'emp', 'epm', 'c') THEN 'C' ELSE 'P' END AS owner_class FROM o) SELECT c_custkey, owner_class, coalesce(nullif(trim(declared), ''), owner_class) AS owner_type FROM k",
+    f"WITH {OWNERS}, k AS (SELECT *, CASE WHEN lower(trim(coalesce(owner, ''))) IN ('grid', 'net', 'c') THEN 'C' ELSE 'P' END AS owner_class FROM o) SELECT c_custkey, owner_class, coalesce(nullif(trim(declared), ''), owner_class) AS owner_type FROM k",
 )
 def _(t):
     k = F.col("c_custkey")
     rows = t.customer.select(
         "c_custkey",
-        F.when(k % 6 == 0, " EPM ").when(k % 6 == 1, "epm").when(k % 6 == 2, None).when(k % 6 == 3, "C").otherwise(F.col("c_name")).alias("owner"),
+        F.when(k % 6 == 0, " GRID ").when(k % 6 == 1, "grid").when(k % 6 == 2, None).when(k % 6 == 3, "C").otherwise(F.col("c_name")).alias("owner"),
         F.when(k % 4 == 0, "P").when(k % 4 == 1, " ").alias("declared"),
     )
-    return rows.select("c_custkey", K.owner_class("owner").alias("owner_class"), K.owner_type("declared", "owner").alias("owner_type"))
+    return rows.select("c_custkey", K.owner_class("owner", COMPANY).alias("owner_class"), K.owner_type("declared", "owner", COMPANY).alias("owner_type"))
 
 
 @query(

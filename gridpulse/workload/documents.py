@@ -319,10 +319,10 @@ def _(t):
 def _route_case() -> str:
     arms = []
     for tool, terms in D.ROUTES.items():
-        test = f"len(list_intersect(w, [{', '.join(repr(x) for x in terms.split())}])) > 0"
+        test = f"len(list_intersect(w, [{', '.join(repr(x) for x in terms)}])) > 0"
         if tool == D.EXCLUSIVE[1]:
             first = D.ROUTES[D.EXCLUSIVE[0]]
-            test += f" AND len(list_intersect(w, [{', '.join(repr(x) for x in first.split())}])) = 0"
+            test += f" AND len(list_intersect(w, [{', '.join(repr(x) for x in first)}])) = 0"
         arms.append(f"CASE WHEN {test} THEN '{tool}' END")
     return "array_to_string(list_filter([" + ", ".join(arms) + "], lambda x: x IS NOT NULL), ',')"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridpulse.functions.metrics import METRIC_KEYS
 from gridpulse.operators import reshape as R
 from gridpulse.operators import series as S
-from gridpulse.operators.documents import bounded_memory
+from gridpulse.operators.documents import BASE_TERMS, bounded_memory
 from gridpulse.operators.joins import latest_by_key
 from gridpulse.plans import interpret
 from gridpulse.workload.registry import STREAM, query, r4, stream, stream_daily, text_day
@@ -390,6 +390,16 @@ def _(t):
     return _interpret(t)["history_totals"].select("circuit", *r4("UITI", "EVENT_COUNT", "USERS"))
 
 
+@query(
+    "d07_retrieval_queries",
+    f"WITH {ENRICHED}, ty AS (SELECT circuit, flatten(list(string_split(types, ',') ORDER BY rank)) AS ty, list_filter(flatten(list(string_split(top_causes, ',') ORDER BY rank)), lambda x: x <> '') AS ca FROM rich GROUP BY circuit), "
+    f"te AS (SELECT circuit, list_concat(list_concat([{', '.join(repr(x) for x in BASE_TERMS)}, 'UITI', circuit], ty), list_filter(ca, lambda x, i: list_position(ca, x) = i)[1:5]) AS ts FROM ty), "
+    "fi AS (SELECT circuit, list_filter(ts, lambda x, i: list_position(list_transform(ts, lambda y: lower(y)), lower(x)) = i)[1:40] AS k FROM te) SELECT circuit, array_to_string(k, ' ') AS query_text FROM fi",
+)
+def _(t):
+    return interpret.retrieval_queries(_rich(t, ("cause",)), BY)
+
+
 # the sentences of a point's two strongest reasons, strongest first
 REASON_TEXT = """(CASE reason_type WHEN 'uiti_high_outlier' THEN 'UITI esta por encima de la linea base robusta de la ventana.'
  WHEN 'uiti_low_outlier' THEN 'UITI esta inusualmente bajo frente a la ventana seleccionada.' WHEN 'sharp_uiti_increase' THEN 'UITI sube bruscamente frente al dia anterior.'

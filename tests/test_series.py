@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridpulse.operators import series as S
-from gridpulse.plans.interpret import critical_points, insight_lines, plain_number
+from gridpulse.plans.interpret import critical_points, insight_lines, plain_number, retrieval_queries
 
 SCHEMA = "s string, day date, UITI double, UITI_VANO double, EVENT_COUNT double, USERS double, DURATION_RAW double"
 
@@ -149,6 +149,14 @@ def test_plain_numbers(spark):
     assert [r["t"] for r in rows] == ["12.0", "1.2346", "123456789.5", "0.0", "-0.5", "100.0"]
 
 
+def test_retrieval_query_of_a_series(spark):
+    columns = "s string, rank int, criticality_types array<string>, top_causes array<struct<label:string>>"
+    points = spark.createDataFrame([("CIR-1", 2, ["peak"], [("rayo",), ("VIENTO",)]), ("CIR-1", 1, ["outlier", "peak"], [("viento",)]), ("uiti", 1, [], [])], columns)
+    got = {r["s"]: r["query_text"] for r in retrieval_queries(points, ["s"]).collect()}
+    base = "UITI UITI_VANO impacto confiabilidad calidad del servicio interrupciones duracion fuente usuarios afectados mantenimiento"
+    assert got == {"CIR-1": f"{base} CIR-1 outlier peak viento rayo", "uiti": base}
+
+
 def test_empty_series_flag(spark):
     known = spark.createDataFrame([("a",), ("none",)], "s string")
     flags = {r["s"]: r["flags"] for r in S.quality_flags(daily(spark, [1.0] * 8), ["s"], expected=known).collect()}
