@@ -4,8 +4,8 @@ One hash deals a set's shingles into bins and keeps the least of each; an empty
 in an order of its own, the same for all sets. Sets that agree in a band of bins share a bucket. A bucket is not compared
 pair by pair: every set gets one edge to the most central hub of its buckets first, which already connects most copies. Only
 buckets that still hold several components go on: those of their sets that are not of the bucket's largest component are
-free, and a bounded number of free sets are hubs that every other set of the bucket is compared with. Signatures and odd
-sketches rule pairs out, and a link is confirmed on the whole shingle sets.
+free, and some free sets are hubs that every other set of the bucket is compared with, more of them in every turn until all
+free sets were hubs. Signatures and odd sketches rule pairs out, and a link is confirmed on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -149,7 +149,8 @@ def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     differ = (100 - percent) / (100 + percent) * (n[at] + m[at]) + 1e-9
     filled = CELLS / 2 * (1 - (1 - 2 / CELLS) ** differ)
     most = np.minimum(differ, filled + 5 * np.sqrt(filled * (1 - filled / CELLS)))
-    odd = np.bitwise_count(x[at, BINS:] ^ y[at, BINS:]).sum(axis=1, dtype=np.int64)
+    wide = lambda marks: np.ascontiguousarray(marks[:, BINS:]).view(np.uint64)
+    odd = np.bitwise_count(wide(x)[at] ^ wide(y)[at]).sum(axis=1, dtype=np.int64)
     at = at[odd <= most]
     agree = (x[at, :BINS] == y[at, :BINS]).mean(axis=1)
     return at[agree >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.minimum(BINS, large[at]))]
@@ -173,7 +174,9 @@ def hub_task(percent: int):
             for i in range(batch.num_rows):
                 sets, hubs = (batch.column(c).slice(i, 1).flatten() for c in ("sets", "hubs"))
                 (node, part, n), (hub, whole, m) = ([x.field(c).to_numpy() for c in ("node", "part", "n")] for x in (sets, hubs))
-                row, column = np.nonzero(part[:, None] != whole)
+                # two hubs meet twice, once as a set of the other's list
+                twice = sets.field("hub").to_numpy(zero_copy_only=False)[:, None] & (node[:, None] < hub)
+                row, column = np.nonzero((part[:, None] != whole) & ~twice)
                 x, y = rows_of(sets.field("sig"), MARK), rows_of(hubs.field("sig"), MARK)
                 for a in range(0, len(row), 1 << 14):
                     u, v = row[a : a + (1 << 14)], column[a : a + (1 << 14)]
@@ -255,8 +258,10 @@ def open_buckets(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, Data
 def linked_sets(nodes: DataFrame, texts: DataFrame, size: int, percent: int, few: int, share: int = 200) -> DataFrame:
     """``node, component`` by links that connect whatever sets of a bucket the links of all sets connect.
 
-    A turn compares ``few`` free sets of each open bucket with all its sets. A bucket with no more free sets is done then;
-    from others the hubs are taken out, and the sets are dealt again by two more bins.
+    A turn compares some free sets of each open bucket, its hubs, with all its sets: ``few`` central ones first, then eight
+    times as many by hash in every turn. Hubs are taken out then, and a bucket whose free sets were all hubs is done. So
+    every two sets of a bucket that no links connect are compared, in blocks of bounded size, after a number of turns that
+    grows with the logarithm of the largest bucket.
     """
     bands = nodes.select("node", F.explode("bands").alias("bucket"))
     crowded = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
@@ -267,35 +272,45 @@ def linked_sets(nodes: DataFrame, texts: DataFrame, size: int, percent: int, few
     sets = texts.select("key", "t1", "t2", "text").mapInArrow(lean(set_task(size)), "key long, t1 long, t2 long, ids binary")
     sets = stored(sets.join(places, ["key", "t1", "t2"]).dropDuplicates(["key", "t1", "t2"]).select("node", "ids"))
     links = stored(first_links(members, weights, nodes, sets, percent))
-    members, turn = members.select("bucket", "node"), 0
+    members, most = members.select("bucket", "node"), few
     marks = nodes.select("node", "n", "sig")
     linked = stored(components(links))
     while True:
         named, tops = open_buckets(members, linked)
         if not tops.take(1):
             return linked
-        held = stored(salted_join(named, tops, ["bucket"], rows="sets"))
-        order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-        hubs = held.where("part <> largest").join(weights, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= few)
-        hubs = stored(hubs.select("bucket", "node", "part").join(marks, "node"))
-        gathered = F.collect_list(F.struct("node", "part", "n", "sig"))
-        lists = hubs.groupBy("bucket").agg(gathered.alias("hubs"))
+        held = salted_join(named, tops, ["bucket"], rows="sets")
+        if most == few:
+            held = stored(held.withColumn("hub", F.lit(False)))
+            order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+            hubs = held.where("part <> largest").join(weights, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= few)
+            hubs = hubs.withColumn("list", F.lit(0).cast("long"))
+        else:
+            chosen = F.pmod(F.xxhash64("node", F.lit(most)), F.col("free_sets")) < most
+            held = stored(held.withColumn("hub", (F.col("part") != F.col("largest")) & chosen))
+            hubs = held.where("hub").withColumn("list", F.pmod(F.xxhash64("node"), F.ceil(F.least("free_sets", F.lit(most)) / share)))
+        hubs = stored(hubs.select("bucket", "list", "node", "part").join(marks, "node"))
+        lists = hubs.groupBy("bucket", "list").agg(F.collect_list(F.struct("node", "part", "n", "sig")).alias("hubs"))
         # sets go in shares of about ``share``, so that a list of hubs is sent once a share
         dealt = held.withColumn("share", F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / share)))
-        shares = dealt.join(marks, "node").groupBy("bucket", "share").agg(gathered.alias("sets"))
-        met = salted_join(shares, lists, ["bucket"], counted=dealt.select("bucket", "share").distinct(), crowd=500)
+        shares = dealt.join(marks, "node").groupBy("bucket", "share").agg(F.collect_list(F.struct("node", "part", "n", "sig", "hub")).alias("sets"))
+        counted = dealt.select("bucket", "share").distinct()
+        if most > few:
+            each = stored(hubs.select("bucket", "list").distinct())
+            shares, counted = shares.join(each, "bucket"), counted.join(each, "bucket")
+            met = salted_join(shares, lists, ["bucket", "list"], counted=counted, crowd=500)
+        else:
+            met = salted_join(shares, lists.drop("list"), ["bucket"], counted=counted, crowd=500)
         alike = met.select("sets", "hubs").mapInArrow(lean(hub_task(percent)), "u long, v long")
         new = stored(confirmed(stored(alike.distinct()), sets, percent))
         if new.take(1):
             links = stored(links.unionByName(new))
             linked = stored(components(links))
-        rest = held.where(F.col("free_sets") > few).select("bucket", "node")
+        rest = held.where(F.col("free_sets") > most).select("bucket", "node")
         if not rest.take(1):
             return linked
-        rest = rest.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti").join(nodes.select("node", "sig"), "node")
-        place = (F.pmod(F.xxhash64("bucket", F.lit(turn)), F.lit(BINS - 1)) + 1).cast("int")
-        members = stored(rest.select(F.xxhash64("bucket", F.substring("sig", place, F.lit(2))).alias("bucket"), "node"))
-        turn += 1
+        members = stored(rest.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti"))
+        most *= 8
 
 
 def near_duplicate_components(docs: DataFrame, percent: int = 80, size: int = 2, few: int = 128) -> DataFrame:
@@ -303,8 +318,8 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, size: int = 2,
 
     One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links reach, itself
     included) and ``kept`` (the two ids are equal). Equal sets are one; 40 bands of 5 bins miss a bucket of a pair at
-    80 % with a chance of about 1e-7, and more rarely above. Within a bucket a link is lost only where the bucket is
-    dealt again (more than ``few`` free sets), and other bands hold the pair too.
+    80 % with a chance of about 1e-7, and more rarely above. Whatever the number of sets of a bucket, every two of them that
+    no links connect are compared; ``few`` is the number of hubs of the first turn.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text with fewer than ``size`` words has one shingle of all
     its words. Null, empty and blank texts have no shingle and are linked with nothing. Texts are read whole, whatever

@@ -142,3 +142,16 @@ def test_marks_keep_every_link_and_rule_out_most_others(size):
         kept[similarity] = len(onehash.may_link(marks[::2], marks[1::2], n, n, 80))
     assert kept[0.8] == 60
     assert kept[0.65] == 0 or size < 100 or size > 3_000
+
+
+def test_a_crowded_bucket_loses_no_link(spark):
+    """One bucket for all: 40 pairs of just over 80 % that no hub of the first turn joins."""
+    own = random.Random(11)
+    bases = [[f"c{own.randrange(10**9)}" for _ in range(41)] for _ in range(40)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(bases)] + [(100 + i, " ".join([*b[:37], *(f"e{i}-{j}" for j in range(4))])) for i, b in enumerate(bases)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = onehash.with_row_key(onehash.texts_of(docs))
+    nodes = texts.select("key", "t1", "t2", "text").mapInArrow(onehash.sketch_task(2), onehash.SKETCH)
+    nodes = onehash.stored(nodes.withColumns({"node": F.col("key"), "bands": F.array(F.lit(1).cast("long"))}))
+    linked = onehash.linked_sets(nodes, texts, 2, 80, few=2)
+    assert {(r["node"], r["component"]) for r in linked.collect()} == {(i + d, i) for i in range(40) for d in (0, 100)}
