@@ -127,14 +127,18 @@ def nearest_reference(
     return points.join(nearest, match, "left").drop("_x", "_y")
 
 
-def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Plane distance from a point to a segment."""
-    dx, dy = x2 - x1, y2 - y1
-    length2 = dx * dx + dy * dy
+def _distance(px: Column, py: Column, x1: Column, y1: Column, dx: Column, dy: Column, length2: Column) -> Column:
     along = F.when(length2 == 0, 0.0).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / length2))
     )
-    return F.sqrt(F.pow(px - (x1 + along * dx), 2) + F.pow(py - (y1 + along * dy), 2))
+    ex, ey = px - (x1 + along * dx), py - (y1 + along * dy)
+    return F.sqrt(ex * ex + ey * ey)
+
+
+def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Plane distance from a point to a segment."""
+    dx, dy = x2 - x1, y2 - y1
+    return _distance(px, py, x1, y1, dx, dy, dx * dx + dy * dy)
 
 
 def crossed_cells(lines: DataFrame, radius: float, side: Column) -> DataFrame:
@@ -168,6 +172,7 @@ def points_near_segments(
     most_columns: int = 512,
     widths: int = 3,
     factor: int = 16,
+    task_pairs: int = 100_000_000,
 ) -> DataFrame:
     """(segment id, point id, distance) for points closer than ``radius`` to a segment.
 
@@ -175,6 +180,10 @@ def points_near_segments(
     :func:`crossed_cells`), a point into its own cell, and pairs meet by an equi-join on the cell. Cells are ``cell`` wide
     (ten radii if not given); segments longer than ``most_columns`` of them go by cells ``factor`` times as wide, up to
     ``widths`` widths, and points are entered once per width in use. Rows without a finite place meet nothing.
+
+    Where points and segments crowd, pairs outnumber rows by far: they are counted per cell first. Cells narrower than
+    asked, down to the radius, are taken where that leaves fewer pairs, and cells are dealt out so that a task compares
+    about ``task_pairs`` of them; a cell with more is cut by its segments and its points are repeated.
     """
     side = cell or max(radius * 10, 1e-9)
     lines = segments.select(
@@ -187,25 +196,62 @@ def points_near_segments(
         width = F.when(span > float(factor ** (k - 1)), F.lit(k)).otherwise(width)
     lines = lines.withColumn("_width", width)
     in_use = sorted(r[0] for r in lines.select("_width").distinct().collect())
-    lines = crossed_cells(lines, radius, F.lit(float(side)) * F.pow(F.lit(float(factor)), F.col("_width")))
     dots = points.select(
         F.col(point["id"]).alias("point_id"),
         F.col(point["x"]).cast("double").alias("_px"),
         F.col(point["y"]).cast("double").alias("_py"),
     ).where(_finite("_px", "_py"))
-    entries = F.array(
-        *[
-            F.struct(F.lit(k).alias("_width"), _cell(F.col("_px"), side * factor**k).alias("_cx"), _cell(F.col("_py"), side * factor**k).alias("_cy"))
-            for k in in_use or [0]
-        ]
-    )
-    dots = dots.withColumn("_e", F.explode(entries)).select("point_id", "_px", "_py", "_e.*")
-    away = segment_distance(F.col("_px"), F.col("_py"), F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2"))
-    return (
-        dots.join(lines, ["_width", "_cx", "_cy"])
-        .select("segment_id", "point_id", away.alias("distance"))
-        .where(F.col("distance") < radius)
-    )
+
+    def entered(width: float) -> tuple[DataFrame, DataFrame]:
+        """Points and segments in cells of ``width``, and wider ones for long segments."""
+        entries = F.array(
+            *[
+                F.struct(F.lit(k).alias("_width"), _cell(F.col("_px"), width * factor**k).alias("_cx"), _cell(F.col("_py"), width * factor**k).alias("_cy"))
+                for k in in_use or [0]
+            ]
+        )
+        cells = crossed_cells(lines, radius, F.lit(float(width)) * F.pow(F.lit(float(factor)), F.col("_width")))
+        return dots.withColumn("_e", F.explode(entries)).select("point_id", "_px", "_py", "_e.*"), cells
+
+    def counted(inside: DataFrame, cells: DataFrame) -> DataFrame:
+        """Points and segments of each cell that has both."""
+        mine, theirs = (f.groupBy(*place).agg(F.count(F.lit(1)).cast("double").alias(n)) for f, n in ((inside, "_p"), (cells, "_s")))
+        return mine.join(theirs, place)
+
+    place, tables = ["_width", "_cx", "_cy"], RoundTables(points.sparkSession)
+    inside, cells = entered(side)
+    product = F.col("_p") * F.col("_s")
+    total = [F.coalesce(F.sum(product), F.lit(0.0)), F.coalesce(F.max(product), F.lit(0.0))]
+    counts = tables.store(counted(inside, cells))
+    pairs, most = counts.agg(*total).first()
+    if pairs > task_pairs and side >= 2 * radius > 0:
+        fine = entered(max(radius, side / factor))
+        fewer = tables.store(counted(*fine))
+        left = fewer.agg(*total).first()
+        if left[0] < pairs:
+            (inside, cells), counts, (pairs, most) = fine, fewer, left
+    if most > task_pairs:
+        # each of these cells has ``task_pairs`` of all pairs at least, so the list is short
+        large = F.broadcast(counts.where(product > task_pairs).select(*place, F.ceil(product / task_pairs).cast("int").alias("_cuts")))
+        cuts = F.coalesce("_cuts", F.lit(1))
+        inside = inside.join(large, place, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")
+        cells = cells.join(large, place, "left").withColumn("_cut", F.pmod(F.xxhash64("segment_id", "_x1", "_y1", "_x2", "_y2"), cuts).cast("int")).drop("_cuts")
+        place = [*place, "_cut"]
+    if pairs > task_pairs:
+        # a join that makes many rows out of few: its tasks follow the pairs and not the bytes
+        parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, int(pairs // task_pairs) * 4))
+        inside, cells = inside.repartition(parts, *place), cells.repartition(parts, *place)
+    # what a pair needs of its segment is made once a segment and cell
+    reach = F.lit(float(radius))
+    dx, dy = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
+    cells = cells.select(
+        *place, "segment_id", F.col("_x1"), F.col("_y1"), dx.alias("_dx"), dy.alias("_dy"), (dx * dx + dy * dy).alias("_l2"),
+        (F.least("_x1", "_x2") - reach).alias("_left"), (F.greatest("_x1", "_x2") + reach).alias("_right"),
+        (F.least("_y1", "_y2") - reach).alias("_low"), (F.greatest("_y1", "_y2") + reach).alias("_high"),
+    )
+    met = inside.join(cells, place).where("_px >= _left and _px <= _right and _py >= _low and _py <= _high")
+    away = _distance(F.col("_px"), F.col("_py"), F.col("_x1"), F.col("_y1"), F.col("_dx"), F.col("_dy"), F.col("_l2"))
+    return met.select("segment_id", "point_id", away.alias("distance")).where(F.col("distance") < radius)
 
 
 def directed_edges(segments: DataFrame, start: str, end: str, order: str, code: str) -> DataFrame:

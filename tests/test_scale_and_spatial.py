@@ -205,3 +205,25 @@ def test_regression_errors(spark):
 def test_class_codes_sorted(spark):
     out = T.class_codes(spark.createDataFrame([("b",), ("a",), ("b",)], "c string"), "c").orderBy("code").collect()
     assert [tuple(r) for r in out] == [("a", 0, 1), ("b", 1, 2)]
+
+
+@pytest.mark.parametrize("task_pairs", [50, 500])
+def test_a_crowded_distance_join_is_dealt_by_its_pairs(spark, task_pairs):
+    own = random.Random(3)
+    dots = [(i, own.uniform(0, 0.6), own.uniform(0, 0.2)) for i in range(150)]
+    lines = [(i, x := own.uniform(0, 0.6), y := own.uniform(0, 0.2), x + own.choice([0, 0.05, -0.1]), y + own.choice([0, 0.04])) for i in range(80)]
+    near = X.points_near_segments(
+        spark.createDataFrame(dots, "id long, x double, y double"), spark.createDataFrame(lines, "sid long, x1 double, y1 double, x2 double, y2 double"),
+        {"id": "id", "x": "x", "y": "y"}, {"id": "sid", "x1": "x1", "y1": "y1", "x2": "x2", "y2": "y2"}, radius=0.03, cell=0.2, task_pairs=task_pairs,
+    )
+    want = {}
+    for i, px, py in dots:
+        for s, x1, y1, x2, y2 in lines:
+            dx, dy = x2 - x1, y2 - y1
+            along = max(0.0, min(1.0, ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            if (d := math.hypot(px - x1 - along * dx, py - y1 - along * dy)) < 0.03:
+                want[s, i] = d
+    rows = near.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["segment_id"], r["point_id"]) for r in rows} == set(want) and len(rows) == len(want)
+    assert all(abs(r["distance"] - want[r["segment_id"], r["point_id"]]) < 1e-9 for r in rows)
+    assert len({r["task"] for r in rows}) > 4
