@@ -167,19 +167,25 @@ def read_index(spark, path: str, item_id: str, vector: str) -> VectorIndex:
     return VectorIndex(spark.read.parquet(f"{path}/items"), np.array([r["centre"] for r in rows]), item_id, vector)
 
 
+def _assigned(rows: pa.RecordBatch, vector: str, centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """``rows`` with ``list``, each as often as there are ``probes``, in batches of at most ``CELL_VALUES`` numbers or a row's."""
+    count, dimension = centres.shape
+    some = max(1, min(4096, CELL_VALUES // max(1, min(probes, count) * dimension), CELL_VALUES // count))
+    for a in range(0, rows.num_rows, some):
+        part = rows.slice(a, some)
+        scores = _unit(_matrix(part.column(vector), dimension)) @ centres.T
+        near = np.array([at for _, at in _best(scores, probes)]).reshape(part.num_rows, -1)
+        wide = part.take(pa.array(np.repeat(np.arange(part.num_rows), near.shape[1])))
+        yield pa.RecordBatch.from_arrays([*wide.columns, pa.array(near.ravel(), pa.int32())], names=[*rows.schema.names, "list"])
+
+
 def _listed(frame: DataFrame, vector: str, centres: np.ndarray, probes: int) -> DataFrame:
     """Rows with ``list``, one row per each of the ``probes`` nearest centres."""
     shared = frame.sparkSession.sparkContext.broadcast(centres)
-    dimension, names = centres.shape[1], frame.columns
 
     def assign(batches):
         for rows in batches:
-            for a in range(0, rows.num_rows, 4096):
-                part = rows.slice(a, 4096)
-                scores = _unit(_matrix(part.column(vector), dimension)) @ shared.value.T
-                near = np.array([at for _, at in _best(scores, probes)]).reshape(part.num_rows, -1)
-                wide = part.take(pa.array(np.repeat(np.arange(part.num_rows), near.shape[1])))
-                yield pa.RecordBatch.from_arrays([*wide.columns, pa.array(near.ravel(), pa.int32())], names=[*names, "list"])
+            yield from _assigned(rows, vector, shared.value, probes)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
     return frame.mapInArrow(assign, f"{kinds}, list int")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,17 @@ def test_trace_scores_and_report(spark):
 def test_slug_and_generated_id(spark):
     row = spark.createDataFrame([("Guía  Técnica_1", " ")], "n string, i string").select(slug("n").alias("s"), generated_id("i", "local-event", a="n").alias("g")).first()
     assert row["s"] == "guia-tecnica-1" and row["g"].startswith("local-event-") and len(row["g"]) == 28
+
+
+@pytest.mark.parametrize("probes", [1, 300])
+def test_probed_rows_come_in_bounded_batches(probes):
+    """A row is repeated for each probed list, so a batch of rows must shrink as the lists grow in number."""
+    numbers = np.random.default_rng(1)
+    centres, rows = numbers.normal(size=(900, 64)), numbers.normal(size=(2_000, 64))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(2_000)), "v": pa.array(rows.tolist(), pa.list_(pa.float64()))})
+    parts = list(V._assigned(batch, "v", centres, probes))
+    assert all(p.num_rows * 64 <= V.CELL_VALUES for p in parts)
+    assert np.array_equal(np.concatenate([p.column("id").to_numpy() for p in parts]), np.repeat(np.arange(2_000), probes))
+    units = V._unit(rows) @ centres.T
+    first = np.concatenate([p.column("list").to_numpy() for p in parts]).reshape(2_000, probes)
+    assert np.array_equal(first, np.argsort(-units, axis=1, kind="stable")[:, :probes])
