@@ -52,6 +52,19 @@ def places(t: Tables) -> DataFrame:
     )
 
 
+TASK_ROWS = 500_000
+
+
+def by_rows(frame: DataFrame, counted: DataFrame, *keys: str) -> DataFrame:
+    """``frame`` dealt by ``keys`` into one task per ``TASK_ROWS`` rows of ``counted``, where these are more than the cores.
+
+    Packed shuffle bytes say little about the memory that sorts and aggregates of a task take; a count of its rows does.
+    Stored tables are counted by their footers.
+    """
+    tasks = -(-counted.count() // TASK_ROWS)
+    return frame.repartition(tasks, *keys) if tasks > frame.sparkSession.sparkContext.defaultParallelism else frame
+
+
 def fact(t: Tables) -> DataFrame:
     """Line items as span facts with event, place, equipment and impact columns."""
     columns = (
@@ -87,7 +100,7 @@ def fact(t: Tables) -> DataFrame:
     )
     # events come last: where both sides are large the result is left partitioned by event, which the roll-ups need
     return (
-        lines.join(spans, "span_id", "left")
+        by_rows(lines.join(spans, "span_id", "left"), t.lineitem, "event_id")
         .join(events, "event_id", "left")
         .withColumn("duration", F.datediff("l_shipdate", "day").cast("double"))
         .drop("l_shipdate")

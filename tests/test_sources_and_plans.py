@@ -1,5 +1,6 @@
 import hashlib
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from gridpulse.plans.gold import StarSources, gold_tables, map_tables, silver_fa
 from gridpulse.plans.maps import map_layers
 from gridpulse.sources import readers as R
 from gridpulse.sources import writers as W
+from gridpulse.workload import registry
 
 
 def test_unknown_mode_is_an_error(spark, tmp_path):
@@ -231,3 +233,26 @@ def test_numeric_choice_reaches_the_scan(spark, tmp_path):
     out = frame.where(filter_predicates([[KIND_CHOICE, "id", "7", None]], frame.columns, frame.dtypes)[0])
     assert [r["id"] for r in out.collect()] == [7] and "EqualTo(id,7)" in out._jdf.queryExecution().executedPlan().toString()
     assert frame.where(filter_predicates([[KIND_CHOICE, "id", "seven", None]], frame.columns, frame.dtypes)[0]).count() == 0
+
+
+def test_fact_tasks_follow_the_rows(spark, monkeypatch):
+    """A task of the outage fact takes so many rows, whatever the number of shuffle partitions, and an event's rows stay together."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    t = SimpleNamespace(
+        lineitem=frame(
+            [(i // 2, i % 5, 1, i % 2, 1.0, 10.0 + i, 0.0, "A", "F", "1995-01-05") for i in range(60)],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate string",
+        ).withColumn("l_shipdate", F.to_date("l_shipdate")),
+        orders=frame([(i, i % 3, "1-URGENT", 5.0) for i in range(29)], "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").withColumn("o_orderdate", F.lit("1995-01-01").cast("timestamp")),
+        customer=frame([(i, i) for i in range(3)], "c_custkey long, c_nationkey long"),
+        nation=frame([(i, f"N{i}", 0) for i in range(3)], "n_nationkey long, n_name string, n_regionkey long"),
+        region=frame([(0, "R")], "r_regionkey long, r_name string"),
+        part=frame([(i, f"B{i}", "T") for i in range(5)], "p_partkey long, p_brand string, p_type string"),
+    )
+    t.spread = lambda name, *columns: getattr(t, name).select(*columns)
+    plain = sorted(map(str, registry.fact(t).collect()))
+    monkeypatch.setattr(registry, "TASK_ROWS", 5)
+    rows = registry.fact(t).withColumn("task", F.spark_partition_id())
+    assert rows.select("event_id", "task").distinct().count() == 30
+    assert rows.select("task").distinct().count() > 4
+    assert sorted(map(str, rows.drop("task").collect())) == plain
