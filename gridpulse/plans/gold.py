@@ -108,18 +108,23 @@ def silver_fact(src: StarSources) -> DataFrame:
         clean_text("trafo_profile_id").alias("profile_id"),
         decimal_number("UITI_VANO").alias("span_impact"),
     )
+    taken = set(fact.columns).union(*[t[name].columns for name in t if name != "weather"])
+    readings = [c for c in t["weather"].columns if c not in taken]
     wide = star_join(
         fact,
         [
             Dimension(t["events"], {"event_id": "event_id"}),
+            # the readings come before the wide dimensions, whose columns would be shuffled by span and time as well
+            Dimension(t["weather"], {"span_id": "span_id", "event_ts": "weather_ts"}, readings),
             Dimension(t["spans"], {"span_id": "span_id"}),
             Dimension(t["equipment"], {"switch_id": "switch_id"}),
             Dimension(t["supports"], {"support_id": "support_id"}),
             Dimension(t["causes"], {"cause_code": "cause_code"}),
             Dimension(t["transformers"], {"profile_id": "profile_id"}),
-            Dimension(t["weather"], {"span_id": "span_id", "event_ts": "weather_ts"}),
         ],
     )
+    # columns in the order of the dimensions
+    wide = wide.select(*[c for c in wide.columns if c not in readings], *readings)
     return wide.withColumns(
         {
             "cause": F.col("cause_text"),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridpulse.operators.aggregates import event_rollup, month_view, daily_impact
+from gridpulse.operators import joins as J
 from gridpulse.plans import payloads
 from gridpulse.plans.gold import StarSources, gold_tables, map_tables, silver_fact, span_assets
 from gridpulse.plans.maps import map_layers
@@ -256,3 +257,15 @@ def test_fact_tasks_follow_the_rows(spark, monkeypatch):
     assert rows.select("event_id", "task").distinct().count() == 30
     assert rows.select("task").distinct().count() > 4
     assert sorted(map(str, rows.drop("task").collect())) == plain
+
+
+def test_readings_join_before_the_wide_dimensions(star, monkeypatch):
+    """Rows are shuffled by span and time while they are narrow; columns keep the order of the dimensions."""
+    from gridpulse.plans import gold
+
+    joined = []
+    monkeypatch.setattr(gold, "star_join", lambda fact, dims: (joined.extend(tuple(d.on) for d in dims), J.star_join(fact, dims))[1])
+    out = silver_fact(star)
+    assert joined.index(("span_id", "event_ts")) < joined.index(("span_id",))
+    assert out.columns.index("temp_0") > out.columns.index("transformer_capacity")
+    assert {r["span_id"]: r["temp_0"] for r in out.collect()} == {"V1": "20,5", "V2": None, "V3": None}
