@@ -190,18 +190,31 @@ def word_sums(latent: np.ndarray, ids: np.ndarray, block: np.ndarray, blocks: in
 def pair_task(shared, held: int):
     """Counts of word pairs of the same half passage: the upper half of A^T A before weights, a row of A being a half passage.
 
-    A word's own entry counts its hits, and twice its pairs with itself. About ``held`` pairs wait for each reduction.
+    A word's own entry counts its hits, and twice its pairs with itself. About ``held`` pairs wait for each reduction, and
+    what is reduced is added up in the task until it has more than twice as many unlike pairs.
     """
 
     def task(batches):
         items = received(shared)
         find, size = Finder(items.vocabulary), len(items.vocabulary)
         waiting: list[np.ndarray] = []
+        known, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def reduced():
+            nonlocal known, times
             codes, n = np.unique(np.concatenate(waiting), return_counts=True)
-            i, j = codes // size, codes % size
             waiting.clear()
+            # two ascending lists, which a stable sort merges
+            codes, n = np.concatenate([known, codes]), np.concatenate([times, n])
+            order = np.argsort(codes, kind="stable")
+            codes, n = codes[order], n[order]
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            known, times = codes[first], np.add.reduceat(n, first)
+
+        def rows():
+            nonlocal known, times
+            i, j, n = known // size, known % size, times
+            known, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "n": pa.array(n, pa.int64())})
 
         for batch in batches:
@@ -217,9 +230,13 @@ def pair_task(shared, held: int):
                     same = np.flatnonzero(a == b)
                     waiting += [np.minimum(a, b) * size + np.maximum(a, b), a[same] * size + a[same]]
                     if sum(map(len, waiting)) >= held:
-                        yield reduced()
+                        reduced()
+                        if len(known) > 2 * held:
+                            yield rows()
         if waiting:
-            yield reduced()
+            reduced()
+        if len(known):
+            yield rows()
 
     return task
 
@@ -253,7 +270,7 @@ def latent_space(items: Items, texts: DataFrame, rank: int, tasks: int, rounds:
     spark = texts.sparkSession
     size = len(items.vocabulary)
     width = min(size, rank + 16)
-    pairs = texts.mapInArrow(lean(pair_task(sent(spark, items), 1 << 20)), "i long, j long, n long")
+    pairs = texts.select("text").mapInArrow(lean(pair_task(sent(spark, items), 1 << 20)), "i long, j long, n long")
     # at most one row for each pair of item words, however large the corpus
     pairs = pinned(pairs.groupBy("i", "j").agg(F.sum("n").alias("n")).repartition(tasks, "i").sortWithinPartitions("i", "j"))
     few = pairs.coalesce(tasks)  # the driver adds up one sum a task, so their number must not follow the settings
@@ -451,7 +468,7 @@ def leaking_texts(
         items = Items(block, least_words)
         if not items.ids:
             continue
-        counts = texts.mapInArrow(lean(frequency_task(sent(spark, items))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = texts.select("text").mapInArrow(lean(frequency_task(sent(spark, items))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         counted = {r["term"]: r["n"] for r in counts.collect()}
         items.weigh(counted, counted.get(-1, 0))
         items.place(latent_space(items, texts, rank, tasks=6, rounds=2, item_share=item_share))

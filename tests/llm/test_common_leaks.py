@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from gridpulse.llm import leaks
 
 
@@ -17,3 +19,19 @@ def test_verbatim_item_of_frequent_words(spark):
     found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
     got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in found}
     assert got[1000, 1] > 0.99 and got[1001, 1] > 0.99
+
+
+def test_pair_counts_of_a_task_are_added_up_before_they_leave_it(monkeypatch):
+    """Every pair of words once a task, with the counts of all its texts, unless there are too many unlike pairs."""
+    item = "red green blue white black grey"
+    items = leaks.Items([(1, item)], 5)
+    monkeypatch.setattr(leaks, "received", lambda shared: shared)
+    batch = pa.RecordBatch.from_pydict({"text": [item, f"{item} red"] * 50})
+    plain = {}
+    for rows in leaks.pair_task(items, 1 << 20)([batch]):
+        for i, j, n in zip(*(rows.column(c).to_pylist() for c in "ijn"), strict=True):
+            plain[i, j] = plain.get((i, j), 0) + n
+    parts = list(leaks.pair_task(items, 16)([batch] * 3))
+    got = [(i, j) for rows in parts for i, j in zip(rows.column("i").to_pylist(), rows.column("j").to_pylist(), strict=True)]
+    assert sorted(got) == sorted(plain)
+    assert sum(sum(rows.column("n").to_pylist()) for rows in parts) == 3 * sum(plain.values())
