@@ -48,9 +48,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch | pa.Table, column: str, most: int) -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of whole rows with about ``most`` bytes of ``column`` at most; one longer text stays whole."""
-    if not batch.num_rows:
-        return
-    _, offsets = flat(batch.column(column))
+    if batch.num_rows:
+        yield from slices(batch, flat(batch.column(column))[1], most)
+
+
+def slices(batch: pa.RecordBatch | pa.Table, offsets: np.ndarray, most: int) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Slices of whole rows whose sizes, the steps of ``offsets``, add up to ``most`` at most; one larger row stays whole."""
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)

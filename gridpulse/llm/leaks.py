@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are read as overlapping passages over the words that benchmark items use, weighted by TF-IDF with frequencies from
-all passages of the corpus. A randomised SVD over every passage gives a latent space: Spark tasks reduce the passages to
+Texts are read once, for the places of the words that benchmark items use, and from then on are overlapping passages of
+these words, weighted by TF-IDF with frequencies from all passages of the corpus. A randomised SVD over every passage gives a latent space: Spark tasks reduce the passages to
 pair counts of item words (A^T A), and the SVD's products with them run in Spark tasks too; passages near an item there (cosine) are candidates, as are
 verbatim copies whatever their cosine, found by the rarest five-word run of each item. Each candidate is then settled exactly: by the weight of the
 longest common subsequence of item and text, and, for paraphrases, by how much of the item's answer the text has.
@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import Words, chunks, flat, gram_hashes, hash_spans, lean
+from gridpulse.llm.arrays import Words, chunks, flat, gram_hashes, hash_spans, lean, slices, unpacked
 from gridpulse.llm.jaccard import with_row_key
 from gridpulse.llm.licenses import LOWER, NOT_WORD
-from gridpulse.llm.spark import pinned, received, sent, texts_of
+from gridpulse.llm.spark import pinned, received, sent, stored, texts_of
 
 HALF = 24
 GRAM = 5
+FAR = 255
+HIT_SCHEMA = "doc_id long, t1 long, t2 long, words long, ids binary, gaps binary, far binary"
 LEAK_SCHEMA = "doc_id long, t1 long, t2 long, item_id long, cosine double, lcs double, answer double, first_word long, last_word long"
 
 
@@ -50,6 +53,7 @@ class Items:
         self.ids = [r[0] for r in read]
         self.vocabulary = np.unique(np.concatenate([r[1] for r in read])) if read else np.zeros(0, np.uint64)
         self.words = [np.searchsorted(self.vocabulary, r[1]) for r in read]
+        self.sizes = np.array([len(words) for words in self.words])
         self.answers = [r[2] for r in read]
         self.idf = self.heavy = np.ones(len(self.vocabulary))
         self.latent, self.vectors = None, None
@@ -59,8 +63,24 @@ class Items:
         self.idf = np.log((passages + 2) / (frequency + 1))
         # every word counts in the search, however common, so that items of ordinary words have a latent vector too
         self.heavy = self.idf
+        self.totals = np.array([max(float(self.idf[words].sum()), 1e-12) for words in self.words])
+        whole = np.repeat(np.arange(len(self.words)), [len(words) for words in self.words]) * len(self.vocabulary)
+        self.codes, self.times = np.unique(whole + np.concatenate(self.words), return_counts=True)
         self.mark()
 
+    def most_common(self, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Weight of the words that each item shares with hits ``lo`` to ``hi``, however they are placed."""
+        size = hi - lo
+        some, first = np.repeat(np.arange(len(item)), size), np.cumsum(size) - size
+        word = ids[np.repeat(lo - first, size) + np.arange(len(some))]
+        code = item[some] * len(self.vocabulary) + word
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        own = np.flatnonzero(self.codes[place] == code)
+        both, times = np.unique(some[own] * len(self.codes) + place[own], return_counts=True)
+        some, place = both // len(self.codes), both % len(self.codes)
+        weight = self.idf[self.codes[place] % len(self.vocabulary)] * np.minimum(times, self.times[place])
+        return np.bincount(some, weight, minlength=len(item))
+
     def mark(self) -> None:
         """The rarest run of ``GRAM`` words of each item: any verbatim copy holds it."""
         runs, at = [], []
@@ -135,19 +155,71 @@ class Finder:
         return text, at - words.first[text], ids, np.diff(words.first)
 
 
-def frequency_task(shared):
+def id_kind(vocabulary: np.ndarray):
+    return np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
+
+
+def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of ``values[bounds[i]:bounds[i + 1]]``, row by row."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
+def hit_task(shared):
+    """Hits of each text: vocabulary ids, and words since the hit before (a byte; ``FAR`` of them or more are listed apart)."""
+
     def task(batches):
-        items = received(shared)
-        find, size = Finder(items.vocabulary), len(items.vocabulary)
-        total, passages = np.zeros(size, np.int64), 0
+        vocabulary = received(shared)
+        find = Finder(vocabulary)
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
                 text, word, ids, n = find(part)
-                halves = -(-n // HALF)
-                passages += int(halves.sum())
-                block = (np.cumsum(halves) - halves)[text] + word // HALF
-                seen = np.unique(block * size + ids)
-                total += np.bincount(seen % size, minlength=size)
+                bounds = np.searchsorted(text, np.arange(len(n) + 1))
+                gaps = np.diff(word, prepend=0)
+                begins = bounds[:-1][np.diff(bounds) > 0]
+                gaps[begins] = word[begins]
+                far = np.flatnonzero(gaps >= FAR)
+                columns = {c: part.column(c) for c in ("doc_id", "t1", "t2")} | {
+                    "words": pa.array(n, pa.int64()),
+                    "ids": binaries(ids.astype(id_kind(vocabulary)), bounds),
+                    "gaps": binaries(np.minimum(gaps, FAR).astype(np.uint8), bounds),
+                    "far": binaries(gaps[far], np.searchsorted(far, bounds)),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return task
+
+
+def hits(vocabulary: np.ndarray, batches, most: int):
+    """Slices of the batches with their hits, as :class:`Finder` gives them, out of stored hits or of texts.
+
+    A slice has about ``most`` bytes of text, or a fourth as many words (also those that are no hits).
+    """
+    find, kind = Finder(vocabulary), id_kind(vocabulary)
+    for batch in batches:
+        if "text" in batch.schema.names:
+            for part in chunks(batch, "text", most):
+                yield part, *find(part)
+            continue
+        for part in slices(batch, np.cumsum(np.append(0, batch.column("words").to_numpy())), most // 4):
+            ids, gaps = unpacked(part.column("ids"), kind).astype(np.int64), unpacked(part.column("gaps"), np.uint8).astype(np.int64)
+            gaps[gaps == FAR] = unpacked(part.column("far"), np.int64)
+            _, bounds = flat(part.column("gaps"))
+            text, passed = np.repeat(np.arange(part.num_rows), np.diff(bounds)), np.cumsum(np.append(0, gaps))
+            yield part, text, passed[1:] - passed[bounds[text]], ids, part.column("words").to_numpy()
+
+
+def frequency_task(shared):
+    def task(batches):
+        vocabulary = received(shared)
+        size = len(vocabulary)
+        total, passages = np.zeros(size, np.int64), 0
+        for _, text, word, ids, n in hits(vocabulary, batches, 1 << 20):
+            halves = -(-n // HALF)
+            passages += int(halves.sum())
+            block = (np.cumsum(halves) - halves)[text] + word // HALF
+            codes = np.sort(block * size + ids)
+            total += np.bincount(codes[np.diff(codes, prepend=-1) > 0] % size, minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict(
             {"term": pa.array(np.append(some, -1), pa.int64()), "n": pa.array(np.append(total[some], passages), pa.int64())}
@@ -196,7 +268,7 @@ def pair_task(shared, held: int):
 
     def task(batches):
         items = received(shared)
-        find, size = Finder(items.vocabulary), len(items.vocabulary)
+        size = len(items.vocabulary)
         waiting: list[np.ndarray] = []
         known, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -217,22 +289,25 @@ def pair_task(shared, held: int):
             known, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "n": pa.array(n, pa.int64())})
 
-        for batch in batches:
-            for part in chunks(batch, "text", 1 << 18):
-                text, word, ids, n = find(part)
-                block, _, _ = half_blocks(text, word, n)
-                big = np.flatnonzero(items.heavy[ids] > 0)
-                ids, block = ids[big], block[big]
-                waiting.append(ids * size + ids)
-                for step in range(1, min(HALF, len(ids))):
-                    at = np.flatnonzero(block[step:] == block[:-step])
-                    a, b = ids[at], ids[at + step]
-                    same = np.flatnonzero(a == b)
-                    waiting += [np.minimum(a, b) * size + np.maximum(a, b), a[same] * size + a[same]]
-                    if sum(map(len, waiting)) >= held:
-                        reduced()
-                        if len(known) > 2 * held:
-                            yield rows()
+        for _, text, word, ids, n in hits(items.vocabulary, batches, 1 << 18):
+            block, _, _ = half_blocks(text, word, n)
+            big = np.flatnonzero(items.heavy[ids] > 0)
+            ids, block = ids[big], block[big]
+            waiting.append(ids * size + ids)
+            at = np.arange(len(ids))
+            for step in range(1, min(HALF, len(ids))):
+                # blocks ascend, so only hits with a hit of their block at the step before can have one here
+                at = at[: np.searchsorted(at, len(ids) - step)]
+                at = at[block[at + step] == block[at]]
+                if not len(at):
+                    break
+                a, b = ids[at], ids[at + step]
+                same = np.flatnonzero(a == b)
+                waiting += [np.minimum(a, b) * size + np.maximum(a, b), a[same] * size + a[same]]
+                if sum(map(len, waiting)) >= held:
+                    reduced()
+                    if len(known) > 2 * held:
+                        yield rows()
         if waiting:
             reduced()
         if len(known):
@@ -262,15 +337,15 @@ def product_task(shared):
     return task
 
 
-def latent_space(items: Items, texts: DataFrame, rank: int, tasks: int, rounds: int, item_share: float) -> np.ndarray:
-    """Right singular vectors of the TF-IDF matrix of all passages of all texts and of all items.
+def latent_space(items: Items, found: DataFrame, rank: int, tasks: int, rounds: int, item_share: float) -> np.ndarray:
+    """Right singular vectors of the TF-IDF matrix of all passages of all texts (their stored hits) and of all items.
 
     The corpus is scaled so that the items' squared weight is ``item_share`` of its own, whatever its size.
     """
-    spark = texts.sparkSession
+    spark = found.sparkSession
     size = len(items.vocabulary)
     width = min(size, rank + 16)
-    pairs = texts.select("text").mapInArrow(lean(pair_task(sent(spark, items), 1 << 20)), "i long, j long, n long")
+    pairs = found.select("words", "ids", "gaps", "far").mapInArrow(lean(pair_task(sent(spark, items), 1 << 20)), "i long, j long, n long")
     # at most one row for each pair of item words, however large the corpus
     pairs = pinned(pairs.groupBy("i", "j").agg(F.sum("n").alias("n")).repartition(tasks, "i").sortWithinPartitions("i", "j"))
     few = pairs.coalesce(tasks)  # the driver adds up one sum a task, so their number must not follow the settings
@@ -307,16 +382,29 @@ def common(item: np.ndarray, text: np.ndarray, weight: np.ndarray) -> float:
 
 
 def leak_task(shared, cosine: float, whole: float, part: float, answer_share: float):
-    def reached(items, item, pos, start):
-        reach = len(items.words[item]) * 3 // 2
-        return tuple(np.searchsorted(pos, [start - reach, start + 2 * HALF + reach]).tolist())
+    def reached(items, item, text, word, n, doc, start):
+        """First and last hit that a copy of the item can have near word ``start`` of its text, for all candidates."""
+        reach = items.sizes[item] * 3 // 2
+        wide = int(n.max()) + 1
+        place = text * wide + word
+        lo = np.searchsorted(place, doc * wide + np.maximum(start - reach, 0))
+        return lo, np.searchsorted(place, doc * wide + np.minimum(start + 2 * HALF + reach, wide - 1))
+
+    def possible(items, item, lo, hi, ids):
+        """Which candidates share enough words with their item to be settled: a bound, so it has some slack."""
+        ok, least = np.zeros(len(item), bool), min(whole, part) * items.totals[item] - 1e-6
+        turn = np.cumsum(hi - lo) >> 20  # about a million hits at a time
+        edges = np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(item))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            ok[a:b] = items.most_common(item[a:b], lo[a:b], hi[a:b], ids) >= least[a:b]
+        return ok
 
     def settle(items, item, pos, ids, lo, hi):
         words = items.words[item]
         own = np.isin(ids[lo:hi], words)
         at, text = pos[lo:hi][own], ids[lo:hi][own]
         # the text must hold the item within twice its length: take the heaviest such stretch
-        total = max(float(items.idf[words].sum()), 1e-12)
+        total = float(items.totals[item])
         gain = np.concatenate([[0], np.cumsum(items.idf[text])])
         ends = np.searchsorted(at, at + 2 * len(words))
         if not len(at):
@@ -337,22 +425,24 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
     def candidates(items, passage, ids, begin, end):
         """Passages and stretches that are near, and of whose words the passage has enough weight to pass the checks."""
         flat_weights = items.weights.ravel()
+        passed = np.concatenate([[0.0], np.cumsum(items.heavy[ids])])
+        gain = passed[end] - passed[begin]  # no stretch has more weight in a passage than the passage itself
         for a in range(0, len(passage), 4096):
             k, j = np.nonzero(passage[a : a + 4096] @ items.vectors.T >= cosine)
             k += a
             size = end[k] - begin[k]
-            k, j, size = k[size > 0], j[size > 0], size[size > 0]
+            some = np.flatnonzero((size > 0) & (gain[k] >= 0.799 * part * items.masses[j]))
+            k, j, size = k[some], j[some], size[some]
             for b in range(0, len(k), 50_000):
                 kk, jj, nn = k[b : b + 50_000], j[b : b + 50_000], size[b : b + 50_000]
                 first = np.cumsum(nn) - nn
                 at = np.repeat(begin[kk] - first, nn) + np.arange(nn.sum())
                 weight = np.add.reduceat(np.take(flat_weights, np.repeat(jj * len(items.vocabulary), nn) + ids[at]), first)
                 ok = weight >= 0.8 * part * items.masses[jj]
-                yield from zip(kk[ok].tolist(), jj[ok].tolist(), strict=True)
+                yield kk[ok], jj[ok]
 
     def task(batches):
         items = received(shared)
-        find = Finder(items.vocabulary)
         stretch_of = np.array([i for i, _ in items.stretches()])
         out: list[tuple] = []
 
@@ -364,45 +454,44 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
             out.clear()
             return batch
 
-        for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
-                text, word, ids, n = find(part)
-                if not len(ids):
-                    continue
-                block, first, owner = half_blocks(text, word, n)
-                big = np.flatnonzero(items.heavy[ids] > 0)
-                half = word_sums(items.latent, ids[big], block[big], len(owner))
-                passage = half.copy()
-                same = np.flatnonzero(owner[1:] == owner[:-1])
-                passage[same] += half[same + 1]
-                passage = unit(passage)
-                bounds = np.searchsorted(text, np.arange(len(n) + 1))
-                begin = np.searchsorted(block[big], np.arange(len(owner) + 1))
-                end = begin[1:].copy()
-                end[same] = begin[same + 2]
-                doc_ids, t1, t2 = (part.column(c) for c in ("doc_id", "t1", "t2"))
-                place = lambda t: (doc_ids[t].as_py(), t1[t].as_py(), t2[t].as_py())  # noqa: B023, E731
-                copied = set()
-                for t, item, w in items.copies(text, word, ids):
-                    copied.add((t, item))
-                    near = float(passage[int(first[t]) + w // HALF] @ items.vectors[items.first_stretch[item]])
-                    span = (w, w + len(items.words[item]) - 1)
-                    out.append((*place(t), items.ids[item], min(1.0, near), 1.0, 1.0, *span))
-                settled: dict[tuple, tuple | None] = {}
-                for k, j in candidates(items, passage, ids[big], begin, end):
-                    doc, item = int(owner[k]), int(stretch_of[j])
+        for rows_read, text, word, ids, n in hits(items.vocabulary, batches, 1 << 20):
+            if not len(ids):
+                continue
+            block, first, owner = half_blocks(text, word, n)
+            big = np.flatnonzero(items.heavy[ids] > 0)
+            half = word_sums(items.latent, ids[big], block[big], len(owner))
+            passage = half.copy()
+            same = np.flatnonzero(owner[1:] == owner[:-1])
+            passage[same] += half[same + 1]
+            passage = unit(passage)
+            begin = np.searchsorted(block[big], np.arange(len(owner) + 1))
+            end = begin[1:].copy()
+            end[same] = begin[same + 2]
+            begin = begin[:-1]
+            doc_ids, t1, t2 = (rows_read.column(c) for c in ("doc_id", "t1", "t2"))
+            place = lambda t: (doc_ids[t].as_py(), t1[t].as_py(), t2[t].as_py())  # noqa: B023, E731
+            copied = set()
+            for t, item, w in items.copies(text, word, ids):
+                copied.add((t, item))
+                near = float(passage[int(first[t]) + w // HALF] @ items.vectors[items.first_stretch[item]])
+                span = (w, w + len(items.words[item]) - 1)
+                out.append((*place(t), items.ids[item], min(1.0, near), 1.0, 1.0, *span))
+            settled: dict[tuple, tuple | None] = {}
+            for kk, jj in candidates(items, passage, ids[big], begin, end):
+                docs, near_items = owner[kk], stretch_of[jj]
+                lo, hi = reached(items, near_items, text, word, n, docs, (kk - first[docs]) * HALF)
+                ok = np.flatnonzero(possible(items, near_items, lo, hi, ids))
+                for k, j, doc, item, *stretch in zip(*(v[ok].tolist() for v in (kk, jj, docs, near_items, lo, hi)), strict=True):
                     if (doc, item) in copied:
                         continue
-                    lo, hi = bounds[doc], bounds[doc + 1]
-                    stretch = reached(items, item, word[lo:hi], (k - int(first[doc])) * HALF)
                     # half passages whose reach has the same hits are settled together
                     if (doc, item, *stretch) not in settled:
-                        settled[doc, item, *stretch] = settle(items, item, word[lo:hi], ids[lo:hi], *stretch)
+                        settled[doc, item, *stretch] = settle(items, item, word, ids, *stretch)
                     if got := settled[doc, item, *stretch]:
                         near = float(passage[k] @ items.vectors[j])
                         out.append((*place(doc), items.ids[item], min(1.0, near), *got))
-                if out:
-                    yield rows()
+            if out:
+                yield rows()
 
     return task
 
@@ -468,11 +557,16 @@ def leaking_texts(
         items = Items(block, least_words)
         if not items.ids:
             continue
-        counts = texts.select("text").mapInArrow(lean(frequency_task(sent(spark, items))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        # the texts are read once; their hits stay on the executors' disks while the block is at work
+        vocabulary = sent(spark, items.vocabulary)
+        hit = texts.mapInArrow(lean(hit_task(vocabulary)), HIT_SCHEMA).persist(StorageLevel.DISK_ONLY)
+        counts = hit.select("words", "ids", "gaps", "far").mapInArrow(lean(frequency_task(vocabulary)), "term long, n long")
+        counts = counts.groupBy("term").agg(F.sum("n").alias("n"))
         counted = {r["term"]: r["n"] for r in counts.collect()}
         items.weigh(counted, counted.get(-1, 0))
-        items.place(latent_space(items, texts, rank, tasks=6, rounds=2, item_share=item_share))
-        found = texts.mapInArrow(lean(leak_task(sent(spark, items), cosine, whole, part, answer_share)), LEAK_SCHEMA)
+        items.place(latent_space(items, hit, rank, tasks=6, rounds=2, item_share=item_share))
+        found = stored(hit.mapInArrow(lean(leak_task(sent(spark, items), cosine, whole, part, answer_share)), LEAK_SCHEMA))
+        hit.unpersist()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], LEAK_SCHEMA)
