@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse.functions.cleaning import trim_column_names
+from gridpulse.sources.digests import with_digests
 
 MODES = ("parquet", "csv", "json")
 
@@ -91,8 +92,11 @@ def with_provenance(frame: DataFrame, logical_name: str, root: str = "") -> Data
     )
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*", digest: bool = False) -> DataFrame:
-    """Path, name, bytes and modification time of every file; SHA-256 of the content on demand."""
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", digest: bool = False, turn: int = 128 << 20) -> DataFrame:
+    """Path, name, bytes and modification time of every file; SHA-256 of the content on demand.
+
+    Files of over ``turn`` bytes are digested at once, by tasks that read about so much of a file each.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     out = [
         F.col("path"),
@@ -101,7 +105,8 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*", digest: b
         F.col("modificationTime").alias("modified_at"),
     ]
     if digest:
-        out.append(F.sha2("content", 256).alias("sha256"))
+        files = with_digests(files, spark, path, pattern, turn)
+        out.append(F.col("sha256"))
     return files.select(*out)
 
 

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import json
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -10,6 +12,7 @@ from gridpulse.operators import joins as J
 from gridpulse.plans import payloads
 from gridpulse.plans.gold import StarSources, gold_tables, map_tables, silver_fact, span_assets
 from gridpulse.plans.maps import map_layers
+from gridpulse.sources import digests as D
 from gridpulse.sources import readers as R
 from gridpulse.sources import writers as W
 from gridpulse.workload import registry
@@ -269,3 +272,53 @@ def test_readings_join_before_the_wide_dimensions(star, monkeypatch):
     assert joined.index(("span_id", "event_ts")) < joined.index(("span_id",))
     assert out.columns.index("temp_0") > out.columns.index("transformer_capacity")
     assert {r["span_id"]: r["temp_0"] for r in out.collect()} == {"V1": "20,5", "V2": None, "V3": None}
+
+
+def test_digests_of_files_larger_than_a_task_may_read(spark, tmp_path):
+    """Files past binaryFile's limit and a task's turn, whatever their bytes; what the text reader alters is read whole."""
+    rng = random.Random(5)
+    files = {
+        "ends.bin": rng.randbytes(40_000) + b"\n",
+        "open.bin": rng.randbytes(40_000) + b"x",
+        "lines.txt": b"\r\n\n\r" * 9_000,
+        "one line.txt": b"a" * 30_000,
+        "named [1]{2}.bin": rng.randbytes(5_001) + b"\n\n",
+        "same": b"\n" * 10_000,
+        "exact": b"\n" * 5_000,
+        "small": b"small\n",
+        "sub/ends.bin": rng.randbytes(20_000) + b"\xff\n",
+    }
+    (tmp_path / "sub").mkdir()
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength")}
+
+    def got(**options):
+        rows = R.file_inventory(spark, str(tmp_path), digest=True, turn=5_000, **options).collect()
+        return {r["path"].split(f"{tmp_path.name}/")[1]: (r["bytes"], r["sha256"]) for r in rows}
+
+    def plain():
+        return {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5000")
+        assert got() == plain()
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        more = {"mark.csv": b"\xef\xbb\xbf" + b"a;b\n" * 3_000, "packed.gz": gzip.compress(rng.randbytes(9_000))}
+        for name, data in more.items():
+            (tmp_path / name).write_bytes(data)
+        files |= more
+        assert got() == plain()
+        assert got(pattern="*.csv") == {"mark.csv": plain()["mark.csv"]}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_without_openssl_a_file_is_one_chain_in_one_task(spark, tmp_path, monkeypatch):
+    data = random.Random(6).randbytes(20_000)
+    (tmp_path / "a.bin").write_bytes(data)
+    monkeypatch.setattr(D, "openssl", lambda: None)
+    row = R.file_inventory(spark, str(tmp_path), digest=True, turn=3_000).first()
+    assert row["sha256"] == hashlib.sha256(data).hexdigest()
