@@ -17,10 +17,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import Words, chunks, flat, gram_hashes, hash_spans, lean, slices, unpacked
+from gridpulse.llm.arrays import Words, chunks, flat, gram_hashes, hash_spans, lean, slices, trim, unpacked
 from gridpulse.llm.jaccard import with_row_key
 from gridpulse.llm.licenses import LOWER, NOT_WORD
-from gridpulse.llm.spark import pinned, received, sent, stored, texts_of
+from gridpulse.llm.spark import pinned, received, sent, stored, summed, text_bytes, texts_of
 
 HALF = 24
 GRAM = 5
@@ -345,24 +345,28 @@ def latent_space(items: Items, found: DataFrame, rank: int, tasks: int, rounds:
     spark = found.sparkSession
     size = len(items.vocabulary)
     width = min(size, rank + 16)
-    pairs = found.select("words", "ids", "gaps", "far").mapInArrow(lean(pair_task(sent(spark, items), 1 << 20)), "i long, j long, n long")
+    model = sent(spark, items)
+    pairs = found.select("words", "ids", "gaps", "far").mapInArrow(lean(pair_task(model, 1 << 20)), "i long, j long, n long")
     # at most one row for each pair of item words, however large the corpus
     pairs = pinned(pairs.groupBy("i", "j").agg(F.sum("n").alias("n")).repartition(tasks, "i").sortWithinPartitions("i", "j"))
-    few = pairs.coalesce(tasks)  # the driver adds up one sum a task, so their number must not follow the settings
-    own = sum(r["n"] * float(items.heavy[r["i"]]) ** 2 for r in pairs.where("i = j").toLocalIterator())  # one row a word
+    model.destroy()
+    few = pairs.coalesce(tasks)  # a sum a task, so their number must not follow the settings
+    # one row a word, in one job: an iterator would take one for each partition
+    own = sum(r["n"] * float(items.heavy[r["i"]]) ** 2 for r in pairs.where("i = j").select("i", "n").collect())
     ids, first = items.rows()
     stretch = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
     order = np.argsort(ids, kind="stable")
     scale = float((items.heavy[ids] ** 2).sum()) / (item_share * own) if own else 0.0
 
     def product(w: np.ndarray) -> np.ndarray:
-        y = sums(w[ids] * items.heavy[ids, None], stretch, len(first))
-        out = sums((y[stretch] * items.heavy[ids, None])[order], ids[order], size)
+        out = np.empty(w.shape)
+        for a in range(0, w.shape[1], 16):  # the items' words by all columns would be the driver's largest array
+            y = sums(w[ids, a : a + 16] * items.heavy[ids, None], stretch, len(first))
+            out[:, a : a + 16] = sums((y[stretch] * items.heavy[ids, None])[order], ids[order], size)
         shared = sent(spark, (items.heavy, w.astype(np.float32)))
-        for r in few.mapInArrow(lean(product_task(shared)), "sums binary").collect():  # one of fixed size a task
-            out += scale * np.frombuffer(r["sums"], np.float32).reshape(out.shape)
-        shared.unpersist()
-        return out
+        total = summed(few.mapInArrow(lean(product_task(shared)), "sums binary"), np.float64)  # one of fixed size a task
+        shared.destroy()
+        return out + scale * total.reshape(out.shape) if len(total) else out
 
     w = np.random.default_rng(7).normal(size=(size, width))
     for _ in range(rounds):
@@ -499,8 +503,11 @@ def leak_task(shared, cosine: float, whole: float, part: float, answer_share: fl
 def item_blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, str]]]:
     """Distinct items with a text, streamed to the driver in blocks of about ``words`` words."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.where("item_id IS NOT NULL AND text IS NOT NULL")
+    # the iterator takes a job for each partition, so these follow the texts and not the settings
+    parts = 1 + text_bytes(rows) // (4 << 20)
     block, size = [], 0
-    for r in rows.where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator():
+    for r in rows.distinct().coalesce(parts).toLocalIterator():
         block.append((r["item_id"], r["text"]))
         size += r["text"].count(" ") + 1
         if size >= words:
@@ -565,8 +572,12 @@ def leaking_texts(
         counted = {r["term"]: r["n"] for r in counts.collect()}
         items.weigh(counted, counted.get(-1, 0))
         items.place(latent_space(items, hit, rank, tasks=6, rounds=2, item_share=item_share))
-        found = stored(hit.mapInArrow(lean(leak_task(sent(spark, items), cosine, whole, part, answer_share)), LEAK_SCHEMA))
+        trim()
+        model = sent(spark, items)
+        found = stored(hit.mapInArrow(lean(leak_task(model, cosine, whole, part, answer_share)), LEAK_SCHEMA))
         hit.unpersist()
+        for used in (vocabulary, model):
+            used.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], LEAK_SCHEMA)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm.arrays import Words, chunks, flat, lean, trim
 from gridpulse.llm.languages import held_out
-from gridpulse.llm.spark import pinned, received, sent
+from gridpulse.llm.spark import pinned, received, sent, summed
 
 SCHEMA = "doc_id long, held_out boolean, score double"
 ROWS, WIDTH, SHAPES = 1 << 14, 64, 512
@@ -188,16 +188,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, tasks: int, hidden: int,
     )
     # the labelled ids with the least hash: a bounded sample that every run draws alike
     drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # each task sends one table of vectors to the driver, so there are a few tasks whatever the cluster's settings
+    # each task makes one table of vectors, so there are a few tasks whatever the cluster's settings
     # one text an id, so that the rows are bounded too
     texts = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(
         F.min_by(F.struct("text", "quality"), F.struct(F.xxhash64("text"), F.length("text"))).alias("r")
     )
     sample = pinned(texts.select("doc_id", "r.text", "r.quality")).coalesce(tasks)
-    sums = np.zeros((ROWS, WIDTH), np.float32)
-    for r in sample.select("text").mapInArrow(lean(vector_task), "sums binary").collect():  # one of fixed size a task
-        sums += np.frombuffer(r["sums"], np.float32).reshape(ROWS, WIDTH)
-    model = Model(sums)
+    sums = summed(sample.select("text").mapInArrow(lean(vector_task), "sums binary"))  # one of fixed size a task
+    model = Model(sums.reshape(ROWS, WIDTH) if len(sums) else np.zeros((ROWS, WIDTH), np.float32))
     shared = sent(spark, model)
     rows = sample.mapInArrow(lean(pool_task(shared)), "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
@@ -205,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, tasks: int, hidden: int,
         x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), -1)
         y = np.array([r["quality"] for r in rows], np.float32)
         model.train(x, y, np.array([r["doc_id"] * 2654435761 % 8 == 0 for r in rows]), hidden, epochs)
-    shared.unpersist()
+    shared.destroy()
     trim()
     return model
 

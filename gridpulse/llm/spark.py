@@ -5,11 +5,13 @@ from __future__ import annotations
 import pickle
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridpulse.llm.arrays import NULL_ID
+from gridpulse.llm.arrays import NULL_ID, lean
 from gridpulse.session import ensure_checkpoint_dir
 
 
@@ -68,6 +70,32 @@ def received(shared: Broadcast):
     return pickle.loads(shared.value)
 
 
+def add_task(kind: str, each: int):
+    def task(batches):
+        parts = []
+        for batch in batches:
+            parts += zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True)
+        total = 0
+        for _, raw in sorted(parts, key=lambda p: p[0]):
+            total = total + np.frombuffer(raw, np.float32).astype(kind)
+        for start in range(0, len(total) if parts else 0, each):
+            yield pa.RecordBatch.from_pydict({"start": [start], "sums": [total[start : start + each].tobytes()]})
+
+    return task
+
+
+def summed(parts: DataFrame, kind: type = np.float32, each: int = 1 << 13) -> np.ndarray:
+    """The sum of a few arrays of one fixed size, the raw float32 in ``sums`` of each row, one row a partition.
+
+    One task adds them up in the order of the partitions, so that the driver gets one array, in rows of ``each`` numbers,
+    and not an array a task.
+    """
+    name = np.dtype(kind).name
+    dealt = parts.select(F.spark_partition_id().alias("part"), "sums").repartition(1)
+    rows = dealt.mapInArrow(lean(add_task(name, each)), "start long, sums binary").collect()
+    return np.frombuffer(b"".join(r["sums"] for r in sorted(rows, key=lambda r: r["start"])), name)
+
+
 def numbered(frame: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``frame`` with ``place`` (from 0, in the ``order`` of its ``group``) and ``members`` (rows of the group).
 
