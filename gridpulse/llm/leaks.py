@@ -316,8 +316,8 @@ def pair_task(shared, held: int):
     return task
 
 
-def product_task(shared):
-    """One task's share of (A^T A) W from pair counts, as raw floats."""
+def product_task(shared, scale: float):
+    """One task's share of (A^T A) W from pair counts, scaled, as raw floats."""
 
     def task(batches):
         heavy, w = received(shared)
@@ -332,7 +332,7 @@ def product_task(shared):
                 out[rows[a : a + 64]] += counts @ w
                 counts[at[own] - a, j[own]] *= i[own] != j[own]  # the lower half mirrors the upper one
                 out += counts.T @ w[rows[a : a + 64]]
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([(scale * out).tobytes()], pa.binary())})
 
     return task
 
@@ -364,9 +364,9 @@ def latent_space(items: Items, found: DataFrame, rank: int, tasks: int, rounds:
             y = sums(w[ids, a : a + 16] * items.heavy[ids, None], stretch, len(first))
             out[:, a : a + 16] = sums((y[stretch] * items.heavy[ids, None])[order], ids[order], size)
         shared = sent(spark, (items.heavy, w.astype(np.float32)))
-        total = summed(few.mapInArrow(lean(product_task(shared)), "sums binary"), np.float64)  # one of fixed size a task
+        total = summed(few.mapInArrow(lean(product_task(shared, scale)), "sums binary"), np.float64)  # one of fixed size a task
         shared.destroy()
-        return out + scale * total.reshape(out.shape) if len(total) else out
+        return out + total.reshape(out.shape) if len(total) else out
 
     w = np.random.default_rng(7).normal(size=(size, width))
     for _ in range(rounds):
