@@ -25,6 +25,7 @@ from gridpulse.llm.arrays import chunks, flat, ids_of, inside, lean, mix, packed
 from gridpulse.llm.spark import buckets_for, id_bucket, pinned, stored
 
 SEGMENT = 1 << 18
+SLICES = 16
 PLACE = np.uint64(20)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,27 +190,45 @@ def block_rows(units_of: Callable, window: int, gram: int, buckets: int, within:
     return task
 
 
-def gram_counts(units_of: Callable, window: int, gram: int, each: int, least: int):
-    """Map task: grams that this task holds ``least`` times or more."""
+def tally(held: list[tuple[np.ndarray, np.ndarray]], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Adds the values and counts of ``parts`` to ``held``: sorted values and counts, in slices of the range of 64 bits.
+
+    Only ``parts`` are sorted and one slice is copied at a time, so this takes little memory besides the slices.
+    """
+    values = np.concatenate([v for v, _ in parts])
+    counts = np.concatenate([n for _, n in parts])
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))[: len(values)]
+    values, counts = values[cut], np.add.reduceat(counts, cut) if len(cut) else counts
+    edges = np.arange(1, len(held), dtype=np.uint64) * np.uint64(2**64 // len(held))
+    ends = [0, *np.searchsorted(values, edges), len(values)]
+    for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        (old, number), new, n = held[i], values[lo:hi], counts[lo:hi]
+        at = np.searchsorted(old, new)
+        known = np.zeros(len(new), bool)
+        within = at < len(old)
+        known[within] = old[at[within]] == new[within]
+        number[at[known]] += n[known]
+        held[i] = np.insert(old, at[~known], new[~known]), np.insert(number, at[~known], n[~known])
+
+
+def gram_counts(units_of: Callable, window: int, gram: int, each: int, least: int, most: int = 4_000_000, step: int = 1 << 19):
+    """Map task: grams that this task holds ``least`` times or more.
+
+    A task holds up to ``most`` grams, and ``step`` and a segment's that wait to be added.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(window, gram)
         # a gram of a high hash is hardly ever the least one of a window
         limit = np.uint64(min(2**64 - 1, 10 * 2**64 // (window - gram + 1)))
-        held, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
-
-        def merged():
-            grams = np.concatenate([held[0], *[g for g, _ in waiting]])
-            counts = np.concatenate([held[1], *[n for _, n in waiting]])
-            waiting.clear()
-            order = np.argsort(grams, kind="stable")
-            grams, counts = grams[order], counts[order]
-            cut = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, int)
-            return (grams[cut], np.add.reduceat(counts, cut)) if len(cut) else held
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, waiting, count = [none] * SLICES, [none], 0
 
         def rows():
-            some = held[1] >= least
-            return pa.RecordBatch.from_pydict({"gram": held[0][some].view(np.int64), "n": held[1][some]})
+            grams = np.concatenate([g[n >= least] for g, n in held])
+            return pa.RecordBatch.from_pydict({"gram": grams.view(np.int64), "n": np.concatenate([n[n >= least] for _, n in held])})
 
         for batch in batches:
             for part in chunks(batch, "text", each):
@@ -219,12 +238,14 @@ def gram_counts(units_of: Callable, window: int, gram: int, each: int, least: in
                     grams, _ = cutter.grams(units[a:end])
                     fits = inside(first, gram, len(units))[a : a + len(grams)]
                     waiting.append(np.unique(grams[fits & (grams <= limit)], return_counts=True))
-                if len(waiting) >= 16:
-                    held = merged()
-                    if len(held[0]) > 4_000_000:  # what is rare in so much text is rare
-                        yield rows()
-                        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        held = merged()
+                    count += len(waiting[-1][0])
+                    if count >= step:
+                        tally(held, waiting)
+                        waiting, count = [none], 0
+                        if sum(len(g) for g, _ in held) > most:  # what is rare in so much text is rare
+                            yield rows()
+                            held = [none] * SLICES
+        tally(held, waiting)
         yield rows()
 
     return task
