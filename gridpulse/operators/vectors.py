@@ -11,11 +11,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, FloatType
 
-from gridpulse.scale import RoundTables, collect_passes
+from gridpulse.scale import RoundTables
 
-# Fixed bounds: values of the fitting sample, lists of an index, values of one search cell, queries scored together.
-SAMPLE_VALUES, MOST_LISTS, CELL_VALUES, QUERY_ROWS = 4_000_000, 4_096, 2_000_000, 256
+# Fixed bounds: values of the fitting sample, lists of an index, values of the queries of one search cell, queries and items
+# scored together.
+SAMPLE_VALUES, MOST_LISTS, CELL_VALUES, QUERY_ROWS, ITEM_ROWS = 4_000_000, 4_096, 2_000_000, 512, 1_024
+# Values of the items that stream through a cell; pairs of a cell: enough for a task of its own, and the most.
+STREAM_VALUES, FEW_PAIRS, MOST_PAIRS = 2**26, 2**26, 2**35
+# Scores are compared in whole billionths; NONE stands for no item yet.
+BILLION, NONE = 10**9, -(2**39)
 
 
 def dimension_of(frame: DataFrame, vector: str) -> int:
@@ -31,6 +37,13 @@ def is_usable(vector: str, dimension: int) -> Column:
     return F.coalesce((F.size(values) == dimension) & finite, F.lit(False))
 
 
+def _numbers(frame: DataFrame, vector: str, out: str) -> Column:
+    """The vectors as arrays of floats if they are such, or else of doubles."""
+    kind = frame.schema[vector].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    return F.col(vector).cast("array<float>" if single else "array<double>").alias(out)
+
+
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dimension)
@@ -61,25 +74,209 @@ def _result_schema(items: DataFrame, queries: DataFrame, item_id: str, query_id:
     return f"`{query_id}` {kinds[0]}, `{item_id}` {kinds[1]}, score double"
 
 
+class _Nearest:
+    """The ``k`` best items of each query of a block, while items come by in any order.
+
+    Products are taken in single precision, which rules out nearly every pair: one is kept where its score may reach the
+    query's k-th best one, allowing for the most that single precision can be off. Those are scored in double precision, and
+    ties go to the smaller row number, which follows the ids. Found pairs are put in order once there is one for four places.
+    """
+
+    def __init__(self, keys: pa.Array, vectors: np.ndarray, probes: np.ndarray | None, k: int):
+        self.keys, self.unit, self.probes, self.k = keys, _unit(vectors), probes, k
+        self.single = self.unit.astype(np.float32)
+        count, dimension = vectors.shape
+        self.slack = 1.1 * (dimension + 16) * 2.0**-24
+        self.bar = np.full(count, -np.inf, np.float32)
+        self.score, self.row = np.full((count, k), NONE), np.full((count, k), np.iinfo(np.int64).max)
+        self.at = np.zeros((count, k), np.int64)
+        self.ids: list[pa.Array] = []
+        self.named, self.found, self.held = 0, [], 0
+
+    def see(self, ids: pa.Array, vectors: np.ndarray, rows: np.ndarray, lists: np.ndarray) -> None:
+        """A batch of items with the numbers of their rows and lists; a list's items stand together."""
+        first, unit = self.named, _unit(vectors)
+        self.ids.append(ids)
+        self.named += len(ids)
+        cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            mine = None
+            if self.probes is not None:
+                at = int(lists[start])
+                mine = np.flatnonzero(self.probes[at >> 3] & (128 >> (at & 7)))
+            for a in range(start, stop, ITEM_ROWS):
+                b = min(a + ITEM_ROWS, stop)
+                self._block(unit[a:b], rows[a:b], first + a, mine)
+        if self.named > max(4 * self.at.size, 2**20):
+            self._forget()
+
+    def _block(self, unit: np.ndarray, rows: np.ndarray, first: int, mine: np.ndarray | None) -> None:
+        single = unit.astype(np.float32).T
+        count, step = len(self.unit) if mine is None else len(mine), max(QUERY_ROWS, QUERY_ROWS * ITEM_ROWS // len(unit))
+        for a in range(0, count, step):
+            who = slice(a, a + step) if mine is None else mine[a : a + step]
+            block = self.single[who] @ single
+            hot = np.flatnonzero(block.max(axis=1) >= self.bar[who])
+            if len(hot):
+                self._weigh(block[hot], hot + a if mine is None else who[hot], unit, rows, first)
+
+    def _weigh(self, block: np.ndarray, who: np.ndarray, unit: np.ndarray, rows: np.ndarray, first: int) -> None:
+        """Exact scores of the pairs of ``block`` that may be among the best; these are kept."""
+        k, n = self.k, len(unit)
+        bar = self.bar[who]
+        hits = block >= bar[:, None]
+        i, j = divmod(np.flatnonzero(hits), n)
+        if n > k and len(many := np.flatnonzero(np.bincount(i) > 2 * k)):
+            kth = np.partition(block[many], n - k, axis=1)[:, n - k]
+            hits[many] = block[many] >= np.maximum(bar[many], kth - np.float32(2 * self.slack))[:, None]
+            i, j = divmod(np.flatnonzero(hits), n)
+        if len(i) * 32 > hits.size:
+            score = np.rint((self.unit[who] @ unit.T) * BILLION)[i, j]
+        else:
+            some = max(1, CELL_VALUES // max(1, unit.shape[1]))
+            parts = [np.einsum("ij,ij->i", self.unit[who[i[a : a + some]]], unit[j[a : a + some]]) for a in range(0, len(i), some)]
+            score = np.rint(np.concatenate(parts) * BILLION)
+        score, who, row = score.astype(np.int64), who[i], rows[j]
+        last = self.score[who, -1]
+        keep = np.flatnonzero((score > last) | ((score == last) & (row < self.row[who, -1])))
+        self.found.append((who[keep], score[keep], row[keep], first + j[keep]))
+        self.held += len(keep)
+        if 4 * self.held >= self.score.size:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Found pairs take their places among the best ones."""
+        if not self.found:
+            return
+        who, score, row, at = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        self.found, self.held = [], 0
+        held = np.unique(who)
+        best = (self.score, self.row, self.at)
+        score, row, at = (np.concatenate([x[held].ravel(), y]) for x, y in zip(best, (score, row, at), strict=True))
+        who = np.concatenate([np.repeat(np.arange(len(held)), self.k), np.searchsorted(held, who)])
+        key = (who << 40) - score
+        order = np.argsort(key)
+        if (np.diff(key[order]) == 0).any():
+            order = np.lexsort((row, key))
+        # every query has k places at least, those of before
+        pick = order[np.searchsorted(who[order], np.arange(len(held)))[:, None] + np.arange(self.k)]
+        self.score[held], self.row[held], self.at[held] = score[pick], row[pick], at[pick]
+        last = self.score[held, -1]
+        self.bar[held] = np.where(last == NONE, -np.inf, last / BILLION - self.slack)
+
+    def _forget(self) -> None:
+        """Lets go of the ids that are not among the best."""
+        self._settle()
+        used, at = np.unique(self.at, return_inverse=True)
+        self.ids, self.at = [pa.concat_arrays(self.ids).take(pa.array(used))], at.reshape(self.at.shape)
+        self.named = len(used)
+
+    def best(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        self._settle()
+        ids, some = pa.concat_arrays(self.ids), max(1, 65_536 // self.k)
+        for a in range(0, len(self.keys), some):
+            i, place = np.nonzero(self.score[a : a + some] > NONE)
+            columns = [self.keys.take(pa.array(i + a)), ids.take(pa.array(self.at[a + i, place])), pa.array(self.score[a + i, place] / BILLION)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _joined(parts: list[pa.Array]) -> pa.Array:
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+
+def _searched(batches: Iterator[pa.RecordBatch], names: list[str], dimension: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Best items of the queries of each cell: a cell's queries come first, then its items by list."""
+    cell, asked, best = None, [], None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        place = rows.column("_cell").to_numpy() * 2 + rows.column("_side").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), rows.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = rows.slice(a, b - a)
+            if place[a] // 2 != cell:
+                if best:
+                    yield from best.best(names)
+                cell, asked, best = place[a] // 2, [], None
+            if place[a] % 2 == 0:
+                probes = part.column("_probes")
+                bits = None if probes.null_count else np.frombuffer(b"".join(probes.to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                asked.append((part.column("_query"), _matrix(part.column("_vector"), dimension), bits))
+            elif asked or best:
+                if not best:
+                    keys, vectors, bits = zip(*asked, strict=True)
+                    bits = None if bits[0] is None else np.ascontiguousarray(np.concatenate(bits).T)
+                    best = _Nearest(_joined(list(keys)), np.concatenate(vectors), bits, k)
+                    asked, keys, vectors, bits = [], None, None, None
+                best.see(part.column("_item"), _matrix(part.column("_vector"), dimension), part.column("_row").to_numpy(), part.column("list").to_numpy())
+    if best:
+        yield from best.best(names)
+
+
+def _cells(items: int, queries: int, dimension: int, k: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and pieces of items, so that a cell's queries fit a task and its pairs do not keep one for long."""
+    pairs = items * queries
+    least = -(-queries // max(256, CELL_VALUES // max(dimension, 3 * k)))
+    tasks = max(min(3 * cores, -(-pairs // FEW_PAIRS)), -(-pairs // MOST_PAIRS), least, 1)
+    if tasks > cores:  # as many for each core
+        tasks = -(-tasks // cores) * cores
+    blocks = max(least, min(tasks, -(-queries // 4_096)), 1)
+    return blocks, max(-(-tasks // blocks), -(-items * dimension // STREAM_VALUES), 1)
+
+
+def _met(tables: RoundTables, items: DataFrame, queries: DataFrame, item_id: str, query_id: str, dimension: int, k: int) -> DataFrame:
+    """The ``k`` best of ``items`` for each of ``queries`` (both with ``_vector``) in each piece of the items.
+
+    Items have a ``list``; queries have ``_probes``, the lists to search as bits, or null for all. A block of queries and a
+    piece of the items meet in a cell, which is one task: it holds the queries and lets the items stream by. Rows are dealt
+    by their stored number, so equal or null ids are spread.
+    """
+    if items.schema["_vector"].dataType != queries.schema["_vector"].dataType:
+        items, queries = (x.withColumn("_vector", F.col("_vector").cast("array<double>")) for x in (items, queries))
+    number, spark = F.monotonically_increasing_id(), items.sparkSession
+    order = [item_id, F.xxhash64("_vector")]
+    # numbers follow the ids, for ties
+    items = tables.store(items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", number))
+    queries = tables.store(queries.withColumn("_row", number))
+    blocks, pieces = _cells(items.count(), queries.count(), dimension, k, spark.sparkContext.defaultParallelism)
+    dealt = lambda n: F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = {"_item": items.schema[item_id].dataType, "_query": queries.schema[query_id].dataType}
+    none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+    columns = ["_vector", "_row", "_cell"]
+    left = items.withColumn("_block", each(blocks)).withColumn("_cell", dealt(pieces) * blocks + F.col("_block"))
+    left = left.select(*columns, F.lit(1).alias("_side"), "list", F.col(item_id).alias("_item"), none("_query"), F.lit(None).cast("binary").alias("_probes"))
+    right = queries.withColumn("_piece", each(pieces)).withColumn("_cell", F.col("_piece") * blocks + dealt(blocks))
+    right = right.select(*columns, F.lit(0).alias("_side"), F.lit(0).alias("list"), none("_item"), F.col(query_id).alias("_query"), "_probes")
+    met = left.unionByName(right).repartitionById(blocks * pieces, "_cell").sortWithinPartitions("_cell", "_side", "list", "_row")
+    names = [query_id, item_id, "score"]
+    return met.mapInArrow(lambda batches: _searched(batches, names, dimension, k), _result_schema(items, queries, item_id, query_id))
+
+
 def cosine_top_k(
     items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str, query_vector: str, k: int, batch: int = 2048
 ) -> DataFrame:
     """Exact cosine top-k of every query over all items, with ``score`` and ``rank`` (ties by item).
 
-    Queries go to the tasks in batches of bounded size; each task keeps k candidates per query as it reads, so the shuffle
-    carries k rows per query and task whatever the number of items. The items' most common length is the dimension; null,
-    ragged and non-finite vectors take no part on either side.
+    Up to ``batch`` queries go to the tasks that read the items, each of which keeps k candidates per query. More queries
+    are dealt to tasks of their own in blocks of bounded size, and the items stream through each (see :func:`_met`). The
+    items' most common length is the dimension; null, ragged and non-finite vectors take no part on either side.
     """
     spark = items.sparkSession
     schema = _result_schema(items, queries, item_id, query_id)
     dimension = dimension_of(items, vector)
-    usable = items.select(item_id, F.col(vector).cast("array<double>").alias(vector)).where(is_usable(vector, dimension))
     asked = queries.select(query_id, F.col(query_vector).cast("array<double>").alias(query_vector)).where(is_usable(query_vector, dimension))
+    part = asked.limit(batch + 1).collect()
+    if len(part) > batch:
+        tables = RoundTables(spark)
+        asked = queries.where(is_usable(query_vector, dimension)).select(query_id, _numbers(queries, query_vector, "_vector"))
+        left = items.where(is_usable(vector, dimension)).select(item_id, _numbers(items, vector, "_vector"), F.lit(0).alias("list"))
+        right = asked.withColumn("_probes", F.lit(None).cast("binary"))
+        return _ranked(_met(tables, left, right, item_id, query_id, dimension, k), query_id, item_id, k)
+    usable = items.select(item_id, F.col(vector).cast("array<double>").alias(vector)).where(is_usable(vector, dimension))
     kinds = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(items.schema[item_id].dataType)]
     out = None
-    for part in collect_passes(asked, [query_id], batch):
-        if not part:
-            continue
+    if part:
         shared = spark.sparkContext.broadcast(([r[0] for r in part], _unit(np.array([r[1] for r in part], dtype=np.float64))))
 
         def search(batches, shared=shared):
@@ -111,8 +308,7 @@ def cosine_top_k(
                     names=[query_id, item_id, "score"],
                 )
 
-        found = usable.mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
+        out = usable.mapInArrow(search, schema)
     if out is None:
         return spark.createDataFrame([], schema + ", rank int")
     return _ranked(out, query_id, item_id, k)
@@ -129,8 +325,8 @@ def fit_centres(items: DataFrame, item_id: str, vector: str, lists: int | None =
         return np.zeros((0, 0))
     usable = items.where(is_usable(vector, dimension))
     lists = min(MOST_LISTS, lists or max(1, round(usable.count() ** 0.5)))
-    rows = usable.orderBy(F.xxhash64(item_id), item_id).limit(max(1, sample_values // dimension)).select(F.col(vector).cast("array<double>").alias("v")).collect()
-    data = _unit(np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), dimension))
+    rows = usable.orderBy(F.xxhash64(item_id), item_id).limit(max(1, sample_values // dimension)).select(F.col(vector).cast("array<double>").alias("v"))
+    data = _unit(_matrix(rows.toArrow().column("v"), dimension))
     if not len(data):
         return np.zeros((0, dimension))
     centres = data[:: max(1, len(data) // lists)][:lists].copy()
@@ -167,28 +363,42 @@ def read_index(spark, path: str, item_id: str, vector: str) -> VectorIndex:
     return VectorIndex(spark.read.parquet(f"{path}/items"), np.array([r["centre"] for r in rows]), item_id, vector)
 
 
+def _near(rows: pa.RecordBatch, vector: str, centres: np.ndarray, probes: int, some: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """``some`` rows at a time with the numbers of the ``probes`` nearest centres of each."""
+    for a in range(0, rows.num_rows, some):
+        part = rows.slice(a, some)
+        scores = _unit(_matrix(part.column(vector), centres.shape[1])) @ centres.T
+        yield part, np.array([at for _, at in _best(scores, probes)]).reshape(part.num_rows, -1)
+
+
 def _assigned(rows: pa.RecordBatch, vector: str, centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
     """``rows`` with ``list``, each as often as there are ``probes``, in batches of at most ``CELL_VALUES`` numbers or a row's."""
     count, dimension = centres.shape
     some = max(1, min(4096, CELL_VALUES // max(1, min(probes, count) * dimension), CELL_VALUES // count))
-    for a in range(0, rows.num_rows, some):
-        part = rows.slice(a, some)
-        scores = _unit(_matrix(part.column(vector), dimension)) @ centres.T
-        near = np.array([at for _, at in _best(scores, probes)]).reshape(part.num_rows, -1)
+    for part, near in _near(rows, vector, centres, probes, some):
         wide = part.take(pa.array(np.repeat(np.arange(part.num_rows), near.shape[1])))
         yield pa.RecordBatch.from_arrays([*wide.columns, pa.array(near.ravel(), pa.int32())], names=[*rows.schema.names, "list"])
 
 
-def _listed(frame: DataFrame, vector: str, centres: np.ndarray, probes: int) -> DataFrame:
-    """Rows with ``list``, one row per each of the ``probes`` nearest centres."""
+def _probed(rows: pa.RecordBatch, vector: str, centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """``rows`` with ``_probes``: a bit for each centre, set for the ``probes`` nearest ones."""
+    for part, near in _near(rows, vector, centres, probes, max(1, min(4096, CELL_VALUES // len(centres)))):
+        chosen = np.zeros((part.num_rows, len(centres)), bool)
+        np.put_along_axis(chosen, near, True, axis=1)
+        bits = pa.array([x.tobytes() for x in np.packbits(chosen, axis=1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*part.columns, bits], names=[*rows.schema.names, "_probes"])
+
+
+def _with_centres(frame: DataFrame, vector: str, centres: np.ndarray, probes: int, added, column: str) -> DataFrame:
+    """Rows with the column that ``added`` (:func:`_assigned` or :func:`_probed`) gives them."""
     shared = frame.sparkSession.sparkContext.broadcast(centres)
 
-    def assign(batches):
+    def add(batches):
         for rows in batches:
-            yield from _assigned(rows, vector, shared.value, probes)
+            yield from added(rows, vector, shared.value, probes)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.mapInArrow(assign, f"{kinds}, list int")
+    return frame.mapInArrow(add, f"{kinds}, {column}")
 
 
 def build_index(items: DataFrame, item_id: str, vector: str, lists: int | None = None) -> VectorIndex:
@@ -197,19 +407,18 @@ def build_index(items: DataFrame, item_id: str, vector: str, lists: int | None =
     Null, ragged and non-finite vectors are left out (see :func:`is_usable`).
     """
     centres = fit_centres(items, item_id, vector, lists)
-    rows = items.select(item_id, F.col(vector).cast("array<double>").alias(vector))
+    rows = items.select(item_id, _numbers(items, vector, vector))
     if not len(centres):
         return VectorIndex(rows.where("false").withColumn("list", F.lit(0)), centres, item_id, vector)
-    listed = _listed(rows.where(is_usable(vector, centres.shape[1])), vector, centres, 1)
+    listed = _with_centres(rows.where(is_usable(vector, centres.shape[1])), vector, centres, 1, _assigned, "list int")
     return VectorIndex(RoundTables(items.sparkSession).store(listed), centres, item_id, vector)
 
 
 def search_index(index: VectorIndex, queries: DataFrame, query_id: str, query_vector: str, k: int, probes: int | None = None) -> DataFrame:
     """Cosine top-k of every query over the items of its ``probes`` nearest lists, with exact ``score`` and ``rank``.
 
-    A third of the lists is probed if not given; all of them make the search exact. A list is cut in cells of bounded size
-    on both sides, items by their hash and queries by theirs, and a cell is one product of matrices that keeps k rows a
-    query. A list with a third of all items is therefore many cells, and queries of any number are handled.
+    A third of the lists is probed if not given; all of them make the search exact. A query carries its lists as bits and is
+    dealt once; blocks of queries meet the items, list by list (see :func:`_met`), each list with the queries that probe it.
     """
     item_id, vector, centres = index.item_id, index.vector, index.centres
     schema = _result_schema(index.items, queries, item_id, query_id)
@@ -218,37 +427,10 @@ def search_index(index: VectorIndex, queries: DataFrame, query_id: str, query_ve
         return spark.createDataFrame([], schema + ", rank int")
     dimension = centres.shape[1]
     probes = min(len(centres), probes or max(1, -(-len(centres) // 3)))
-    tables = RoundTables(spark)
-    asked = queries.select(query_id, F.col(query_vector).cast("array<double>").alias("_q")).where(is_usable("_q", dimension))
-    asked = tables.store(_listed(asked, "_q", centres, probes))
-    most = max(256, CELL_VALUES // dimension)
-    cuts = lambda n: F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("int")
-    sizes = index.items.groupBy("list").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("list").agg(F.count(F.lit(1)).alias("m")), "list")
-    # one row per probed list, MOST_LISTS at most
-    sizes = F.broadcast(tables.store(sizes.select("list", cuts("n").alias("_n"), cuts("m").alias("_m"))))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.items.select("list", item_id, vector).join(sizes, "list").withColumns({"_a": F.pmod(F.xxhash64(item_id), F.col("_n")).cast("int"), "_b": each("_m")})
-    right = asked.join(sizes, "list").withColumns({"_a": each("_n"), "_b": F.pmod(F.xxhash64(query_id), F.col("_m")).cast("int")})
-
-    def meet(key, items: pa.Table, asking: pa.Table) -> pa.Table:
-        items = items.take(pc.sort_indices(items.column(item_id)))
-        data, ask = _unit(_matrix(items.column(vector), dimension)), _unit(_matrix(asking.column("_q"), dimension))
-        who, what, scores = [], [], []
-        for a in range(0, len(ask) if len(data) else 0, QUERY_ROWS):
-            block = np.round(ask[a : a + QUERY_ROWS] @ data.T, 9)
-            for i, at in _best(block, k):
-                who.append(np.full(len(at), a + i))
-                what.append(at)
-                scores.append(block[i, at])
-        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.Table.from_arrays(
-            [asking.column(query_id).take(pa.array(flat(who, int))), items.column(item_id).take(pa.array(flat(what, int))), pa.array(flat(scores, float))],
-            names=[query_id, item_id, "score"],
-        )
-
-    cell = ["list", "_a", "_b"]
-    met = left.select(*cell, item_id, vector).groupBy(*cell).cogroup(right.select(*cell, query_id, "_q").groupBy(*cell)).applyInArrow(meet, schema)
-    return _ranked(met, query_id, item_id, k)
+    asked = queries.where(is_usable(query_vector, dimension)).select(query_id, _numbers(queries, query_vector, "_vector"))
+    asked = _with_centres(asked, "_vector", centres, probes, _probed, "_probes binary")
+    items = index.items.select(item_id, _numbers(index.items, vector, "_vector"), F.col("list").cast("int").alias("list"))
+    return _ranked(_met(RoundTables(spark), items, asked, item_id, query_id, dimension, k), query_id, item_id, k)
 
 
 def recall_per_query(found: DataFrame, exact: DataFrame, query_id: str, item_id: str) -> DataFrame:

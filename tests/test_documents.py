@@ -270,3 +270,76 @@ def test_probed_rows_come_in_bounded_batches(probes):
     units = V._unit(rows) @ centres.T
     first = np.concatenate([p.column("list").to_numpy() for p in parts]).reshape(2_000, probes)
     assert np.array_equal(first, np.argsort(-units, axis=1, kind="stable")[:, :probes])
+
+
+def told(frame, q="q", i="i"):
+    return sorted((repr(r[q]), r["rank"], repr(r[i]), round(r["score"], 9)) for r in frame.collect())
+
+
+def test_many_queries_read_the_items_once(spark):
+    """Queries beyond a batch are dealt to tasks in blocks; there is no pass over the items for each batch of them."""
+    data = clustered(400, 5)
+    items, queries = vectors(spark, data).repartition(3), vectors(spark, data[::2], "q long, w array<double>")
+    found = V.cosine_top_k(items, queries, "i", "q", "v", "w", 5, batch=4)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert told(found) == told(V.cosine_top_k(items, queries, "i", "q", "v", "w", 5))
+
+
+def test_probed_queries_are_stored_once(spark, monkeypatch):
+    """A query carries its lists as bits: what is stored does not grow with the lists that it probes."""
+    stored, store = [], V.RoundTables.store
+
+    def spied(self, frame):
+        out = store(self, frame)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(V.RoundTables, "store", spied)
+    index = V.build_index(vectors(spark, clustered(600, 20)), "i", "v", lists=30)
+    stored.clear()
+    queries = vectors(spark, clustered(90, 20), "q long, w array<double>")
+    assert V.search_index(index, queries, "q", "w", 3, probes=12).count() == 90 * 3
+    assert sum(stored) <= 600 + 90
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_of_queries_equal_all_pairs(spark, monkeypatch, kind):
+    """Ties, equal vectors, zero vectors, repeated and null ids of both sides, in many cells and steps."""
+    monkeypatch.setattr(V, "CELL_VALUES", 256 * 8)
+    monkeypatch.setattr(V, "FEW_PAIRS", 1)
+    monkeypatch.setattr(V, "STREAM_VALUES", 300 * 8)
+    monkeypatch.setattr(V, "ITEM_ROWS", 16)
+    monkeypatch.setattr(V, "QUERY_ROWS", 32)
+    rng = np.random.default_rng(6)
+    data = np.vstack([rng.normal(size=(500, 8)), np.tile(rng.normal(size=8), (300, 1)), np.zeros((20, 8)), rng.integers(-1, 2, (180, 8))])
+    data = np.vstack([data, data[480:520] * 3.0, data[:40] + 1e-8 * rng.normal(size=(40, 8))]).astype(np.float32)
+    data = data[rng.permutation(len(data))]
+    ids = [None if i % 97 == 0 else i // 2 if i % 5 == 0 else i for i in rng.permutation(len(data)).tolist()]
+    ids = [x if x is None or kind == "long" else f"id{x}" for x in ids]
+    rows = [(i, [float(x) for x in v]) for i, v in zip(ids, data, strict=True)]
+    items = spark.createDataFrame(rows, f"i {kind}, v array<float>").repartition(5)
+    queries = spark.createDataFrame(rows[::2], f"q {kind}, w array<double>").repartition(3)
+    first = lambda x: (x is not None, x)
+    unit = data.astype(float) / np.maximum(np.linalg.norm(data.astype(float), axis=1, keepdims=True), 1e-300)
+    scores, asked = np.round(unit[::2] @ unit.T, 9), {}
+    for n, row in enumerate(scores):
+        best = sorted(zip(-row, ids, strict=True), key=lambda x: (x[0], first(x[1])))[:6]
+        asked[ids[2 * n]] = sorted([*asked.get(ids[2 * n], []), *best], key=lambda x: (x[0], first(x[1])))[:6]
+    want = sorted((repr(q), rank, repr(i), round(-s, 9) + 0.0) for q, best in asked.items() for rank, (s, i) in enumerate(best, 1))
+    assert told(V.cosine_top_k(items, queries, "i", "q", "v", "w", 6, batch=10)) == want
+    index = V.build_index(items, "i", "v", lists=9)
+    assert told(V.search_index(index, queries, "q", "w", 6, probes=9)) == want
+
+
+def test_probed_lists_alone_are_searched(spark, monkeypatch):
+    """With some of the lists, the best of their items alone are found, for each query by its nearest centres."""
+    monkeypatch.setattr(V, "FEW_PAIRS", 1)
+    data, asks = clustered(700, 12, dimension=8), clustered(60, 12, seed=5, dimension=8)
+    index = V.build_index(vectors(spark, data).repartition(4), "i", "v", lists=11)
+    units, ask = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (data, asks))
+    of = (units @ index.centres.T).argmax(axis=1)
+    want = []
+    for q, near in enumerate(np.argsort(-(ask @ index.centres.T), axis=1)[:, :3]):
+        score = np.where(np.isin(of, near), np.round(units @ ask[q], 9), -9)
+        want += [(repr(q), r, repr(int(i)), round(score[i], 9)) for r, i in enumerate(np.argsort(-score, kind="stable")[:4], 1)]
+    assert told(V.search_index(index, vectors(spark, asks, "q long, w array<double>"), "q", "w", 4, probes=3)) == sorted(want)
